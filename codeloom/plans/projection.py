@@ -71,3 +71,53 @@ def within_size(rows: DataFrame, cap: int = MAX_NODES, key: str = "pid") -> Data
 
 def line_order() -> list[Column]:
     return [F.col(c) for c in LINE_ORDER]
+
+
+# --- syntax trees ----------------------------------------------------------------------
+# A line becomes one or two statements by its return flag and status:
+#   N/O  declaration of v, call into v          N/F  try {class declaration of v, construct v} catch (local_e)
+#   R/O  if (call on v) {declare w, call into w}  R/F  if (true) {} else {return v}
+#   A/O  while (call on v) {call on w}          A/F  while (true) {if (true) {call on v}}
+# with v = var_<l_suppkey mod 7>, w = var_<l_partkey mod 7>.
+
+def line_nodes() -> Column:
+    def quote(c: Column) -> Column:
+        return F.concat(F.lit('"'), c, F.lit('"'))
+
+    v = F.concat(F.lit("var_"), (F.col("l_suppkey") % 7).cast("string"))
+    w = F.concat(F.lit("var_"), (F.col("l_partkey") % 7).cast("string"))
+
+    def invoke(expr: Column, ret: Column) -> Column:
+        return F.concat(
+            F.lit('{"node":"DAPIInvoke","_calls":[{"_call":'), quote(F.col("api")), F.lit(',"fp":['),
+            F.when(F.col("api").endswith("()"), F.lit("")).otherwise(quote(w)), F.lit('],"_returns":'), quote(F.col("returns")),
+            F.lit('}],"expr_var_id":'), quote(expr), F.lit(',"ret_var_id":'), quote(ret), F.lit(',"_returns":'), quote(F.col("returns")), F.lit("}"),
+        )
+
+    def declare(tag: str, name: Column) -> Column:
+        return F.concat(F.lit(f'{{"node":"{tag}","_id":'), quote(name), F.lit(',"_returns":'), quote(F.col("returns")), F.lit("}"))
+
+    none, static = F.lit("no_return_var"), F.lit("system_package")
+    construct = F.concat(F.lit('{"node":"DClsInit","_id":'), quote(v), F.lit(',"_call":'), quote(F.col("api")), F.lit(',"fp":[],"_returns":'), quote(F.col("returns")), F.lit("}"))
+    cases = {
+        ("N", "O"): F.concat(declare("DVarDecl", v), F.lit(","), invoke(static, v)),
+        ("N", "F"): F.concat(F.lit('{"node":"DExcept","_try":['), declare("DVarDeclCls", v), F.lit(","), construct,
+                             F.lit('],"_catch":['), declare("DExceptionVar", F.lit("local_e")), F.lit("]}")),
+        ("R", "O"): F.concat(F.lit('{"node":"DBranch","_cond":['), invoke(v, none), F.lit('],"_then":['), declare("DVarDecl", w),
+                             F.lit(","), invoke(static, w), F.lit('],"_else":[]}')),
+        ("R", "F"): F.concat(F.lit('{"node":"DBranch","_cond":[],"_then":[],"_else":['), declare("DReturnVar", v), F.lit("]}")),
+        ("A", "O"): F.concat(F.lit('{"node":"DLoop","_cond":['), invoke(v, none), F.lit('],"_body":['), invoke(w, none), F.lit("]}")),
+        ("A", "F"): F.concat(F.lit('{"node":"DLoop","_cond":[],"_body":[{"node":"DBranch","_cond":[],"_then":['), invoke(v, none), F.lit('],"_else":[]}]}')),
+    }
+    out = None
+    for (flag, status), text in cases.items():
+        hit = (F.col("l_returnflag") == flag) & (F.col("l_linestatus") == status)
+        out = F.when(hit, text) if out is None else out.when(hit, text)
+    return out
+
+
+def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pid, ast``: one JSON tree per order of at most 64 lines (larger ones are over the size rule anyway)."""
+    lines = within_size(calls(spark, sf_dir)).select("pid", *LINE_ORDER, line_nodes().alias("node"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*LINE_ORDER, "node"))), lambda s: s["node"]), ",")
+    return lines.groupBy("pid").agg(F.concat(F.lit('{"node":"DSubTree","_nodes":['), body, F.lit("]}")).alias("ast"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUBJECTS = ("corpus",)
+SUBJECTS = ("corpus", "textual", "trees")
 
 
 def load_all() -> None:
