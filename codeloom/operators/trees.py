@@ -51,8 +51,8 @@ BATCH_ROWS = 20_000
 
 
 def _flags_after(flags: tuple, calls: list) -> tuple:
-    for call in calls:
-        hit = _ITERATOR.match(call["call"] or "")
+    for name, _, _ in calls:
+        hit = _ITERATOR.match(name or "")
         if hit:
             flags = {"hasNext": (1, 0, 0), "next": (flags[0], 1, flags[2]), "remove": (flags[0], flags[1], 1)}[hit.group(1)]
     return flags
@@ -68,42 +68,35 @@ def _walk(pid: int, ast: dict, out: list) -> None:
         return flags
 
     def visit(node, parent, prev, slot, pos, depth, scope, flags):
-        tag, me = node["node"], len(out)
+        get, tag, me = node.get, node["node"], len(out)
+        stored = get("_calls") or ([node] if "_call" in node else ())
         calls = [
-            {"call": c["_call"], "args": ["LITERAL" if a is None else a for a in c.get("fp") or []], "returns": c.get("_returns")}
-            for c in node.get("_calls", ())
+            (c["_call"], ["LITERAL" if a is None else a for a in c.get("fp") or c.get("fp_var_ids") or () if not isinstance(a, dict)], c.get("_returns"))
+            for c in stored
         ]
-        if "_call" in node:
-            args = [a for a in node.get("fp", node.get("fp_var_ids")) or [] if not isinstance(a, dict)]
-            calls = [{"call": node["_call"], "args": ["LITERAL" if a is None else a for a in args], "returns": node.get("_returns")}]
-        expr, op = node.get("expr_var_id"), node.get("_op")
-        row = {
-            "pid": pid, "node_id": me, "parent_id": parent, "prev_id": prev, "slot": slot, "slot_pos": pos, "depth": depth,
-            "scope": scope, "tag": tag, "calls": calls, "var_id": node.get("_id", node.get("_var")),
-            "expr_id": expr if isinstance(expr, str) else None, "ret_id": node.get("ret_var_id"),
-            "returns": node.get("_returns"), "op": op[0] if isinstance(op, list) else op, "iattrib": list(flags),
-            "attrs": node.get("int_meth_id", node.get("int_meth_name")),
-        }
-        out.append(row)
-        slots = {}
-        for name in SLOTS.get(tag, ()):
-            value = node.get(name)
-            slots[name] = value if isinstance(value, list) else [value]
+        expr, op = get("expr_var_id"), get("_op")
+        out.append((
+            pid, me, parent, prev, slot, pos, depth, scope, tag, calls, get("_id", get("_var")),
+            expr if isinstance(expr, str) else None, get("ret_var_id"), get("_returns"),
+            op[0] if isinstance(op, list) else op, flags, get("int_meth_id", get("int_meth_name")),
+        ))
+        names = SLOTS.get(tag, ())
+        after = flags
 
         def enter(name, flags):
+            value = get(name) or ()
             inner = f"{scope}/{me}.{name[1:]}" if tag in CONTROL else scope
-            return visit_list(slots[name], me, name, depth + 1, inner, flags)
+            return visit_list(value if isinstance(value, list) else (value,), me, name, depth + 1, inner, flags)
 
-        after = flags
         if tag == "DBranch":
             cond = enter("_cond", flags)
             then, other = enter("_then", cond), enter("_else", cond)
-            after = then if slots["_then"] else other
+            after = then if get("_then") else other
         elif tag == "DExcept":
             tried, caught = enter("_try", flags), enter("_catch", flags)
-            after = tried if slots["_try"] else caught
+            after = tried if get("_try") else caught
         else:
-            for name in slots:
+            for name in names:
                 after = enter(name, after)
             after = flags if tag == "DLoop" else _flags_after(after, calls)
         return after, me
@@ -112,6 +105,11 @@ def _walk(pid: int, ast: dict, out: list) -> None:
     visit_list(root, -1, "_nodes", 0, "", (0, 0, 0))
 
 
+def _record_batch(rows: list) -> pa.RecordBatch:
+    columns = [pa.array(values, field.type) for values, field in zip(zip(*rows), _ARROW)]
+    return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
+
+
 def _flatten_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list = []
     for batch in batches:
@@ -120,10 +118,10 @@ def _flatten_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             _walk(pid, json.loads(text), rows)
             out.extend(rows)
             if len(out) >= BATCH_ROWS:
-                yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
+                yield _record_batch(out)
                 out = []
     if out:
-        yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
+        yield _record_batch(out)
 
 
 def well_formed(programs: DataFrame, ast: str = "ast") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUBJECTS = ("corpus", "textual", "trees")
+SUBJECTS = ("corpus", "textual", "trees", "evaluation")
 
 
 def load_all() -> None:

@@ -15,6 +15,8 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Small inputs keep all cores busy; large ones are cut by size as usual.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }
 
 
