@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -37,7 +38,7 @@ SLOT_LABELS = {
 NODE_SCHEMA = (
     "pid bigint, node_id int, parent_id int, prev_id int, slot string, slot_pos int, depth int, scope string, tag string, "
     "calls array<struct<call:string,args:array<string>,returns:string>>, var_id string, expr_id string, ret_id string, "
-    "returns string, op string, iattrib array<int>, attrs string"
+    "returns string, op string, iattrib array<int>, attrs string, seq_in int, seq_out int, list_parent int, list_slot string"
 )
 _CALL = pa.struct([("call", pa.string()), ("args", pa.list_(pa.string())), ("returns", pa.string())])
 _ARROW = pa.schema([
@@ -45,7 +46,9 @@ _ARROW = pa.schema([
     ("slot", pa.string()), ("slot_pos", pa.int32()), ("depth", pa.int32()), ("scope", pa.string()), ("tag", pa.string()),
     ("calls", pa.list_(_CALL)), ("var_id", pa.string()), ("expr_id", pa.string()), ("ret_id", pa.string()),
     ("returns", pa.string()), ("op", pa.string()), ("iattrib", pa.list_(pa.int32())), ("attrs", pa.string()),
+    ("seq_in", pa.int32()), ("seq_out", pa.int32()), ("list_parent", pa.int32()), ("list_slot", pa.string()),
 ])
+LISTS = ("DSubTree", "DBranch", "DLoop", "DExcept", "DInfix")  # tags that own statement lists
 _ITERATOR = re.compile(r"java\.util\.Iterator<.*>\.(hasNext|next|remove)\(\)")
 BATCH_ROWS = 20_000
 
@@ -59,15 +62,21 @@ def _flags_after(flags: tuple, calls: list) -> tuple:
 
 
 def _walk(pid: int, ast: dict, out: list) -> None:
-    """Preorder rows; iterator flags flow left to right and through branches as evaluated."""
+    """Preorder rows; iterator flags flow left to right and through branches as evaluated.
 
-    def visit_list(nodes, parent, slot, depth, scope, flags):
+    ``seq_in`` and ``seq_out`` number entering and leaving a node; ``list_parent`` and ``list_slot``
+    name the statement list a node belongs to, arguments to that of their statement.
+    """
+    seq = count()
+
+    def visit_list(nodes, parent, slot, depth, scope, flags, home):
         prev = -1
-        for pos, node in enumerate(n for n in nodes if isinstance(n, dict)):
-            flags, prev = visit(node, parent, prev, slot, pos, depth, scope, flags)
+        for pos, node in enumerate(nodes):
+            if isinstance(node, dict):
+                flags, prev = visit(node, parent, prev, slot, pos, depth, scope, flags, home)
         return flags
 
-    def visit(node, parent, prev, slot, pos, depth, scope, flags):
+    def visit(node, parent, prev, slot, pos, depth, scope, flags, home):
         get, tag, me = node.get, node["node"], len(out)
         stored = get("_calls") or ([node] if "_call" in node else ())
         calls = [
@@ -75,18 +84,21 @@ def _walk(pid: int, ast: dict, out: list) -> None:
             for c in stored
         ]
         expr, op = get("expr_var_id"), get("_op")
-        out.append((
+        row = [
             pid, me, parent, prev, slot, pos, depth, scope, tag, calls, get("_id", get("_var")),
             expr if isinstance(expr, str) else None, get("ret_var_id"), get("_returns"),
             op[0] if isinstance(op, list) else op, flags, get("int_meth_id", get("int_meth_name")),
-        ))
+            next(seq), None, home[0], home[1],
+        ]
+        out.append(row)
         names = SLOTS.get(tag, ())
         after = flags
 
         def enter(name, flags):
             value = get(name) or ()
             inner = f"{scope}/{me}.{name[1:]}" if tag in CONTROL else scope
-            return visit_list(value if isinstance(value, list) else (value,), me, name, depth + 1, inner, flags)
+            inside = (me, name) if tag in LISTS else home
+            return visit_list(value if isinstance(value, list) else (value,), me, name, depth + 1, inner, flags, inside)
 
         if tag == "DBranch":
             cond = enter("_cond", flags)
@@ -99,10 +111,11 @@ def _walk(pid: int, ast: dict, out: list) -> None:
             for name in names:
                 after = enter(name, after)
             after = flags if tag == "DLoop" else _flags_after(after, calls)
+        row[18] = next(seq)
         return after, me
 
     root = ast["_nodes"] if isinstance(ast, dict) else ast
-    visit_list(root, -1, "_nodes", 0, "", (0, 0, 0))
+    visit_list(root, -1, "_nodes", 0, "", (0, 0, 0), (-1, "_nodes"))
 
 
 def _record_batch(rows: list) -> pa.RecordBatch:
@@ -205,10 +218,10 @@ def structure_counts(nodes: DataFrame) -> DataFrame:
     hidden = F.exists(outer, flat)
     is_control = F.col("tag").isin(*CONTROL)
     statement = ~hidden & (flat(own) | ~(is_control | F.col("tag").isin("DInfix", "DSubTree")))
-    count = lambda tag: F.count_if((F.col("tag") == tag) & ~in_cond)
+    of_tag = lambda tag: F.count_if((F.col("tag") == tag) & ~in_cond)
     return nodes.groupBy("pid").agg(
-        F.count_if(statement).alias("statements"), count("DLoop").alias("loops"),
-        count("DBranch").alias("branches"), count("DExcept").alias("excepts"),
+        F.count_if(statement).alias("statements"), of_tag("DLoop").alias("loops"),
+        of_tag("DBranch").alias("branches"), of_tag("DExcept").alias("excepts"),
     )
 
 

@@ -121,3 +121,47 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = within_size(calls(spark, sf_dir)).select("pid", *LINE_ORDER, line_nodes().alias("node"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*LINE_ORDER, "node"))), lambda s: s["node"]), ",")
     return lines.groupBy("pid").agg(F.concat(F.lit('{"node":"DSubTree","_nodes":['), body, F.lit("]}")).alias("ast"))
+
+
+# --- extracted (not yet lowered) trees ---------------------------------------------------
+#   N/O  v = static call(w), then a call chained on it        N/F  try {v = new …} catch (e) {}
+#   R/O  if (v.call(v.call())) {w declared} else {}           R/F  return static call
+#   A/O  while (v.call()) {v declared; v = v.call(literal)}   A/F  an assignment, then v declared
+
+def raw_line_nodes() -> Column:
+    v = F.concat(F.lit('"var_'), (F.col("l_suppkey") % 7).cast("string"), F.lit('"'))
+    w = F.concat(F.lit('"var_'), (F.col("l_partkey") % 7).cast("string"), F.lit('"'))
+    api, returns = F.concat(F.lit('"'), F.col("api"), F.lit('"')), F.concat(F.lit('"'), F.col("returns"), F.lit('"'))
+
+    def ref(name) -> Column:
+        return F.concat(F.lit('{"node":"DVarCall","_id":'), name if isinstance(name, Column) else F.lit(name), F.lit("}"))
+
+    def call(expr, ret, *args) -> Column:
+        listed = F.concat_ws(",", *args) if args else F.lit("")
+        return F.concat(F.lit('{"node":"DAPICall","_call":'), api, F.lit(',"expr_var_id":'), ref(expr), F.lit(',"fp_var_ids":['), listed,
+                        F.lit('],"ret_var_id":'), ret, F.lit(',"_throws":[],"_returns":'), returns, F.lit("}"))
+
+    def declare(tag: str, name) -> Column:
+        return F.concat(F.lit(f'{{"node":"{tag}","_id":'), name, F.lit(',"_returns":'), returns, F.lit("}"))
+
+    null, static, chain = F.lit("null"), '"system_package"', '"last_DAPICall"'
+    make = F.concat(F.lit('{"node":"DClsInit","_call":'), api, F.lit(',"fp_var_ids":[],"_var":'), v, F.lit(',"_returns":'), returns, F.lit("}"))
+    cases = {
+        ("N", "O"): F.concat(call(static, v, ref(w)), F.lit(","), call(chain, null)),
+        ("N", "F"): F.concat(F.lit('{"node":"DExcept","_try":['), make, F.lit('],"_catch":['), declare("DExceptionVar", F.lit('"local_e"')), F.lit("]}")),
+        ("R", "O"): F.concat(F.lit('{"node":"DBranch","_cond":['), call(v, null, call(v, null)), F.lit('],"_then":['), declare("DVarCall", w), F.lit('],"_else":[]}')),
+        ("R", "F"): F.concat(F.lit('{"node":"DReturnStmt","_stmt":['), call(static, null), F.lit("]}")),
+        ("A", "O"): F.concat(F.lit('{"node":"DLoop","_cond":['), call(v, null), F.lit('],"_body":['), declare("DVarCall", v), F.lit(","), call(v, v, ref("null")), F.lit("]}")),
+        ("A", "F"): F.concat(F.lit('{"node":"DAssign","_from":"a","_to":"b","_type":"int"},'), declare("DVarCall", v)),
+    }
+    out = None
+    for (flag, status), text in cases.items():
+        hit = (F.col("l_returnflag") == flag) & (F.col("l_linestatus") == status)
+        out = F.when(hit, text) if out is None else out.when(hit, text)
+    return out
+
+
+def raw_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = within_size(calls(spark, sf_dir)).select("pid", *LINE_ORDER, raw_line_nodes().alias("node"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*LINE_ORDER, "node"))), lambda s: s["node"]), ",")
+    return lines.groupBy("pid").agg(F.concat(F.lit('{"node":"DSubTree","_nodes":['), body, F.lit("]}")).alias("ast"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUBJECTS = ("corpus", "textual", "trees", "checks", "evaluation")
+SUBJECTS = ("corpus", "textual", "trees", "lowered", "checks", "evaluation")
 
 
 def load_all() -> None:
