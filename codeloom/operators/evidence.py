@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, functions as F
 
 from codeloom.functions.javatypes import api_name, keywords_of_call, types_of_call
@@ -23,14 +21,17 @@ def api_evidence(apis: DataFrame) -> DataFrame:
     )
 
 
-def first_places(calls: DataFrame, place: Sequence[str]) -> DataFrame:
-    """``pid, kind, token, place``: first place of each distinct token of a program."""
-    named = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("tokens")) for k in KINDS])
+MAX_PER_CALL = 1000  # tokens of one kind a single call can give; a place is pos * MAX_PER_CALL + index
+
+
+def first_places(calls: DataFrame) -> DataFrame:
+    """``pid, kind, token, place``: first place of each distinct token of a program (``pid, pos`` and the arrays)."""
+    named = F.array(*[F.struct(F.lit(k).alias("kind"), F.array_sort(k).alias("tokens")) for k in KINDS])
     long = (
-        calls.select("pid", *place, F.explode(named).alias("_e"))
-        .select("pid", *place, F.col("_e.kind").alias("kind"), F.posexplode("_e.tokens").alias("idx", "token"))
+        calls.select("pid", "pos", F.explode(named).alias("_e"))
+        .select("pid", "pos", F.col("_e.kind").alias("kind"), F.posexplode("_e.tokens").alias("idx", "token"))
     )
-    return long.groupBy("pid", "kind", "token").agg(F.min(F.struct(*place, "idx")).alias("place"))
+    return long.groupBy("pid", "kind", "token").agg(F.min(F.col("pos") * MAX_PER_CALL + F.col("idx")).alias("place"))
 
 
 def encoded_sets(places: DataFrame, vocab: DataFrame, width: int = 10) -> DataFrame:

@@ -25,15 +25,29 @@ def _text(value=None) -> Column:
     return F.lit(value).cast("string")
 
 
-def _emission(when: Column, at: Column, sub: int, tag, **fields: Column) -> Column:
-    """The row a node emits if ``when`` holds, else null."""
+def _emission(when: Column, at: Column, sub: int, tag, **fields: Column) -> tuple[Column, dict[str, Column]]:
+    """The row a node emits if ``when`` holds."""
     values = {
         "at": at, "sub": F.lit(sub), "tag": F.lit(tag) if isinstance(tag, str) else tag, "raw_id": F.lit(None).cast("int"),
         "call": _text(), "args": F.lit(None).cast("array<string>"), "var_id": _text(), "expr_id": _text(), "ret_id": _text(),
         "returns": _text(), "method": _text(), "op": _text(), "home": F.col("list_parent"), "home_slot": F.col("list_slot"),
     }
     values.update(fields)
-    return F.when(when, F.struct(*[c.alias(n) for n, c in values.items()]))
+    return when, values
+
+
+def _emit(nodes: DataFrame, emissions: list[tuple[Column, dict[str, Column]]]) -> DataFrame:
+    """All rows all nodes emit, in one pass: which emissions apply, then their fields."""
+    codes = F.array(*[F.when(when, F.lit(i)) for i, (when, _) in enumerate(emissions)])
+    chosen = nodes.withColumn("_code", F.explode(codes)).where("_code is not null")
+    columns = []
+    for name in emissions[0][1]:
+        chain = None
+        for i, (_, values) in enumerate(emissions):
+            hit = F.col("_code") == i
+            chain = F.when(hit, values[name]) if chain is None else chain.when(hit, values[name])
+        columns.append(chain.alias(name))
+    return chosen.select("pid", "iattrib", *columns)
 
 
 def with_simple_types(nodes: DataFrame) -> DataFrame:
@@ -98,12 +112,13 @@ def _control_scope() -> Column:
 
 def lower(nodes: DataFrame, apis: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(lowered node rows, rejected programs). ``apis``: ``api, id`` of known constructors."""
-    typed = with_operands(with_temporaries(with_simple_types(nodes.where(F.col("tag") != "DAssign"))))
+    # each stage is written once: later stages read it several times, a few columns at a time
+    named = persist_table(with_temporaries(with_simple_types(nodes.where(F.col("tag") != "DAssign"))), "named")
     # a wrapper has the type of its last statement
-    inner = typed.where(F.col("wrapped").isNotNull()).groupBy("pid", F.col("parent_id").alias("node_id")).agg(
+    inner = named.where(F.col("slot") == "_stmt").groupBy("pid", F.col("parent_id").alias("node_id")).agg(
         F.max_by("returns", "slot_pos").alias("wrapped_type"), F.max_by("tag", "slot_pos").alias("wrapped_tag")
     )
-    typed = persist_table(typed.join(inner, ["pid", "node_id"], "left"), "typed")
+    typed = persist_table(with_operands(named).join(inner, ["pid", "node_id"], "left"), "typed")
     statement = ~F.col("slot").isin(*ARGUMENT_SLOTS)
     tag = F.col("tag")
 
@@ -121,8 +136,7 @@ def lower(nodes: DataFrame, apis: DataFrame | None = None) -> tuple[DataFrame, D
         wants = (tag == "DVarCall") & ~is_primitive(F.col("returns")) & F.col("next_tag").isNotNull() & (F.col("next_tag") != "DClsInit")
         typed = typed.join(fits.select(F.col("type").alias("returns"), F.col("api").alias("_api")), "returns", "left")
         typed = typed.withColumn("fix", F.when(wants, F.col("_api")))
-    emitted = typed.select("pid", "iattrib", F.explode(F.array_compact(F.array(*_emissions()))).alias("e")).select("pid", "iattrib", "e.*")
-    return _assemble(emitted)
+    return _assemble(_emit(typed, _emissions()))
 
 
 def _with_followers(typed: DataFrame) -> DataFrame:
@@ -143,7 +157,7 @@ def _with_followers(typed: DataFrame) -> DataFrame:
     )
 
 
-def _emissions() -> list[Column]:
+def _emissions() -> list[tuple[Column, dict[str, Column]]]:
     tag, entered, left = F.col("tag"), F.col("seq_in"), F.col("seq_out")
     statement = ~F.col("slot").isin(*ARGUMENT_SLOTS)
     var_id, returns, ret, args = F.col("var_id"), F.col("returns"), F.col("ret"), F.col("args")
@@ -179,7 +193,7 @@ def _emissions() -> list[Column]:
         _emission(plain & statement, entered, 0, F.when(fix.isNotNull(), "DVarDeclCls").otherwise("DVarDecl"), var_id=var_id, returns=returns),
         _emission(plain & statement & fix.isNotNull(), entered, 1, "DClsInit", call=fix, args=F.transform(formal_types(fix), lambda _: F.lit("LITERAL")), var_id=var_id, returns=returns),
         # a body that sets no return type returns nothing
-        _emission(F.col("is_end") & ~F.col("sets_return"), F.lit(1 << 30), 0, "DReturnVar", returns=F.lit("void"), home=F.lit(-1), home_slot=F.lit("_nodes")),
+        _emission(F.col("is_end") & ~F.col("sets_return"), F.lit(1 << 28), 0, "DReturnVar", returns=F.lit("void"), home=F.lit(-1), home_slot=F.lit("_nodes")),
     ]
 
 
@@ -187,23 +201,22 @@ def _assemble(emitted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fold chains, mark constructed declarations, number the rows."""
     in_list = W.partitionBy("pid", "home", "home_slot").orderBy("at", "sub")
     chained = F.col("tag") == "chained"
-    linked = emitted.withColumn("chain", F.sum((~chained).cast("int")).over(in_list.rowsBetween(W.unboundedPreceding, 0)))
-    of_chain = ["pid", "home", "home_slot", "chain"]
-    call = F.struct("at", "sub", F.struct("call", "args", "returns").alias("c"))
-    folded = linked.groupBy(*of_chain).agg(
-        F.array_sort(F.collect_list(F.when(F.col("call").isNotNull(), call))).alias("_calls"),
-        F.max_by("tag", F.struct(-F.col("at"), -F.col("sub"))).alias("head"), F.bool_or(chained).alias("has_chain"),
-    )
-    rejected = folded.where(F.col("has_chain") & (F.col("head") != "DAPIInvoke")).select("pid").distinct()
-    heads = linked.where(~chained).join(folded.select(*of_chain, F.transform("_calls", lambda x: x["c"]).alias("calls")), of_chain)
+    # one shuffle on the program serves all windows below
+    linked = emitted.repartition("pid").withColumn("chain", F.sum((~chained).cast("int")).over(in_list.rowsBetween(W.unboundedPreceding, 0)))
+    whole_chain = W.partitionBy("pid", "home", "home_slot", "chain").orderBy("at", "sub").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    call = F.when(F.col("call").isNotNull(), F.struct("call", "args", "returns"))
+    folded = linked.withColumn("calls", F.collect_list(call).over(whole_chain)).withColumn("head", F.first("tag").over(whole_chain))
+    judged = folded.withColumn("bad", F.bool_or(chained & (F.col("head") != "DAPIInvoke")).over(W.partitionBy("pid")))
     # an earlier plain declaration of a variable constructed later in the same list is a class declaration
-    made_at = F.max(F.when(F.col("tag") == "DClsInit", F.struct("at", "sub"))).over(W.partitionBy("pid", "home", "home_slot", "var_id"))
-    tag = F.when((F.col("tag") == "DVarDecl") & (made_at > F.struct("at", "sub")), "DVarDeclCls").otherwise(F.col("tag"))
-    kept = heads.withColumn("tag", tag).join(rejected, "pid", "left_anti")
+    made_at = F.max(F.when(F.col("tag") == "DClsInit", F.col("at") * 4 + F.col("sub"))).over(W.partitionBy("pid", "home", "home_slot", "var_id"))
+    tag = F.when((F.col("tag") == "DVarDecl") & (made_at > F.col("at") * 4 + F.col("sub")), "DVarDeclCls").otherwise(F.col("tag"))
+    kept = judged.withColumn("tag", tag).where(~chained | F.col("bad"))
     numbered = kept.withColumn("node_id", F.row_number().over(W.partitionBy("pid").orderBy("at", "sub")) - 1)
-    numbered = numbered.withColumn("slot_pos", F.row_number().over(in_list) - 1)
-    owners = numbered.where("raw_id is not null").select("pid", F.col("raw_id").alias("home"), F.col("node_id").alias("_parent"))
-    out = numbered.join(owners, ["pid", "home"], "left").select(
+    numbered = persist_table(numbered.withColumn("slot_pos", F.row_number().over(in_list) - 1), "lowered")
+    rejected = numbered.where("bad").select("pid").distinct()
+    good = numbered.where("not bad")
+    owners = good.where("raw_id is not null").select("pid", F.col("raw_id").alias("home"), F.col("node_id").alias("_parent"))
+    out = good.join(owners, ["pid", "home"], "left").select(
         "pid", "node_id", F.coalesce("_parent", F.lit(-1)).alias("parent_id"), F.col("home_slot").alias("slot"), "slot_pos", "tag", "calls",
         "var_id", "expr_id", "ret_id", "returns", "op", "iattrib", "method",
     )

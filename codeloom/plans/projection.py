@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from codeloom.operators.ranking import positions
 from codeloom.session import table
 
 MAX_NODES = 64
@@ -69,6 +70,12 @@ def within_size(rows: DataFrame, cap: int = MAX_NODES, key: str = "pid") -> Data
     return rows.join(sizes, key, "left_semi")
 
 
+def call_positions(lines: DataFrame) -> DataFrame:
+    """``pos`` of each call in its program; lines of one huge order spread over buckets."""
+    bucket = F.struct("l_linenumber", F.floor(F.col("l_partkey") / 4096).alias("b"))
+    return positions(lines, line_order(), bucket, keys=["pid"])
+
+
 def line_order() -> list[Column]:
     return [F.col(c) for c in LINE_ORDER]
 

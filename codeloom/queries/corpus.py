@@ -22,6 +22,12 @@ def tokens(spark, sf_dir):
     return docs.select("doc_id", "lang", F.posexplode(tx.words(F.col("text"))).alias("pos", "token"))
 
 
+def distinct_tokens(spark, sf_dir):
+    """Each token once per document, in first-seen order."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", "lang", F.posexplode(F.array_distinct(tx.words(F.col("text")))).alias("pos", "token"))
+
+
 # --- duplicates (U2) -------------------------------------------------------------------
 
 @query("dedup_first", "select min(doc_id) as doc_id, md5(text) as text_md5 from documents group by text")
@@ -83,7 +89,7 @@ vocab as (select token, row_number() over (order by first) as id from
 
 @query("vocab_first_seen", f"with {VOCAB.format(where='')} select token, id from vocab")
 def vocab_first_seen(spark, sf_dir):
-    return vocab.build_vocab(tokens(spark, sf_dir), ["doc_id", "pos"])
+    return vocab.build_vocab(distinct_tokens(spark, sf_dir), "doc_id", "pos")
 
 
 @query("vocab_encode_oov", f"""with {VOCAB.format(where="where lang = 'en'")}
@@ -92,7 +98,7 @@ from tokens left join vocab using (token) where lang <> 'en' group by doc_id""")
 def vocab_encode_oov(spark, sf_dir):
     """Text in other languages encoded with the English vocabulary; unknown tokens get 0."""
     all_tokens = tokens(spark, sf_dir)
-    english = vocab.build_vocab(all_tokens.where(F.col("lang") == "en"), ["doc_id", "pos"])
+    english = vocab.build_vocab(distinct_tokens(spark, sf_dir).where(F.col("lang") == "en"), "doc_id", "pos")
     counted = all_tokens.where(F.col("lang") != "en").groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
     coded = vocab.encode(counted, english)
     return coded.groupBy("doc_id").agg(
@@ -108,7 +114,7 @@ where token in (select token from tokens where lang = 'en') group by doc_id""")
 def vocab_decode(spark, sf_dir):
     """Encode and decode give the in-vocabulary tokens back."""
     all_tokens = tokens(spark, sf_dir)
-    english = vocab.build_vocab(all_tokens.where(F.col("lang") == "en"), ["doc_id", "pos"])
+    english = vocab.build_vocab(distinct_tokens(spark, sf_dir).where(F.col("lang") == "en"), "doc_id", "pos")
     ids = vocab.encode(all_tokens.select("doc_id", "pos", "token"), english).select("doc_id", "pos", "id")
     back = vocab.decode(ids, english)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]), " ")
@@ -179,7 +185,7 @@ long as (select l_orderkey as pid, kind, token from (
 def evidence_places(spark, sf_dir):
     apis = evidence.api_evidence(pj.apis(spark, sf_dir)).select("p_partkey", *evidence.KINDS)
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pid"), *pj.LINE_ORDER)
-    return evidence.first_places(lines.join(apis, F.col("l_partkey") == F.col("p_partkey")), pj.LINE_ORDER)
+    return evidence.first_places(pj.call_positions(lines).join(apis, F.col("l_partkey") == F.col("p_partkey")))
 
 
 @query("evidence_sets", f"with {EVIDENCE_LONG} select distinct pid, kind, token from long")
@@ -199,12 +205,12 @@ def evidence_extra_infos(spark, sf_dir):
 
 
 @query("encode_evidence", f"""with {EVIDENCE},
-lines as (select l_orderkey as pid, {LINE_ORDER}, ev.* from lineitem join ev on l_partkey = p_partkey),
+lines as (select l_orderkey as pid, row_number() over (partition by l_orderkey order by {LINE_ORDER}) as pos, ev.* from lineitem join ev on l_partkey = p_partkey),
 -- elements of one call are ranked by their text, so the order does not hang on how a set is stored
-long as (select pid, {LINE_ORDER}, 'apicalls' as kind, unnest(apicalls) as token from lines
-  union all select pid, {LINE_ORDER}, 'types', unnest(types) from lines
-  union all select pid, {LINE_ORDER}, 'keywords', unnest(keywords) from lines),
-places as (select pid, kind, token, min(({LINE_ORDER})) as place from long group by all),
+long as (select pid, pos, 'apicalls' as kind, unnest(apicalls) as token from lines
+  union all select pid, pos, 'types', unnest(types) from lines
+  union all select pid, pos, 'keywords', unnest(keywords) from lines),
+places as (select pid, kind, token, min(pos) as place from long group by all),
 vocab as (select kind, token, row_number() over (partition by kind order by first, token) as id from
   (select kind, token, min((pid, place)) as first from places group by all)),
 ranked as (select pid, kind, token, id, row_number() over (partition by pid, kind order by place, token) as rank from places join vocab using (kind, token)),
@@ -214,9 +220,8 @@ select pid, """ + ", ".join(
     for k in evidence.KINDS) + " from arrays group by pid")
 def encode_evidence(spark, sf_dir):
     """Flagship: cap, gather evidence, number tokens first-seen, encode, cut and pad."""
-    long = evidence_places(spark, sf_dir)
-    places = long.select("pid", "kind", "token", F.struct(*[F.col(f"place.{c}").alias(c) for c in pj.LINE_ORDER]).alias("place"))
-    numbered = vocab.build_vocab(places, ["pid", "place"], keys=["kind"])
+    places = evidence_places(spark, sf_dir)
+    numbered = vocab.build_vocab(places, "pid", "place", keys=["kind"])
     coded = evidence.encoded_sets(places, numbered)
     return coded.select("pid", *[F.array_join(k, ",").alias(k) for k in evidence.KINDS])
 
