@@ -204,7 +204,7 @@ def evidence_extra_infos(spark, sf_dir):
     return lines.groupBy(F.col("l_orderkey").alias("pid"), word.alias("keyword")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("encode_evidence", f"""with {EVIDENCE},
+ORACLE_ENCODED = (f"""with {EVIDENCE},
 lines as (select l_orderkey as pid, row_number() over (partition by l_orderkey order by {LINE_ORDER}) as pos, ev.* from lineitem join ev on l_partkey = p_partkey),
 -- elements of one call are ranked by their text, so the order does not hang on how a set is stored
 long as (select pid, pos, 'apicalls' as kind, unnest(apicalls) as token from lines
@@ -218,6 +218,9 @@ arrays as (select pid, kind, list(id order by rank) filter (rank <= 10) as ids f
 select pid, """ + ", ".join(
     f"array_to_string(coalesce(any_value(list_resize(ids, 10, 0)) filter (kind = '{k}'), list_resize([]::bigint[], 10, 0)), ',') as {k}"
     for k in evidence.KINDS) + " from arrays group by pid")
+
+
+@query("encode_evidence", ORACLE_ENCODED)
 def encode_evidence(spark, sf_dir):
     """Flagship: cap, gather evidence, number tokens first-seen, encode, cut and pad."""
     places = evidence_places(spark, sf_dir)

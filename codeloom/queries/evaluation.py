@@ -112,6 +112,11 @@ def bleu_averages(spark, sf_dir):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
+def hour_bucket():
+    """Rises with ts."""
+    return F.substring(F.col("ts").cast("string"), 1, 13)
+
+
 # --- scored steps: events, category = type, position = place in the user's stream --------
 
 STEPS = """steps as (select event_type as category, user_id, event_id, ts, (props->>'$.k')::int % 2 as hit, cast(value as decimal(18,4)) as prob,
@@ -127,7 +132,7 @@ def steps(spark, sf_dir, with_pos=True):
     flat = events.select(*cols)
     if not with_pos:
         return flat
-    return ranking.positions(flat, [F.col("ts"), F.col("event_id")], F.date_trunc("hour", "ts"), keys=["user_id"])
+    return ranking.positions(flat, [F.col("ts"), F.col("event_id")], hour_bucket(), keys=["user_id"])
 
 
 @query("category_accuracy", f"""with {STEPS}, c as (select category, sum(hit) as hits, count(*) as n from steps group by category),
@@ -215,7 +220,7 @@ def beam_search(spark, sf_dir):
     from pyspark.sql import Window as W
 
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("pid"), F.col("event_type").alias("token"), "ts", "event_id")
-    placed = ranking.positions(events, [F.col("ts"), F.col("event_id")], F.date_trunc("hour", "ts"), keys=["pid"])
+    placed = ranking.positions(events, [F.col("ts"), F.col("event_id")], hour_bucket(), keys=["pid"])
     after = placed.select("pid", "token", (F.col("pos") - 1).alias("pos"))
     pairs = placed.select("pid", "pos", F.col("token").alias("last")).join(after, ["pid", "pos"]).groupBy("pid", "last", "token").agg(F.count(F.lit(1)).alias("c"))
     kinds = F.array(*[F.lit(k) for k in ("click", "error", "purchase", "signup", "view")])
