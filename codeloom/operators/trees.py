@@ -346,3 +346,29 @@ def unflatten(nodes: DataFrame, cap: int) -> DataFrame:
     fields = F.struct("node_id", "parent_id", "slot", "tag", "calls", "var_id", "expr_id", "ret_id", "returns")
     grouped = nodes.join(sizes, "pid", "left_semi").groupBy("pid").agg(F.collect_list(fields).alias("rows"))
     return grouped.mapInArrow(_build_batches, "pid bigint, ast string")
+
+
+def topdown_paths(nodes: DataFrame) -> DataFrame:
+    """``pid, path``: control tags from the outside to each call, and each control slot that is empty."""
+    labelled = node_labels(nodes)
+    tags = nodes.where(F.col("tag").isin(*CONTROL)).select("pid", F.col("node_id").alias("control"), F.col("tag").alias("control_tag"))
+
+    def with_controls(rows: DataFrame, end: str) -> DataFrame:
+        steps = rows.select("pid", "key", end, F.posexplode_outer(entered_controls(F.col("scope"))).alias("i", "e"))
+        named = steps.select("pid", "key", end, "i", F.col("e.control").alias("control")).join(tags, ["pid", "control"], "left")
+        ordered = F.array_sort(F.collect_list(F.when(F.col("control_tag").isNotNull(), F.struct("i", "control_tag"))))
+        chain = F.transform(ordered, lambda s: s["control_tag"])
+        return named.groupBy("pid", "key", end).agg(F.array_join(F.array_compact(F.concat(chain, F.array(end))), ">").alias("path"))
+
+    calls = labelled.where(F.col("tag") == "DAPIInvoke").select("pid", F.col("node_id").cast("string").alias("key"), "scope", "label")
+    filled = nodes.select("pid", F.col("parent_id").alias("owner"), F.col("slot").alias("in_slot")).distinct()
+    empty = child_lists(nodes).where("owner >= 0").join(filled, ["pid", "owner", "in_slot"], "left_anti")
+    bare = empty.select("pid", F.col("scope").alias("key"), "scope", F.lit(None).cast("string").alias("label"))
+    return with_controls(calls.unionByName(bare), "label").select("pid", "path")
+
+
+def edge_list(nodes: DataFrame) -> DataFrame:
+    """Labelled edges for drawing: dots in a label become line breaks."""
+    rows = productions(nodes)
+    broken = lambda c: F.replace(c, F.lit("."), F.lit("\n"))
+    return rows.select("pid", "node_id", broken(F.col("lhs")).alias("from_label"), broken(F.col("rhs")).alias("to_label"), F.col("edge").alias("label"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUBJECTS = ("corpus", "textual", "trees", "lowered", "checks", "evaluation", "storage")
+SUBJECTS = ("corpus", "textual", "trees", "lowered", "encoded", "checks", "evaluation", "storage")
 
 
 def load_all() -> None:
