@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -38,7 +37,8 @@ SLOT_LABELS = {
 NODE_SCHEMA = (
     "pid bigint, node_id int, parent_id int, prev_id int, slot string, slot_pos int, depth int, scope string, tag string, "
     "calls array<struct<call:string,args:array<string>,returns:string>>, var_id string, expr_id string, ret_id string, "
-    "returns string, op string, iattrib array<int>, attrs string, seq_in int, seq_out int, list_parent int, list_slot string"
+    "returns string, op string, iattrib array<int>, attrs string, seq_in int, seq_out int, "
+    "list_parent int, list_slot string, parent_tag string, slot_ends array<int>, list_end int"
 )
 _CALL = pa.struct([("call", pa.string()), ("args", pa.list_(pa.string())), ("returns", pa.string())])
 _ARROW = pa.schema([
@@ -47,7 +47,9 @@ _ARROW = pa.schema([
     ("calls", pa.list_(_CALL)), ("var_id", pa.string()), ("expr_id", pa.string()), ("ret_id", pa.string()),
     ("returns", pa.string()), ("op", pa.string()), ("iattrib", pa.list_(pa.int32())), ("attrs", pa.string()),
     ("seq_in", pa.int32()), ("seq_out", pa.int32()), ("list_parent", pa.int32()), ("list_slot", pa.string()),
+    ("parent_tag", pa.string()), ("slot_ends", pa.list_(pa.int32())), ("list_end", pa.int32()),
 ])
+FOREVER = 1 << 26  # later than any step of a walk
 LISTS = ("DSubTree", "DBranch", "DLoop", "DExcept", "DInfix")  # tags that own statement lists
 _ITERATOR = re.compile(r"java\.util\.Iterator<.*>\.(hasNext|next|remove)\(\)")
 BATCH_ROWS = 20_000
@@ -64,19 +66,25 @@ def _flags_after(flags: tuple, calls: list) -> tuple:
 def _walk(pid: int, ast: dict, out: list) -> None:
     """Preorder rows; iterator flags flow left to right and through branches as evaluated.
 
-    ``seq_in`` and ``seq_out`` number entering and leaving a node; ``list_parent`` and ``list_slot``
-    name the statement list a node belongs to, arguments to that of their statement.
+    ``seq_in`` and ``seq_out`` number entering and leaving a node, ``slot_ends`` the last step in each
+    of its lists, ``list_end`` the last step in the list it stands in. ``list_parent`` and
+    ``list_slot`` name the statement list a node belongs to, arguments to that of their statement.
     """
-    seq = count()
+    step = -1
 
-    def visit_list(nodes, parent, slot, depth, scope, flags, home):
-        prev = -1
+    def visit_list(nodes, parent, parent_tag, slot, depth, scope, flags, home):
+        prev, mine = -1, len(out)
         for pos, node in enumerate(nodes):
             if isinstance(node, dict):
-                flags, prev = visit(node, parent, prev, slot, pos, depth, scope, flags, home)
+                flags, prev = visit(node, parent, parent_tag, prev, slot, pos, depth, scope, flags, home)
+        for row in out[mine:]:
+            if row[2] == parent and row[4] == slot:
+                row[23] = step if parent >= 0 else FOREVER
         return flags
 
-    def visit(node, parent, prev, slot, pos, depth, scope, flags, home):
+    def visit(node, parent, parent_tag, prev, slot, pos, depth, scope, flags, home):
+        nonlocal step
+        step += 1
         get, tag, me = node.get, node["node"], len(out)
         stored = get("_calls") or ([node] if "_call" in node else ())
         calls = [
@@ -88,7 +96,7 @@ def _walk(pid: int, ast: dict, out: list) -> None:
             pid, me, parent, prev, slot, pos, depth, scope, tag, calls, get("_id", get("_var")),
             expr if isinstance(expr, str) else None, get("ret_var_id"), get("_returns"),
             op[0] if isinstance(op, list) else op, flags, get("int_meth_id", get("int_meth_name")),
-            next(seq), None, home[0], home[1],
+            step, None, home[0], home[1], parent_tag, [], None,
         ]
         out.append(row)
         names = SLOTS.get(tag, ())
@@ -98,7 +106,9 @@ def _walk(pid: int, ast: dict, out: list) -> None:
             value = get(name) or ()
             inner = f"{scope}/{me}.{name[1:]}" if tag in CONTROL else scope
             inside = (me, name) if tag in LISTS else home
-            return visit_list(value if isinstance(value, list) else (value,), me, name, depth + 1, inner, flags, inside)
+            flags = visit_list(value if isinstance(value, list) else (value,), me, tag, name, depth + 1, inner, flags, inside)
+            row[22].append(step)
+            return flags
 
         if tag == "DBranch":
             cond = enter("_cond", flags)
@@ -111,11 +121,12 @@ def _walk(pid: int, ast: dict, out: list) -> None:
             for name in names:
                 after = enter(name, after)
             after = flags if tag == "DLoop" else _flags_after(after, calls)
-        row[18] = next(seq)
+        step += 1
+        row[18] = step
         return after, me
 
     root = ast["_nodes"] if isinstance(ast, dict) else ast
-    visit_list(root, -1, "_nodes", 0, "", (0, 0, 0), (-1, "_nodes"))
+    visit_list(root, -1, None, "_nodes", 0, "", (0, 0, 0), (-1, "_nodes"))
 
 
 def _record_batch(rows: list) -> pa.RecordBatch:
@@ -181,27 +192,25 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     return nodes.select("pid", "node_id", F.explode(chain).alias("anc"))
 
 
-def longest_path_counts(nodes: DataFrame, tags: tuple[str, ...] = CONTROL) -> DataFrame:
-    """Nesting as the corpus rules count it: siblings in a row add up like nested nodes.
+def nesting(nodes: DataFrame, tags: tuple[str, ...] = CONTROL) -> DataFrame:
+    """``path_<tag>`` and ``nested_<tag>`` per program.
 
-    Per list a running count of each tag; a node's count is the sum over its own list and the
-    lists of the control nodes round it; the program's figure is the largest.
+    ``path``: nesting as the corpus rules count it, where siblings in a row add up like nested
+    nodes: a control node counts from where it stands to the end of its list. ``nested``: plain
+    nesting, where it counts while it is open. Both are the most that count at any one time.
+    The lists collected hold the control nodes of one program.
     """
-    in_list = W.partitionBy("pid", "parent_id", "slot").orderBy("slot_pos").rowsBetween(W.unboundedPreceding, 0)
-    running = nodes.select(
-        "pid", F.col("node_id").alias("anc"), *[F.sum((F.col("tag") == t).cast("int")).over(in_list).alias(f"n_{t}") for t in tags]
-    )
-    totals = ancestors(nodes).join(running, ["pid", "anc"]).groupBy("pid", "node_id").agg(
-        *[F.sum(f"n_{t}").alias(f"n_{t}") for t in tags]
-    )
-    return totals.groupBy("pid").agg(*[F.max(f"n_{t}").alias(f"path_{t}") for t in tags])
+    mark = F.when(F.col("tag").isin(*tags), F.struct("seq_in", "seq_out", "list_end", "tag"))
+    programs = nodes.groupBy("pid").agg(F.collect_list(mark).alias("marks"))
 
+    def most(tag: str, until: str) -> Column:
+        same = F.filter("marks", lambda m: m["tag"] == tag)
+        at_each = F.transform(same, lambda c: F.size(F.filter(same, lambda d: (d["seq_in"] <= c["seq_in"]) & (c["seq_in"] <= d[until]))))
+        return F.coalesce(F.array_max(at_each), F.lit(0))
 
-def natural_nesting(nodes: DataFrame, tags: tuple[str, ...] = CONTROL) -> DataFrame:
-    """Plain nesting depth: control nodes of the same tag round a node, itself included."""
-    tagged = nodes.select("pid", F.col("node_id").alias("anc"), *[(F.col("tag") == t).cast("int").alias(t) for t in tags])
-    per_node = ancestors(nodes).join(tagged, ["pid", "anc"]).groupBy("pid", "node_id").agg(*[F.sum(t).alias(t) for t in tags])
-    return per_node.groupBy("pid").agg(*[F.max(t).alias(f"nested_{t}") for t in tags])
+    return programs.select(
+        "pid", *[most(t, "list_end").alias(f"path_{t}") for t in tags], *[most(t, "seq_out").alias(f"nested_{t}") for t in tags]
+    )
 
 
 def structure_counts(nodes: DataFrame) -> DataFrame:
@@ -262,38 +271,37 @@ def root_leaf_paths(nodes: DataFrame, calls_only: bool = False) -> DataFrame:
     """``pid, path``: distinct labels from the root to the end of every child list.
 
     In child/sibling form a path runs through the earlier siblings of each enclosing node and
-    through the slots before the one entered.
+    through the slots before the one entered. So a node is on the paths that end between its own
+    step and the end of its list, a slot label on those until its control node is left; the path
+    to a list end is what holds at that moment. Times are steps times 20, leaving room for slots.
     """
     labelled = node_labels(nodes)
-    lists = child_lists(nodes)
-    # the node at which a path leaves each enclosing list; its own list is taken to the end
-    steps = lists.select("pid", "owner", "in_slot", F.explode(entered_controls(F.col("scope"))).alias("e")).select(
-        "pid", "owner", "in_slot", F.col("e.control").alias("node_id"), F.col("e.in_slot").alias("entered")
+    tag, is_control = F.col("tag"), F.col("tag").isin(*CONTROL)
+    slot_no = F.when(F.col("slot").isin("_then", "_body", "_catch", "_right"), 1).when(F.col("slot") == "_else", 2).otherwise(0)
+    after = lambda end, k: end * 20 + 2 * (k + 1)
+
+    def held(since, until, label) -> Column:
+        return F.struct(since.alias("since"), until.alias("until"), label.alias("label"))
+
+    own = F.array(F.when(F.col("label").isNotNull() & ~(is_control & F.lit(calls_only)), held(
+        F.col("seq_in") * 20, F.when(F.col("parent_id") < 0, F.lit(FOREVER * 20)).otherwise(after(F.col("list_end"), slot_no) + 1), F.col("label"))))
+    names = F.lit(None).cast("array<string>")
+    for control, pairs in SLOT_LABELS.items():
+        names = F.when(tag == control, F.array(*[F.lit(label) for _, label in pairs])).otherwise(names)
+    starts = F.concat(F.array("seq_in"), F.col("slot_ends"))
+    slots = F.transform(names, lambda name, k: held(after(F.get(starts, k), k), F.col("seq_out") * 20, name))
+    holds = own if calls_only else F.concat(own, F.coalesce(slots, F.slice(own, 1, 0)))
+    ends = F.when(is_control, F.transform("slot_ends", lambda end, k: after(end, k) + 1)).otherwise(F.array().cast("array<int>"))
+    programs = labelled.select("pid", F.array_compact(holds).alias("holds"), ends.alias("ends")).groupBy("pid").agg(
+        F.array_sort(F.flatten(F.collect_list("holds"))).alias("holds"), F.concat(F.flatten(F.collect_list("ends")), F.array(F.lit(FOREVER * 20))).alias("ends")
     )
-    places = labelled.select("pid", "node_id", "parent_id", "slot", "slot_pos", "tag")
-    turns = steps.join(places, ["pid", "node_id"]).select(
-        "pid", "owner", "in_slot", "parent_id", "slot", F.col("slot_pos").alias("upto"), "node_id", "tag", "entered"
-    )
-    ends = lists.select("pid", "owner", "in_slot", F.col("owner").alias("parent_id"), F.col("in_slot").alias("slot"), F.lit(1 << 30).alias("upto"))
-    spans = turns.select("pid", "owner", "in_slot", "parent_id", "slot", "upto").unionByName(ends)
-    on_path = spans.join(labelled.select("pid", "parent_id", "slot", "slot_pos", "node_id", "tag", "label"), ["pid", "parent_id", "slot"])
-    visible = on_path.where((F.col("slot_pos") <= F.col("upto")) & F.col("label").isNotNull())
-    if calls_only:
-        visible = visible.where(~F.col("tag").isin(*CONTROL))
-    pieces = visible.select("pid", "owner", "in_slot", F.col("node_id").alias("at"), F.lit(0).alias("phase"), "label")
-    if not calls_only:
-        slot_text = None
-        for tag, pairs in SLOT_LABELS.items():
-            for i, (slot, _) in enumerate(pairs):
-                text = ">".join(label for _, label in pairs[: i + 1])
-                hit = (F.col("tag") == tag) & (F.col("entered") == slot)
-                slot_text = F.when(hit, text) if slot_text is None else slot_text.when(hit, text)
-        pieces = pieces.unionByName(
-            turns.select("pid", "owner", "in_slot", F.col("node_id").alias("at"), F.lit(1).alias("phase"), slot_text.alias("label"))
-        )
-    ordered = F.array_sort(F.collect_list(F.struct("at", "phase", "label")))
-    paths = pieces.groupBy("pid", "owner", "in_slot").agg(F.array_join(F.transform(ordered, lambda s: s["label"]), ">").alias("path"))
-    return paths.select("pid", "path").distinct()
+
+    def path_at(t: Column) -> Column:
+        on_path = F.filter("holds", lambda h: (h["since"] <= t) & (t <= h["until"]))
+        return F.array_join(F.transform(on_path, lambda h: h["label"]), ">")
+
+    paths = F.array_distinct(F.transform("ends", path_at))
+    return programs.select("pid", F.explode(paths).alias("path")).where("path <> ''")
 
 
 def productions(nodes: DataFrame) -> DataFrame:

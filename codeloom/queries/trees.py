@@ -58,9 +58,7 @@ select pid, max(b + (flag = 'A' and status = 'F')::int) as path_branches, max(l)
   max((flag = 'R' or (flag = 'A' and status = 'F'))::int) as nested_branches, max((flag = 'A')::int) as nested_loops from pre group by pid""")
 def nest_caps(spark, sf_dir):
     """Nesting as the rules count it, and plain nesting beside it."""
-    rows = nodes(spark, sf_dir)
-    counted, plain = tr.longest_path_counts(rows), tr.natural_nesting(rows)
-    return counted.join(plain, "pid").select(
+    return tr.nesting(nodes(spark, sf_dir)).select(
         "pid", F.col("path_DBranch").alias("path_branches"), F.col("path_DLoop").alias("path_loops"), F.col("path_DExcept").alias("path_tries"),
         F.col("nested_DBranch").alias("nested_branches"), F.col("nested_DLoop").alias("nested_loops"),
     )
@@ -132,7 +130,7 @@ def tree_paths(spark, sf_dir):
 def call_paths(spark, sf_dir):
     """X5"""
     paths = tr.root_leaf_paths(nodes(spark, sf_dir), calls_only=True)
-    return paths.where(F.col("path") != "").select("pid", F.md5("path").alias("path_md5"))
+    return paths.select("pid", F.md5("path").alias("path_md5"))
 
 
 @query("tree_productions", f"""with {TREE},
