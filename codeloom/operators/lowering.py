@@ -1,6 +1,7 @@
 """From extracted statements to normal form.
 
-Each step is a projection, window or join over the node table. What a node turns into is a set
+One shuffle brings the nodes of a program together; every step after it is a projection or a
+window over the program, whose size the rules cap. What a node turns into is a set
 of emitted rows keyed by when the node is entered or left, so order falls out of a sort:
 arguments that are calls come before their statement as declaration and call on a temporary,
 declarations come before the call that needs them, chained calls fold into the call before.
@@ -12,9 +13,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from codeloom.functions.javatypes import formal_types, is_primitive, simplify_api, simplify_type
 from codeloom.operators.checks import constructors_for
-from codeloom.operators.scope import resolve
+from codeloom.operators.scope import sees
 from codeloom.operators.trees import LISTS
-from codeloom.session import persist_table
 
 ARGUMENT_SLOTS = ("expr_var_id", "fp_var_ids")
 CHAINED = "last_DAPICall"
@@ -66,32 +66,39 @@ def with_temporaries(nodes: DataFrame) -> DataFrame:
 
 
 def with_operands(nodes: DataFrame) -> DataFrame:
-    """Calls get ``args`` and ``expr`` as variable ids, and ``ret``: their own target or the one their wrapper sets."""
-    parts = nodes.where(F.col("slot").isin(*ARGUMENT_SLOTS)).select(
-        "pid", F.col("parent_id").alias("node_id"), "slot", "slot_pos", F.coalesce("temp", "var_id", F.lit("LITERAL")).alias("id"),
-        F.coalesce("temp", "var_id").alias("receiver"),
-    )
-    in_order = F.array_sort(F.collect_list(F.when(F.col("slot") == "fp_var_ids", F.struct("slot_pos", "id"))))
-    grouped = parts.groupBy("pid", "node_id").agg(
-        F.transform(in_order, lambda s: s["id"]).alias("args"), F.max(F.when(F.col("slot") == "expr_var_id", F.col("receiver"))).alias("expr")
-    )
-    wrappers = nodes.where(F.col("tag").isin("DReturnStmt", "DVarDeclExpr")).select(
-        "pid", F.col("node_id").alias("parent_id"), F.when(F.col("tag") == "DReturnStmt", RETURN_VAR).otherwise(F.col("temp")).alias("wrapped")
+    """Calls get ``args`` and ``expr`` as variable ids, and ``ret``: their own target or the one their wrapper sets.
+
+    A wrapper (return statement, declaring argument) has the type of its last statement.
+    """
+    is_argument = F.col("slot").isin(*ARGUMENT_SLOTS)
+    tag = F.col("tag")
+    operand = F.struct("slot_pos", F.col("parent_id").alias("of"), "slot", F.coalesce("temp", "var_id").alias("id"))
+    inner = F.struct("slot_pos", F.col("parent_id").alias("of"), "returns", "tag")
+    program = W.partitionBy("pid")
+    gathered = (
+        nodes.withColumn("_operands", F.collect_list(F.when(is_argument, operand)).over(program))
+        .withColumn("_inner", F.collect_list(F.when(F.col("slot") == "_stmt", inner)).over(program))
+        .withColumn("_temps", F.collect_list(F.when(F.col("temp").isNotNull(), F.struct("node_id", "temp"))).over(program))
+        .withColumn("_last", F.col("slot_pos") == F.max("slot_pos").over(W.partitionBy("pid", "parent_id", "slot")))
     )
-    last = W.partitionBy("pid", "parent_id", "slot")
-    is_last = F.col("slot_pos") == F.max("slot_pos").over(last)
-    joined = nodes.withColumn("_last", is_last).join(grouped, ["pid", "node_id"], "left").join(wrappers, ["pid", "parent_id"], "left")
-    own = F.coalesce(F.when(F.col("_last"), F.col("wrapped")), F.when(F.col("slot").isin(*ARGUMENT_SLOTS), F.col("temp")), F.col("ret_id"))
-    variable = F.coalesce(F.when(F.col("_last") & (F.col("tag") == "DClsInit"), F.col("wrapped")), F.col("var_id"))
+    mine = lambda slot: F.filter("_operands", lambda o: (o["of"] == F.col("node_id")) & (o["slot"] == slot))
+    of_parent = F.get(F.filter("_temps", lambda t: t["node_id"] == F.col("parent_id")), F.lit(0))["temp"]
+    wrapped = F.when(F.col("parent_tag") == "DReturnStmt", F.lit(RETURN_VAR)).when(F.col("parent_tag") == "DVarDeclExpr", of_parent)
+    last = F.array_max(F.filter("_inner", lambda i: i["of"] == F.col("node_id")))
+    sized = gathered.withColumn("wrapped", wrapped).withColumn("_w", last)
+    own = F.coalesce(F.when(F.col("_last"), F.col("wrapped")), F.when(is_argument, F.col("temp")), F.col("ret_id"))
+    variable = F.coalesce(F.when(F.col("_last") & (tag == "DClsInit"), F.col("wrapped")), F.col("var_id"))
     return (
-        joined.withColumn("args", F.coalesce("args", F.array().cast("array<string>")))
-        .withColumn("expr", F.coalesce("expr", "expr_id"))
-        .withColumn("ret", own).withColumn("var_id", variable).drop("_last")
+        sized.withColumn("args", F.transform(F.array_sort(mine("fp_var_ids")), lambda o: F.coalesce(o["id"], F.lit("LITERAL"))))
+        .withColumn("expr", F.coalesce(F.get(mine("expr_var_id"), F.lit(0))["id"], F.col("expr_id")))
+        .withColumn("ret", own).withColumn("var_id", variable)
+        .withColumn("wrapped_type", F.col("_w.returns")).withColumn("wrapped_tag", F.col("_w.tag"))
+        .drop("_operands", "_inner", "_temps", "_last", "_w")
     )
 
 
-def symbol_events(nodes: DataFrame) -> DataFrame:
-    """When the symbol table learns a variable, in the form :func:`resolve` takes.
+def with_seen_types(nodes: DataFrame) -> DataFrame:
+    """``seen_type``: the type the symbol table has for the target of a call or constructor.
 
     All slots of a control node share one table. A call that gets a declaration inserted does
     not enter it, so the next call into the same unknown variable declares again.
@@ -103,32 +110,23 @@ def symbol_events(nodes: DataFrame) -> DataFrame:
         .when(F.col("temp").isNotNull(), F.col("temp")).when(tag == "DReturnStmt", RETURN_VAR)
     )
     at = F.when(tag == "DClsInit", F.col("seq_out") * 2 + 1).otherwise(F.col("seq_in") * 2)
-    return nodes.select("pid", at.alias("node_id"), name.alias("var_id"), _control_scope().alias("scope"), tag.alias("tag"), F.coalesce("wrapped_type", "returns").alias("declared")).where("var_id is not null")
-
-
-def _control_scope() -> Column:
-    return F.regexp_replace("scope", r"\.[a-z]+", "")
+    event = F.struct(at.alias("at"), name.alias("name"), F.col("_scope").alias("scope"), F.coalesce("wrapped_type", "returns").alias("type"))
+    target = F.when(statement & (tag == "DAPICall"), F.col("ret")).when(statement & (tag == "DClsInit"), F.col("var_id"))
+    known = F.filter(
+        "_events", lambda e: (e["name"] == F.col("_target")) & (e["at"] < F.col("seq_out") * 2) & sees(e["scope"], F.col("_scope"))
+    )
+    return (
+        nodes.withColumn("_scope", F.regexp_replace("scope", r"\.[a-z]+", ""))
+        .withColumn("_events", F.collect_list(F.when(name.isNotNull(), event)).over(W.partitionBy("pid")))
+        .withColumn("_target", target).withColumn("seen_type", F.array_max(known)["type"]).drop("_scope", "_events", "_target")
+    )
 
 
 def lower(nodes: DataFrame, apis: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(lowered node rows, rejected programs). ``apis``: ``api, id`` of known constructors."""
-    # each stage is written once: later stages read it several times, a few columns at a time
-    named = persist_table(with_temporaries(with_simple_types(nodes.where(F.col("tag") != "DAssign"))), "named")
-    # a wrapper has the type of its last statement
-    inner = named.where(F.col("slot") == "_stmt").groupBy("pid", F.col("parent_id").alias("node_id")).agg(
-        F.max_by("returns", "slot_pos").alias("wrapped_type"), F.max_by("tag", "slot_pos").alias("wrapped_tag")
-    )
-    typed = persist_table(with_operands(named).join(inner, ["pid", "node_id"], "left"), "typed")
-    statement = ~F.col("slot").isin(*ARGUMENT_SLOTS)
     tag = F.col("tag")
-
-    probes = typed.where(statement & tag.isin("DAPICall", "DClsInit")).select(
-        "pid", (F.col("seq_out") * 2).alias("node_id"), F.lit(0).alias("use_no"),
-        F.when(tag == "DAPICall", F.col("ret")).otherwise(F.col("var_id")).alias("var_id"), _control_scope().alias("scope"),
-    ).where("var_id is not null")
-    known = resolve(probes, symbol_events(typed)).select("pid", (F.col("node_id") / 2).cast("int").alias("seq_out"), F.col("declared").alias("seen_type"))
-    typed = typed.join(known, ["pid", "seq_out"], "left")
-    typed = _with_followers(typed)
+    together = with_simple_types(nodes.where(tag != "DAssign")).repartition("pid")
+    typed = _with_followers(with_seen_types(with_operands(with_temporaries(together))))
     if apis is None:
         typed = typed.withColumn("fix", _text())
     else:
@@ -201,8 +199,7 @@ def _assemble(emitted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fold chains, mark constructed declarations, number the rows."""
     in_list = W.partitionBy("pid", "home", "home_slot").orderBy("at", "sub")
     chained = F.col("tag") == "chained"
-    # one shuffle on the program serves all windows below
-    linked = emitted.repartition("pid").withColumn("chain", F.sum((~chained).cast("int")).over(in_list.rowsBetween(W.unboundedPreceding, 0)))
+    linked = emitted.withColumn("chain", F.sum((~chained).cast("int")).over(in_list.rowsBetween(W.unboundedPreceding, 0)))
     whole_chain = W.partitionBy("pid", "home", "home_slot", "chain").orderBy("at", "sub").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     call = F.when(F.col("call").isNotNull(), F.struct("call", "args", "returns"))
     folded = linked.withColumn("calls", F.collect_list(call).over(whole_chain)).withColumn("head", F.first("tag").over(whole_chain))
@@ -212,12 +209,12 @@ def _assemble(emitted: DataFrame) -> tuple[DataFrame, DataFrame]:
     tag = F.when((F.col("tag") == "DVarDecl") & (made_at > F.col("at") * 4 + F.col("sub")), "DVarDeclCls").otherwise(F.col("tag"))
     kept = judged.withColumn("tag", tag).where(~chained | F.col("bad"))
     numbered = kept.withColumn("node_id", F.row_number().over(W.partitionBy("pid").orderBy("at", "sub")) - 1)
-    numbered = persist_table(numbered.withColumn("slot_pos", F.row_number().over(in_list) - 1), "lowered")
+    owner = F.collect_list(F.when(F.col("raw_id").isNotNull(), F.struct("raw_id", "node_id"))).over(W.partitionBy("pid"))
+    numbered = numbered.withColumn("slot_pos", F.row_number().over(in_list) - 1).withColumn("_owners", owner)
+    parent = F.get(F.filter("_owners", lambda o: o["raw_id"] == F.col("home")), F.lit(0))["node_id"]
     rejected = numbered.where("bad").select("pid").distinct()
-    good = numbered.where("not bad")
-    owners = good.where("raw_id is not null").select("pid", F.col("raw_id").alias("home"), F.col("node_id").alias("_parent"))
-    out = good.join(owners, ["pid", "home"], "left").select(
-        "pid", "node_id", F.coalesce("_parent", F.lit(-1)).alias("parent_id"), F.col("home_slot").alias("slot"), "slot_pos", "tag", "calls",
+    out = numbered.where("not bad").select(
+        "pid", "node_id", F.coalesce(parent, F.lit(-1)).alias("parent_id"), F.col("home_slot").alias("slot"), "slot_pos", "tag", "calls",
         "var_id", "expr_id", "ret_id", "returns", "op", "iattrib", "method",
     )
     return out, rejected

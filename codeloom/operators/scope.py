@@ -1,16 +1,15 @@
 """Variables in scope: which declaration a use sees.
 
-A declaration is seen by later nodes of its own scope and of the scopes inside it. Each use
-probes all its enclosing scopes, so the match is on equal (program, variable, scope) keys and a
-window over those few rows; uses never meet all declarations of the program.
+A declaration is seen by later nodes of its own scope and of the scopes inside it. The rules cap
+the size of a program, so its few declarations travel with each of its nodes (one shuffle on the
+program) and a use picks the latest it can see inside the row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from codeloom.functions.javatypes import expr_type, formal_types
-from codeloom.operators.trees import scope_prefixes
 
 BUILTIN = ("system_package", "LITERAL", "no_return_var")
 DECLARING = ("DVarDecl", "DVarDeclCls", "DExceptionVar", "DFieldCall")
@@ -22,40 +21,55 @@ def declarations(nodes: DataFrame) -> DataFrame:
     )
 
 
-def uses(nodes: DataFrame) -> DataFrame:
-    """``pid, node_id, use_no, role, var_id, usage, scope``: receivers, targets, arguments, returns."""
-    call = F.get("calls", F.lit(0))
+def _uses() -> Column:
+    """The variables a node uses: receiver, target, arguments, returned value."""
+    call, tag = F.get("calls", F.lit(0)), F.col("tag")
 
-    def use(role, var, usage):
+    def use(role: str, var: Column, usage: Column) -> Column:
         return F.struct(F.lit(role).alias("role"), var.alias("var_id"), usage.alias("usage"))
 
-    calls = nodes.where(F.size("calls") > 0).withColumn("formal", formal_types(call["call"]))
-    args = F.transform(call["args"], lambda a, i: use("arg", a, F.get(F.col("formal"), i)))
+    formal = formal_types(call["call"])
+    args = F.transform(call["args"], lambda a, i: use("arg", a, F.get(formal, i)))
+    owner = F.when(tag == "DAPIInvoke", use("expr", F.coalesce("expr_id", F.lit("system_package")), expr_type(call["call"])))
     target = use("ret", F.coalesce("ret_id", "var_id", F.lit("no_return_var")), F.col("returns"))
-    owner = F.when(F.col("tag") == "DAPIInvoke", use("expr", F.col("expr_id"), expr_type(call["call"])))
-    of_calls = calls.select("pid", "node_id", "scope", F.array_compact(F.concat(F.array(owner, target), args)).alias("u"))
-    returned = nodes.where(F.col("tag") == "DReturnVar").select(
-        "pid", "node_id", "scope", F.array(use("return", F.coalesce("var_id", F.lit("no_return_var")), F.col("returns"))).alias("u")
+    returned = use("return", F.coalesce("var_id", F.lit("no_return_var")), F.col("returns"))
+    return F.when(F.size("calls") > 0, F.array_compact(F.concat(F.array(owner, target), args))).when(
+        tag == "DReturnVar", F.array(returned)
     )
-    return of_calls.unionByName(returned).select("pid", "node_id", "scope", F.posexplode("u").alias("use_no", "x")).select(
+
+
+def uses(nodes: DataFrame) -> DataFrame:
+    """``pid, node_id, use_no, role, var_id, usage, scope``."""
+    return nodes.select("pid", "node_id", "scope", F.posexplode(_uses()).alias("use_no", "x")).select(
         "pid", "node_id", "use_no", "x.role", "x.var_id", "x.usage", "scope"
     )
 
 
-def resolve(used: DataFrame, declared: DataFrame) -> DataFrame:
+def sees(scope: Column, inner: Column) -> Column:
+    """``inner`` is the scope itself or lies inside it."""
+    return (scope == inner) | inner.startswith(F.concat(scope, F.lit("/")))
+
+
+def with_declarations(nodes: DataFrame, given: Column | None = None) -> DataFrame:
+    """``decls``: declarations of the program, those ``given`` from outside included."""
+    mark = F.when(F.col("tag").isin(*DECLARING), F.struct(F.col("node_id").alias("at"), "var_id", "scope", F.col("returns").alias("declared")))
+    own = F.collect_list(mark).over(W.partitionBy("pid"))
+    return nodes.withColumn("decls", own if given is None else F.concat(given, own))
+
+
+def resolve_uses(nodes: DataFrame, given: Column | None = None) -> DataFrame:
     """Uses with ``declared`` (type of the latest visible declaration) and ``found``."""
-    keys = ["pid", "node_id", "use_no"]
-    probes = used.select(*keys, "var_id", F.explode(scope_prefixes(F.col("scope"))).alias("scope"))
-    events = probes.select("pid", "var_id", "scope", F.col("node_id").alias("at"), F.lit(1).alias("kind"), "node_id", "use_no", F.lit(None).cast("string").alias("declared")).unionByName(
-        declared.select("pid", "var_id", "scope", F.col("node_id").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("node_id"),
-                        F.lit(None).cast("int").alias("use_no"), "declared")
-    )
-    so_far = W.partitionBy("pid", "var_id", "scope").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
-    seen = F.last(F.when(F.col("kind") == 0, F.struct("at", "declared")), ignorenulls=True).over(so_far)
-    hits = events.withColumn("seen", seen).where((F.col("kind") == 1) & F.col("seen").isNotNull())
-    latest = hits.groupBy(*keys).agg(F.max("seen").alias("seen"))
-    return used.join(latest, keys, "left").select(
-        *[F.col(c) for c in used.columns], F.col("seen.declared").alias("declared"), F.col("seen").isNotNull().alias("found")
+    def latest(use: Column) -> Column:
+        visible = F.filter(
+            "decls", lambda d: (d["var_id"] == use["var_id"]) & (d["at"] < F.col("node_id")) & sees(d["scope"], F.col("scope"))
+        )
+        return F.array_max(visible)
+
+    resolved = with_declarations(nodes, given).withColumn("u", _uses()).withColumn("seen", F.transform("u", latest))
+    rows = resolved.select("pid", "node_id", "scope", F.posexplode(F.arrays_zip("u", "seen")).alias("use_no", "x"))
+    return rows.select(
+        "pid", "node_id", "use_no", "x.u.role", "x.u.var_id", "x.u.usage", "scope", F.col("x.seen.declared").alias("declared"),
+        F.col("x.seen").isNotNull().alias("found"),
     )
 
 
@@ -63,13 +77,17 @@ def undeclared(resolved: DataFrame) -> DataFrame:
     return resolved.where(~F.col("found") & ~F.col("var_id").isin(*BUILTIN))
 
 
-def visible_counts(nodes: DataFrame, is_event, out: str) -> DataFrame:
-    """Per node, how many earlier nodes of the enclosing scopes satisfy ``is_event``."""
-    probes = nodes.select("pid", "node_id", F.explode(scope_prefixes(F.col("scope"))).alias("scope"), F.lit(0).alias("hit"), F.lit(True).alias("probe"))
-    events = nodes.where(is_event).select("pid", "node_id", "scope", F.lit(1).alias("hit"), F.lit(False).alias("probe"))
-    before = W.partitionBy("pid", "scope").orderBy("node_id").rangeBetween(W.unboundedPreceding, -1)
-    counted = probes.unionByName(events).withColumn("_n", F.sum("hit").over(before)).where("probe")
-    return counted.groupBy("pid", "node_id").agg(F.sum(F.coalesce("_n", F.lit(0))).alias(out))
+def visible_counts(nodes: DataFrame, **events: Column) -> DataFrame:
+    """Per node and event, how many earlier nodes of the enclosing scopes satisfy it."""
+    program = W.partitionBy("pid")
+    marked = nodes
+    for name, event in events.items():
+        marked = marked.withColumn(f"_{name}", F.collect_list(F.when(event, F.struct("node_id", "scope"))).over(program))
+
+    def earlier(name: str) -> Column:
+        return F.size(F.filter(f"_{name}", lambda e: (e["node_id"] < F.col("node_id")) & sees(e["scope"], F.col("scope")))).alias(name)
+
+    return marked.select("pid", "node_id", *[earlier(name) for name in events])
 
 
 def prune_unused(nodes: DataFrame, used: DataFrame) -> DataFrame:

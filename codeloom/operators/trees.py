@@ -162,12 +162,6 @@ def flatten(programs: DataFrame, ast: str = "ast") -> DataFrame:
     return well_formed(programs, ast).select(F.col("pid").cast("bigint"), ast).mapInArrow(_flatten_batches, NODE_SCHEMA)
 
 
-def scope_prefixes(scope: Column) -> Column:
-    """All enclosing scopes, the outermost (empty) first."""
-    parts = F.split(scope, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-
-
 def entered_controls(scope: Column) -> Column:
     """``(control node id, slot)`` of every enclosing control node."""
     parts = F.filter(F.split(scope, "/"), lambda p: p != "")

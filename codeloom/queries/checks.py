@@ -45,29 +45,33 @@ def all_declarations(nodes):
     return sc.declarations(nodes).unionByName(given)
 
 
-def resolved_uses(spark, sf_dir):
-    nodes = stored_nodes(spark, sf_dir)
-    declared = all_declarations(nodes)
-    return nodes, declared, sc.resolve(sc.uses(nodes), declared)
+def given_declarations():
+    return F.array(*[
+        F.struct(F.lit(-1).alias("at"), F.lit(p).alias("var_id"), F.lit("").alias("scope"), F.lit("int").alias("declared")) for p in PARAMETERS
+    ])
+
+
+def uses_of_programs(spark, sf_dir):
+    return sc.resolve_uses(tr.flatten(pj.programs(spark, sf_dir)), given_declarations())
 
 
 @query("undeclared_use", f"with {SCOPE} select pid, node_id, role, var_id from resolved where not found and var_id not in ('system_package', 'LITERAL', 'no_return_var')")
 def undeclared_use(spark, sf_dir):
     """J6"""
-    return sc.undeclared(resolved_uses(spark, sf_dir)[2]).select("pid", "node_id", "role", "var_id")
+    return sc.undeclared(uses_of_programs(spark, sf_dir)).select("pid", "node_id", "role", "var_id")
 
 
 @query("scope_check", f"with {SCOPE} select role, count(*) filter (found) as passed, count(*) filter (not found) as failed from resolved where starts_with(var_id, 'var_') group by role")
 def scope_check(spark, sf_dir):
     """By exact scope, not by a substring of the context."""
-    used = resolved_uses(spark, sf_dir)[2].where(F.col("var_id").startswith("var_"))
+    used = uses_of_programs(spark, sf_dir).where(F.col("var_id").startswith("var_"))
     return used.groupBy("role").agg(F.count_if("found").alias("passed"), F.count_if(~F.col("found")).alias("failed"))
 
 
 @query("declared_types", f"with {SCOPE} select pid, node_id, use_no, role, var_id, declared, usage from resolved where found")
 def declared_types(spark, sf_dir):
     """The latest visible declaration of each use."""
-    return resolved_uses(spark, sf_dir)[2].where("found").select("pid", "node_id", "use_no", "role", "var_id", "declared", "usage")
+    return uses_of_programs(spark, sf_dir).where("found").select("pid", "node_id", "use_no", "role", "var_id", "declared", "usage")
 
 
 @query("visible_declarations", f"""with {TREE}, e as (select pid, node_id, scope, tag in ('DVarDecl', 'DVarDeclCls', 'DExceptionVar') as is_decl, tag = 'DReturnVar' as is_ret from nodes)
@@ -75,17 +79,17 @@ select n.pid, n.node_id, count(*) filter (e.is_decl) as var_decl_id, coalesce(bo
 from nodes n left join e on e.pid = n.pid and e.node_id < n.node_id and (e.scope = n.scope or starts_with(n.scope, e.scope || '/')) group by n.pid, n.node_id""")
 def visible_declarations(spark, sf_dir):
     """W6, W7"""
-    nodes = stored_nodes(spark, sf_dir)
-    declared = sc.visible_counts(nodes, F.col("tag").isin(*sc.DECLARING), "var_decl_id")
-    returned = sc.visible_counts(nodes, F.col("tag") == "DReturnVar", "_r")
-    return declared.join(returned, ["pid", "node_id"]).select("pid", "node_id", "var_decl_id", (F.col("_r") > 0).alias("return_reached"))
+    counted = sc.visible_counts(
+        tr.flatten(pj.programs(spark, sf_dir)), var_decl_id=F.col("tag").isin(*sc.DECLARING), returns=F.col("tag") == "DReturnVar"
+    )
+    return counted.select("pid", "node_id", "var_decl_id", (F.col("returns") > 0).alias("return_reached"))
 
 
 @query("unused_decl", f"with {SCOPE} select distinct pid, var_id from decls d where not exists (select 1 from uses u where u.pid = d.pid and u.var_id = d.var_id)")
 def unused_decl(spark, sf_dir):
     """A12"""
-    nodes, declared, used = resolved_uses(spark, sf_dir)
-    return checks.unused_variables(declared, used)
+    nodes = stored_nodes(spark, sf_dir)
+    return checks.unused_variables(all_declarations(nodes), sc.uses(nodes))
 
 
 @query("pruned_declarations", f"""with {SCOPE} select pid, count(*) as n_nodes from nodes n
@@ -109,14 +113,14 @@ def object_init(spark, sf_dir):
 @query("learned_compat", f"with {SCOPE} select role, declared, usage from compat")
 def learned_compat(spark, sf_dir):
     """A7, learned from programs with an even id."""
-    used = resolved_uses(spark, sf_dir)[2]
+    used = uses_of_programs(spark, sf_dir)
     return checks.learn_compat(used.where(F.col("pid") % 2 == 0))
 
 
 @query("compat_violations", f"with {SCOPE} select pid, node_id, use_no, role, var_id from violations")
 def compat_violations(spark, sf_dir):
     """J5"""
-    used = resolved_uses(spark, sf_dir)[2]
+    used = persist_table(uses_of_programs(spark, sf_dir), "uses")
     compat = checks.learn_compat(used.where(F.col("pid") % 2 == 0))
     return checks.compat_violations(used, compat).select("pid", "node_id", "use_no", "role", "var_id")
 
@@ -133,8 +137,9 @@ outcomes as (select pid, statements, case """ + " ".join(
 
 
 def program_flags(spark, sf_dir):
-    nodes, declared, used = resolved_uses(spark, sf_dir)
-    used = persist_table(used, "uses")
+    nodes = stored_nodes(spark, sf_dir)
+    declared = all_declarations(nodes)
+    used = persist_table(sc.resolve_uses(nodes, given_declarations()), "uses")
     compat = checks.learn_compat(used.where(F.col("pid") % 2 == 0))
     kind = F.when(F.col("pid") % 3 == 0, "void").otherwise("int")
     types = nodes.select("pid").distinct().withColumn("return_type", kind)
@@ -169,7 +174,7 @@ select role, passed, blank, failed, round(passed / (passed + failed + 0.001::dou
   round((passed - blank) / (passed - blank + failed + 0.001::double) * 100, 6) as pct_effective from c""")
 def rates_with_blanks(spark, sf_dir):
     """A9"""
-    used = persist_table(resolved_uses(spark, sf_dir)[2], "uses")
+    used = persist_table(uses_of_programs(spark, sf_dir), "uses")
     wrong = checks.compat_violations(used, checks.learn_compat(used.where(F.col("pid") % 2 == 0)))
     out = checks.use_rates(used, wrong)
     return out.select("role", "passed", "blank", "failed", *[F.round(c, 6).alias(c) for c in ("pct", "pct_blank", "pct_effective")])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as tx
 from codeloom.operators import checks, ranking, vocab
 from codeloom.plans import projection as pj
-from codeloom.queries.checks import SCOPE, resolved_uses
+from codeloom.queries.checks import SCOPE, uses_of_programs
 from codeloom.queries.corpus import ORACLE_ENCODED, VOCAB, distinct_tokens, encode_evidence
 from codeloom.queries.registry import query
 from codeloom.queries.sqlparts import METHODS
@@ -84,7 +84,7 @@ def unbalanced_tokens(spark, sf_dir):
 def compat_store(spark, sf_dir):
     """S11"""
     path = new_folder(spark, "compat")
-    stores.write_compat(checks.learn_compat(resolved_uses(spark, sf_dir)[2].where(F.col("pid") % 2 == 0)), path)
+    stores.write_compat(checks.learn_compat(uses_of_programs(spark, sf_dir).where(F.col("pid") % 2 == 0)), path)
     return stores.read_compat(spark, path)
 
 
