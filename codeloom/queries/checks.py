@@ -75,7 +75,7 @@ def declared_types(spark, sf_dir):
 
 
 @query("visible_declarations", f"""with {TREE}, e as (select pid, node_id, scope, tag in ('DVarDecl', 'DVarDeclCls', 'DExceptionVar') as is_decl, tag = 'DReturnVar' as is_ret from nodes)
-select n.pid, n.node_id, count(*) filter (e.is_decl) as var_decl_id, coalesce(bool_or(e.is_ret), false) as return_reached
+select n.pid, n.node_id, (count(*) filter (e.is_decl))::int as var_decl_id, coalesce(bool_or(e.is_ret), false) as return_reached
 from nodes n left join e on e.pid = n.pid and e.node_id < n.node_id and (e.scope = n.scope or starts_with(n.scope, e.scope || '/')) group by n.pid, n.node_id""")
 def visible_declarations(spark, sf_dir):
     """W6, W7"""
@@ -183,7 +183,7 @@ def rates_with_blanks(spark, sf_dir):
 @query("rename_variables", f"""with {TREE}, f as (select pid, var_id, min(node_id) as node0 from nodes where tag in ('DVarDecl', 'DVarDeclCls', 'DExceptionVar') group by all),
 k as (select pid, var_id, row_number() over (partition by pid order by node0, var_id) - 1 as k from f),
 perm as (select pid, i, row_number() over (partition by pid order by md5('12:' || pid || ':' || i)) - 1 as place from (select distinct pid from k), (select unnest(range(0, 10)) as i))
-select k.pid, var_id, k, 'var_' || coalesce(i, k) as mapped from k left join perm on perm.pid = k.pid and place = k""")
+select k.pid, var_id, k::int as k, 'var_' || coalesce(i, k) as mapped from k left join perm on perm.pid = k.pid and place = k""")
 def rename_variables(spark, sf_dir):
     """J13"""
     nodes = tr.flatten(pj.programs(spark, sf_dir))

@@ -60,7 +60,7 @@ siblings as (select p.pid, r.pid as sibling_pid, r.method as sibling,
   from probes p join ring r using (file, ring) where r.method <> p.method)"""
 
 
-@query("sibling_sample", f"with {SIBLINGS} select pid, sibling_pid, sibling, id from siblings")
+@query("sibling_sample", f"with {SIBLINGS} select pid, sibling_pid, sibling, id::int as id from siblings")
 def sibling_sample(spark, sf_dir):
     return siblings.sample_siblings(pj.methods(spark, sf_dir))
 
@@ -93,7 +93,7 @@ def vocab_first_seen(spark, sf_dir):
 
 
 @query("vocab_encode_oov", f"""with {VOCAB.format(where="where lang = 'en'")}
-select doc_id, count(*) as n_tokens, count(*) filter (id is null) as n_unknown, sum(coalesce(id, 0)) as id_sum
+select doc_id, count(*) as n_tokens, count(*) filter (id is null) as n_unknown, sum(coalesce(id, 0))::bigint as id_sum
 from tokens left join vocab using (token) where lang <> 'en' group by doc_id""")
 def vocab_encode_oov(spark, sf_dir):
     """Text in other languages encoded with the English vocabulary; unknown tokens get 0."""
@@ -252,7 +252,7 @@ def batches_window(spark, sf_dir):
     return rows.where(F.col("batch_id") >= 2).select("o_orderkey", "batch_id")
 
 
-@query("chunks_ntile", "select o_orderkey, ntile(32) over (order by o_orderkey) - 1 as chunk from orders")
+@query("chunks_ntile", "select o_orderkey, (ntile(32) over (order by o_orderkey) - 1)::int as chunk from orders")
 def chunks_ntile(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
     return ranking.equal_chunks(orders, 32, "o_orderkey", F.floor(F.col("o_orderkey") / 1024))

@@ -72,7 +72,7 @@ def mean_best(spark, sf_dir):
     return similarity.mean_best(best(spark, sf_dir)).select(*[F.round(m, 6).alias(m) for m in similarity.METRICS])
 
 
-@query("similarity_by_length", f"with {BEAMS} select n_items, count(*) as n, round(sum(sim_set), 6) as total, round(avg(sim_set), 6) as mean from best group by n_items")
+@query("similarity_by_length", f"with {BEAMS} select n_items::int as n_items, count(*) as n, round(sum(sim_set), 6) as total, round(avg(sim_set), 6) as mean from best group by n_items")
 def similarity_by_length(spark, sf_dir):
     """A17"""
     out = similarity.by_length(best(spark, sf_dir), "n_items")
@@ -184,7 +184,7 @@ def access_counts(spark, sf_dir):
    round((ln(value / 1000 + 0.01) + -0.5 * power(hour(ts) + 1, 0.7)) / power(hour(ts) + 2, 0.7), 9) as score from events where value >= 0),
  m as (select *, case when event_type in ('click', 'view') then score else -1e300 end as sc from s),
  r as (select pid, event_id, score, row_number() over (partition by pid order by sc desc, event_id) as rank, sc from m)
-select pid, rank, event_id, score from r where rank <= 5 and sc > -1e300""")
+select pid, rank::int as rank, event_id, score from r where rank <= 5 and sc > -1e300""")
 def beam_topk(spark, sf_dir):
     """Normalised scores, disallowed tokens at -inf, best k per program."""
     events = table(spark, sf_dir, "events").where("value >= 0")
@@ -211,7 +211,7 @@ b0 as (select user_id as pid, arg_min(event_type, (ts, event_id)) as last, arg_m
 g{i} as (select pid, token as last, seq || '>' || token as seq, round((ln_prob + logp * power(length, 0.7)) / power(length + 1, 0.7), 9) as logp, length + 1 as length, token <> '{STOP}' as rolling
   from b{i - 1} join steps using (pid, last) where rolling union all select pid, last, seq, logp, length, rolling from b{i - 1} where not rolling),
 b{i} as (select pid, last, seq, logp, length, rolling from (select *, row_number() over (partition by pid order by logp desc, seq) as r from g{i}) where r <= {WIDTH})"""
-    return sql + f" select pid, seq, round(logp, 6) as logp, length, row_number() over (partition by pid order by logp desc, seq) as rank from b{ROUNDS}"
+    return sql + f" select pid, seq, round(logp, 6) as logp, length, (row_number() over (partition by pid order by logp desc, seq))::int as rank from b{ROUNDS}"
 
 
 @query("beam_search", _beam_sql())
@@ -360,7 +360,7 @@ def precision_fusion(spark, sf_dir):
 
 @query("evidence_mask", """with e as (select vec_id, generate_subscripts(embedding, 1) - 1 as i, unnest(embedding)::double as x from embeddings),
 k as (select vec_id, x, (('0x' || substr(md5('12:' || vec_id || ':' || i), 1, 8))::bigint / 4294967296.0) > 0.3 as keep from e)
-select vec_id, count(*) filter (keep and x <> 0) as kept, round(sum(case when keep then x else 0 end), 5) as total from k group by vec_id""")
+select vec_id, (count(*) filter (keep and x <> 0))::int as kept, round(sum(case when keep then x else 0 end), 5) as total from k group by vec_id""")
 def evidence_mask(spark, sf_dir):
     """F35, F36"""
     masked = vectors(spark, sf_dir).select("id", sc.drop_masked(F.col("vector"), 12, F.col("id"), 0.3).alias("m"))

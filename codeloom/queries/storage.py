@@ -16,7 +16,7 @@ from codeloom.sources import programs as src, stores
 from codeloom.streaming import ingest
 
 
-@query("json_chunks", f"with {METHODS} select ntile(32) over (order by pid) - 1 as chunk, pid, file, method from methods")
+@query("json_chunks", f"with {METHODS} select (ntile(32) over (order by pid) - 1)::int as chunk, pid, file, method from methods")
 def json_chunks(spark, sf_dir):
     """Chunked JSON, gathered again."""
     path = new_folder(spark, "chunks")
@@ -25,7 +25,7 @@ def json_chunks(spark, sf_dir):
     return src.gather_chunks(spark, path, "pid bigint, file bigint, method string")
 
 
-@query("corpus_size", "select chunk, count(*) as size from (select ntile(32) over (order by o_orderkey) - 1 as chunk from orders) group by chunk")
+@query("corpus_size", "select chunk, count(*) as size from (select (ntile(32) over (order by o_orderkey) - 1)::int as chunk from orders) group by chunk")
 def corpus_size(spark, sf_dir):
     """A31"""
     return json_chunks(spark, sf_dir).groupBy("chunk").agg(F.count(F.lit(1)).alias("size"))
@@ -119,7 +119,7 @@ def line_counts(spark, sf_dir):
     return per_file.groupBy(lang.alias("lang")).agg(F.sum("lines").alias("lines"))
 
 
-@query("parallel_corpus", """with r as (select doc_id, (row_number() over (order by doc_id) - 1) // 200 as chunk, len(string_split(lang, ',')) as c from documents)
+@query("parallel_corpus", """with r as (select doc_id, ((row_number() over (order by doc_id) - 1) // 200)::int as chunk, len(string_split(lang, ',')) as c from documents)
 select chunk, count(*) as bodies, count(*) as contexts from r group by chunk""")
 def parallel_corpus(spark, sf_dir):
     """Body and context lines of each chunk."""

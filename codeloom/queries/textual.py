@@ -24,7 +24,7 @@ def name_words_sql(expr: str) -> str:
     return NAME_WORDS.replace("{0}", expr).replace("{stops}", stop_word_list())
 
 
-@query("camel_split", f"""select doc_id, len(string_split({camel('text')}, '#')) as parts, md5({camel('text')}) as marked_md5 from documents""")
+@query("camel_split", f"""select doc_id, len(string_split({camel('text')}, '#'))::int as parts, md5({camel('text')}) as marked_md5 from documents""")
 def camel_split(spark, sf_dir):
     """F1"""
     docs = table(spark, sf_dir, "documents")
@@ -32,7 +32,7 @@ def camel_split(spark, sf_dir):
     return docs.select("doc_id", F.size(parts).alias("parts"), F.md5(F.array_join(parts, "#")).alias("marked_md5"))
 
 
-@query("name_words", f"""select doc_id, len(w) as n_words, md5(array_to_string(w, ' ')) as words_md5
+@query("name_words", f"""select doc_id, len(w)::int as n_words, md5(array_to_string(w, ' ')) as words_md5
 from (select doc_id, {name_words_sql('text')} as w from documents)""")
 def name_words(spark, sf_dir):
     """F19, F2 on whole texts."""
@@ -71,7 +71,7 @@ HEADER = r"""(case when regexp_matches({0}, '\{.*\}', 's') then regexp_replace({
 
 
 @query("strip_and_header", f"""with s as (select page_id, {STRIP.replace('{0}', 'html')} as plain from pages)
-select page_id, md5(plain) as plain_md5, md5({HEADER.replace('{0}', 'plain')}) as header_md5, length({HEADER.replace('{0}', 'plain')}) as header_len from s""")
+select page_id, md5(plain) as plain_md5, md5({HEADER.replace('{0}', 'plain')}) as header_md5, length({HEADER.replace('{0}', 'plain')})::int as header_len from s""")
 def strip_and_header(spark, sf_dir):
     """F14, F15 on raw pages, whose scripts and styles have comments and braces."""
     pages = table(spark, sf_dir, "pages")
@@ -88,7 +88,7 @@ for _a, _b in (("= =", "=="), ("& &", "&&"), ("| |", "||"), ("< =", "<="), ("> =
 TOKENS_SQL = f"regexp_extract_all({SPACED}, '{tx.TOKEN}', 0)"
 
 
-@query("code_tokens", f"""select page_id, len(t) as n_tokens, md5(array_to_string(t, ' ')) as tokens_md5
+@query("code_tokens", f"""select page_id, len(t)::int as n_tokens, md5(array_to_string(t, ' ')) as tokens_md5
 from (select page_id, {TOKENS_SQL.replace('{0}', 'html')} as t from pages)""")
 def code_tokens(spark, sf_dir):
     """F17"""
@@ -98,7 +98,7 @@ def code_tokens(spark, sf_dir):
 
 @query("prune_comments", r"""select page_id, md5(regexp_replace(array_to_string(list_filter(regexp_split_to_array(html, '\r\n|\r|\n'), lambda l: not starts_with(l, '//')), chr(10)),
   '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')) as code_md5,
-  len(string_split(html, chr(10))) as n_lines, md5('// ' || array_to_string(string_split(html, chr(10)), chr(10) || '// ') || chr(10)) as block_md5 from pages""")
+  len(string_split(html, chr(10)))::int as n_lines, md5('// ' || array_to_string(string_split(html, chr(10)), chr(10) || '// ') || chr(10)) as block_md5 from pages""")
 def prune_comments(spark, sf_dir):
     """F28, F34"""
     html = F.col("html")

@@ -54,7 +54,7 @@ def size_rule(spark, sf_dir):
 @query("nest_caps", f"""with {TREE},
 pre as (select pid, ln, flag, status, sum((flag = 'R')::int) over w as b, sum((flag = 'A')::int) over w as l, sum((flag = 'N' and status = 'F')::int) over w as e
   from lines window w as (partition by pid order by ln rows unbounded preceding))
-select pid, max(b + (flag = 'A' and status = 'F')::int) as path_branches, max(l) as path_loops, max(e) as path_tries,
+select pid, max(b + (flag = 'A' and status = 'F')::int)::int as path_branches, max(l)::int as path_loops, max(e)::int as path_tries,
   max((flag = 'R' or (flag = 'A' and status = 'F'))::int) as nested_branches, max((flag = 'A')::int) as nested_loops from pre group by pid""")
 def nest_caps(spark, sf_dir):
     """Nesting as the rules count it, and plain nesting beside it."""
