@@ -21,6 +21,11 @@ CHAINED = "last_DAPICall"
 RETURN_VAR = "my_return_var"
 
 
+def _program():
+    """The whole program, in the one order all steps over it share (so it is sorted once)."""
+    return W.partitionBy("pid").orderBy("seq_in").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+
+
 def _text(value=None) -> Column:
     return F.lit(value).cast("string")
 
@@ -74,18 +79,18 @@ def with_operands(nodes: DataFrame) -> DataFrame:
     tag = F.col("tag")
     operand = F.struct("slot_pos", F.col("parent_id").alias("of"), "slot", F.coalesce("temp", "var_id").alias("id"))
     inner = F.struct("slot_pos", F.col("parent_id").alias("of"), "returns", "tag")
-    program = W.partitionBy("pid")
+    program = _program()
     gathered = (
         nodes.withColumn("_operands", F.collect_list(F.when(is_argument, operand)).over(program))
         .withColumn("_inner", F.collect_list(F.when(F.col("slot") == "_stmt", inner)).over(program))
         .withColumn("_temps", F.collect_list(F.when(F.col("temp").isNotNull(), F.struct("node_id", "temp"))).over(program))
-        .withColumn("_last", F.col("slot_pos") == F.max("slot_pos").over(W.partitionBy("pid", "parent_id", "slot")))
     )
     mine = lambda slot: F.filter("_operands", lambda o: (o["of"] == F.col("node_id")) & (o["slot"] == slot))
     of_parent = F.get(F.filter("_temps", lambda t: t["node_id"] == F.col("parent_id")), F.lit(0))["temp"]
     wrapped = F.when(F.col("parent_tag") == "DReturnStmt", F.lit(RETURN_VAR)).when(F.col("parent_tag") == "DVarDeclExpr", of_parent)
     last = F.array_max(F.filter("_inner", lambda i: i["of"] == F.col("node_id")))
-    sized = gathered.withColumn("wrapped", wrapped).withColumn("_w", last)
+    last_beside = F.array_max(F.filter("_inner", lambda i: i["of"] == F.col("parent_id")))["slot_pos"]
+    sized = gathered.withColumn("wrapped", wrapped).withColumn("_w", last).withColumn("_last", F.col("slot_pos") == last_beside)
     own = F.coalesce(F.when(F.col("_last"), F.col("wrapped")), F.when(is_argument, F.col("temp")), F.col("ret_id"))
     variable = F.coalesce(F.when(F.col("_last") & (tag == "DClsInit"), F.col("wrapped")), F.col("var_id"))
     return (
@@ -117,7 +122,7 @@ def with_seen_types(nodes: DataFrame) -> DataFrame:
     )
     return (
         nodes.withColumn("_scope", F.regexp_replace("scope", r"\.[a-z]+", ""))
-        .withColumn("_events", F.collect_list(F.when(name.isNotNull(), event)).over(W.partitionBy("pid")))
+        .withColumn("_events", F.collect_list(F.when(name.isNotNull(), event)).over(_program()))
         .withColumn("_target", target).withColumn("seen_type", F.array_max(known)["type"]).drop("_scope", "_events", "_target")
     )
 
@@ -146,12 +151,11 @@ def _with_followers(typed: DataFrame) -> DataFrame:
     sets = (F.col("scope") == "") & (
         (tag == "DReturnVar") & F.col("returns").isNotNull() | (tag == "DReturnStmt") & F.col("wrapped_type").isNotNull()
     )
-    program = W.partitionBy("pid")
     return (
         typed.withColumn("_top", top)
+        .withColumn("sets_return", F.bool_or(sets).over(_program()))
+        .withColumn("is_end", F.col("seq_out") == F.max("seq_out").over(_program()))
         .withColumn("next_tag", F.lead("tag").over(in_list)).withColumn("next_expr", F.lead("expr").over(in_list))
-        .withColumn("sets_return", F.bool_or(sets).over(program))
-        .withColumn("is_end", F.col("seq_out") == F.max("seq_out").over(program))
     )
 
 
@@ -196,25 +200,42 @@ def _emissions() -> list[tuple[Column, dict[str, Column]]]:
 
 
 def _assemble(emitted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Fold chains, mark constructed declarations, number the rows."""
-    in_list = W.partitionBy("pid", "home", "home_slot").orderBy("at", "sub")
+    """Fold chains, mark constructed declarations, number the rows.
+
+    Two orders serve everything: rows within their statement list, then rows within the program.
+    """
     chained = F.col("tag") == "chained"
-    linked = emitted.withColumn("chain", F.sum((~chained).cast("int")).over(in_list.rowsBetween(W.unboundedPreceding, 0)))
-    whole_chain = W.partitionBy("pid", "home", "home_slot", "chain").orderBy("at", "sub").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    call = F.when(F.col("call").isNotNull(), F.struct("call", "args", "returns"))
-    folded = linked.withColumn("calls", F.collect_list(call).over(whole_chain)).withColumn("head", F.first("tag").over(whole_chain))
-    judged = folded.withColumn("bad", F.bool_or(chained & (F.col("head") != "DAPIInvoke")).over(W.partitionBy("pid")))
+    in_list = W.partitionBy("pid", "home", "home_slot").orderBy("at", "sub")
+    so_far = in_list.rowsBetween(W.unboundedPreceding, 0)
+    whole = in_list.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    own_call = F.struct("call", "args", "returns")
+    place = F.col("at") * 4 + F.col("sub")
+    listed = emitted.withColumn("chain", F.sum((~chained).cast("int")).over(so_far)).withColumn(
+        "head", F.last(F.when(~chained, F.col("tag")), ignorenulls=True).over(so_far)
+    )
+    links = F.collect_list(F.when(chained, F.struct("chain", own_call.alias("c")))).over(whole)
+    made = F.collect_list(F.when(F.col("tag") == "DClsInit", F.struct("var_id", place.alias("at")))).over(whole)
+    listed = listed.withColumn("_links", links).withColumn("_made", made)
+    followers = F.transform(F.filter("_links", lambda x: x["chain"] == F.col("chain")), lambda x: x["c"])
     # an earlier plain declaration of a variable constructed later in the same list is a class declaration
-    made_at = F.max(F.when(F.col("tag") == "DClsInit", F.col("at") * 4 + F.col("sub"))).over(W.partitionBy("pid", "home", "home_slot", "var_id"))
-    tag = F.when((F.col("tag") == "DVarDecl") & (made_at > F.col("at") * 4 + F.col("sub")), "DVarDeclCls").otherwise(F.col("tag"))
-    kept = judged.withColumn("tag", tag).where(~chained | F.col("bad"))
-    numbered = kept.withColumn("node_id", F.row_number().over(W.partitionBy("pid").orderBy("at", "sub")) - 1)
-    owner = F.collect_list(F.when(F.col("raw_id").isNotNull(), F.struct("raw_id", "node_id"))).over(W.partitionBy("pid"))
-    numbered = numbered.withColumn("slot_pos", F.row_number().over(in_list) - 1).withColumn("_owners", owner)
+    constructed = F.exists("_made", lambda m: (m["var_id"] == F.col("var_id")) & (m["at"] > place))
+    folded = listed.select(
+        "pid", "home", "home_slot", "at", "sub", "raw_id", "var_id", "expr_id", "ret_id", "returns", "op", "iattrib", "method",
+        F.when((F.col("tag") == "DVarDecl") & constructed, "DVarDeclCls").otherwise(F.col("tag")).alias("tag"),
+        F.when(F.col("call").isNotNull(), F.concat(F.array(own_call), followers)).otherwise(F.slice(F.array(own_call), 1, 0)).alias("calls"),
+        (F.col("chain") - 1).alias("slot_pos"), chained.alias("is_link"),
+        (chained & (F.coalesce("head", F.lit("")) != "DAPIInvoke")).alias("is_bad"),
+    )
+    in_program = W.partitionBy("pid").orderBy("at", "sub")
+    before = in_program.rowsBetween(W.unboundedPreceding, 0)
+    program = in_program.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    numbered = folded.withColumn("node_id", F.sum((~F.col("is_link")).cast("int")).over(before).cast("int") - 1)
+    owner = F.collect_list(F.when(F.col("raw_id").isNotNull(), F.struct("raw_id", "node_id"))).over(program)
+    numbered = numbered.withColumn("_owners", owner).withColumn("bad", F.bool_or("is_bad").over(program))
     parent = F.get(F.filter("_owners", lambda o: o["raw_id"] == F.col("home")), F.lit(0))["node_id"]
     rejected = numbered.where("bad").select("pid").distinct()
-    out = numbered.where("not bad").select(
-        "pid", "node_id", F.coalesce(parent, F.lit(-1)).alias("parent_id"), F.col("home_slot").alias("slot"), "slot_pos", "tag", "calls",
-        "var_id", "expr_id", "ret_id", "returns", "op", "iattrib", "method",
+    out = numbered.where("not bad and not is_link").select(
+        "pid", "node_id", F.coalesce(parent, F.lit(-1)).alias("parent_id"), F.col("home_slot").alias("slot"), F.col("slot_pos").cast("int").alias("slot_pos"),
+        "tag", "calls", "var_id", "expr_id", "ret_id", "returns", "op", "iattrib", "method",
     )
     return out, rejected
