@@ -44,7 +44,7 @@ def _emission(when: Column, at: Column, sub: int, tag, **fields: Column) -> tupl
 def _emit(nodes: DataFrame, emissions: list[tuple[Column, dict[str, Column]]]) -> DataFrame:
     """All rows all nodes emit, in one pass: which emissions apply, then their fields."""
     codes = F.array(*[F.when(when, F.lit(i)) for i, (when, _) in enumerate(emissions)])
-    chosen = nodes.withColumn("_code", F.explode(codes)).where("_code is not null")
+    chosen = nodes.withColumn("_code", F.explode(F.array_compact(codes)))
     columns = []
     for name in emissions[0][1]:
         chain = None

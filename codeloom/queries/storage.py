@@ -53,8 +53,10 @@ def program_filters(spark, sf_dir):
         F.lit("void").alias("inferred_return"), F.array().cast("array<string>").alias("formalParam"),
     )
     kept = src.has_ast(src.manipulated(records))
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return count(kept, "n_ast").join(count(src.has_body(kept), "n_body")).join(count(src.marked(kept, "the"), "n_marked"))
+    found = kept.select(F.lit("ast").alias("rule")).unionByName(src.has_body(kept).select(F.lit("body").alias("rule"))).unionByName(
+        src.marked(kept, "the").select(F.lit("marked").alias("rule"))
+    )
+    return found.agg(*[F.count_if(F.col("rule") == r).alias(f"n_{r}") for r in ("ast", "body", "marked")])
 
 
 @query("path_names", "select page_id, 'out_' || replace(regexp_replace('.' || url, '^\\.', '/data'), '/', '_') || '.json' as name from pages")
@@ -76,8 +78,8 @@ def vocab_store(spark, sf_dir):
 def unbalanced_tokens(spark, sf_dir):
     """A32"""
     built = vocab.build_vocab(distinct_tokens(spark, sf_dir), "doc_id", "pos")
-    bad = vocab.unbalanced(built).agg(F.count(F.lit(1)).alias("bad"))
-    return bad.join(built.agg(F.count(F.lit(1)).alias("n")))
+    marked = vocab.unbalanced(built).select(F.lit(1).alias("bad")).unionByName(built.select(F.lit(0).alias("bad")))
+    return marked.agg(F.sum("bad").cast("bigint").alias("bad"), F.count_if(F.col("bad") == 0).alias("n"))
 
 
 @query("compat_store", f"with {SCOPE} select role, declared, usage from compat")
