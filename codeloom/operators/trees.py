@@ -73,24 +73,25 @@ def _walk(pid: int, ast: dict, out: list) -> None:
     step = -1
 
     def visit_list(nodes, parent, parent_tag, slot, depth, scope, flags, home):
-        prev, mine = -1, len(out)
+        prev, mine = -1, []
         for pos, node in enumerate(nodes):
             if isinstance(node, dict):
                 flags, prev = visit(node, parent, parent_tag, prev, slot, pos, depth, scope, flags, home)
-        for row in out[mine:]:
-            if row[2] == parent and row[4] == slot:
-                row[23] = step if parent >= 0 else FOREVER
+                mine.append(prev)
+        end = step if parent >= 0 else FOREVER
+        for child in mine:
+            out[child][23] = end
         return flags
 
     def visit(node, parent, parent_tag, prev, slot, pos, depth, scope, flags, home):
         nonlocal step
         step += 1
         get, tag, me = node.get, node["node"], len(out)
-        stored = get("_calls") or ([node] if "_call" in node else ())
+        stored = get("_calls") or ([node] if "_call" in node else None)
         calls = [
             (c["_call"], ["LITERAL" if a is None else a for a in c.get("fp") or c.get("fp_var_ids") or () if not isinstance(a, dict)], c.get("_returns"))
             for c in stored
-        ]
+        ] if stored else ()
         expr, op = get("expr_var_id"), get("_op")
         row = [
             pid, me, parent, prev, slot, pos, depth, scope, tag, calls, get("_id", get("_var")),
@@ -99,7 +100,11 @@ def _walk(pid: int, ast: dict, out: list) -> None:
             step, None, home[0], home[1], parent_tag, [], None,
         ]
         out.append(row)
-        names = SLOTS.get(tag, ())
+        names = SLOTS.get(tag)
+        if names is None:
+            step += 1
+            row[18] = step
+            return (_flags_after(flags, calls) if calls else flags), me
         after = flags
 
         def enter(name, flags):
