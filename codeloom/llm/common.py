@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
 BROADCAST_ROWS = 1_000_000  # rows of two or three numbers each; beyond it the join is shuffled

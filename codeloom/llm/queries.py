@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeloom.llm import decontaminate as _decontaminate
+from codeloom.llm import mixing as _mixing
+from codeloom.llm import near_dups as _near_dups
+from codeloom.llm import token_files as _token_files
 from codeloom.llm.registry import MODULES, ORACLES, QUERIES, query
 from codeloom.session import table
 
@@ -35,3 +39,53 @@ def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+_MIX_SQL = r"""
+with d as (select doc_id, coalesce('s' || source, 't') as src, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+                  length(text) - length(translate(text, '!#$%&*|', '')) as symbols from documents),
+k as (select doc_id, src, size, -ln((cast('0x' || substr(md5('17:' || coalesce(cast(doc_id as varchar), '~')), 1, 12) as bigint) + 0.5::double) / 281474976710656.0::double)
+             / ((size + 1.0::double) / (size + 1.0::double + coalesce(symbols, 0))) as key from d),
+s as (select src, cast(sum(size) as bigint) as source_size, ([3, 1, 2])[(row_number() over (order by src) - 1) % 3 + 1]::double as w from d group by src),
+c as (select *, (1.5::double * sum(source_size) over () - coalesce(sum(2.0::double * source_size) over (order by 2.0::double * source_size / w, src rows between unbounded preceding and 1 preceding), 0))
+             / sum(w) over (order by 2.0::double * source_size / w, src rows between current row and unbounded following) as level from s),
+t as (select src, source_size, least(2.0::double * source_size, max(level) over () * w) as target from c),
+a as (select *, case when source_size > 0 then floor(target / source_size)::int else 0 end as epochs from t),
+p as (select k.*, a.*, sum(size) over (partition by k.src order by key, doc_id, size rows unbounded preceding) - size as before from k join a on k.src = a.src),
+q as (select *, least(epochs + (2 * before + size <= 2 * (target - epochs * source_size))::int, 2) as copies from p)
+select doc_id, cast(size as bigint) as size, source_size, target, cast(size * copies as bigint) as taken, copies from q
+"""
+
+
+@query("op4_mix_sources", _MIX_SQL)
+def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that the mix takes."""
+    return _mixing.mix(table(spark, sf_dir, "documents"))
+
+
+_NEAR_SQL = rf"""
+with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(list_slice(w, at_, at_ + 4), ' ') as g
+      from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as at_ from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+i as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+e as (select x, y from i join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 85 * (nx.n + ny.n - c)),
+both_ as (select x, y from e union all select y, x from e),
+reach as (select distinct x, x as y from both_ union select reach.x, both_.y from reach join both_ on reach.y = both_.x),
+comp as (select x, min(y) as component_id from reach group by x)
+select doc_id, coalesce(n, 0) as n_shingles, coalesce(component_id, doc_id) as component_id, doc_id = coalesce(component_id, doc_id) as kept
+from w left join n using (doc_id) left join comp on comp.x = doc_id
+"""
+
+
+@query("op8_minhash_forest", _NEAR_SQL)
+def minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return _near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_token_files")
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of every document, read back."""
+    folder, _ = _token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return _token_files.read(spark, folder, with_ids=False)
