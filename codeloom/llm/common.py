@@ -24,6 +24,16 @@ def lowered(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without(docs: DataFrame, bad: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` less the rows whose id and text are in ``bad`` (``doc_id, text_hash``; null ids are equal)."""
+    bad = small_side(bad.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct())
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]) & (text_hash(docs[text_col]) == bad["_text"]), "left_anti")
+
+
 def uniform(seed: int | str, *cols: Column) -> Column:
     """A number in (0, 1) that depends on the seed and the columns only."""
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("~")) for c in cols]))

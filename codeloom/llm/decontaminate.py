@@ -17,7 +17,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from codeloom.llm.common import BROADCAST_ROWS, lowered, small_side
+from codeloom.llm.common import BROADCAST_ROWS, lowered, text_hash, without
 
 WINDOW = 10
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -65,7 +65,7 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _hits(docs: DataFrame, windows: DataFrame, lengths: list[int], id_col: str, text_col: str, with_rows: bool) -> DataFrame:
     """A row per verified window of a document; with ``with_rows`` also one row per document, with null ``_at``."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"), words(F.col(text_col)).alias("_w"))
+    rows = docs.select(F.col(id_col).alias("_id"), text_hash(F.col(text_col)).alias("_text"), words(F.col(text_col)).alias("_w"))
     rows = rows.select("_id", "_text", "_w", F.size("_w").alias("_n"), F.transform("_w", lambda x: F.xxhash64(x)).alias("_h"))
 
     def hashed(n: int) -> Column:
@@ -88,16 +88,14 @@ def _hits(docs: DataFrame, windows: DataFrame, lengths: list[int], id_col: str,
 
 def remove_documents(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without a hit, with all their columns."""
-    bad = small_side(scanned.where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct())
-    same = docs[id_col].eqNullSafe(bad["_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == bad["_text"])
-    return docs.join(bad, same, "left_anti")
+    return without(docs, scanned.where("n_hit > 0"), id_col, text_col)
 
 
 def remove_spans(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All documents; hit words are cut out of the text with what stands between them and the word before."""
     bad = scanned.where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_text"])
     text = docs[text_col]
-    same = docs[id_col].eqNullSafe(bad["_id"]) & (F.xxhash64(F.coalesce(text, F.lit(""))) == bad["_text"])
+    same = docs[id_col].eqNullSafe(bad["_id"]) & (text_hash(text) == bad["_text"])
     joined = docs.join(bad, same, "left")
     pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
     left = F.filter(pieces, lambda piece, i: ~F.exists(F.col("_spans"), lambda s: (i >= s["start"]) & (i < s["end"])))

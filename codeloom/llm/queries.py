@@ -6,8 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeloom.llm import decontaminate as _decontaminate
+from codeloom.llm import line_dedup as _line_dedup
+from codeloom.llm import maxscore as _maxscore
 from codeloom.llm import mixing as _mixing
 from codeloom.llm import near_dups as _near_dups
+from codeloom.llm import pii_crf as _pii_crf
+from codeloom.llm import resampling as _resampling
 from codeloom.llm import token_files as _token_files
 from codeloom.llm.registry import MODULES, ORACLES, QUERIES, query
 from codeloom.session import table
@@ -89,3 +93,59 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of every document, read back."""
     folder, _ = _token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return _token_files.read(spark, folder, with_ids=False)
+
+
+@query("op2_resample")
+def resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of every document and whether it is drawn."""
+    return _resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
+
+
+_SEARCH_SQL = """
+with v as (select vec_id as id, min(list_transform(embedding, lambda x: floor(1024 * x::double)::bigint)) as v from embeddings
+           where vec_id is not null and embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))) group by vec_id),
+e as (select id, unnest(range(len(v))) as k, unnest(v) as x from v),
+s as (select q.id as query_id, c.id as vec_id, sum(q.x * c.x)::bigint as score from e q join e c on q.k = c.k and q.id <> c.id where q.id % 100 = 0 group by q.id, c.id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 10
+"""
+
+
+@query("op6_maxscore", _SEARCH_SQL)
+def maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best partners of every hundredth vector."""
+    return _maxscore.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query("op10_pii_crf")
+def pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return _pii_crf.find(table(spark, sf_dir, "documents")).drop("found")
+
+
+_LINES_SQL = rf"""
+with l as (select doc_id, line_no - 1 as line_no, lines[line_no] as line from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as line_no
+           from (select doc_id, string_split({_LOWER}, chr(10)) as lines from documents))),
+t as (select distinct doc_id, line_no, unnest(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as w from l),
+f as (select line, min(doc_id * 100000 + line_no) as place from l group by line),
+ft as (select distinct place, unnest(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as w from f),
+n as (select place, count(*) as n from ft group by place),
+i as (select a.place as x, b.place as y, count(*) as c from ft a join ft b on a.w = b.w and a.place < b.place
+      join n na on na.place = a.place join n nb on nb.place = b.place where 5 * least(na.n, nb.n) >= 4 * greatest(na.n, nb.n) group by a.place, b.place),
+gone as (select distinct y as place from i join n nx on nx.place = x join n ny on ny.place = y where 9 * c >= 4 * (nx.n + ny.n)),
+r as (select doc_id, line_no, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > 0 and (l.doc_id * 100000 + l.line_no > f.place or f.place in (select place from gone)) as repeat
+      from l join f using (line))
+select doc_id, count(*) as n_lines, count(*) filter (where repeat) as n_removed,
+       md5(coalesce(string_agg(cast(line_no as varchar), ',' order by line_no) filter (where repeat), '')) as removed_md5
+from r group by doc_id
+"""
+
+
+@query("op1_line_dedup", _LINES_SQL)
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat an earlier line."""
+    found = _line_dedup.find_repeats(table(spark, sf_dir, "documents"))
+    places = F.array_sort(F.collect_list(F.when(F.col("repeat"), F.col("line_no"))))
+    return found.groupBy(F.col("doc").alias("doc_id")).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("repeat").cast("long")).alias("n_removed"), F.md5(F.array_join(places.cast("array<string>"), ",")).alias("removed_md5"),
+    )
