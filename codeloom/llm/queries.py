@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeloom.llm import decontaminate as _decontaminate
+from codeloom.llm import licences as _licences
 from codeloom.llm import line_dedup as _line_dedup
 from codeloom.llm import maxscore as _maxscore
 from codeloom.llm import mixing as _mixing
 from codeloom.llm import near_dups as _near_dups
 from codeloom.llm import pii_crf as _pii_crf
+from codeloom.llm import pseudo_likelihood as _pseudo_likelihood
 from codeloom.llm import resampling as _resampling
 from codeloom.llm import token_files as _token_files
 from codeloom.llm.registry import MODULES, ORACLES, QUERIES, query
@@ -149,3 +151,15 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("doc").alias("doc_id")).agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("repeat").cast("long")).alias("n_removed"), F.md5(F.array_join(places.cast("array<string>"), ",")).alias("removed_md5"),
     )
+
+
+@query("op3_pseudo_likelihood")
+def pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document."""
+    return _pseudo_likelihood.score(table(spark, sf_dir, "documents"))
+
+
+@query("op5_licences")
+def licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families of every document."""
+    return _licences.scan(table(spark, sf_dir, "documents")).drop("notices")
