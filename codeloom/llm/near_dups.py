@@ -6,7 +6,8 @@ MinHash values; tree t of 16 orders the classes by the values from 4t on (round
 that share a prefix stand together. Regions are visited from deep prefixes (16 values) to the least
 depth (4). At each depth only regions that still hold several components are looked at, so dense
 regions are joined by their nearest neighbours first. A region is cut in blocks; each pair of blocks
-is compared by signature, and the survivors' full sets confirm the links. At the threshold of 0.85 a
+is compared by signature, and the survivors' full sets confirm the links (classes without a survivor at
+the least depth drop out at the start). At the threshold of 0.85 a
 single link is missed by all trees with a chance of 7 in a million; nothing else is cut off.
 
 Per row: ``doc_id, n_shingles, component_id, kept``. Texts that are null, empty or without words have
@@ -188,15 +189,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rows.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("node"), F.any_value("sign").alias("sign"))
     classes = persist_table(named, "classes")
 
-    all_regions = _regions(classes, LEAST_DEPTH, "node")
-    shared = all_regions.groupBy("region").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("region")
-    near = persist_table(all_regions.join(shared, "region", "left_semi").select("node").distinct(), "near")
+    alone = classes.select("node", F.col("node").alias("comp"), "sign")
+    near = persist_table(_close(alone, LEAST_DEPTH, percent).select("node").distinct(), "near")
     full = persist_table(_signed(own.join(small_side(near), own["_id"] == near["node"], "left_semi"), True).withColumnRenamed("id", "node"), "sets")
 
     edges = None
     labels = near.select("node", F.col("node").alias("comp"))
     for depth in DEPTHS:
-        found = persist_table(_links(full, labels, depth, percent), "links")
+        close = persist_table(_close(full.select("node", "sign").join(labels, "node"), depth, percent), "close")
+        found = _by_pair(close.join(full.select("node", "key"), "node")).mapInArrow(_confirmed(percent), "a bigint, b bigint")
+        found = persist_table(found, "links")
         edges = found if edges is None else edges.unionByName(found)
         joined = components(edges)
         labels = near.join(joined, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
@@ -208,19 +210,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _links(full: DataFrame, labels: DataFrame, depth: int, percent: int) -> DataFrame:
-    """Confirmed links between components whose members share a region of this depth."""
-    signs = full.select("node", "sign").join(labels, "node")
-    members = _regions(signs, depth, "node", "comp", "sign")
+def _close(signs: DataFrame, depth: int, percent: int) -> DataFrame:
+    """Classes (``pair, node, comp``) that share a region of this depth with another component and come near it by signature."""
+    members = _regions(signs, depth, "node", "comp")
     mixed = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     members = members.join(mixed.select("region", F.ceil(F.col("size") / BLOCK).alias("blocks")), "region")
     members = members.withColumn("block", F.pmod(F.xxhash64("node", F.lit(depth)), F.col("blocks")))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     pair = F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other"))
-    members = members.select(pair.alias("pair"), "node", "comp", "sign")
-    close = _by_pair(members).mapInArrow(_plausible(percent / 100 - SURE), "pair bigint, node bigint, comp bigint")
-    close = persist_table(close, "close")
-    return _by_pair(close.join(full.select("node", "key"), "node")).mapInArrow(_confirmed(percent), "a bigint, b bigint")
+    members = members.select(pair.alias("pair"), "node", "comp").join(signs.select("node", "sign"), "node")
+    return _by_pair(members).mapInArrow(_plausible(percent / 100 - SURE), "pair bigint, node bigint, comp bigint")
 
 
 def _by_pair(rows: DataFrame) -> DataFrame:
