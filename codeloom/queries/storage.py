@@ -137,17 +137,13 @@ def parallel_corpus(spark, sf_dir):
  (select count(*) from conversations c where role = 'assistant' and conv_id in (select conv_id from conversations where role = 'user')) as predictions""")
 def report_text(spark, sf_dir):
     """S13, S18"""
-    said = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("pid"), "turn", "role", F.regexp_replace("text", "---------------", "").alias("text"))
+    said = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("pid"), "turn", "role", "text")
     truth = said.where("role = 'user'").groupBy("pid").agg(F.min_by("text", "turn").alias("truth"))
     guesses = said.where("role = 'assistant'").join(truth.select("pid"), "pid", "left_semi").select("pid", F.col("turn").alias("rank"), F.col("text").alias("candidate"))
     path = new_folder(spark, "report")
     stores.write_report(stores.report_lines(truth, guesses), path)
     lines = spark.read.option("lineSep", "\n").text(path)
-    # one closing line per real code and per prediction
-    return lines.agg(
-        F.count_if(F.col("value") == "-------REAL CODE--------").alias("programs"),
-        (F.count_if(F.col("value") == "---------------") - F.count_if(F.col("value") == "-------REAL CODE--------")).alias("predictions"),
-    )
+    return lines.agg(F.count_if(F.col("value") == "== truth ==").alias("programs"), F.count_if(F.col("value") == "== end of prediction ==").alias("predictions"))
 
 
 # --- streams ---------------------------------------------------------------------------
