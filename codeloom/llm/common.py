@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BROADCAST_ROWS = 1_000_000  # rows of two or three numbers each; beyond it the join is shuffled
+BATCH_BYTES = 4 << 20  # of the rows that travel to Python at a time
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -18,6 +19,17 @@ def small_side(keys: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= limit else keys
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches sent to Python in bytes; a smaller bound of the session's own stays.
+
+    Each is held in the JVM, where its buffers grow by doubling, and once more in Python.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    bound = spark.conf.get(key).removesuffix("b")
+    if not bound.isdigit() or int(bound) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def lowered(text: Column) -> Column:
     """Text with A-Z, and nothing else, in lower case (null: empty)."""
     text = F.coalesce(text, F.lit(""))

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codeloom.llm.common import _fixed, grams, slices, small_side, words
+from codeloom.llm.common import _fixed, grams, slices, small_batches, small_side, words
 from codeloom.session import persist_table
 
 SHINGLE, TREES, LEAST_DEPTH = 5, 16, 4
@@ -184,6 +184,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """Class and component of every row; sets whose similarity is ``percent`` or more are linked."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     rows = persist_table(_signed(own, False), "signatures")
     named = rows.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("node"), F.any_value("sign").alias("sign"))

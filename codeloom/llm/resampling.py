@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from codeloom.llm.common import ASCII_LOWER, flat, hash_runs, mix, runs, slices, text_hash, uniform, without
+from codeloom.llm.common import ASCII_LOWER, flat, hash_runs, mix, runs, slices, small_batches, text_hash, uniform, without
 from codeloom.session import persist_table
 
 BUCKETS = 1 << 20
@@ -98,6 +98,7 @@ def labelled_sample(labels: DataFrame, most: int = LABELLED) -> DataFrame:
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, text_hash, good, n_ngrams, log_weight`` of every document; ``good`` is known for the labelled sample."""
+    small_batches(docs.sparkSession)
     sample = F.broadcast(persist_table(labelled_sample(labels), "labelled"))  # LABELLED rows at most
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), text_hash(F.col(text_col)).alias("_hash"))
     own = own.join(sample, own["_id"] == sample["_label_id"], "left").select("_id", "_hash", "_text", "_good")

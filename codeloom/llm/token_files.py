@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from tokenizers import Tokenizer
 
-from codeloom.llm.common import slices, small_side
+from codeloom.llm.common import slices, small_batches, small_side
 from codeloom.session import new_folder, persist_table
 
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 2000, 32_768, 65_536, 3
@@ -196,6 +196,7 @@ def _packed(index_type: pa.DataType, digest: str, width: int) -> Callable[[Itera
 def write(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> tuple[str, Dictionary]:
     """Encode and write; gives the folder (of blocks, and of the dictionary) and the dictionary."""
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or new_folder(spark, "token-files")
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     dictionary = train_dictionary(own.select("_text"), path)
@@ -223,6 +224,7 @@ def read_dictionary(spark: SparkSession, folder: str) -> Dictionary:
 
 def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """Per document: ``doc_id, start, n_tokens, ids_crc32`` and, with ``with_ids``, ``ids``."""
+    small_batches(spark)
     dictionary = read_dictionary(spark, folder)
     blocks = spark.read.parquet(f"{folder}/blocks")
     totals = blocks.groupBy("shard").agg(F.sum(F.aggregate("index", F.lit(0).cast("bigint"), lambda a, x: a + x["n_tokens"])).alias("n"))
