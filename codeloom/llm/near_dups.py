@@ -118,19 +118,24 @@ def _plausible(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def _common(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections."""
-    union, place = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+def _common(sets: list[np.ndarray], together: int = 500_000) -> np.ndarray:
+    """Sizes of all intersections of sorted sets, by ranges of hashes that hold about ``together`` of them."""
+    parts = sum(len(x) for x in sets) // together + 1
+    limits = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+    cuts = [[0, *np.searchsorted(x, limits), len(x)] for x in sets]
     out = np.zeros((len(sets), len(sets)), np.float64)
-    step = max(1, 16_000_000 // len(sets))
-    order = np.argsort(place, kind="stable")
-    place, row = place[order], row[order]
-    for at in range(0, len(union), step):
-        a, b = np.searchsorted(place, [at, at + step])
-        held = np.zeros((len(sets), min(step, len(union) - at)), np.float32)
-        held[row[a:b], place[a:b] - at] = 1
-        out += held @ held.T
+    for k in range(parts):
+        some = [x[c[k] : c[k + 1]] for x, c in zip(sets, cuts)]
+        union, place = np.unique(np.concatenate(some), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in some])
+        step = max(1, 4_000_000 // len(sets))
+        order = np.argsort(place, kind="stable")
+        place, row = place[order], row[order]
+        for at in range(0, len(union), step):
+            a, b = np.searchsorted(place, [at, at + step])
+            held = np.zeros((len(sets), min(step, len(union) - at)), np.float32)
+            held[row[a:b], place[a:b] - at] = 1
+            out += held @ held.T
     return out
 
 
@@ -141,7 +146,7 @@ def _confirmed(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         for rows in _groups(batches):
             if rows.num_rows < 2:
                 continue
-            sets = [np.frombuffer(x, np.uint64) for x in rows.column("key").to_pylist()]
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("key")]
             node, comp = np.array(rows.column("node")), np.array(rows.column("comp"))
             both = _common(sets)
             size = np.array([len(x) for x in sets], np.float64)
