@@ -18,8 +18,8 @@ import hashlib
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from codeloom.llm.common import slices, small_batches, small_side
 from codeloom.session import new_folder, persist_table
 
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 2000, 32_768, 65_536, 3
-BLOCK_BYTES, BLOCK_DOCS, CACHED_WORDS = 4_000_000, 4096, 400_000
+BLOCK_BYTES, BLOCK_DOCS, CACHED_WORDS = 4_000_000, 4096, 100_000
 
 _IRREGULAR = re.compile(r"\s\s|[^\S \n]")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -97,19 +97,10 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder | None] = {}
-
-
-@contextmanager
-def encoder(path: str) -> Iterator[Encoder]:
-    """The Python worker's tokenizer; the words it learns are let go at the end of the task."""
-    own = _encoders.setdefault(path, None) or Encoder(path)
-    _encoders[path] = own
-    try:
-        yield own
-    finally:
-        own.spaced.clear()
-        own.bare.clear()
+@cache
+def encoder(path: str) -> Encoder:
+    """The Python worker's tokenizer; of the words it learns at most ``CACHED_WORDS`` of a kind stay (about 20 MB)."""
+    return Encoder(path)
 
 
 @dataclass(frozen=True)
@@ -139,10 +130,10 @@ def train_dictionary(texts: DataFrame, path: str) -> Dictionary:
     sample = texts.where(part < int((1 << 30) * min(1.0, SAMPLE_DOCS / rows))) if rows > SAMPLE_DOCS else texts
 
     def serialised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with encoder(path) as own:
-            for batch in slices(batches, "_text"):
-                ids = own.encode([t or "" for t in batch.column("_text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([pa.array([x[:SAMPLE_BYTES] for x in ids], pa.binary())], ["ids"])
+        own = encoder(path)
+        for batch in slices(batches, "_text"):
+            ids = own.encode([t or "" for t in batch.column("_text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array([x[:SAMPLE_BYTES] for x in ids], pa.binary())], ["ids"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         samples = sorted(x for b in batches for x in b.column("ids").to_pylist())
@@ -159,12 +150,12 @@ def train_dictionary(texts: DataFrame, path: str) -> Dictionary:
 def _framed(path: str, end_id: int, dictionary: Dictionary) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = dictionary.compressor()
-        with encoder(path) as own:
-            end = np.array([end_id], own.dtype).tobytes()
-            for batch in slices(batches, "_text"):
-                ids = [x + end for x in own.encode([t or "" for t in batch.column("_text").to_pylist()])]
-                sizes, frames = pa.array([len(x) // own.dtype.itemsize for x in ids], pa.int64()), pa.array([zstd.compress(x) for x in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("_id"), sizes, frames], ["id", "n_tokens", "frame"])
+        own = encoder(path)
+        end = np.array([end_id], own.dtype).tobytes()
+        for batch in slices(batches, "_text"):
+            ids = [x + end for x in own.encode([t or "" for t in batch.column("_text").to_pylist()])]
+            sizes, frames = pa.array([len(x) // own.dtype.itemsize for x in ids], pa.int64()), pa.array([zstd.compress(x) for x in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), sizes, frames], ["id", "n_tokens", "frame"])
 
     return run
 
