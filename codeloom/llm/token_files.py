@@ -15,6 +15,7 @@ are all written, next to each other. An empty table gives no block. Other column
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -33,7 +34,9 @@ from codeloom.llm.common import slices, small_batches, small_side
 from codeloom.session import new_folder, persist_table
 
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 2000, 32_768, 65_536, 3
-BLOCK_BYTES, BLOCK_DOCS, CACHED_WORDS = 4_000_000, 4096, 100_000
+BLOCK_BYTES, BLOCK_DOCS, CACHED_WORDS, SLICE_BYTES = 1_000_000, 4096, 100_000, 500_000
+#: Frames are compressed already; Parquet looks at its page and row group sizes after every block, not every hundred.
+_BLOCK_FILES = {"compression": "none", "parquet.block.size": str(32 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 
 _IRREGULAR = re.compile(r"\s\s|[^\S \n]")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -100,6 +103,7 @@ class Encoder:
 @cache
 def encoder(path: str) -> Encoder:
     """The Python worker's tokenizer; of the words it learns at most ``CACHED_WORDS`` of a kind stay (about 20 MB)."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks use the cores
     return Encoder(path)
 
 
@@ -131,7 +135,7 @@ def train_dictionary(texts: DataFrame, path: str) -> Dictionary:
 
     def serialised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", SLICE_BYTES):
             ids = own.encode([t or "" for t in batch.column("_text").to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array([x[:SAMPLE_BYTES] for x in ids], pa.binary())], ["ids"])
 
@@ -152,7 +156,7 @@ def _framed(path: str, end_id: int, dictionary: Dictionary) -> Callable[[Iterato
         zstd = dictionary.compressor()
         own = encoder(path)
         end = np.array([end_id], own.dtype).tobytes()
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", SLICE_BYTES):
             ids = [x + end for x in own.encode([t or "" for t in batch.column("_text").to_pylist()])]
             sizes, frames = pa.array([len(x) // own.dtype.itemsize for x in ids], pa.int64()), pa.array([zstd.compress(x) for x in ids], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("_id"), sizes, frames], ["id", "n_tokens", "frame"])
@@ -200,7 +204,7 @@ def write(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", t
     ordered = frames.repartitionByRange("id").sortWithinPartitions("id", "n_tokens", "frame")
     blocks = ordered.mapInArrow(_packed(index_type, dictionary.sha256, width),
                                 f"shard int, block int, dictionary string, width int, index array<struct<{fields}>>, payload binary")
-    blocks.write.parquet(f"{folder}/blocks")
+    blocks.write.options(**_BLOCK_FILES).parquet(f"{folder}/blocks")
     spark.createDataFrame([(dictionary.sha256, bytearray(dictionary.content))], "sha256 string, content binary").write.parquet(f"{folder}/dictionary")
     return folder, dictionary
 
