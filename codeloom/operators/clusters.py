@@ -66,10 +66,16 @@ def mean_jaccard(members: DataFrame, cap: int = MEMBERS) -> DataFrame:
     return whole.select("i", "j", F.when(F.col("i") == F.col("j"), inside).otherwise(between).alias("avg"))
 
 
-def matrix(averages: DataFrame, clusters: list) -> DataFrame:
-    """Square form: the upper half mirrored, clusters as columns."""
-    mirrored = averages.unionByName(averages.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "avg"))
-    return mirrored.groupBy("i").pivot("j", clusters).agg(F.first("avg"))
+def matrix(averages: DataFrame) -> DataFrame:
+    """Square form, ``i, j, avg`` for every two clusters that the data have: the upper half mirrored."""
+    return averages.unionByName(averages.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "avg"))
+
+
+def matrix_lines(averages: DataFrame, digits: int = 3) -> DataFrame:
+    """``i, line``: a row of the square form as text, in order of the other cluster."""
+    cells = F.array_sort(F.collect_list(F.struct("j", "avg")))
+    shown = F.transform(cells, lambda c: F.format_string(f"%.{digits}f", F.round(c["avg"], digits)))
+    return matrix(averages).groupBy("i").agg(F.concat(F.lit("["), F.array_join(shown, ", "), F.lit("]")).alias("line"))
 
 
 def by_cohesion(averages: DataFrame) -> DataFrame:

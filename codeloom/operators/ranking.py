@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
 HASH_DIGITS = 3  # 16**3 buckets
 
@@ -28,6 +28,15 @@ def hash01(key: Column) -> Column:
     return hash_number(key) / F.lit(float(16**8))
 
 
+def _cell(keys: Sequence[str], bucket: Column) -> Column:
+    """Group and bucket as one struct: never null itself, so rows with nulls inside still meet their offset."""
+    return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], bucket.alias("b"))
+
+
+def _group(keys: Sequence[str]) -> WindowSpec:
+    return W.partitionBy(*[f"_bucket.k{i}" for i in range(len(keys))])
+
+
 def positions(
     df: DataFrame,
     order: Sequence[Column],
@@ -39,17 +48,18 @@ def positions(
     """0-based position of each row in its group (the whole table if there are no keys).
 
     ``bucket`` must rise with ``order``. The offsets table has one row per (group, bucket).
+    Rows whose key is null are a group of their own; a null order value comes first.
     """
-    keys = list(keys)
-    rows = df.withColumn("_bucket", bucket)
-    counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    rows = df.withColumn("_bucket", _cell(keys, bucket))
+    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    group = _group(keys)
+    before = group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     if total:
-        offsets = offsets.withColumn(total, F.sum("_n").over(W.partitionBy(*keys)))
-    inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
+        offsets = offsets.withColumn(total, F.sum("_n").over(group))
+    inside = W.partitionBy("_bucket").orderBy(*order)
     return (
-        rows.join(offsets.drop("_n"), [*keys, "_bucket"])
+        rows.join(offsets.drop("_n"), "_bucket")
         .withColumn(out, F.col("_offset") + F.row_number().over(inside) - 1)
         .drop("_bucket", "_offset")
     )
@@ -64,14 +74,13 @@ def running_sum(
     out: str = "running",
 ) -> DataFrame:
     """Inclusive running sum in order, bucketed the same way as :func:`positions`."""
-    keys = list(keys)
-    rows = df.withColumn("_bucket", bucket).withColumn("_v", value)
-    sums = rows.groupBy(*keys, "_bucket").agg(F.sum("_v").alias("_s"))
-    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    rows = df.withColumn("_bucket", _cell(keys, bucket)).withColumn("_v", value)
+    sums = rows.groupBy("_bucket").agg(F.sum("_v").alias("_s"))
+    before = _group(keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.withColumn("_offset", F.coalesce(F.sum("_s").over(before), F.lit(0)))
-    inside = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return (
-        rows.join(offsets.drop("_s"), [*keys, "_bucket"])
+        rows.join(offsets.drop("_s"), "_bucket")
         .withColumn(out, F.col("_offset") + F.sum("_v").over(inside))
         .drop("_bucket", "_offset", "_v")
     )

@@ -347,11 +347,13 @@ def _build_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(pids, pa.int64()), pa.array(texts, pa.string())], names=["pid", "ast"])
 
 
-def unflatten(nodes: DataFrame, cap: int) -> DataFrame:
-    """Node rows back to one JSON tree per program; programs over ``cap`` nodes are rejected first."""
-    sizes = nodes.groupBy("pid").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= cap).select("pid")
+def unflatten(nodes: DataFrame, cap: int | None = None) -> DataFrame:
+    """Node rows back to one JSON tree per program; with ``cap``, only programs of at most so many nodes."""
     fields = F.struct("node_id", "parent_id", "slot", "tag", "calls", "var_id", "expr_id", "ret_id", "returns")
-    grouped = nodes.join(sizes, "pid", "left_semi").groupBy("pid").agg(F.collect_list(fields).alias("rows"))
+    if cap is not None:
+        sizes = nodes.groupBy("pid").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= cap).select("pid")
+        nodes = nodes.join(sizes, "pid", "left_semi")
+    grouped = nodes.groupBy("pid").agg(F.collect_list(fields).alias("rows"))
     return grouped.mapInArrow(_build_batches, "pid bigint, ast string")
 
 

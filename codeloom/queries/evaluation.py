@@ -181,15 +181,15 @@ def access_counts(spark, sf_dir):
 # --- beams -----------------------------------------------------------------------------
 
 @query("beam_topk", """with s as (select user_id as pid, event_type, event_id, ts,
-   round((ln(value / 1000 + 0.01) + -0.5 * power(hour(ts) + 1, 0.7)) / power(hour(ts) + 2, 0.7), 9) as score from events where value >= 0),
+   round((ln(abs(value) / 1000 + 0.01) + -0.5 * power(hour(ts) + 1, 0.7)) / power(hour(ts) + 2, 0.7), 9) as score from events),
  m as (select *, case when event_type in ('click', 'view') then score else -1e300 end as sc from s),
  r as (select pid, event_id, score, row_number() over (partition by pid order by sc desc, event_id) as rank, sc from m)
 select pid, rank::int as rank, event_id, score from r where rank <= 5 and sc > -1e300""")
 def beam_topk(spark, sf_dir):
     """Normalised scores, disallowed tokens at -inf, best k per program."""
-    events = table(spark, sf_dir, "events").where("value >= 0")
+    events = table(spark, sf_dir, "events")
     length = F.hour("ts") + 1
-    score = F.round(sc.length_normalised(F.ln(F.col("value") / 1000 + 0.01), F.lit(-0.5), length, F.lit(1)), 9)
+    score = F.round(sc.length_normalised(F.ln(F.abs("value") / 1000 + 0.01), F.lit(-0.5), length, F.lit(1)), 9)
     scored = events.select(F.col("user_id").alias("pid"), F.col("event_id").alias("candidate"), "event_type", score.alias("score"))
     allowed = spark.createDataFrame([("click",), ("view",)], "event_type string")
     kept = beam.best_candidates(beam.constrain(scored, allowed, ["event_type"]), 5)
@@ -203,7 +203,7 @@ def _beam_sql() -> str:
     sql = """with e as (select user_id as pid, event_type as token, lag(event_type) over (partition by user_id order by ts, event_id) as last from events),
 kinds as (select distinct event_type as kind from events), users as (select distinct user_id as pid from events),
 n as (select pid, last, token, count(*) as c from e where last is not null group by all),
-steps as (select u.pid, a.kind as last, b.kind as token, ln((coalesce(c, 0) + 1.0) / (coalesce((select sum(c) from n m where m.pid = u.pid and m.last = a.kind), 0) + 5.0)) as ln_prob
+steps as (select u.pid, a.kind as last, b.kind as token, ln((coalesce(c, 0) + 1.0) / (coalesce((select sum(c) from n m where m.pid = u.pid and m.last = a.kind), 0) + (select count(*) from kinds))) as ln_prob
   from users u cross join kinds a cross join kinds b left join n on n.pid = u.pid and n.last = a.kind and n.token = b.kind),
 b0 as (select user_id as pid, arg_min(event_type, (ts, event_id)) as last, arg_min(event_type, (ts, event_id)) as seq, 0.0::double as logp, 1 as length, true as rolling from events group by 1)"""
     for i in range(1, ROUNDS + 1):
@@ -211,27 +211,28 @@ b0 as (select user_id as pid, arg_min(event_type, (ts, event_id)) as last, arg_m
 g{i} as (select pid, token as last, seq || '>' || token as seq, round((ln_prob + logp * power(length, 0.7)) / power(length + 1, 0.7), 9) as logp, length + 1 as length, token <> '{STOP}' as rolling
   from b{i - 1} join steps using (pid, last) where rolling union all select pid, last, seq, logp, length, rolling from b{i - 1} where not rolling),
 b{i} as (select pid, last, seq, logp, length, rolling from (select *, row_number() over (partition by pid order by logp desc, seq) as r from g{i}) where r <= {WIDTH})"""
-    return sql + f" select pid, seq, round(logp, 6) as logp, length, (row_number() over (partition by pid order by logp desc, seq))::int as rank from b{ROUNDS}"
+    return sql + f" select pid, seq, round(logp, 6) as logp, length, rolling, (row_number() over (partition by pid order by logp desc, seq))::int as rank from b{ROUNDS}"
 
 
 @query("beam_search", _beam_sql())
 def beam_search(spark, sf_dir):
-    """M5: steps scored by each user's own transitions, add-one smoothed."""
+    """M5: steps scored by each user's own transitions, add-one smoothed; ``rolling`` beams had not stopped after the rounds."""
     from pyspark.sql import Window as W
 
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("pid"), F.col("event_type").alias("token"), "ts", "event_id")
     placed = ranking.positions(events, [F.col("ts"), F.col("event_id")], hour_bucket(), keys=["pid"])
     after = placed.select("pid", "token", (F.col("pos") - 1).alias("pos"))
     pairs = placed.select("pid", "pos", F.col("token").alias("last")).join(after, ["pid", "pos"]).groupBy("pid", "last", "token").agg(F.count(F.lit(1)).alias("c"))
-    kinds = F.array(*[F.lit(k) for k in ("click", "error", "purchase", "signup", "view")])
-    grid = events.select("pid").distinct().select("pid", F.explode(kinds).alias("last")).select("pid", "last", F.explode(kinds).alias("token"))
+    kinds = events.agg(F.array_sort(F.collect_set("token")).alias("kinds")).scalar()  # the event types of the data, one short list
+    users = events.select("pid").distinct().withColumn("kinds", kinds)
+    grid = users.select("pid", "kinds", F.explode("kinds").alias("last")).select("pid", F.size("kinds").alias("n_kinds"), "last", F.explode("kinds").alias("token"))
     counted = grid.join(pairs, ["pid", "last", "token"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    total = F.sum("c").over(W.partitionBy("pid", "last"))  # five rows per window
-    moves = counted.select("pid", "last", "token", F.ln((F.col("c") + 1.0) / (total + 5.0)).alias("ln_prob"))
+    total = F.sum("c").over(W.partitionBy("pid", "last"))  # one row per event type
+    moves = counted.select("pid", "last", "token", F.ln((F.col("c") + 1.0) / (total + F.col("n_kinds"))).alias("ln_prob"))
     first = events.groupBy("pid").agg(F.min_by("token", F.struct("ts", "event_id")).alias("last"))
     starts = first.select("pid", "last", F.col("last").alias("seq"), F.lit(0.0).alias("logp"), F.lit(1).alias("length"), F.lit(True).alias("rolling"))
     found = beam.beam_search(starts, beam.persist_table(moves, "moves"), WIDTH, STOP, ROUNDS)
-    return found.select("pid", "seq", F.round("logp", 6).alias("logp"), "length", "rank")
+    return found.select("pid", "seq", F.round("logp", 6).alias("logp"), "length", "rolling", "rank")
 
 
 # --- vectors and clusters ----------------------------------------------------------------
@@ -280,11 +281,10 @@ def intra_inter_jaccard(spark, sf_dir):
 
 
 @query("cluster_matrix", f"""with {AVERAGES}, m as (select i, j, avg from averages union all select j, i, avg from averages where i <> j)
-select i, {", ".join(f"round(max(avg) filter (j = {c}), 6) as c{c}" for c in range(10))} from m group by i""")
+select i, j, round(avg, 6) as avg from m""")
 def cluster_matrix(spark, sf_dir):
     """A25"""
-    square = clusters.matrix(clusters.mean_jaccard(members(spark, sf_dir)), list(range(10)))
-    return square.select("i", *[F.round(F.col(str(c)), 6).alias(f"c{c}") for c in range(10)])
+    return clusters.matrix(clusters.mean_jaccard(members(spark, sf_dir))).select("i", "j", F.round("avg", 6).alias("avg"))
 
 
 @query("clusters_by_cohesion", f"with {AVERAGES} select i as cluster, round(avg, 6) as avg from averages where i = j order by avg desc, i")
@@ -297,8 +297,7 @@ def clusters_by_cohesion(spark, sf_dir):
 select i, '[' || string_agg(printf('%.3f', round(avg, 3)), ', ' order by j) || ']' as line from m group by i""")
 def matrix_text(spark, sf_dir):
     """F37"""
-    square = clusters.matrix(clusters.mean_jaccard(members(spark, sf_dir)), list(range(10)))
-    return square.select("i", F.concat(F.lit("["), F.concat_ws(", ", *[F.format_string("%.3f", F.round(F.col(str(c)), 3)) for c in range(10)]), F.lit("]")).alias("line"))
+    return clusters.matrix_lines(clusters.mean_jaccard(members(spark, sf_dir)))
 
 
 @query("label_sizes", "select label, count(*) as n from embeddings group by label order by n desc, label")
@@ -307,14 +306,14 @@ def label_sizes(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label")
 
 
-LOGITS = "l as (select vec_id, label, list_transform(embedding[1:10], lambda x: x::double) as v from embeddings)"
+LOGITS = "l as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings)"
 
 
 @query("argmax_hits", f"""with {LOGITS} select vec_id, (list_position(v, list_max(v)) - 1 = label)::int as hit,
   round(v[label + 1] - list_max(v) - ln(list_sum(list_transform(v, lambda x: exp(x - list_max(v))))), 6) as ln_prob from l""")
 def argmax_hits(spark, sf_dir):
     """M2, M3"""
-    v = vectors(spark, sf_dir).withColumn("v", F.slice("vector", 1, 10))
+    v = vectors(spark, sf_dir).withColumnRenamed("vector", "v")
     return v.select(
         F.col("id").alias("vec_id"), (sc.argmax(F.col("v")) == F.col("cluster")).cast("int").alias("hit"),
         F.round(F.get(sc.log_softmax(F.col("v")), F.col("cluster")), 6).alias("ln_prob"),
@@ -324,11 +323,11 @@ def argmax_hits(spark, sf_dir):
 @query("top_scores", f"""with {LOGITS}, u as (select vec_id, generate_subscripts(v, 1) - 1 as i, unnest(v) as x, v from l),
 s as (select vec_id, i, x - list_max(v) - ln(list_sum(list_transform(v, lambda y: exp(y - list_max(v))))) as s from u),
 r as (select *, row_number() over (partition by vec_id order by s desc, i) as r from s)
-select vec_id, array_to_string(list_resize(list(i order by r), 12, 1), ',') as idx, round(sum(s) - 40000, 4) as total from r group by vec_id""")
+select vec_id, array_to_string(list_resize(list(i order by r), 66, 1), ',') as idx, round(sum(s) - 40000, 4) as total from r group by vec_id""")
 def top_scores(spark, sf_dir):
-    """Ten candidates, twelve wanted."""
-    v = vectors(spark, sf_dir).withColumn("v", F.slice("vector", 1, 10))
-    values, idx = sc.top_scores(F.col("v"), 12)
+    """64 candidates, 66 wanted."""
+    v = vectors(spark, sf_dir).withColumnRenamed("vector", "v")
+    values, idx = sc.top_scores(F.col("v"), 66)
     return v.select(F.col("id").alias("vec_id"), F.array_join(idx, ",").alias("idx"), F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 

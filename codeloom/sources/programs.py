@@ -30,11 +30,11 @@ def scan_envelopes(spark: SparkSession, paths: str | Sequence[str], schema: str
 
 
 def scan_lines(spark: SparkSession, paths: str | Sequence[str], schema: str = PROGRAM) -> tuple[DataFrame, DataFrame]:
-    """One record per line: (good records, bad lines)."""
+    """One record per line: (good records, bad lines). A blank line is a bad one."""
     full = T.StructType.fromDDL(schema).add(CORRUPT, T.StringType())
     lines = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(paths)
     parsed = lines.select("value", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
-    bad = F.col(f"r.{CORRUPT}").isNotNull()
+    bad = F.col(f"r.{CORRUPT}").isNotNull() | ~F.col("value").rlike(r"\S")
     return parsed.where(~bad).select("r.*").drop(CORRUPT), parsed.where(bad).select(F.col("value").alias(CORRUPT))
 
 
