@@ -3,10 +3,13 @@
 Patterns find e-mail addresses, IP addresses, card and phone numbers. The field's nodes are a document's tokens
 (runs without ASCII white space, edge marks cut off) that hold a digit or an @; tokens without are never
 labelled. Neighbours at most ``NEAR`` characters apart share a chain potential; tokens with the same key (letters
-and digits in lower case, the part before an @, or seven digits and more) share a skip potential with the
-next such token, however far. Weights are trained in numpy by pseudo-likelihood on a bounded sample of
+and digits in lower case, the part before an @, or seven digits and more) share skip potentials, however far: two
+by an edge, more through one shared node, whose potential is the square root of the edge's (a pair joined through
+it is as if joined by the edge), so evidence at one mention reaches all others alike. Mentions outside patterns
+look alike, so their own evidence counts once at the shared node, not once for each. Weights are trained in numpy by pseudo-likelihood on a bounded sample of
 documents (``TRAIN_DOCS``, picked by hash), with the patterns as labels and the pattern features hidden from a third of
-the nodes; skip potentials are drawn towards ``AGREE`` for equal labels, as few samples hold repeats. Loopy message passing gives each node's marginals; a node outside all pattern spans whose
+the nodes; skip potentials are drawn towards ``AGREE`` for equal labels, as few samples hold repeats. Loopy message passing gives each node's marginals; a message is sent again until no message before it
+moves by ``STILL`` (``SETTLE`` rounds and ``PER_LINK`` more for each node of the longest chain at most). A node outside all pattern spans whose
 label reaches ``SURE`` becomes a span. Pattern spans are never changed.
 
 Texts are whole; null and empty ones have no span. Every row is judged by itself, so repeated rows and
@@ -26,7 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 from codeloom.llm.common import flat, slices
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCS, ROUNDS, STEP, DECAY, NEAR, SURE, PASSES, SEED, AGREE = 4000, 300, 0.5, 1e-4, 40, 0.9, 12, 31, 4.0
+TRAIN_DOCS, ROUNDS, STEP, DECAY, NEAR, SURE, SEED, AGREE = 4000, 300, 0.5, 1e-4, 40, 0.9, 31, 4.0
+STILL, SETTLE, PER_LINK = 1e-4, 200, 4
 
 # The patterns that define the base spans.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -87,10 +91,13 @@ class Graph:
         self.labels: list[int] = []
         self.spans: list[tuple[int, int, int]] = []  # document, start, end
         self.chain: list[tuple[int, int]] = []
-        self.skip: list[tuple[int, int]] = []
+        self.skip: list[tuple[int, int]] = []  # of keys with two mentions
+        self.repeats: list[tuple[int, int]] = []  # next mentions, of keys with more
+        self.shared: list[list[int]] = []  # their mentions
+        self.longest = 0  # nodes in a row that are joined by chain edges
 
     def add(self, doc: int, text: str, base: list[Span]) -> None:
-        before, latest = None, {}
+        before, mentions, linked = None, {}, 0
         ordered = sorted(base, key=lambda s: s[1])
         at = 0
         for m in _TOKEN.finditer(text):
@@ -109,11 +116,17 @@ class Graph:
             self.spans.append((doc, start, end))
             if before is not None and start - before[1] <= NEAR:
                 self.chain.append((before[0], node))
+                linked += 1
+            else:
+                linked = 1
+            self.longest = max(self.longest, linked)
             before = (node, end)
             for key in _keys(token):
-                if key in latest and latest[key] != node:
-                    self.skip.append((latest[key], node))
-                latest[key] = node
+                mentions.setdefault(key, []).append(node)
+        for nodes in mentions.values():
+            (self.skip if len(nodes) == 2 else self.repeats).extend(zip(nodes, nodes[1:]))
+            if len(nodes) > 2:
+                self.shared.append(nodes)
 
 
 def _shape(token: str, first: str) -> list[int]:
@@ -139,6 +152,7 @@ def _arrays(graph: Graph) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 def train(graph: Graph) -> np.ndarray:
     """Rows of weights: features, chain potentials, skip potentials; the last two are made symmetric."""
     x, y, chain, skip = _arrays(graph)
+    skip = np.concatenate([skip, np.array(graph.repeats, np.int64).reshape(-1, 2)])
     prior = np.vstack([np.zeros((FEATURES + LABELS, LABELS)), AGREE * np.eye(LABELS)])
     if not len(y):
         return prior
@@ -164,32 +178,54 @@ def train(graph: Graph) -> np.ndarray:
     return weights
 
 
+def _root(potential: np.ndarray) -> np.ndarray:
+    """What gives ``potential`` when two edges with it meet in a shared node."""
+    values, vectors = np.linalg.eigh(potential)
+    root = vectors * np.sqrt(np.maximum(values, 0)) @ vectors.T
+    return np.maximum(root, 1e-6 * root.max())
+
+
 def marginals(graph: Graph, weights: np.ndarray) -> np.ndarray:
     """Loopy sum-product over all documents' edges at once; every edge's potential is symmetric."""
-    x, _, chain, skip = _arrays(graph)
-    alone = x @ weights[:FEATURES]
-    if not len(alone):
+    x, y, chain, skip = _arrays(graph)
+    n = len(x)
+    if not n:
         return np.zeros((0, LABELS))
-    begin = np.concatenate([chain[:, 0], skip[:, 0], chain[:, 1], skip[:, 1]])
-    end = np.concatenate([chain[:, 1], skip[:, 1], chain[:, 0], skip[:, 0]])
-    half = len(begin) // 2
+    total = np.vstack([x @ weights[:FEATURES], np.zeros((len(graph.shared), LABELS))])
+    sizes = [len(nodes) for nodes in graph.shared]
+    hub = np.stack([np.array([node for nodes in graph.shared for node in nodes], np.int64), n + np.repeat(np.arange(len(sizes)), sizes)], axis=1)
+    alike = np.bincount(hub[:, 1] - n, y[hub[:, 0]] == 0, minlength=len(sizes))[hub[:, 1] - n]
+    edges = np.concatenate([chain, skip, hub])
+    begin, end = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
+    half = len(edges)
     back = np.concatenate([np.arange(half) + half, np.arange(half)])
     potentials = np.exp(weights[FEATURES:]).reshape(2, LABELS, LABELS)
-    kind = np.tile(np.repeat([0, 1], [len(chain), len(skip)]), 2)
-    messages = np.zeros((len(begin), LABELS))
-    for _ in range(PASSES):
-        total = alone.copy()
-        np.add.at(total, end, messages)
-        sent = total[begin] - messages[back]
+    potentials = np.stack([*potentials, _root(potentials[1])])
+    kind = np.tile(np.repeat([0, 1, 2], [len(chain), len(skip), len(hub)]), 2)
+    force = np.ones(2 * half)  # of the messages
+    force[len(chain) + len(skip) : half] = np.where(y[hub[:, 0]] == 0, 1 / np.maximum(alike, 1), 1)
+    messages = np.zeros((2 * half, LABELS))
+    active = np.arange(2 * half)
+    for _ in range(SETTLE + PER_LINK * graph.longest):
+        if not len(active):
+            break
+        sent = total[begin[active]] - messages[back[active]]
         sent = np.exp(sent - sent.max(axis=1, keepdims=True))
-        fresh = np.empty_like(messages)
-        for k in (0, 1):
-            fresh[kind == k] = sent[kind == k] @ potentials[k]
-        fresh = np.log(fresh / fresh.sum(axis=1, keepdims=True))
-        messages = (messages + fresh) / 2  # damped, as loops may swing
-    total = alone.copy()
-    np.add.at(total, end, messages)
-    total = np.exp(total - total.max(axis=1, keepdims=True))
+        fresh = np.empty_like(sent)
+        for k in range(3):
+            own = kind[active] == k
+            fresh[own] = sent[own] @ potentials[k]
+        fresh = np.log(fresh / fresh.sum(axis=1, keepdims=True)) * force[active, None]
+        step = (fresh - messages[active]) / 2  # damped, as loops may swing
+        messages[active] += step
+        np.add.at(total, end[active], step)
+        moves = np.abs(step).max(axis=1) >= STILL
+        moved = np.zeros(len(total), bool)
+        moved[end[active[moves]]] = True
+        again = moved[begin]
+        again[active[moves]] = True
+        active = np.flatnonzero(again)
+    total = np.exp(total[:n] - total[:n].max(axis=1, keepdims=True))
     return total / total.sum(axis=1, keepdims=True)
 
 

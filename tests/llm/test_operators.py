@@ -295,6 +295,41 @@ def test_skip_chain_carries_labels():
     assert [text[a:b] for (_, a, b), k in zip(graph.spans, best) if k == 4] == ["+1", "375", "555-4393", "555-4393"]
 
 
+def test_evidence_reaches_every_repeat():
+    weights = np.zeros((pii_crf.FEATURES + 2 * pii_crf.LABELS, pii_crf.LABELS))
+    weights[pii_crf._SHAPES + 3, 4] = 8
+    weights[0, 0] = 1
+    for agree in (pii_crf.AGREE, 6.0):
+        weights[pii_crf.FEATURES + pii_crf.LABELS :] = agree * np.eye(pii_crf.LABELS)
+        for repeats in (3, 40, 400):
+            text = "call +1 (375) 555-4393 now, " + ("word " * 30 + "and 555-4393 again; not 777-1111 ") * repeats
+            graph = pii_crf.Graph()
+            graph.add(0, text, pii_crf.base_spans(text))
+            chance = pii_crf.marginals(graph, weights)
+            assert [text[a:b] for (_, a, b), k in zip(graph.spans, chance.argmax(axis=1)) if k == 4] == ["+1", "375", *["555-4393"] * (repeats + 1)]
+            assert np.ptp([c[4] for (_, a, b), c in zip(graph.spans[3:], chance[3:]) if text[a:b] == "555-4393"]) < 1e-2
+
+
+def test_messages_settle_on_a_long_chain():
+    rng = np.random.default_rng(5)
+    weights = np.zeros((pii_crf.FEATURES + 2 * pii_crf.LABELS, pii_crf.LABELS))
+    weights[: pii_crf.FEATURES] = rng.normal(0, 0.1, (pii_crf.FEATURES, pii_crf.LABELS))
+    weights[pii_crf._SHAPES, 1] = 8
+    chain = weights[pii_crf.FEATURES : pii_crf.FEATURES + pii_crf.LABELS]
+    chain[:] = 7 * np.eye(pii_crf.LABELS)
+    n, graph = 60, pii_crf.Graph()
+    graph.features = np.zeros((n, pii_crf.FEATURES), int).tolist()
+    graph.features[0][pii_crf._SHAPES] = 1
+    graph.labels, graph.chain, graph.longest = [0] * n, [(i, i + 1) for i in range(n - 1)], n
+    alone, forth, back = np.exp(np.array(graph.features) @ weights[: pii_crf.FEATURES]), [np.ones(pii_crf.LABELS)], [np.ones(pii_crf.LABELS)]
+    for i in range(n - 1):
+        forth.append((forth[-1] * alone[i]) @ np.exp(chain))
+        back.append((back[-1] * alone[n - 1 - i]) @ np.exp(chain))
+        forth[-1], back[-1] = forth[-1] / forth[-1].sum(), back[-1] / back[-1].sum()
+    want = alone * np.array(forth) * np.array(back[::-1])
+    assert np.allclose(pii_crf.marginals(graph, weights), want / want.sum(axis=1, keepdims=True), atol=5e-3)
+
+
 def test_messages_are_exact_on_a_tree():
     rng = np.random.default_rng(4)
     weights = rng.normal(0, 1, (pii_crf.FEATURES + 2 * pii_crf.LABELS, pii_crf.LABELS))
