@@ -1,13 +1,17 @@
 """Licence scan: sparse logistic regression over word n-grams of paragraphs, confirmed by templates.
 
-A paragraph is a line; lines of more than ``WINDOW`` words are read in windows of that many words that overlap by
-half, so every part of every text is judged. Words are runs of ASCII letters and digits, in lower case.
+A paragraph is what stands between lines without words, so a notice may be wrapped anywhere (comment marks are no words).
+Each of its lines is judged by itself, and all its words once more over the line breaks. What has more than ``WINDOW`` words
+is read in windows of that many words that overlap by half, so every part of every text is judged. A family found in
+a part takes the place of unknown licences in parts that share a line with it, and an unknown licence in a line that of
+one over several lines; of two families confirmed by mostly the same words, the one confirmed further stays. Words are runs of ASCII letters and digits, in lower case.
 Features are the words and word pairs that occur in the templates, and the share of words that occur in none. The
 classifier knows every family and "none"; it is trained in numpy on variations of the templates (with other
 words before and after, words left out, mixed families) and on a bounded sample of paragraphs of the corpus
 (``NEGATIVES``, picked by hash) that share few pairs with any template. Probabilities are calibrated by temperature on held-out
 variations. A prediction of a family counts if its probability reaches ``SURE`` and one phrase of the family's templates
-is found with at least ``CONTAINED`` of its word pairs; with ``TRACE`` of them it is an unknown licence, with less none.
+is found with at least ``CONTAINED`` of its word pairs (of families confirmed by mostly the same words, as LGPL and GPL, it is
+the one confirmed furthest, with the probabilities of those confirmed less); with ``TRACE`` of them it is an unknown licence, with less none.
 
 Null and empty texts have no paragraph and no licence. Every row is judged by itself, so repeated rows get equal
 results. An empty table gives an empty result. Other columns are ignored.
@@ -16,6 +20,7 @@ results. An empty table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -77,10 +82,16 @@ def features(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def contained(words: np.ndarray, family: int) -> float:
-    """The largest share of a phrase's word pairs, among the family's phrases, that the paragraph holds."""
-    mine = np.unique(_pairs(words))
-    return max(np.isin(_pairs(phrase), mine).mean() for k, phrase in PHRASES if k == family)
+def contained(words: np.ndarray, family: int) -> tuple[float, frozenset[int]]:
+    """The largest share of a phrase's word pairs, among the family's phrases, that the paragraph holds, and where it does."""
+    mine = _pairs(words)
+    share, phrase = max(((np.isin(_pairs(phrase), mine).mean(), phrase) for k, phrase in PHRASES if k == family), key=lambda x: x[0])
+    return float(share), frozenset(np.flatnonzero(np.isin(mine, _pairs(phrase))).tolist())
+
+
+def alike(a: frozenset[int], b: frozenset[int]) -> bool:
+    """Whether most of the word pairs of one match are in the other."""
+    return bool(a) and bool(b) and 2 * len(a & b) >= min(len(a), len(b))
 
 
 @dataclass(frozen=True)
@@ -131,8 +142,8 @@ def train(negatives: list[np.ndarray], seed: int = SEED) -> Model:
     return Model(weights, best, float((model.probabilities(held).argmax(axis=1) == truth).mean()))
 
 
-def judge(model: Model, paragraphs: list[np.ndarray]) -> list[tuple[int, float, float]]:
-    """Family (NONE for none, -1 for unknown), probability, and how far the templates confirm it."""
+def judge(model: Model, paragraphs: list[np.ndarray]) -> list[tuple[int, float, float, frozenset[int]]]:
+    """Family (NONE for none, -1 for unknown), probability, how far the templates confirm it, and by which word pairs."""
     if not paragraphs:
         return []
     chance = model.probabilities(np.array([features(p) for p in paragraphs]))
@@ -140,16 +151,20 @@ def judge(model: Model, paragraphs: list[np.ndarray]) -> list[tuple[int, float,
     for words, row in zip(paragraphs, chance):
         k = int(row.argmax())
         if k == NONE:
-            out.append((NONE, float(row[k]), 0.0))
+            out.append((NONE, float(row[k]), 0.0, frozenset()))
             continue
-        found = contained(words, k)
-        sure = row[k] >= SURE and found >= CONTAINED
-        out.append((k if sure else -1 if found >= TRACE else NONE, float(row[k]), found))
+        all_found = [contained(words, j) for j in range(NONE)]
+        same = [j for j in range(NONE) if j == k or alike(all_found[j][1], all_found[k][1])]
+        k = max(same, key=lambda j: (all_found[j][0], j == k))
+        found, places = all_found[k]
+        sum_of = float(row[k] + sum(row[j] for j in same if all_found[j][0] < found))
+        sure = sum_of >= SURE and found >= CONTAINED
+        out.append((k if sure else -1 if found >= TRACE else NONE, sum_of, found, places))
     return out
 
 
-def paragraphs(column: pa.Array) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """Row, line, number of the window and words, of those that hold two words or more of the templates.
+def paragraphs(column: pa.Array) -> Iterator[tuple[int, int, int, int, int, np.ndarray]]:
+    """Row, first line, last line, number of the window, place of its first word and words, of those that hold two words or more of the templates.
 
     The others hold no pair of the templates, so nothing could confirm a family for them.
     """
@@ -160,19 +175,39 @@ def paragraphs(column: pa.Array) -> Iterator[tuple[int, int, int, np.ndarray]]:
     if not len(hashes):
         return
     known = np.isin(hashes, VOCABULARY)
-    line = np.searchsorted(np.flatnonzero(data == 10), begins)
+    breaks = np.flatnonzero(data == 10)
     row = np.repeat(np.arange(len(column)), np.diff(first))
-    cuts = np.flatnonzero((line[1:] != line[:-1]) | (row[1:] != row[:-1])) + 1
-    starts, stops = np.append(0, cuts), np.append(cuts, len(hashes))
+    line = np.searchsorted(breaks, begins) - np.searchsorted(breaks, offsets)[row]
     sums = np.append(0, np.cumsum(known))
-    base = np.searchsorted(np.flatnonzero(data == 10), offsets)
-    for k in np.flatnonzero(sums[stops] - sums[starts] >= 2).tolist():
-        a, b = int(starts[k]), int(stops[k])
-        places = [a] if b - a <= WINDOW else [*range(a, b - WINDOW // 2, WINDOW // 2)]
-        for w, at in enumerate(places):
-            end = min(at + WINDOW, b)
-            if sums[end] - sums[at] >= 2:
-                yield int(row[a]), int(line[a] - base[row[a]]), w, hashes[at:end]
+    other, step = row[1:] != row[:-1], np.diff(line)
+    for wrapped, cut in ((False, other | (step != 0)), (True, other | (step > 1))):
+        cuts = np.flatnonzero(cut) + 1
+        starts, stops = np.append(0, cuts), np.append(cuts, len(hashes))
+        for k in np.flatnonzero(sums[stops] - sums[starts] >= 2).tolist():
+            a, b = int(starts[k]), int(stops[k])
+            places = [a] if b - a <= WINDOW else [*range(a, b - WINDOW // 2, WINDOW // 2)]
+            for w, at in enumerate(places):
+                end = min(at + WINDOW, b)
+                if sums[end] - sums[at] >= 2 and not (wrapped and line[at] == line[end - 1]):
+                    yield int(row[at]), int(line[at]), int(line[end - 1]), w, at, hashes[at:end]
+
+
+def settled(found: list[dict]) -> list[dict]:
+    """Of one row, in order: families, and unknown licences whose lines hold no family, nor an unknown licence of one line if they are several.
+
+    Of two families confirmed by mostly the same words (one from a part that begins or ends inside the notice), the one confirmed further stays.
+    """
+    families = sorted((f for f in found if f["family"] != "unknown"), key=lambda f: min(f["places"]))
+    lost = set()
+    for i, f in enumerate(families):
+        for g in itertools.takewhile(lambda g: min(g["places"]) < min(f["places"]) + WINDOW, itertools.islice(families, i + 1, None)):
+            if f["family"] != g["family"] and f["contained"] != g["contained"] and alike(f["places"], g["places"]):
+                lost.add(id(min(f, g, key=lambda x: x["contained"])))
+    found = [f for f in found if id(f) not in lost]
+    sure = {line for f in found if f["family"] != "unknown" for line in range(f["line"], f["last"] + 1)}
+    single = {f["line"] for f in found if f["line"] == f["last"]}
+    keep = lambda f: f["family"] != "unknown" or not any(n in sure or (f["line"] < f["last"] and n in single) for n in range(f["line"], f["last"] + 1))
+    return sorted(filter(keep, found), key=lambda f: (f["line"], f["last"], f["window"]))
 
 
 def _negatives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,15 +240,16 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = NEGATIVES) -> Mod
 
 
 def _scanned(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    kind = pa.list_(pa.struct([("line", pa.int32()), ("window", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("contained", pa.float64())]))
+    kind = pa.list_(pa.struct([("line", pa.int32()), ("last", pa.int32()), ("window", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("contained", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             parts = list(paragraphs(batch.column("_text")))
-            for (row, line, window, _), (family, chance, share) in zip(parts, judge(model, [p[3] for p in parts])):
+            for (row, line, last, window, at, _), (family, chance, share, places) in zip(parts, judge(model, [p[-1] for p in parts])):
                 if family != NONE:
-                    found[row].append({"line": line, "window": window, "family": FAMILIES[family] if family >= 0 else "unknown", "probability": chance, "contained": share})
+                    found[row].append({"line": line, "last": last, "window": window, "family": FAMILIES[family] if family >= 0 else "unknown", "probability": chance, "contained": share, "places": frozenset(at + p for p in places)})
+            found = [[{k: v for k, v in f.items() if k != "places"} for f in settled(rows)] for rows in found]
             families = [",".join(sorted({f["family"] for f in rows} - {"unknown"})) for rows in found]
             unknown = pa.array([sum(f["family"] == "unknown" for f in rows) for rows in found], pa.int64())
             digests = pa.array([hashlib.md5(",".join(f"{f['line']}:{f['window']}:{f['family']}" for f in rows).encode()).hexdigest() for rows in found])
@@ -223,8 +259,8 @@ def _scanned(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """Per row: ``doc_id, families`` (comma-joined), ``n_unknown, notices_md5`` and ``notices`` (line, window, family, probability, contained)."""
+    """Per row: ``doc_id, families`` (comma-joined), ``n_unknown, notices_md5`` and ``notices`` (line, last line, window, family, probability, contained)."""
     model = model or fit(docs, text_col)
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = own.schema["_id"].dataType.simpleString()
-    return own.mapInArrow(_scanned(model), f"doc_id {kind}, families string, n_unknown bigint, notices_md5 string, notices array<struct<line:int,window:int,family:string,probability:double,contained:double>>")
+    return own.mapInArrow(_scanned(model), f"doc_id {kind}, families string, n_unknown bigint, notices_md5 string, notices array<struct<line:int,last:int,window:int,family:string,probability:double,contained:double>>")

@@ -252,6 +252,26 @@ def test_licences(spark, docs, awkward, empty):
     assert licences.scan(awkward, model=model).count() == 12 and licences.scan(empty).count() == 0
 
 
+def test_wrapped_licences(spark, docs):
+    model = licences.fit(docs)
+    gnu = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU %sGeneral Public License as published by\n# the Free Software Foundation, either version %s of the License, or\n# (at your option) any later version."
+    notices = {"GPL-3.0": gnu % ("", "3"), "GPL-2.0": gnu % ("", "2"), "LGPL": gnu % ("Lesser ", "3"), "AGPL-3.0": gnu % ("Affero ", "3"),
+               "Apache-2.0": " * Licensed under the Apache\n * License, Version 2.0 (the \"License\");", "MIT": "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation",
+               "BSD": "Redistribution and use in source and binary forms,\r\nwith or without modification, are permitted provided", "MPL-2.0": "// This Source Code Form is subject to the terms\n// of the Mozilla Public License, v. 2.0.",
+               "CC-BY-4.0": "This work is licensed under a Creative Commons\nAttribution 4.0 International License.", "CC-BY-SA-4.0": "Licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.",
+               "CC-BY-NC-4.0": "Licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License.", "CC0-1.0": "Dedicated to the\npublic domain\nunder CC0 1.0.", "Proprietary": "All rights reserved. No part\nof this work may be reproduced."}
+    assert set(notices) == set(licences.FAMILIES)
+    pad = "\n".join(["thon eratsh whou"] * 30)
+    rows = [(k, t) for k, t in notices.items()] + [(f"{k} in a long paragraph", f"{pad}\n{t}\n{pad}") for k, t in notices.items()]
+    rows.insert(0, ("LGPL at a break", "modify it under the terms of the GNU Lesser\nGeneral Public License as published by the Free Software Foundation, either version 3\nof the License"))
+    rows.append(("two", "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."))
+    rows.append(("apart", "Licensed under the Apache\n\nLicense, Version 2.0"))
+    got = {r["doc_id"]: (r["families"], r["n_unknown"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id string, text string"), model=model).collect()}
+    want = {k: (k.split(" ")[0], 0) for k, _ in rows[:-2]}
+    assert {k: got[k] for k in want} == want
+    assert got["two"] == ("Apache-2.0,MIT", 0) and got["apart"][0] == ""
+
+
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
