@@ -1,15 +1,14 @@
 """Masked pseudo-likelihood: a window network that predicts every word from both sides.
 
-Words (runs without ASCII white space, A-Z lowered) are counted over the whole corpus in 2^18 hash buckets. The
-``HEADS`` most frequent buckets are classes of their own, all others fall into ``TAILS`` classes by hash.
-The network sees the classes of the two words before and the two after (a class of its own stands for the
-text's edges), adds up one embedding for each place, takes tanh, and gives a distribution over the classes of
-the word between. The chance of a word is that of its class times its bucket's share of the class. A text's
-score is the sum of the log chances of all its words, each given all others.
-
-Counts are summed per task and bucket before they are shuffled. Training reads every document: each task runs
+Words are runs without ASCII white space, A-Z lowered. ``score`` counts them exactly and trains the network of
+``word_network``, whose vocabulary grows with the corpus: frequent words have an input and an output each, and the two words before and
+the two after decide both the class and the word within it. A text's score is the sum of the log chances of all its
+words, each given all others. The class network in this module (2^18 buckets, ``HEADS`` classes of one bucket and
+``TAILS`` by hash) is no longer used by ``score``; its tests hold it.
+
+Counts are summed per slice of a task before they are shuffled. Training reads every document: each task runs
 minibatch gradient descent over the documents of its partition from one common start, and the tasks' weights
-are averaged by words; the sums travel in fixed-size rows. ``EPOCHS`` rounds follow one another. Weights depend on how
+are averaged, a word's by how often each task met it; the sums travel in fixed-size rows. ``EPOCHS`` rounds follow one another. Weights depend on how
 the table is dealt to tasks, as any averaged training does; for a given layout reruns agree.
 
 Null and empty texts have no word, score 0 and no mean. Rows are scored by themselves, so repeated rows get
@@ -25,7 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from codeloom.llm import word_network
 from codeloom.llm.common import slices, words
+from codeloom.session import persist_table
 
 BUCKETS, HEADS, TAILS, SIDE, HIDDEN = 1 << 18, 48, 16, 2, 16
 CLASSES = HEADS + TAILS
@@ -166,21 +167,10 @@ def log_chances(network: Network, vocab: Vocabulary, hashes: np.ndarray, first:
     return out + vocab.log_share[bucket]
 
 
-def _scored(network: Network, vocab: Vocabulary) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            hashes, first = words(batch.column("_text"))
-            sums = np.append(0, np.cumsum(log_chances(network, vocab, hashes, first)))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(np.diff(first)), pa.array(np.diff(sums[first]))], ["doc_id", "n_words", "log_likelihood"])
-
-    return run
-
-
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", epochs: int = EPOCHS) -> DataFrame:
     """Per row: ``doc_id, n_words, log_likelihood, mean_log_likelihood``."""
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    vocab = vocabulary(own.select("_text"))
-    network = train(own.select("_text"), vocab, epochs)
-    kind = own.schema["_id"].dataType.simpleString()
-    scored = own.mapInArrow(_scored(network, vocab), f"doc_id {kind}, n_words bigint, log_likelihood double")
+    counts = persist_table(word_network.counted(own.select("_text")), "word_counts")
+    net = word_network.train(own.select("_text"), word_network.modelled(counts), epochs)
+    scored = word_network.score(own, counts, net)
     return scored.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from codeloom.llm import common, decontaminate, licences, line_dedup, maxscore, mixing, near_dups, pii_crf, pseudo_likelihood, resampling, token_files
+from codeloom.llm import common, decontaminate, licences, line_dedup, maxscore, mixing, near_dups, pii_crf, pseudo_likelihood, resampling, token_files, word_network
 from codeloom.session import table
 
 SF = "/root/testdata/sf0.001"
@@ -229,6 +229,58 @@ def test_pseudo_likelihood(spark, docs, awkward, empty):
     assert mean(network) > mean(pseudo_likelihood.Network.start())
 
 
+def test_words_from_context(spark):
+    rng = np.random.default_rng(3)
+
+    def text():  # 900 words in 300 chains: which word follows depends on the word before, not on any class of it
+        return " ".join(f"{c}a {c}b {c}c" for c in (f"w{k}" for k in rng.integers(0, 300, 100)))
+
+    def shuffled(t):
+        return " ".join(rng.permutation(t.split()))
+
+    train = spark.createDataFrame([(i, text()) for i in range(800)], "_id long, _text string").repartition(2).cache()
+    counts = word_network.counted(train.select("_text"))
+    known = word_network.modelled(counts)
+    assert known.n == 900 and known.total == 240_000
+    net = word_network.train(train.select("_text"), known, 2)
+    held = [text() for _ in range(40)]
+
+    def mean(some, n=net):
+        hashes, first = common.words(pa.array(some))
+        return word_network.log_chances(n, known.ids(hashes), first).mean()
+
+    unigram = mean(held, word_network.Net.start(known))
+    assert unigram == pytest.approx(-np.log(900), abs=0.05)
+    assert mean(held) > unigram + 1 and mean(held) > mean([shuffled(t) for t in held]) + 1
+
+
+def test_scores_of_words(spark, monkeypatch):
+    monkeypatch.setattr(word_network, "LEAST", 3)
+    monkeypatch.setattr(word_network, "GROWTH", 0)
+    rows = [(1, "a b a c a b d e"), (2, None), (3, ""), (None, "a d b e"), (1, "a b a c a b d e"), (4, "q q c")]
+    own = spark.createDataFrame(rows, "_id long, _text string")
+    counts = word_network.counted(own.select("_text"))
+    known = word_network.modelled(counts)
+    n = Counter(w for _, t in rows if t for w in t.split())
+    assert known.n == 2 and known.total == sum(n.values())  # a and b; c, d and e are equally frequent
+    net = word_network.train(own.select("_text"), known)
+    got = sorted((str(r["doc_id"]), r["n_words"], round(r["log_likelihood"], 6)) for r in word_network.score(own, counts, net).collect())
+    want = []
+    for i, t in rows:
+        hashes, first = common.words(pa.array([t], pa.string()))
+        ids = known.ids(hashes)
+        rest = sum(v for w, v in n.items() if w not in "ab")
+        value = word_network.log_chances(net, ids, first).sum() + sum(np.log(n[w] / rest) for w in (t or "").split() if w not in "ab")
+        want.append((str(i), len(ids), round(float(value), 6)))
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)] and np.allclose([g[2] for g in got], [w[2] for w in sorted(want)], atol=1e-4)
+    hashes, first = common.words(pa.array([rows[0][1]]))
+    ids = known.ids(hashes)
+    around = word_network.contexts(ids, first, known.n + 1)
+    assert around[0].tolist() == [known.n + 1, known.n + 1, ids[1], ids[2]]
+    chances = sum(np.exp(net.logs(around[:1], np.array([k]))[0]) for k in range(known.n + 1))
+    assert chances == pytest.approx(1, abs=1e-4)  # all words and the rare class
+
+
 def test_gradient():
     net = pseudo_likelihood.Network.of(pseudo_likelihood.Network.start().flat())
     rng = np.random.default_rng(2)
