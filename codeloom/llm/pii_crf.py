@@ -7,7 +7,7 @@ and digits in lower case, the part before an @, or seven digits and more) share
 by an edge, more through one shared node, whose potential is the square root of the edge's (a pair joined through
 it is as if joined by the edge), so evidence at one mention reaches all others alike. Mentions outside patterns
 look alike, so their own evidence counts once at the shared node, not once for each. Weights are trained in numpy by pseudo-likelihood on a bounded sample of
-documents (``TRAIN_DOCS``, picked by hash), with the patterns as labels and the pattern features hidden from a third of
+documents (``TRAIN_DOCS`` at most, picked by a hash of id and text, the first ``TRAIN_CHARS`` characters of each), with the patterns as labels and the pattern features hidden from a third of
 the nodes; skip potentials are drawn towards ``AGREE`` for equal labels, as few samples hold repeats. Loopy message passing gives each node's marginals; a message is sent again until no message before it
 moves by ``STILL`` (``SETTLE`` rounds and ``PER_LINK`` more for each node of the longest chain at most). A node outside all pattern spans whose
 label reaches ``SURE`` becomes a span. Pattern spans are never changed.
@@ -30,6 +30,7 @@ from codeloom.llm.common import flat, slices
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS, ROUNDS, STEP, DECAY, NEAR, SURE, SEED, AGREE = 4000, 300, 0.5, 1e-4, 40, 0.9, 31, 4.0
+TRAIN_CHARS = 32_768
 STILL, SETTLE, PER_LINK = 1e-4, 200, 4
 
 # The patterns that define the base spans.
@@ -249,12 +250,19 @@ def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([train(graph).ravel()], pa.list_(pa.float64()))], ["weights"])
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample: int = TRAIN_DOCS) -> np.ndarray:
-    """Weights, trained in one task on a sample of about ``sample`` texts with a digit or an @."""
-    texts = docs.select(F.col(text_col).alias("_text")).where(F.col("_text").rlike("[0-9@]"))
+def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = TRAIN_DOCS) -> DataFrame:
+    """``_text`` of at most ``sample`` rows with a digit or an @; copies of a text are picked one by one."""
+    part = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30))
+    texts = docs.select(part.alias("_part"), F.substring(F.col(text_col), 1, TRAIN_CHARS).alias("_text")).where(F.col(text_col).rlike("[0-9@]"))
     rows = texts.count()
-    part = F.pmod(F.xxhash64("_text"), F.lit(1 << 30))
-    some = texts.where(part < int((1 << 30) * sample / rows)) if rows > sample else texts
+    # Twice the share, so that the limit is reached; it holds too where many rows have one id and text.
+    some = texts.where(F.col("_part") < int((1 << 30) * 2 * sample / rows)) if rows > 2 * sample else texts
+    return some.orderBy("_part", "_text").limit(sample).select("_text")
+
+
+def fit(docs: DataFrame, text_col: str = "text", sample: int = TRAIN_DOCS, id_col: str = "doc_id") -> np.ndarray:
+    """Weights, trained in one task on a sample of at most ``sample`` texts with a digit or an @."""
+    some = sampled(docs, id_col, text_col, sample)
     row = some.repartition(1).mapInArrow(_trained, "weights array<double>").first()
     return np.array(row["weights"]).reshape(-1, LABELS) if row else train(Graph())
 
@@ -284,7 +292,7 @@ def _found(weights: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: np.ndarray | None = None) -> DataFrame:
     """Per row: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` and ``found``, the spans as structs."""
-    weights = fit(docs, text_col) if weights is None else weights
+    weights = fit(docs, text_col, id_col=id_col) if weights is None else weights
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     counts = ", ".join(f"n_{k} bigint" for k in KINDS)
     kind = own.schema["_id"].dataType.simpleString()

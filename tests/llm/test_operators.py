@@ -382,6 +382,16 @@ def test_evidence_reaches_every_repeat():
             assert np.ptp([c[4] for (_, a, b), c in zip(graph.spans[3:], chance[3:]) if text[a:b] == "555-4393"]) < 1e-2
 
 
+def test_training_sample_is_bounded(spark):
+    rows = [(1, "call 555-4393")] * 300 + [(i, "mail a@b.org") for i in range(300)] + [(i, "9 " * 40_000) for i in range(1000, 1010)] + [(i, "none") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for sample in (20, 200, 5000):
+        texts = [r["_text"] for r in pii_crf.sampled(frame, sample=sample).collect()]
+        assert len(texts) <= sample and (len(texts) == 610 or sample < 610) and "none" not in texts and max(map(len, texts)) <= pii_crf.TRAIN_CHARS
+    copies = spark.createDataFrame([(i, "mail a@b.org") for i in range(2000)], "doc_id long, text string")
+    assert pii_crf.sampled(copies, sample=100).count() == 100  # of one text's copies a share is picked, not all or none
+
+
 def test_messages_settle_on_a_long_chain():
     rng = np.random.default_rng(5)
     weights = np.zeros((pii_crf.FEATURES + 2 * pii_crf.LABELS, pii_crf.LABELS))
