@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeloom.llm import decontaminate as _decontaminate
+from codeloom.llm import filter_audit as _filter_audit
 from codeloom.llm import licences as _licences
 from codeloom.llm import line_dedup as _line_dedup
 from codeloom.llm import maxscore as _maxscore
@@ -163,3 +164,28 @@ def pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 def licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence families of every document."""
     return _licences.scan(table(spark, sf_dir, "documents")).drop("notices")
+
+
+_AUDIT_SQL = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels where doc_id is not null group by doc_id),
+f as (select r, part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+        concat(case when len(w) < 50 then 'A' else '' end, case when 100 * len(list_distinct(w)) < 65 * len(w) then 'B' else '' end,
+               case when 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) then 'C' else '' end, case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end,
+               case when d.doc_id > min(d.doc_id) over (partition by t) then 'E' else '' end) as fails
+      from d left join l on d.doc_id = l.doc_id),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (select a.x || b.x || c.x || e.x || g.x as filter_order from x a, x b, x c, x e, x g where a.x <> b.x and a.x <> c.x and a.x <> e.x and a.x <> g.x and b.x <> c.x and b.x <> e.x and b.x <> g.x and c.x <> e.x and c.x <> g.x and e.x <> g.x),
+s as (select filter_order, step, filter_order[step] as letter from o, (select unnest(range(1, 6))::int as step)),
+h as (select f.*, filter_order, step, letter, least(case when contains(fails, filter_order[1]) then 1 else 9 end, case when contains(fails, filter_order[2]) then 2 else 9 end,
+        case when contains(fails, filter_order[3]) then 3 else 9 end, case when contains(fails, filter_order[4]) then 4 else 9 end, case when contains(fails, filter_order[5]) then 5 else 9 end) as gone from f, s),
+c as (select part, filter_order, step, letter, count(*) filter (gone > step) as kept, count(*) filter (gone = step) as removed, count(*) filter (gone < step and contains(fails, letter)) as redundant,
+        count(*) filter (fails = letter) as unique_fails, count(*) filter (gone = step and good) as good_lost, count(*) filter (gone = step and toxic) as toxic_lost from h group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) over (partition by part, letter) as bigint) as shapley from c
+"""
+
+
+@query("op13_filter_audit", _AUDIT_SQL)
+def filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source, order of the five filters, and step."""
+    return _filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
