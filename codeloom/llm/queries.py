@@ -14,10 +14,11 @@ from codeloom.llm import mixing as _mixing
 from codeloom.llm import near_dups as _near_dups
 from codeloom.llm import pii_crf as _pii_crf
 from codeloom.llm import pseudo_likelihood as _pseudo_likelihood
+from codeloom.llm import reply_trees as _reply_trees
 from codeloom.llm import resampling as _resampling
 from codeloom.llm import token_files as _token_files
 from codeloom.llm.registry import MODULES, ORACLES, QUERIES, query
-from codeloom.session import table
+from codeloom.session import persist_table, table
 
 __all__ = ["MODULES", "ORACLES", "QUERIES"]
 
@@ -189,3 +190,28 @@ select part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 def filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source, order of the five filters, and step."""
     return _filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: A conversation whose texts hold the template's own marks.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+_CHAT_SQL = rf"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select -7, 0, 'user', '{CONTROL_TEXT}' union all select -7, 1, 'assistant', '{CONTROL_TEXT}'),
+e as (select *, replace(replace(replace(text, '\', '\\'), '### ', '#\## '), '</turn>', '<\/turn>') as body,
+             replace(replace(replace(replace(role, '\', '\\'), '### ', '#\## '), '</turn>', '<\/turn>'), ': ', ':\ ') as head from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(length('### ' || head || ': ' || body || '</turn>' || chr(10)))::bigint as formatted_chars
+from e group by conv_id
+"""
+
+
+@query("op12_reply_trees", _CHAT_SQL)
+def reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, formatted, written and read back."""
+    said = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    marks = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    messages = _reply_trees.chain(said.unionByName(marks), "conv_id", "turn")
+    written = persist_table(_reply_trees.conversations(_reply_trees.paths(messages)), "conversations")
+    return _reply_trees.read_back(written).withColumnRenamed("tree", "conv_id")
