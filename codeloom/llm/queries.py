@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeloom.llm import decontaminate as _decontaminate
 from codeloom.llm import filter_audit as _filter_audit
+from codeloom.llm import lexical_search as _lexical_search
 from codeloom.llm import licences as _licences
 from codeloom.llm import line_dedup as _line_dedup
 from codeloom.llm import maxscore as _maxscore
@@ -215,3 +216,21 @@ def reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = _reply_trees.chain(said.unionByName(marks), "conv_id", "turn")
     written = persist_table(_reply_trees.conversations(_reply_trees.paths(messages)), "conversations")
     return _reply_trees.read_back(written).withColumnRenamed("tree", "conv_id")
+
+
+_RANKED_SQL = rf"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+q as (select distinct item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark where item_id is not null),
+n as (select count(*)::bigint as n, sum(len(w))::bigint as l from d where len(w) > 0),
+p as (select r, doc_id, len(w)::bigint as n, t, count(*)::bigint as tf from (select r, doc_id, w, unnest(w) as t from d) group by all),
+f as (select t, floor(1000 * ln((2 * n.n + 2)::double / (2 * count(*) + 1)::double))::bigint as wt from p, n group by t, n.n),
+s as (select item_id, r, doc_id, sum(wt * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * p.n * n.n) // n.l))))::bigint as score from q join p using (t) join f using (t), n group by all),
+k as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from s where score > 0)
+select item_id, rank::int as rank, doc_id, score from k where rank <= 10
+"""
+
+
+@query("op11_lexical_search", _RANKED_SQL)
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best documents of every benchmark item."""
+    return _lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
