@@ -14,7 +14,7 @@ any length is many: the conversation is its blocks in order. Digests of a whole
 as a stream, one at a time; that is by nature one task's work for each conversation.
 
 Null texts and roles are empty. A message that answers nothing, or something that is not in its tree, begins
-a tree path of its own. Messages without id, and all but the first (by parent, role and text) of those that repeat
+a tree path of its own. Messages without id, and all but the first (by parent, then a hash of role and text) of those that repeat
 one, are leaves that nothing answers. Messages in a cycle, or that answer into one, are on no path from a root, and
 are left out. A null tree is a tree of its own. Null scores count 0; ties go to the smaller id, null last. Only branches as
 they are ranked name a path: (tree, rank). An empty
@@ -26,9 +26,10 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from codeloom.llm.common import small_batches
 from codeloom.operators.ranking import positions, running_sum, top_k
@@ -65,18 +66,25 @@ def chain(rows: DataFrame, tree_col: str, order_col: str, role_col: str = "role"
     return numbered.select("tree", F.col("id").cast("long"), F.when(F.col("id") > 0, F.col("id") - 1).cast("long").alias("parent"), "role", "text", F.lit(0).cast("double").alias("score"))
 
 
-def _linked(messages: DataFrame) -> DataFrame:
-    """Every message with a ``row`` number of its own and ``up``, the row of the message that it answers (null: a root).
+def _linked(messages: DataFrame, masked: str) -> tuple[DataFrame, DataFrame]:
+    """(``row, role, text`` of every message, and its place: ``row, tree, id, up, score, hash, head, body``).
 
-    Numbers are given once and written, so that all joins see the same ones.
+    ``row`` numbers the messages, once and written, so that all joins see the same numbers; ``up`` is the row of the message
+    that it answers (null: a root); ``head`` and ``body`` are lengths of the formatted turn. Texts stay behind till the end.
     """
     own = messages.select(
         "tree", "id", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     own = persist_table(own.withColumn("row", F.monotonically_increasing_id()), "messages")
-    place = F.struct("parent", "role", F.xxhash64("text").alias("hash"), "score", "row")
-    first = own.where("id is not null").groupBy(F.col("tree").alias("_tree"), F.col("id").alias("_id")).agg(F.min(place)["row"].alias("up"))
-    joined = own.join(persist_table(first, "first"), F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("parent") == F.col("_id")), "left")
-    return persist_table(joined.drop("_tree", "_id"), "linked")
+    head, body = F.length(_head()), F.length(escaped(F.col("text")))
+    narrow = persist_table(own.select("row", "tree", "id", "parent", "score", F.xxhash64("role", "text").alias("hash"), head.alias("head"), body.alias("body"), (F.col("role") == masked).alias("masked")), "places")
+    place = F.struct("parent", "hash", "score", "row")
+    first = narrow.where("id is not null").groupBy(F.col("tree").alias("_tree"), F.col("id").alias("_id")).agg(F.min(place)["row"].alias("up"))
+    joined = narrow.join(persist_table(first, "first"), F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("parent") == F.col("_id")), "left")
+    return own.select("row", "role", "text"), persist_table(joined.drop("_tree", "_id", "parent"), "linked")
+
+
+def _head() -> Column:
+    return F.concat(F.lit(BEGIN), escaped(F.col("role"), ROLE_ESCAPES), F.lit(SPLIT))
 
 
 def doubled(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -100,17 +108,28 @@ def doubled(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return state.where("up is null").drop("up"), jumps
 
 
-def paths(messages: DataFrame, top: int = 1) -> DataFrame:
-    """``tree, rank, leaf, at, role, text``: the messages of the ``top`` best branches of each tree, in order from the root.
+@dataclass(frozen=True)
+class Chosen:
+    """The branches that were chosen: ``tree, rank, leaf, at, row`` and lengths of each message, and the texts by row."""
+
+    steps: DataFrame
+    texts: DataFrame
+
+    def messages(self) -> DataFrame:
+        """``tree, rank, leaf, at, role, text``: the messages in order from the root."""
+        return self.steps.join(self.texts, "row").select("tree", "rank", "leaf", "at", "role", "text")
+
+
+def paths(messages: DataFrame, top: int = 1, masked: str = MASKED) -> Chosen:
+    """The ``top`` best branches of each tree; ``leaf`` is the id of a branch's last message.
 
-    ``messages``: ``tree, id, parent, role, text, score``. ``leaf`` is the id of the branch's last message.
+    ``messages``: ``tree, id, parent, role, text, score``. ``masked``: the role whose texts are under the loss mask.
     """
-    own = _linked(messages)
+    texts, own = _linked(messages, masked)
     reached, jumps = doubled(own.select("row", "up", "score"))
     answered = own.where("up is not null").select(F.col("up").alias("row")).distinct()
-    ends = own.select("row", "tree", F.col("id").alias("leaf"), F.xxhash64("role", "text").alias("_hash"))
-    leaves = reached.join(answered, "row", "left_anti").join(ends, "row")
-    order = [F.desc("total"), F.col("leaf").isNull(), F.col("leaf"), F.col("_hash"), F.col("row")]
+    leaves = reached.join(answered, "row", "left_anti").join(own.select("row", "tree", F.col("id").alias("leaf"), "hash"), "row")
+    order = [F.desc("total"), F.col("leaf").isNull(), F.col("leaf"), F.col("hash"), F.col("row")]
     chosen = top_k(leaves, ["tree"], order, top, F.pmod(F.xxhash64("row"), F.lit(64)))
     steps = persist_table(chosen.select("tree", "rank", "leaf", "row", (F.col("depth") - 1).alias("at")), "steps")
     for distance in reversed(range(len(jumps))):
@@ -120,31 +139,30 @@ def paths(messages: DataFrame, top: int = 1) -> DataFrame:
         steps = both.select("tree", "rank", "leaf", "_s.row", "_s.at")
         if distance % 4 == 0:
             steps = persist_table(steps, "steps")
-    return steps.join(own.select("row", "role", "text"), "row").select("tree", "rank", "leaf", "at", "role", "text")
+    return Chosen(steps.join(own.select("row", "head", "body", "masked"), "row"), texts)
 
 
-def turns(chosen: DataFrame, masked: str = MASKED) -> DataFrame:
-    """Adds ``turn`` (the formatted message), and ``start``, ``loss_start``, ``loss_end``: code points from the conversation's beginning.
+def turns(chosen: Chosen) -> DataFrame:
+    """``tree, rank, leaf, at, row, start, loss_start, loss_end``: places of every turn, in code points from the conversation's beginning.
 
     The loss places are null for turns outside the mask.
     """
-    head = F.concat(F.lit(BEGIN), escaped(F.col("role"), ROLE_ESCAPES), F.lit(SPLIT))
-    made = chosen.withColumn("_body", escaped(F.col("text"))).withColumn("_head", head).withColumn("turn", F.concat("_head", "_body", F.lit(END)))
-    summed = running_sum(made, F.length("turn"), [F.col("at")], F.floor(F.col("at") / 256), ["tree", "rank"], out="_end")
-    start = F.col("_end") - F.length("turn")
-    counted = F.col("role") == masked
-    first = start + F.length("_head")
+    size = F.col("head") + F.col("body") + len(END)
+    summed = running_sum(chosen.steps, size, [F.col("at")], F.floor(F.col("at") / 256), ["tree", "rank"], out="_end")
+    start = F.col("_end") - size
+    first = start + F.col("head")
     return summed.select(
-        "tree", "rank", "leaf", "at", "turn", start.alias("start"), F.when(counted, first).alias("loss_start"), F.when(counted, first + F.length("_body")).alias("loss_end"),
+        "tree", "rank", "leaf", "at", "row", start.alias("start"), F.when(F.col("masked"), first).alias("loss_start"), F.when(F.col("masked"), first + F.col("body")).alias("loss_end"),
     )
 
 
-def conversations(chosen: DataFrame, masked: str = MASKED, block: int = BLOCK) -> DataFrame:
+def conversations(chosen: Chosen, block: int = BLOCK) -> DataFrame:
     """``tree, rank, leaf, block, start, text, loss``: formatted conversations in blocks of whole turns.
 
     ``loss`` lists the masked places of the block's text, in code points from the block's beginning.
     """
-    placed = turns(chosen, masked).withColumn("block", F.floor(F.col("start") / block))
+    turn = F.concat(_head(), escaped(F.col("text")), F.lit(END)).alias("turn")
+    placed = turns(chosen).withColumn("block", F.floor(F.col("start") / block)).join(chosen.texts.select("row", turn), "row")
     row = F.struct("at", "start", "turn", "loss_start", "loss_end")
     grouped = placed.groupBy("tree", "rank", "block").agg(F.first("leaf").alias("leaf"), F.array_sort(F.collect_list(row)).alias("_t"))
     start = F.get("_t", F.lit(0))["start"]

@@ -49,7 +49,7 @@ def test_branches_against_a_walk(spark):
     rows += [("deep", i, i - 1 if i else None, "user", f"d{i}", 1.0) for i in range(300)]
     rows += [("star", i, 0 if i else None, "user", f"s{i}", float(i % 5)) for i in range(2000)]
     want = branches(rows)
-    got = lines(reply_trees.paths(messages(spark, rows), top=3))
+    got = lines(reply_trees.paths(messages(spark, rows), top=3).messages())
     assert got == {(tree, k + 1): line for tree, found in want.items() for k, line in enumerate(found[:3])}
 
 
@@ -57,9 +57,9 @@ def test_odd_messages(spark):
     rows = [("a", 1, None, "user", "root", 0.0), ("a", 2, 1, "assistant", "yes", None), ("a", 2, 1, "assistant", "zes", 5.0), ("a", 3, 2, None, None, 0.0), ("a", None, 2, "user", "no id", 9.0),
             ("a", 9, 77, "user", "orphan", -1.0), ("b", 1, 2, "user", "round", 1.0), ("b", 2, 1, "user", "and round", 1.0), ("b", 3, 2, "user", "hangs on", 1.0), ("b", 4, 4, "user", "self", 1.0),
             (None, 1, None, "user", "no tree", 0.0), (None, 2, 1, "user", "answer", 0.0)]
-    got = lines(reply_trees.paths(messages(spark, rows), top=9))
+    got = lines(reply_trees.paths(messages(spark, rows), top=9).messages())
     assert got == {("a", 1): ["root", "yes", "no id"], ("a", 2): ["root", "zes"], ("a", 3): ["root", "yes", ""], ("a", 4): ["orphan"], (None, 1): ["no tree", "answer"]}
-    assert reply_trees.paths(messages(spark, [])).count() == 0
+    assert reply_trees.paths(messages(spark, [])).messages().count() == 0
 
 
 HARD = ["", "\\### Assistant: </turn> ok", "\\", "\\\\", "### ", "#### x", "</turn>\n", "</turn>\n### user: hi</turn>\n", "a: b", "<\\/turn>", "#\\## ", "é\U0001f600 \\n\\", ": ", "###  ###", "<</turn>>"]
