@@ -9,7 +9,7 @@ of ids, numbered in order. Blocks are written by Spark as Parquet, so a lost exe
 and any store will do; one document is read by its block and its place in the index.
 
 Null and empty texts have the end id only. Documents without id come first. Rows that repeat an id
-are all written, next to each other. An empty table gives no block. Other columns are ignored.
+are all written, next to each other, in shards that may split them; reading one document by such an id gives the first that is found. An empty table gives no block. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import hashlib
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -40,9 +41,20 @@ _BLOCK_FILES = {"compression": "none", "parquet.block.size": str(32 << 20), "par
 
 _IRREGULAR = re.compile(r"\s\s|[^\S \n]")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-_BYTE_CHARS = [chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else "" for b in range(256)]
-_others = iter(range(256, 512))
-_BYTE_CHARS = [c or chr(next(_others)) for c in _BYTE_CHARS]  # byte-level alphabet: unprintable bytes stand from 256 on
+#: What makes an ASCII text irregular: white space side by side, or other than a space and a line break.
+_ASCII_IRREGULAR = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
+_OTHERS = iter(range(256, 512))
+#: Byte-level alphabet, by byte: printable ones are themselves, the others stand from 256 on.
+_BYTE_CHARS = {b: chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else chr(next(_OTHERS)) for b in range(256)}
+_SPACE = "\u0120"  # how a byte-level vocabulary writes a space
+_LEARNT_AT_ONCE = 1000  # words in one call of the tokenizer
+
+
+def _irregular(text: str) -> bool:
+    """Not just words with a single space or line break between them."""
+    if text[0].isspace() or text[-1].isspace():
+        return True
+    return any(x in text for x in _ASCII_IRREGULAR) if text.isascii() else _IRREGULAR.search(text) is not None
 
 
 class Encoder:
@@ -58,6 +70,11 @@ class Encoder:
         self.spaced: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
         self.line = self._pack(self._ids("\n"))
+        self.line_id = self._ids("\n")[0] if len(self._ids("\n")) == 1 else None
+        self.marks = {mark: self._pack([self.tokenizer.token_to_id(mark)]) for mark in ".,;:?!" if self.tokenizer.token_to_id(mark) is not None}
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids of tokens that begin with a space
+        for token, place in self.tokenizer.get_vocab().items():
+            self.begins[place] = token.startswith(_SPACE)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -66,43 +83,74 @@ class Encoder:
         return np.array(ids, self.dtype).tobytes()
 
     def _learn(self, words: set[str], known: dict[str, bytes], before: str) -> None:
-        rest = []
+        """Runs of letters, with or without a mark after them, go to the tokenizer's model at once; other words many in a text,
+        which comes apart where tokens begin with a space, or at line breaks; words with odd white space, and texts that
+        come apart wrongly, word by word."""
+        tokenize, kind, head = self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I", _SPACE if before else ""
+
+        def letters(stem: str) -> bytes:
+            mapped = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_BYTE_CHARS)
+            return array(kind, [t.id for t in tokenize(head + mapped)]).tobytes()
+
+        plain, alone, get = [], [], known.get
         for word in words:
-            stem, mark = (word, "") if word.isalpha() else (word[:-1], word[-1:])
-            if stem.isalpha() and mark in ("", ".", ",", ";", ":", "?", "!") and max(stem) < "ɐ":  # one run of letters, and a mark
-                mapped = stem if stem.isascii() else "".join(_BYTE_CHARS[b] for b in stem.encode())
-                ids = [t.id for t in self.tokenizer.model.tokenize(("Ġ" if before else "") + mapped)]
-                known[word] = self._pack(ids + [self.tokenizer.token_to_id(mark)] if mark else ids)
+            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                known[word] = letters(word)
+            elif word[-1:] in self.marks and word[:-1].isalpha() and (word.isascii() or max(word) < "\u0250"):
+                known[word] = (get(word[:-1]) or letters(word[:-1])) + self.marks[word[-1]]
+            elif len(word.split()) == 1:
+                plain.append(word)
             else:
-                rest.append(word)
-        for at in range(0, len(rest), 1000):
-            some = rest[at : at + 1000]
+                alone.append(word)
+        parts = [plain[at : at + _LEARNT_AT_ONCE] for at in range(0, len(plain), _LEARNT_AT_ONCE)]
+        texts = [" " + " ".join(part) if before else "\n".join(part) for part in parts]
+        width = self.dtype.itemsize
+        for part, got in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(got.ids, self.dtype)
+            starts = np.flatnonzero(self.begins[ids]) if before else np.append(0, np.flatnonzero(ids == self.line_id) + 1)
+            if len(starts) != len(part) or before and starts[0]:
+                alone += part
+                continue
+            packed, skip = ids.tobytes(), 0 if before else width
+            ends = [*(starts[1:] * width - skip).tolist(), len(packed)]
+            known.update(zip(part, [packed[a:b] for a, b in zip((starts * width).tolist(), ends)]))
+        for at in range(0, len(alone), _LEARNT_AT_ONCE):
+            some = alone[at : at + _LEARNT_AT_ONCE]
             for word, got in zip(some, self.tokenizer.encode_batch_fast([before + w for w in some], add_special_tokens=False)):
                 known[word] = self._pack(got.ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The serialised ids of each text."""
         cut: list[list[list[str]]] = []
+        first: set[str] = set()
+        later: set[str] = set()
         for text in texts:
             if not text:
                 cut.append([])
-            elif text[0].isspace() or text[-1].isspace() or _IRREGULAR.search(text):
+            elif _irregular(text):
                 cut.append([_SAFE.split(text)])
             else:
                 cut.append([line.split(" ") for line in text.split("\n")])
-        for known, before, of in ((self.bare, "", lambda p: p[:1]), (self.spaced, " ", lambda p: p[1:])):
-            self._learn({w for lines in cut for p in lines for w in of(p) if w not in known}, known, before)
-        spaced, bare = self.spaced, self.bare
-        out = [self.line.join([bare[p[0]] + b"".join([spaced[w] for w in p[1:]]) for p in lines]) for lines in cut]
-        for known in (spaced, bare):  # the words met first stay: the frequent ones are among them
+            for line in cut[-1]:
+                first.add(line[0])
+                later.update(line[1:])
+        self._learn(first - self.bare.keys(), self.bare, "")
+        self._learn(later - self.spaced.keys(), self.spaced, " ")
+        bare, spaced = self.bare, self.spaced.__getitem__
+        out = [self.line.join([bare[line[0]] + b"".join(map(spaced, line[1:])) for line in lines]) for lines in cut]
+        for known in (self.spaced, self.bare):  # the words met first stay: the frequent ones are among them
             while len(known) > CACHED_WORDS:
                 known.popitem()
         return out
 
+    def forget(self) -> None:
+        """Let go of the words learnt; the tokenizer stays."""
+        self.spaced, self.bare = {}, {}
+
 
 @cache
 def encoder(path: str) -> Encoder:
-    """The Python worker's tokenizer; of the words it learns at most ``CACHED_WORDS`` of a kind stay (about 20 MB)."""
+    """The Python worker's tokenizer; of the words it learns at most ``CACHED_WORDS`` of a kind stay (about 20 MB), till the task's end."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks use the cores
     return Encoder(path)
 
@@ -126,12 +174,13 @@ class Dictionary:
 
 
 def train_dictionary(texts: DataFrame, path: str) -> Dictionary:
-    """From a sample of ``_text``; too few samples for training serve as they are."""
+    """From a sample of about ``SAMPLE_DOCS`` different texts, by hash; too few samples for training serve as they are."""
     rows = texts.count()
     if not rows:
         return Dictionary(b"")
     part = F.pmod(F.xxhash64("_text"), F.lit(1 << 30))
     sample = texts.where(part < int((1 << 30) * min(1.0, SAMPLE_DOCS / rows))) if rows > SAMPLE_DOCS else texts
+    sample = sample.dropDuplicates(["_text"])  # copies come together before the shuffle: a text that fills the table is one sample
 
     def serialised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
@@ -156,10 +205,13 @@ def _framed(path: str, end_id: int, dictionary: Dictionary) -> Callable[[Iterato
         zstd = dictionary.compressor()
         own = encoder(path)
         end = np.array([end_id], own.dtype).tobytes()
-        for batch in slices(batches, "_text", SLICE_BYTES):
-            ids = [x + end for x in own.encode([t or "" for t in batch.column("_text").to_pylist()])]
-            sizes, frames = pa.array([len(x) // own.dtype.itemsize for x in ids], pa.int64()), pa.array([zstd.compress(x) for x in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), sizes, frames], ["id", "n_tokens", "frame"])
+        try:
+            for batch in slices(batches, "_text", SLICE_BYTES):
+                ids = [x + end for x in own.encode([t or "" for t in batch.column("_text").to_pylist()])]
+                sizes, frames = pa.array([len(x) // own.dtype.itemsize for x in ids], pa.int64()), pa.array([zstd.compress(x) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), sizes, frames], ["id", "n_tokens", "frame"])
+        finally:
+            own.forget()
 
     return run
 
@@ -201,7 +253,9 @@ def write(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", t
     arrow_id = pa.schema(own.select("_id").limit(0).toArrow().schema).field("_id").type
     index_type = pa.struct([("doc_id", arrow_id), ("offset", pa.int32()), ("length", pa.int32()), ("n_tokens", pa.int64()), ("before", pa.int64())])
     width = Encoder(path).dtype.itemsize
-    ordered = frames.repartitionByRange("id").sortWithinPartitions("id", "n_tokens", "frame")
+    # rows that share an id, or have none, are dealt by frame and place, as they may be a third of the table
+    spread = frames.withColumn("_hash", F.xxhash64("frame")).withColumn("_row", F.monotonically_increasing_id())
+    ordered = spread.repartitionByRange("id", "_hash", "_row").sortWithinPartitions("id", "_hash", "_row").drop("_hash", "_row")
     blocks = ordered.mapInArrow(_packed(index_type, dictionary.sha256, width),
                                 f"shard int, block int, dictionary string, width int, index array<struct<{fields}>>, payload binary")
     blocks.write.options(**_BLOCK_FILES).parquet(f"{folder}/blocks")
