@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from codeloom.llm import common, decontaminate, licences, line_dedup, maxscore, mixing, near_dups, pii_crf, pseudo_likelihood, resampling, token_files, word_network
-from codeloom.session import table
+from codeloom.session import persist_table, table
 
 SF = "/root/testdata/sf0.001"
 TOKENS = public_tokenizers.path("byte_bpe_50k.json")
@@ -136,6 +136,28 @@ def test_mix(docs, awkward, empty):
     assert mixing.repeat_documents(awkward).columns == awkward.columns
 
 
+@pytest.mark.parametrize("ids", ["none", "one", "hot"])
+def test_mix_of_rows_in_one_place(spark, ids):
+    """Rows without id, or with one id, and of one size: the mix takes so many that it comes near its target."""
+    text = " ".join("abcdefghij")
+    rows = [({"none": None, "one": 5}.get(ids, k if k % 3 else 7), text, "s") for k in range(100)] + [(1000 + k, f"{text} {k}", "t") for k in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    mixed = mixing.mix(frame, weights=(1, 1)).collect()
+    for size, n in ((10, 100), (11, 30)):
+        own = [r for r in mixed if r["size"] == size]
+        assert len(own) == n and all(r["taken"] in (0, size, 2 * size) for r in own)
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= size / 2 + 1e-6
+    folder = persist_table(frame, "rows")
+    copies = Counter((r["doc_id"], r["text"]) for r in mixing.repeat_documents(folder, weights=(1, 1)).collect())
+    want = Counter()
+    for r in mixed:
+        want[r["doc_id"] if r["size"] == 10 else r["doc_id"], r["size"]] += r["copies"]
+    got = Counter()
+    for (i, t), n in copies.items():
+        got[i, len(t.split())] += n
+    assert got == +want
+
+
 def test_token_files(spark, docs, awkward, empty):
     plain = Tokenizer.from_file(TOKENS)
     for frame in (docs, awkward):
