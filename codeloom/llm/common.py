@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from codeloom.session import persist_table
+
 BROADCAST_ROWS = 1_000_000  # rows of two or three numbers each; beyond it the join is shuffled
 BATCH_BYTES = 4 << 20  # of the rows that travel to Python at a time
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,7 +44,8 @@ def text_hash(text: Column) -> Column:
 
 def without(docs: DataFrame, bad: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` less the rows whose id and text are in ``bad`` (``doc_id, text_hash``; null ids are equal)."""
-    bad = small_side(bad.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct())
+    bad = persist_table(bad.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct(), "left-out")  # counted, then joined
+    bad = small_side(bad)
     return docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]) & (text_hash(docs[text_col]) == bad["_text"]), "left_anti")
 
 

@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from codeloom.llm.common import BROADCAST_ROWS, lowered, text_hash, without
+from codeloom.session import persist_table
 
 WINDOW = 10
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -42,7 +43,7 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
 def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
          block_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per document: ``doc_id, text_hash, n_words, n_hit, n_items, items, spans`` (0-based word ranges, end exclusive)."""
-    found = benchmark_windows(items, window=window).persist()
+    found = persist_table(benchmark_windows(items, window=window), "windows")
     lengths = sorted(r["len"] for r in found.select("len").distinct().collect())  # 1 to ``window``, so a few numbers
     blocks = -(-found.count() // block_rows) or 1
     parts = [found] if blocks == 1 else [found.where(F.pmod("hash", F.lit(blocks)) == k) for k in range(blocks)]
@@ -98,6 +99,6 @@ def remove_spans(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", te
     same = docs[id_col].eqNullSafe(bad["_id"]) & (text_hash(text) == bad["_text"])
     joined = docs.join(bad, same, "left")
     pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
-    left = F.filter(pieces, lambda piece, i: ~F.exists(F.col("_spans"), lambda s: (i >= s["start"]) & (i < s["end"])))
+    left = F.filter(pieces, lambda piece, i: ~F.exists(bad["_spans"], lambda s: (i >= s["start"]) & (i < s["end"])))
     cut = F.concat(F.array_join(left, ""), F.regexp_extract(text, TAIL, 0))
-    return joined.select(*[(F.when(F.col("_spans").isNull(), text).otherwise(cut).alias(c) if c == text_col else docs[c]) for c in docs.columns])
+    return joined.select(*[(F.when(bad["_spans"].isNull(), text).otherwise(cut).alias(c) if c == text_col else docs[c]) for c in docs.columns])

@@ -234,5 +234,5 @@ def _by_pair(rows: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents that are kept, with all their columns; of rows that repeat an id, all or none."""
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small_side(gone), docs[id_col] == F.col("_gone"), "left_anti")
+    gone = small_side(persist_table(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone"))
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -34,6 +34,7 @@ BUCKETS = 1 << 20
 LABELLED = 50_000  # labelled documents that the target model and the border are fitted on, picked by hash
 SMOOTH, SHARPNESS, LOST, SEED = 128.0, 64.0, 0.005, 29
 CELLS, FEW = 1 << 16, 100_000
+SLICE_BYTES = 1_000_000  # of texts cut into n-grams at a time
 
 _KINDS = np.full(256, 1, np.uint8)  # letters
 _KINDS[:128] = 3  # marks
@@ -65,7 +66,7 @@ def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw, target, labelled = (np.zeros(BUCKETS, np.int64) for _ in range(3))
-    for batch in slices(batches, "_text"):
+    for batch in slices(batches, "_text", SLICE_BYTES):
         buckets, rows = ngrams(batch.column("_text"))
         raw += np.bincount(buckets, minlength=BUCKETS)
         good = np.array(batch.column("_good").fill_null(-1))[rows]
@@ -78,7 +79,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _weighed(table: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", SLICE_BYTES):
             buckets, rows = ngrams(batch.column("_text"))
             weight = np.bincount(rows, table[buckets].astype(np.float64), minlength=batch.num_rows)
             counts = np.bincount(rows, minlength=batch.num_rows)

@@ -17,7 +17,7 @@ from codeloom.session import persist_table, table
 
 SF = "/root/testdata/sf0.001"
 TOKENS = public_tokenizers.path("byte_bpe_50k.json")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, key long, _text long, kept string, node long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, key long, _text long, kept string, node long, _gone long, _spans string, _bad string, doc string, _whole string, copies long"
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +30,7 @@ def awkward(spark):
     long = " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000))
     texts = [(1, long), (2, None), (3, ""), (4, " \n\t"), (None, "a b c d e f g"), (5, "a b c d e f g"), (5, "a b c d e f g"), (6, "A b c\nd e f g"), (None, None),
              (7, "call +1 (375) 555-4393 or me@x.org"), (8, "one"), (9, long + " end")]
-    return spark.createDataFrame([(i, t, None, [None, "s", "é"][k % 3], None, "x", 1, 2, "y", 3) for k, (i, t) in enumerate(texts)], SCHEMA)
+    return spark.createDataFrame([(i, t, None, [None, "s", "é"][k % 3], None, "x", 1, 2, "y", 3, 4, "s", "b", "d", "w", 5) for k, (i, t) in enumerate(texts)], SCHEMA)
 
 
 @pytest.fixture(scope="module")
