@@ -36,6 +36,18 @@ def compat_violations(resolved: DataFrame, compat: DataFrame) -> DataFrame:
     return typed.join(compat, ["role", "declared", "usage"], "left_anti")
 
 
+def seen_nowhere_else(resolved: DataFrame) -> DataFrame:
+    """Typed uses of declared variables whose (role, declared, usage) no other program has.
+
+    The relation is learned from all programs; a program is held against what the others show.
+    """
+    typed = resolved.where(F.col("found") & F.col("role").isin(*TYPED) & ~exempt())
+    where = typed.groupBy("role", "declared", "usage").agg(F.min("pid").alias("_a"), F.max("pid").alias("_b"))
+    alone = where.where("_a = _b").drop("_a", "_b")
+    same = [typed[c].eqNullSafe(alone[c]) for c in ("role", "declared", "usage")]
+    return typed.join(alone, same, "left_semi")
+
+
 def unused_variables(declared: DataFrame, used: DataFrame) -> DataFrame:
     return declared.select("pid", "var_id").distinct().join(used.select("pid", "var_id").distinct(), ["pid", "var_id"], "left_anti")
 
@@ -89,14 +101,14 @@ def allowed_calls(calls: DataFrame, allow: DataFrame) -> DataFrame:
     return calls.join(good, "api", "left_semi")
 
 
-def program_flags(nodes: DataFrame, resolved: DataFrame, compat: DataFrame, return_types: DataFrame, declared: DataFrame) -> DataFrame:
-    """One row per program with a flag per failure and its number of statements."""
+def program_flags(nodes: DataFrame, resolved: DataFrame, violations: DataFrame, return_types: DataFrame, declared: DataFrame) -> DataFrame:
+    """One row per program with a flag per failure and its number of statements; ``violations``: uses of a wrong type."""
     base = nodes.groupBy("pid").agg(
         F.count(F.lit(1)).alias("statements"), (~F.bool_or(F.col("tag") == "DAPIInvoke")).alias("void"), F.bool_or(F.col("tag") == "DReturnVar").alias("returns_"),
     )
     missing = sc.undeclared(resolved)
     bad = missing.groupBy("pid").agg(F.bool_or(F.col("role") != "ret").alias("undeclared"), F.bool_or(F.col("role") == "ret").alias("null"))
-    wrong = compat_violations(resolved, compat).select("pid").distinct().withColumn("type", F.lit(True))
+    wrong = violations.select("pid").distinct().withColumn("type", F.lit(True))
     idle = unused_variables(declared, resolved).select("pid").distinct().withColumn("unused", F.lit(True))
     joined = base.join(return_types, "pid").join(bad, "pid", "left").join(wrong, "pid", "left").join(idle, "pid", "left")
     flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("undeclared", "null", "type", "unused")]

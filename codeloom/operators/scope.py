@@ -1,16 +1,21 @@
 """Variables in scope: which declaration a use sees.
 
-A declaration is seen by later nodes of its own scope and of the scopes inside it. The rules cap
-the size of a program, so its few declarations travel with each of its nodes (one shuffle on the
-program) and a use picks the latest it can see inside the row.
+A declaration is seen by later nodes of its own scope and of the scopes inside it. So a use asks for the latest
+declaration before it in each of the scopes round it, which are as many as it is nested deep: an as-of join
+on (program, variable, scope), done as a scan in order of the nodes. Scans run over bins of a program's nodes,
+and what holds at the beginning of a bin comes from the bins before it, so no program is ever in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from codeloom.functions.javatypes import expr_type, formal_types
+from codeloom.operators.ranking import positions, running_sum
 
+BIN = 4096  # nodes of a program that are scanned together
 BUILTIN = ("system_package", "LITERAL", "no_return_var")
 DECLARING = ("DVarDecl", "DVarDeclCls", "DExceptionVar", "DFieldCall")
 
@@ -50,44 +55,76 @@ def sees(scope: Column, inner: Column) -> Column:
     return (scope == inner) | inner.startswith(F.concat(scope, F.lit("/")))
 
 
-def with_declarations(nodes: DataFrame, given: Column | None = None) -> DataFrame:
-    """``decls``: declarations of the program, those ``given`` from outside included."""
-    mark = F.when(F.col("tag").isin(*DECLARING), F.struct(F.col("node_id").alias("at"), "var_id", "scope", F.col("returns").alias("declared")))
-    own = F.collect_list(mark).over(W.partitionBy("pid"))
-    return nodes.withColumn("decls", own if given is None else F.concat(given, own))
-
-
-def resolve_uses(nodes: DataFrame, given: Column | None = None) -> DataFrame:
-    """Uses with ``declared`` (type of the latest visible declaration) and ``found``."""
-    def latest(use: Column) -> Column:
-        visible = F.filter(
-            "decls", lambda d: (d["var_id"] == use["var_id"]) & (d["at"] < F.col("node_id")) & sees(d["scope"], F.col("scope"))
-        )
-        return F.array_max(visible)
-
-    resolved = with_declarations(nodes, given).withColumn("u", _uses()).withColumn("seen", F.transform("u", latest))
-    rows = resolved.select("pid", "node_id", "scope", F.posexplode(F.arrays_zip("u", "seen")).alias("use_no", "x"))
+def enclosing(scope: Column) -> Column:
+    """A scope and those round it, the outermost (empty) first."""
+    parts = F.split(scope, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+
+
+def latest_before(asked: DataFrame, known: DataFrame, keys: Sequence[str], at: str, value: str, bin_size: int = BIN) -> DataFrame:
+    """``asked`` with ``value``: that of the last row of ``known`` with the same keys and a smaller ``at``, else null.
+
+    Keys and ``at`` are not null. Rows are scanned in bins of ``at``; a value that comes from an earlier bin is the last
+    of the bins before, from a table with one row for each key and bin.
+    """
+    rest = [c for c in asked.columns if c not in (*keys, at)]
+    a = asked.select(*keys, at, F.struct(*rest).alias("_rest"), F.lit(None).cast(known.schema[value].dataType).alias("_v"), F.lit(False).alias("_known"))
+    b = known.select(*keys, at, F.lit(None).cast(a.schema["_rest"].dataType).alias("_rest"), F.col(value).alias("_v"), F.lit(True).alias("_known"))
+    rows = a.unionByName(b).withColumn("_bin", F.floor(F.col(at) / bin_size))
+    inside = W.partitionBy(*keys, "_bin").orderBy(at, "_known").rowsBetween(W.unboundedPreceding, 0)
+    scanned = rows.withColumn("_seen", F.last("_v", ignorenulls=True).over(inside)).where("not _known")
+    late = a.withColumn("_bin", F.floor(F.col(at) / bin_size)).where("_bin > 0").select(*keys, "_bin", F.lit(None).cast(known.schema[value].dataType).alias("_last")).distinct()
+    some = late.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    last = known.join(some, same, "left_semi").groupBy(*keys, F.floor(F.col(at) / bin_size).alias("_bin")).agg(F.max_by(value, at).alias("_last"))
+    bins = last.unionByName(late).groupBy(*keys, "_bin").agg(F.first("_last", ignorenulls=True).alias("_last"))
+    before = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    carried = bins.withColumn("_carry", F.last("_last", ignorenulls=True).over(before)).where("_carry is not null and _bin > 0").select(*keys, "_bin", "_carry")
+    found = scanned.join(carried, [*keys, "_bin"], "left")
+    return found.select(*keys, at, F.coalesce("_seen", "_carry").alias(value), *[F.col(f"_rest.{c}").alias(c) for c in rest])
+
+
+def resolve_uses(nodes: DataFrame, given: Mapping[str, str] | None = None) -> DataFrame:
+    """Uses with ``declared`` (type of the latest visible declaration) and ``found``.
+
+    ``given``: types of variables that are declared outside, before all else; inner declarations hide them.
+    """
+    own = ["pid", "node_id", "use_no", "role", "var_id", "usage", "scope"]
+    used = uses(nodes)
+    builtin = F.col("var_id").isin(*BUILTIN) | F.col("var_id").isNull() | F.col("pid").isNull()
+    nothing = F.lit(None).cast("struct<at:int,declared:string>")
+    asked = used.where(~builtin).select(*own, F.explode(enclosing(F.col("scope"))).alias("_in"))
+    known = declarations(nodes).where("pid is not null and var_id is not null").select(
+        "pid", "var_id", F.col("scope").alias("_in"), "node_id", F.struct(F.col("node_id").alias("at"), "declared").alias("seen"))
+    each = latest_before(asked, known, ["pid", "var_id", "_in"], "node_id", "seen")
+    merged = each.groupBy("pid", "node_id", "use_no").agg(
+        *[F.any_value(c).alias(c) for c in own[3:]], F.max("seen").alias("seen"))
+    rows = merged.select(*own, "seen").unionByName(used.where(F.coalesce(builtin, F.lit(True))).select(*own, nothing.alias("seen")))
+    outside = F.lit(None).cast("string")
+    for name, kind in (given or {}).items():
+        outside = F.when(F.col("var_id") == name, kind).otherwise(outside)
     return rows.select(
-        "pid", "node_id", "use_no", "x.u.role", "x.u.var_id", "x.u.usage", "scope", F.col("x.seen.declared").alias("declared"),
-        F.col("x.seen").isNotNull().alias("found"),
-    )
+        *own, F.when(F.col("seen").isNotNull(), F.col("seen.declared")).otherwise(outside).alias("declared"), (F.col("seen").isNotNull() | outside.isNotNull()).alias("found"))
 
 
 def undeclared(resolved: DataFrame) -> DataFrame:
     return resolved.where(~F.col("found") & ~F.col("var_id").isin(*BUILTIN))
 
 
-def visible_counts(nodes: DataFrame, **events: Column) -> DataFrame:
-    """Per node and event, how many earlier nodes of the enclosing scopes satisfy it."""
-    program = W.partitionBy("pid")
-    marked = nodes
-    for name, event in events.items():
-        marked = marked.withColumn(f"_{name}", F.collect_list(F.when(event, F.struct("node_id", "scope"))).over(program))
-
-    def earlier(name: str) -> Column:
-        return F.size(F.filter(f"_{name}", lambda e: (e["node_id"] < F.col("node_id")) & sees(e["scope"], F.col("scope")))).alias(name)
+def visible_counts(nodes: DataFrame, scopes: Column | None = None, **events: Column) -> DataFrame:
+    """Per node and event, how many earlier nodes of the enclosing scopes satisfy it.
 
-    return marked.select("pid", "node_id", *[earlier(name) for name in events])
+    ``scopes``: the scopes that a node looks into, if not those round it. Counts are running sums along
+    (program, scope), in bins, added up over a node's scopes.
+    """
+    flags = [e.cast("int").alias(name) for name, e in events.items()]
+    zero = [F.lit(0).alias(name) for name in events]
+    placed = nodes.select("pid", "node_id", F.col("scope").alias("_in"), *flags, F.lit(True).alias("_known")).where(" or ".join(f"{name} = 1" for name in events))
+    asked = nodes.select("pid", "node_id", F.explode(enclosing(F.col("scope")) if scopes is None else scopes).alias("_in"), *zero, F.lit(False).alias("_known"))
+    both = placed.unionByName(asked)
+    for name in events:  # asked rows count 0 and come before a node's own event
+        both = running_sum(both, F.col(name), [F.col("node_id"), F.col("_known")], F.floor(F.col("node_id") / BIN), ["pid", "_in"], out=f"_sum_{name}")
+    return both.where("not _known").groupBy("pid", "node_id").agg(*[F.sum(f"_sum_{name}").cast("int").alias(name) for name in events])
 
 
 def prune_unused(nodes: DataFrame, used: DataFrame) -> DataFrame:
@@ -100,7 +137,7 @@ def prune_unused(nodes: DataFrame, used: DataFrame) -> DataFrame:
 def rename_variables(declared: DataFrame, seed: int = 12, cap: int = 10) -> DataFrame:
     """``pid, var_id, mapped``: k-th variable of a program to ``var_<perm[k]>``; beyond the cap it keeps k."""
     first = declared.groupBy("pid", "var_id").agg(F.min("node_id").alias("at"))
-    ranked = first.withColumn("k", F.row_number().over(W.partitionBy("pid").orderBy("at", "var_id")) - 1)
+    ranked = positions(first, [F.col("at"), F.col("var_id")], F.floor(F.col("at") / BIN), ["pid"], out="k").withColumn("k", F.col("k").cast("int"))
     order = F.array_sort(F.transform(
         F.sequence(F.lit(0), F.lit(cap - 1)),
         lambda i: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("pid").cast("string"), i.cast("string"))).alias("h"), i.alias("i")),

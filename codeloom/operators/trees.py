@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from codeloom.functions.javatypes import api_name
+from codeloom.session import persist_table
 
 # Child lists of each tag, in evaluation order.
 SLOTS = {
@@ -51,6 +52,7 @@ _ARROW = pa.schema([
 ])
 FOREVER = 1 << 26  # later than any step of a walk
 LISTS = ("DSubTree", "DBranch", "DLoop", "DExcept", "DInfix")  # tags that own statement lists
+INHERITED = -1  # an iterator flag that is as it was where the part begins
 _ITERATOR = re.compile(r"java\.util\.Iterator<.*>\.(hasNext|next|remove)\(\)")
 BATCH_ROWS = 20_000
 
@@ -63,12 +65,13 @@ def _flags_after(flags: tuple, calls: list) -> tuple:
     return flags
 
 
-def _walk(pid: int, ast: dict, out: list) -> None:
+def _walk(pid: int, ast: dict, out: list, entry: tuple = (0, 0, 0)) -> tuple:
     """Preorder rows; iterator flags flow left to right and through branches as evaluated.
 
     ``seq_in`` and ``seq_out`` number entering and leaving a node, ``slot_ends`` the last step in each
     of its lists, ``list_end`` the last step in the list it stands in. ``list_parent`` and
     ``list_slot`` name the statement list a node belongs to, arguments to that of their statement.
+    Gives the flags at the end.
     """
     step = -1
 
@@ -131,7 +134,7 @@ def _walk(pid: int, ast: dict, out: list) -> None:
         return after, me
 
     root = ast["_nodes"] if isinstance(ast, dict) else ast
-    visit_list(root, -1, None, "_nodes", 0, "", (0, 0, 0), (-1, "_nodes"))
+    return visit_list(root, -1, None, "_nodes", 0, "", entry, (-1, "_nodes"))
 
 
 def _record_batch(rows: list) -> pa.RecordBatch:
@@ -167,6 +170,70 @@ def flatten(programs: DataFrame, ast: str = "ast") -> DataFrame:
     return well_formed(programs, ast).select(F.col("pid").cast("bigint"), ast).mapInArrow(_flatten_batches, NODE_SCHEMA)
 
 
+_PART_ARROW = pa.schema([*_ARROW, ("part", pa.int64()), ("part_nodes", pa.int32()), ("part_steps", pa.int32()), ("part_roots", pa.int32()), ("last_root", pa.int32()), ("flags_after", pa.list_(pa.int32()))])
+PART_SCHEMA = NODE_SCHEMA + ", part bigint, part_nodes int, part_steps int, part_roots int, last_root int, flags_after array<int>"
+
+
+def _flatten_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each part by itself; its first row also has the part's sizes and its map of the iterator flags."""
+    out: list = []
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(values, field.type) for values, field in zip(zip(*out), _PART_ARROW)], schema=_PART_ARROW)
+
+    for batch in batches:
+        for pid, part, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            rows: list = []
+            after = _walk(pid, json.loads(text), rows, (INHERITED,) * 3)
+            roots = [r[1] for r in rows if r[2] < 0]
+            sizes = [len(rows), rows[-1][18] + 1 if not roots else rows[roots[-1]][18] + 1, len(roots), roots[-1], after] if rows else []
+            out.extend([*r, part, *(sizes if k == 0 else [None] * 5)] for k, r in enumerate(rows))
+            if len(out) >= BATCH_ROWS:
+                yield made()
+                out = []
+    if out:
+        yield made()
+
+
+def flatten_parts(parts: DataFrame) -> DataFrame:
+    """``pid, part, ast`` (JSON lists of statements; a program is its parts in order) to the node table.
+
+    Each part is walked by itself, so a long program spreads over tasks. What a part must know of those before
+    it is a prefix sum of their nodes, steps and statements, and what they leave of the iterator flags: a part maps
+    each flag to 0, to 1 or to what it was, and such maps compose, so the flags that a part begins with are
+    the last that any part before it has set. Programs of one part need none of this.
+    """
+    large = parts.groupBy("pid").agg(F.max("part").alias("_p")).where("_p <> 0").select(F.col("pid").alias("_large")).limit(1)
+    walked = parts.select(F.col("pid").cast("bigint"), F.col("part").cast("bigint"), "ast").mapInArrow(_flatten_parts, PART_SCHEMA)
+    columns = [f.name for f in walked.schema.fields][:24]
+    cleared = F.transform("iattrib", lambda flag: F.greatest(flag, F.lit(0)))
+    if not large.count():
+        return walked.withColumn("iattrib", cleared).select(*columns)
+    walked = persist_table(walked, "parts")
+    firsts = walked.where("part_nodes is not null").select("pid", "part", "part_nodes", "part_steps", "part_roots", "last_root", "flags_after")
+    before = W.partitionBy("pid").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("int")
+    set_ = lambda i: F.coalesce(F.last(F.when(F.get("flags_after", F.lit(i)) >= 0, F.get("flags_after", F.lit(i))), ignorenulls=True).over(before), F.lit(0))
+    offsets = firsts.select(
+        F.col("pid").alias("_pid"), F.col("part").alias("_part"), total("part_nodes").alias("_n"), total("part_steps").alias("_s"), total("part_roots").alias("_r"),
+        F.last(F.col("last_root")).over(before).alias("_last"), F.last(F.col("part_nodes")).over(before).alias("_size"), F.array(*[set_(i) for i in range(3)]).alias("_flags"),
+    ).where("_n > 0")
+    rows = walked.join(offsets, F.col("pid").eqNullSafe(F.col("_pid")) & (F.col("part") == F.col("_part")), "left")
+    n, s, r = (F.coalesce(F.col(c), F.lit(0)) for c in ("_n", "_s", "_r"))
+    own = lambda c: F.when(F.col(c) >= 0, F.col(c) + n).otherwise(F.col(c))
+    root = F.col("parent_id") < 0
+    first = root & (F.col("prev_id") < 0) & F.col("_last").isNotNull()
+    scope = F.array_join(F.transform(F.split("scope", "/"), lambda x: F.when(x == "", x).otherwise(F.concat_ws(".", (F.substring_index(x, ".", 1).cast("int") + n).cast("string"), F.substring_index(x, ".", -1)))), "/")
+    flags = F.transform("iattrib", lambda flag, i: F.when(flag >= 0, flag).otherwise(F.coalesce(F.get("_flags", i), F.lit(0))))
+    moved = {
+        "node_id": F.col("node_id") + n, "parent_id": own("parent_id"), "prev_id": F.when(first, F.col("_last") + n - F.col("_size")).otherwise(own("prev_id")),
+        "slot_pos": F.when(root, F.col("slot_pos") + r).otherwise(F.col("slot_pos")), "scope": F.when(n > 0, scope).otherwise(F.col("scope")), "iattrib": flags,
+        "seq_in": F.col("seq_in") + s, "seq_out": F.col("seq_out") + s, "list_parent": own("list_parent"), "slot_ends": F.transform("slot_ends", lambda e: e + s),
+        "list_end": F.when(F.col("list_end") == FOREVER, F.col("list_end")).otherwise(F.col("list_end") + s),
+    }
+    return rows.select(*[moved[c].alias(c) if c in moved else F.col(c) for c in columns])
+
+
 def entered_controls(scope: Column) -> Column:
     """``(control node id, slot)`` of every enclosing control node."""
     parts = F.filter(F.split(scope, "/"), lambda p: p != "")

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from codeloom.operators import trees
 from codeloom.operators.ranking import positions
 from codeloom.session import table
 
-MAX_NODES = 64
+PART_LINES, PART_KEYS = 4096, 512  # a program of more lines is flattened in parts: by line number and so many part keys
 
 PACKAGES = {"MEDIUM": "swing", "STANDARD": "awt", "LARGE": "sql", "PROMO": "net", "SMALL": "xml", "ECONOMY": "math"}
 ARGS = ("", "int", "java.util.Map<java.lang.String,java.lang.Integer>,double", "org.acme.Foo,Tau_T")
@@ -64,10 +65,27 @@ def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def within_size(rows: DataFrame, cap: int = MAX_NODES, key: str = "pid") -> DataFrame:
-    """Rows of programs with at most ``cap`` rows; the counts combine before the shuffle."""
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= cap).select(key)
-    return rows.join(sizes, key, "left_semi")
+def in_parts(lines: DataFrame, most: int = PART_LINES) -> DataFrame:
+    """``part`` of each line: 0, but programs of more than ``most`` lines are dealt to parts along their order.
+
+    Only the programs' sizes are counted (and combine before the shuffle); the few that are large are a small table.
+    """
+    large = lines.groupBy("pid").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(F.col("pid").alias("_large"))
+    place = F.col("l_linenumber").cast("long") * (1 << 40) + F.floor(F.col("l_partkey") / PART_KEYS)
+    marked = lines.join(large, F.col("pid").eqNullSafe(F.col("_large")), "left")
+    return marked.withColumn("part", F.when(F.col("_large").isNotNull(), place).otherwise(F.lit(0)).cast("long")).drop("_large")
+
+
+def _part_texts(lines: DataFrame, node: Column) -> DataFrame:
+    """``pid, part, ast``: the statements of each part as a JSON list."""
+    rows = lines.select("pid", "part", *LINE_ORDER, node.alias("node"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*LINE_ORDER, "node"))), lambda s: s["node"]), ",")
+    return rows.groupBy("pid", "part").agg(F.concat(F.lit("["), body, F.lit("]")).alias("ast"))
+
+
+def _sized_lines(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
+    lines = in_parts(table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "pid"), most)
+    return lines.join(apis(spark, sf_dir).select("p_partkey", "api", "returns"), F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
 
 
 def call_positions(lines: DataFrame) -> DataFrame:
@@ -123,11 +141,19 @@ def line_nodes() -> Column:
     return out
 
 
+def program_nodes(spark: SparkSession, sf_dir: str, most: int = PART_LINES) -> DataFrame:
+    """The node table of all programs, whatever their size."""
+    return trees.flatten_parts(_part_texts(_sized_lines(spark, sf_dir, most), line_nodes()))
+
+
 def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pid, ast``: one JSON tree per order of at most 64 lines (larger ones are over the size rule anyway)."""
-    lines = within_size(calls(spark, sf_dir)).select("pid", *LINE_ORDER, line_nodes().alias("node"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*LINE_ORDER, "node"))), lambda s: s["node"]), ",")
-    return lines.groupBy("pid").agg(F.concat(F.lit('{"node":"DSubTree","_nodes":['), body, F.lit("]}")).alias("ast"))
+    """``pid, ast``: one JSON tree per order, as a record of its own."""
+    return _whole(calls(spark, sf_dir), line_nodes())
+
+
+def _whole(lines: DataFrame, node: Column) -> DataFrame:
+    whole = _part_texts(lines.withColumn("part", F.lit(0)), node)
+    return whole.select("pid", F.concat(F.lit('{"node":"DSubTree","_nodes":'), "ast", F.lit("}")).alias("ast"))
 
 
 # --- extracted (not yet lowered) trees ---------------------------------------------------
@@ -169,6 +195,22 @@ def raw_line_nodes() -> Column:
 
 
 def raw_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = within_size(calls(spark, sf_dir)).select("pid", *LINE_ORDER, raw_line_nodes().alias("node"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*LINE_ORDER, "node"))), lambda s: s["node"]), ",")
-    return lines.groupBy("pid").agg(F.concat(F.lit('{"node":"DSubTree","_nodes":['), body, F.lit("]}")).alias("ast"))
+    return _whole(calls(spark, sf_dir), raw_line_nodes())
+
+
+def raw_program_nodes(spark: SparkSession, sf_dir: str, most: int = PART_LINES) -> DataFrame:
+    """The node table of all extracted programs."""
+    return trees.flatten_parts(_part_texts(_sized_lines(spark, sf_dir, most), raw_line_nodes()))
+
+
+# --- programs over iterators ---------------------------------------------------------------
+
+ITERATOR = tuple(f"java.util.Iterator<java.lang.String>.{name}()" for name in ("hasNext", "next", "remove"))
+
+
+def iterator_program_nodes(spark: SparkSession, sf_dir: str, most: int = PART_LINES) -> DataFrame:
+    """As :func:`program_nodes`, where three of five suppliers stand for calls on an iterator."""
+    lines = _sized_lines(spark, sf_dir, most)
+    kind = F.col("l_suppkey") % 5
+    api = F.when(kind == 0, ITERATOR[0]).when(kind == 1, ITERATOR[1]).when(kind == 2, ITERATOR[2]).otherwise(F.col("api"))
+    return trees.flatten_parts(_part_texts(lines.withColumn("api", api), line_nodes()))

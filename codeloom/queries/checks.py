@@ -29,12 +29,12 @@ resolved as (select u.pid, u.node_id, u.use_no, u.role, u.var_id, any_value(u.us
   group by u.pid, u.node_id, u.use_no, u.role, u.var_id),
 typed as (select *, (role = 'expr' and var_id in ('system_package', 'LITERAL')) or (role = 'ret' and var_id = 'no_return_var') or (role = 'arg' and var_id = 'LITERAL') as exempt
   from resolved where role <> 'return'),
-compat as (select distinct role, declared, usage from typed where found and not exempt and pid % 2 = 0),
-violations as (select * from typed where found and not exempt and (role, declared, usage) not in (select (role, declared, usage) from compat))"""
+compat as (select role, declared, usage, min(pid) = max(pid) as once from typed where found and not exempt group by role, declared, usage),
+violations as (select t.* from typed t join compat c on t.role = c.role and t.declared is not distinct from c.declared and t.usage is not distinct from c.usage where found and not exempt and once)"""
 
 
 def stored_nodes(spark, sf_dir):
-    return persist_table(tr.flatten(pj.programs(spark, sf_dir)), "nodes")
+    return persist_table(pj.program_nodes(spark, sf_dir), "nodes")
 
 
 def all_declarations(nodes):
@@ -45,14 +45,11 @@ def all_declarations(nodes):
     return sc.declarations(nodes).unionByName(given)
 
 
-def given_declarations():
-    return F.array(*[
-        F.struct(F.lit(-1).alias("at"), F.lit(p).alias("var_id"), F.lit("").alias("scope"), F.lit("int").alias("declared")) for p in PARAMETERS
-    ])
+GIVEN = dict.fromkeys(PARAMETERS, "int")
 
 
 def uses_of_programs(spark, sf_dir):
-    return sc.resolve_uses(tr.flatten(pj.programs(spark, sf_dir)), given_declarations())
+    return sc.resolve_uses(pj.program_nodes(spark, sf_dir), GIVEN)
 
 
 @query("undeclared_use", f"with {SCOPE} select pid, node_id, role, var_id from resolved where not found and var_id not in ('system_package', 'LITERAL', 'no_return_var')")
@@ -80,7 +77,7 @@ from nodes n left join e on e.pid = n.pid and e.node_id < n.node_id and (e.scope
 def visible_declarations(spark, sf_dir):
     """W6, W7"""
     counted = sc.visible_counts(
-        tr.flatten(pj.programs(spark, sf_dir)), var_decl_id=F.col("tag").isin(*sc.DECLARING), returns=F.col("tag") == "DReturnVar"
+        pj.program_nodes(spark, sf_dir), var_decl_id=F.col("tag").isin(*sc.DECLARING), returns=F.col("tag") == "DReturnVar"
     )
     return counted.select("pid", "node_id", "var_decl_id", (F.col("returns") > 0).alias("return_reached"))
 
@@ -112,17 +109,15 @@ def object_init(spark, sf_dir):
 
 @query("learned_compat", f"with {SCOPE} select role, declared, usage from compat")
 def learned_compat(spark, sf_dir):
-    """A7, learned from programs with an even id."""
-    used = uses_of_programs(spark, sf_dir)
-    return checks.learn_compat(used.where(F.col("pid") % 2 == 0))
+    """A7, learned from all programs."""
+    return checks.learn_compat(uses_of_programs(spark, sf_dir))
 
 
 @query("compat_violations", f"with {SCOPE} select pid, node_id, use_no, role, var_id from violations")
 def compat_violations(spark, sf_dir):
-    """J5"""
+    """Uses as no other program has them."""
     used = persist_table(uses_of_programs(spark, sf_dir), "uses")
-    compat = checks.learn_compat(used.where(F.col("pid") % 2 == 0))
-    return checks.compat_violations(used, compat).select("pid", "node_id", "use_no", "role", "var_id")
+    return checks.seen_nowhere_else(used).select("pid", "node_id", "use_no", "role", "var_id")
 
 
 FLAGS = SCOPE + """,
@@ -139,11 +134,10 @@ outcomes as (select pid, statements, case """ + " ".join(
 def program_flags(spark, sf_dir):
     nodes = stored_nodes(spark, sf_dir)
     declared = all_declarations(nodes)
-    used = persist_table(sc.resolve_uses(nodes, given_declarations()), "uses")
-    compat = checks.learn_compat(used.where(F.col("pid") % 2 == 0))
+    used = persist_table(sc.resolve_uses(nodes, GIVEN), "uses")
     kind = F.when(F.col("pid") % 3 == 0, "void").otherwise("int")
     types = nodes.select("pid").distinct().withColumn("return_type", kind)
-    return checks.program_flags(nodes, used, compat, types, declared)
+    return checks.program_flags(nodes, used, checks.seen_nowhere_else(used), types, declared)
 
 
 @query("static_outcome", f"with {FLAGS} select pid, statements, outcome from outcomes")
@@ -175,7 +169,7 @@ select role, passed, blank, failed, round(passed / (passed + failed + 0.001::dou
 def rates_with_blanks(spark, sf_dir):
     """A9"""
     used = persist_table(uses_of_programs(spark, sf_dir), "uses")
-    wrong = checks.compat_violations(used, checks.learn_compat(used.where(F.col("pid") % 2 == 0)))
+    wrong = checks.seen_nowhere_else(used)
     out = checks.use_rates(used, wrong)
     return out.select("role", "passed", "blank", "failed", *[F.round(c, 6).alias(c) for c in ("pct", "pct_blank", "pct_effective")])
 
@@ -186,7 +180,7 @@ perm as (select pid, i, row_number() over (partition by pid order by md5('12:' |
 select k.pid, var_id, k::int as k, 'var_' || coalesce(i, k) as mapped from k left join perm on perm.pid = k.pid and place = k""")
 def rename_variables(spark, sf_dir):
     """J13"""
-    nodes = tr.flatten(pj.programs(spark, sf_dir))
+    nodes = pj.program_nodes(spark, sf_dir)
     return sc.rename_variables(sc.declarations(nodes))
 
 

@@ -47,11 +47,10 @@ tmpl(flag, status, k, pk, slot, sp, depth, tag, var, expr, ret, has_call, scope)
  ('A','O',2,0,'_body',0,1,'DAPIInvoke','','w','n',1,'body'),
  ('A','F',0,-1,'_nodes',0,0,'DLoop','','','',0,''), ('A','F',1,0,'_body',0,1,'DBranch','','','',0,'body'),
  ('A','F',2,1,'_then',0,2,'DAPIInvoke','','v','n',1,'body/then')),
-sized as (select * from calls where pid in (select pid from calls group by pid having count(*) <= 64)),
 kinds as (select flag, status, count(*) as n_nodes, count(*) filter (pk < 0) as n_roots from tmpl group by all),
 lines as (select *, row_number() over w as ln, (sum(n_nodes) over w - n_nodes)::int as base, (sum(n_roots) over w - n_roots)::int as root_base,
   'var_' || (l_suppkey % 7) as v, 'var_' || (l_partkey % 7) as w
-  from sized join kinds on flag = l_returnflag and status = l_linestatus
+  from calls join kinds on flag = l_returnflag and status = l_linestatus
   window w as (partition by pid order by {LINE_ORDER} rows unbounded preceding)),
 nodes as (select pid, ln, k, base + k as node_id, case when pk < 0 then -1 else base + pk end as parent_id,
   slot, case when pk < 0 then root_base + sp else sp end as slot_pos, depth, tag,

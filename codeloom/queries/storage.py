@@ -86,7 +86,7 @@ def unbalanced_tokens(spark, sf_dir):
 def compat_store(spark, sf_dir):
     """S11"""
     path = new_folder(spark, "compat")
-    stores.write_compat(checks.learn_compat(uses_of_programs(spark, sf_dir).where(F.col("pid") % 2 == 0)), path)
+    stores.write_compat(checks.learn_compat(uses_of_programs(spark, sf_dir)), path)
     return stores.read_compat(spark, path)
 
 
