@@ -1,10 +1,11 @@
 """From extracted statements to normal form.
 
-One shuffle brings the nodes of a program together; every step after it is a projection or a
-window over the program, whose size the rules cap. What a node turns into is a set
-of emitted rows keyed by when the node is entered or left, so order falls out of a sort:
-arguments that are calls come before their statement as declaration and call on a temporary,
-declarations come before the call that needs them, chained calls fold into the call before.
+What a node turns into is a set of emitted rows keyed by when the node is entered or left, so order falls out of
+numbering them: arguments that are calls come before their statement as declaration and call on a temporary,
+declarations come before the call that needs them, chained calls fold into the call before. What a node needs of
+others comes by joins: its operands by parent, the type its target has by an as-of scan along the scope, the row a link
+hangs on by an as-of scan along its list. Numbers are positions in bins. No step brings a program, or a list of
+statements, together in one task.
 """
 
 from __future__ import annotations
@@ -13,19 +14,16 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from codeloom.functions.javatypes import formal_types, is_primitive, simplify_api, simplify_type
 from codeloom.operators.checks import constructors_for
-from codeloom.operators.scope import sees
+from codeloom.operators.ranking import positions
+from codeloom.operators.scope import BIN, enclosing, latest_before
 from codeloom.operators.trees import LISTS
+from codeloom.session import persist_table
 
 ARGUMENT_SLOTS = ("expr_var_id", "fp_var_ids")
 CHAINED = "last_DAPICall"
 RETURN_VAR = "my_return_var"
 
 
-def _program():
-    """The whole program, in the one order all steps over it share (so it is sorted once)."""
-    return W.partitionBy("pid").orderBy("seq_in").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-
-
 def _text(value=None) -> Column:
     return F.lit(value).cast("string")
 
@@ -63,11 +61,16 @@ def with_simple_types(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("returns", returns).withColumn("call", F.when(call.isNotNull(), simplify_api(call))).drop("calls")
 
 
+def _bin(at: Column) -> Column:
+    return F.floor(at / BIN)
+
+
 def with_temporaries(nodes: DataFrame) -> DataFrame:
     """``temp``: name of the variable that takes an argument expression, numbered per program."""
     hoisted = F.col("slot").isin(*ARGUMENT_SLOTS) & F.col("tag").isin("DAPICall", "DVarDeclExpr")
-    number = F.sum(hoisted.cast("int")).over(W.partitionBy("pid").orderBy("seq_in").rowsBetween(W.unboundedPreceding, 0)) - 1
-    return nodes.withColumn("temp", F.when(hoisted, F.concat(F.lit("my_decl_var_"), number.cast("string"))))
+    numbered = positions(nodes.where(hoisted), [F.col("seq_in")], _bin(F.col("seq_in")), ["pid"], out="_no")
+    named = numbered.withColumn("temp", F.concat(F.lit("my_decl_var_"), F.col("_no").cast("string"))).drop("_no")
+    return nodes.where(~hoisted).withColumn("temp", _text()).unionByName(named)
 
 
 def with_operands(nodes: DataFrame) -> DataFrame:
@@ -75,38 +78,37 @@ def with_operands(nodes: DataFrame) -> DataFrame:
 
     A wrapper (return statement, declaring argument) has the type of its last statement.
     """
-    is_argument = F.col("slot").isin(*ARGUMENT_SLOTS)
-    tag = F.col("tag")
-    operand = F.struct("slot_pos", F.col("parent_id").alias("of"), "slot", F.coalesce("temp", "var_id").alias("id"))
-    inner = F.struct("slot_pos", F.col("parent_id").alias("of"), "returns", "tag")
-    program = _program()
-    gathered = (
-        nodes.withColumn("_operands", F.collect_list(F.when(is_argument, operand)).over(program))
-        .withColumn("_inner", F.collect_list(F.when(F.col("slot") == "_stmt", inner)).over(program))
-        .withColumn("_temps", F.collect_list(F.when(F.col("temp").isNotNull(), F.struct("node_id", "temp"))).over(program))
-    )
-    mine = lambda slot: F.filter("_operands", lambda o: (o["of"] == F.col("node_id")) & (o["slot"] == slot))
-    of_parent = F.get(F.filter("_temps", lambda t: t["node_id"] == F.col("parent_id")), F.lit(0))["temp"]
-    wrapped = F.when(F.col("parent_tag") == "DReturnStmt", F.lit(RETURN_VAR)).when(F.col("parent_tag") == "DVarDeclExpr", of_parent)
-    last = F.array_max(F.filter("_inner", lambda i: i["of"] == F.col("node_id")))
-    last_beside = F.array_max(F.filter("_inner", lambda i: i["of"] == F.col("parent_id")))["slot_pos"]
-    sized = gathered.withColumn("wrapped", wrapped).withColumn("_w", last).withColumn("_last", F.col("slot_pos") == last_beside)
-    own = F.coalesce(F.when(F.col("_last"), F.col("wrapped")), F.when(is_argument, F.col("temp")), F.col("ret_id"))
-    variable = F.coalesce(F.when(F.col("_last") & (tag == "DClsInit"), F.col("wrapped")), F.col("var_id"))
-    return (
-        sized.withColumn("args", F.transform(F.array_sort(mine("fp_var_ids")), lambda o: F.coalesce(o["id"], F.lit("LITERAL"))))
-        .withColumn("expr", F.coalesce(F.get(mine("expr_var_id"), F.lit(0))["id"], F.col("expr_id")))
-        .withColumn("ret", own).withColumn("var_id", variable)
-        .withColumn("wrapped_type", F.col("_w.returns")).withColumn("wrapped_tag", F.col("_w.tag"))
-        .drop("_operands", "_inner", "_temps", "_last", "_w")
+    is_argument, inside = F.col("slot").isin(*ARGUMENT_SLOTS), F.col("slot") == "_stmt"
+    tag, operand = F.col("tag"), F.coalesce("temp", "var_id")
+    below = nodes.where(is_argument | inside).groupBy(F.col("pid").alias("_pid"), F.col("parent_id").alias("_of")).agg(
+        F.array_sort(F.collect_list(F.when(F.col("slot") == "fp_var_ids", F.struct("slot_pos", operand.alias("id"))))).alias("_args"),
+        F.min(F.when(F.col("slot") == "expr_var_id", F.struct("slot_pos", operand.alias("id"))))["id"].alias("_expr"),
+        F.max(F.when(inside, F.struct("slot_pos", "returns", "tag"))).alias("_w"),
     )
+    below = persist_table(below, "operands")
+    gathered = nodes.join(below, F.col("pid").eqNullSafe(F.col("_pid")) & (F.col("node_id") == F.col("_of")), "left")
+    gathered = gathered.withColumn("wrapped_type", F.col("_w.returns")).withColumn("wrapped_tag", F.col("_w.tag")).withColumn(
+        "args", F.transform(F.coalesce("_args", F.slice(F.array(F.struct(F.lit(0).alias("slot_pos"), _text().alias("id"))), 1, 0)), lambda o: F.coalesce(o["id"], F.lit("LITERAL")))
+    ).withColumn("expr", F.coalesce("_expr", "expr_id")).drop("_pid", "_of", "_args", "_expr", "_w")
+    # statements inside a wrapper look up to it: what it sets, and which of them is its last
+    temps = nodes.where("temp is not null").select(F.col("pid").alias("_tp"), F.col("node_id").alias("_tn"), F.col("temp").alias("_temp"))
+    lasts = below.where("_w is not null").select("_pid", "_of", F.col("_w.slot_pos").alias("_last_pos"))
+    up = lasts.join(temps, F.col("_pid").eqNullSafe(F.col("_tp")) & (F.col("_of") == F.col("_tn")), "left").select("_pid", "_of", "_last_pos", "_temp")
+    looking = gathered.where(inside).join(up, F.col("pid").eqNullSafe(F.col("_pid")) & (F.col("parent_id") == F.col("_of")), "left")
+    wrapped = F.when(F.col("parent_tag") == "DReturnStmt", F.lit(RETURN_VAR)).when(F.col("parent_tag") == "DVarDeclExpr", F.col("_temp"))
+    last = F.col("slot_pos") == F.col("_last_pos")
+    looking = looking.withColumn("wrapped", wrapped).withColumn("ret", F.coalesce(F.when(last, F.col("wrapped")), "ret_id")).withColumn(
+        "var_id", F.coalesce(F.when(last & (tag == "DClsInit"), F.col("wrapped")), "var_id")
+    ).drop("_pid", "_of", "_last_pos", "_temp")
+    rest = gathered.where(~inside).withColumn("wrapped", _text()).withColumn("ret", F.coalesce(F.when(is_argument, F.col("temp")), "ret_id"))
+    return rest.unionByName(looking)
 
 
 def with_seen_types(nodes: DataFrame) -> DataFrame:
     """``seen_type``: the type the symbol table has for the target of a call or constructor.
 
     All slots of a control node share one table. A call that gets a declaration inserted does
-    not enter it, so the next call into the same unknown variable declares again.
+    not enter it, so the next call into the same unknown variable declares again. ``nodes`` are written.
     """
     tag = F.col("tag")
     statement = ~F.col("slot").isin(*ARGUMENT_SLOTS)
@@ -115,23 +117,22 @@ def with_seen_types(nodes: DataFrame) -> DataFrame:
         .when(F.col("temp").isNotNull(), F.col("temp")).when(tag == "DReturnStmt", RETURN_VAR)
     )
     at = F.when(tag == "DClsInit", F.col("seq_out") * 2 + 1).otherwise(F.col("seq_in") * 2)
-    event = F.struct(at.alias("at"), name.alias("name"), F.col("_scope").alias("scope"), F.coalesce("wrapped_type", "returns").alias("type"))
     target = F.when(statement & (tag == "DAPICall"), F.col("ret")).when(statement & (tag == "DClsInit"), F.col("var_id"))
-    known = F.filter(
-        "_events", lambda e: (e["name"] == F.col("_target")) & (e["at"] < F.col("seq_out") * 2) & sees(e["scope"], F.col("_scope"))
-    )
-    return (
-        nodes.withColumn("_scope", F.regexp_replace("scope", r"\.[a-z]+", ""))
-        .withColumn("_events", F.collect_list(F.when(name.isNotNull(), event)).over(_program()))
-        .withColumn("_target", target).withColumn("seen_type", F.array_max(known)["type"]).drop("_scope", "_events", "_target")
-    )
+    scope = F.regexp_replace("scope", r"\.[a-z]+", "")
+    known = nodes.select("pid", name.alias("name"), scope.alias("_in"), at.alias("at"), F.struct(at.alias("at"), F.coalesce("wrapped_type", "returns").alias("type")).alias("seen"))
+    asked = nodes.select("pid", target.alias("name"), F.explode(enclosing(scope)).alias("_in"), (F.col("seq_out") * 2).alias("at"), "node_id")
+    usable = F.col("pid").isNotNull() & F.col("name").isNotNull()
+    each = latest_before(asked.where(usable), known.where(usable), ["pid", "name", "_in"], "at", "seen", 4 * BIN)
+    seen = each.groupBy(F.col("pid").alias("_pid"), F.col("node_id").alias("_of")).agg(F.max("seen")["type"].alias("seen_type"))
+    return nodes.join(seen, F.col("pid").eqNullSafe(F.col("_pid")) & (F.col("node_id") == F.col("_of")), "left").drop("_pid", "_of")
 
 
 def lower(nodes: DataFrame, apis: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(lowered node rows, rejected programs). ``apis``: ``api, id`` of known constructors."""
     tag = F.col("tag")
-    together = with_simple_types(nodes.where(tag != "DAssign")).repartition("pid")
-    typed = _with_followers(with_seen_types(with_operands(with_temporaries(together))))
+    simple = persist_table(with_simple_types(nodes.where(tag != "DAssign")), "simple")
+    operands = persist_table(with_operands(persist_table(with_temporaries(simple), "temporaries")), "with-operands")
+    typed = _with_followers(with_seen_types(operands))
     if apis is None:
         typed = typed.withColumn("fix", _text())
     else:
@@ -139,24 +140,38 @@ def lower(nodes: DataFrame, apis: DataFrame | None = None) -> tuple[DataFrame, D
         wants = (tag == "DVarCall") & ~is_primitive(F.col("returns")) & F.col("next_tag").isNotNull() & (F.col("next_tag") != "DClsInit")
         typed = typed.join(fits.select(F.col("type").alias("returns"), F.col("api").alias("_api")), "returns", "left")
         typed = typed.withColumn("fix", F.when(wants, F.col("_api")))
-    return _assemble(_emit(typed, _emissions()))
+    return _assemble(_emit(typed, _emissions()).unionByName(_void_returns(operands)))
 
 
 def _with_followers(typed: DataFrame) -> DataFrame:
-    """Next statement in the list, whether the body sets a return type, and whether this is its last node."""
-    wrapped = F.col("wrapped").isNotNull()
-    top = ~F.col("slot").isin(*ARGUMENT_SLOTS) & ~wrapped
-    in_list = W.partitionBy("pid", "list_parent", "list_slot", "_top").orderBy("seq_in")
+    """``next_tag, next_expr``: the next statement in the list, for those that ask: exceptions and plain variables.
+
+    Statements of a list are paired in bins of their places, the last of a bin with the first of the next that has one.
+    """
+    top = ~F.col("slot").isin(*ARGUMENT_SLOTS) & F.col("wrapped").isNull()
+    asks = top & F.col("tag").isin("DExceptionVar", "DVarCall")
+    keys = ["pid", "list_parent", "list_slot"]
+    lists = typed.where(asks).select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = F.col("pid").eqNullSafe(F.col("_pid")) & (F.col("list_parent") == F.col("_list_parent")) & (F.col("list_slot") == F.col("_list_slot"))
+    there = typed.where(top).select(*keys, "seq_in", "node_id", F.struct(F.col("tag").alias("next_tag"), F.col("expr").alias("next_expr")).alias("_next"), asks.alias("_asks")).join(lists, same, "left_semi")
+    there = persist_table(there.withColumn("_bin", _bin(F.col("seq_in"))), "lists")
+    inside = W.partitionBy(*keys, "_bin").orderBy("seq_in")
+    found = there.withColumn("_then", F.lead("_next").over(inside)).where("_asks")
+    firsts = there.groupBy(*keys, "_bin").agg(F.min_by("_next", "seq_in").alias("_first"))
+    later = firsts.withColumn("_later", F.lead("_first").over(W.partitionBy(*keys).orderBy("_bin"))).where("_later is not null")
+    later = later.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_bin").alias("_at_bin"), "_later")
+    found = found.join(later, same & (F.col("_bin") == F.col("_at_bin")), "left").select(F.col("pid").alias("_of_pid"), F.col("node_id").alias("_of"), F.coalesce("_then", "_later").alias("_next"))
+    joined = typed.join(found, F.col("pid").eqNullSafe(F.col("_of_pid")) & (F.col("node_id") == F.col("_of")), "left")
+    return joined.select(*typed.columns, "_next.next_tag", "_next.next_expr")
+
+
+def _void_returns(nodes: DataFrame) -> DataFrame:
+    """A body that sets no return type returns nothing: one row for each such program, after all others."""
     tag = F.col("tag")
-    sets = (F.col("scope") == "") & (
-        (tag == "DReturnVar") & F.col("returns").isNotNull() | (tag == "DReturnStmt") & F.col("wrapped_type").isNotNull()
-    )
-    return (
-        typed.withColumn("_top", top)
-        .withColumn("sets_return", F.bool_or(sets).over(_program()))
-        .withColumn("is_end", F.col("seq_out") == F.max("seq_out").over(_program()))
-        .withColumn("next_tag", F.lead("tag").over(in_list)).withColumn("next_expr", F.lead("expr").over(in_list))
-    )
+    sets = (F.col("scope") == "") & ((tag == "DReturnVar") & F.col("returns").isNotNull() | (tag == "DReturnStmt") & F.col("wrapped_type").isNotNull())
+    bodies = nodes.groupBy("pid").agg(F.coalesce(F.bool_or(sets), F.lit(False)).alias("_sets"), F.max_by("iattrib", "seq_out").alias("iattrib")).where("not _sets")
+    fields = _emission(F.lit(True), F.lit(1 << 28), 0, "DReturnVar", returns=F.lit("void"), home=F.lit(-1), home_slot=F.lit("_nodes"))[1]
+    return bodies.select("pid", "iattrib", *[value.alias(name) for name, value in fields.items()])
 
 
 def _emissions() -> list[tuple[Column, dict[str, Column]]]:
@@ -194,48 +209,37 @@ def _emissions() -> list[tuple[Column, dict[str, Column]]]:
         # objects without a constructor after them get the first that fits their type
         _emission(plain & statement, entered, 0, F.when(fix.isNotNull(), "DVarDeclCls").otherwise("DVarDecl"), var_id=var_id, returns=returns),
         _emission(plain & statement & fix.isNotNull(), entered, 1, "DClsInit", call=fix, args=F.transform(formal_types(fix), lambda _: F.lit("LITERAL")), var_id=var_id, returns=returns),
-        # a body that sets no return type returns nothing
-        _emission(F.col("is_end") & ~F.col("sets_return"), F.lit(1 << 28), 0, "DReturnVar", returns=F.lit("void"), home=F.lit(-1), home_slot=F.lit("_nodes")),
     ]
 
 
 def _assemble(emitted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Fold chains, mark constructed declarations, number the rows.
-
-    Two orders serve everything: rows within their statement list, then rows within the program.
-    """
-    chained = F.col("tag") == "chained"
-    in_list = W.partitionBy("pid", "home", "home_slot").orderBy("at", "sub")
-    so_far = in_list.rowsBetween(W.unboundedPreceding, 0)
-    whole = in_list.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    """Fold chains, mark constructed declarations, number the rows."""
+    keys = ["pid", "home", "home_slot"]
+    place = (F.col("at").cast("long") * 4 + F.col("sub")).alias("place")
+    rows = persist_table(emitted.withColumn("is_link", F.col("tag") == "chained").withColumn("place", place), "emitted")
     own_call = F.struct("call", "args", "returns")
-    place = F.col("at") * 4 + F.col("sub")
-    listed = emitted.withColumn("chain", F.sum((~chained).cast("int")).over(so_far)).withColumn(
-        "head", F.last(F.when(~chained, F.col("tag")), ignorenulls=True).over(so_far)
-    )
-    links = F.collect_list(F.when(chained, F.struct("chain", own_call.alias("c")))).over(whole)
-    made = F.collect_list(F.when(F.col("tag") == "DClsInit", F.struct("var_id", place.alias("at")))).over(whole)
-    listed = listed.withColumn("_links", links).withColumn("_made", made)
-    followers = F.transform(F.filter("_links", lambda x: x["chain"] == F.col("chain")), lambda x: x["c"])
+    heads, links = rows.where("not is_link"), rows.where("is_link and pid is not null")
+    # a link hangs on the last row before it in its list, which must be a call
+    hung = latest_before(links.select(*keys, "place", own_call.alias("c")), heads.where("pid is not null").select(*keys, "place", F.struct(F.col("place").alias("head"), "tag").alias("on")), keys, "place", "on", 16 * BIN)
+    hung = persist_table(hung, "links")
+    bad = hung.where("on is null or on.tag <> 'DAPIInvoke'").select("pid").distinct()
+    followers = hung.where("on is not null").groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col("on.head").alias("_place")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "c"))), lambda x: x["c"]).alias("_more"))
+    same = F.col("pid").eqNullSafe(F.col("_pid")) & (F.col("home") == F.col("_home")) & (F.col("home_slot") == F.col("_home_slot"))
     # an earlier plain declaration of a variable constructed later in the same list is a class declaration
-    constructed = F.exists("_made", lambda m: (m["var_id"] == F.col("var_id")) & (m["at"] > place))
-    folded = listed.select(
-        "pid", "home", "home_slot", "at", "sub", "raw_id", "var_id", "expr_id", "ret_id", "returns", "op", "iattrib", "method",
-        F.when((F.col("tag") == "DVarDecl") & constructed, "DVarDeclCls").otherwise(F.col("tag")).alias("tag"),
-        F.when(F.col("call").isNotNull(), F.concat(F.array(own_call), followers)).otherwise(F.slice(F.array(own_call), 1, 0)).alias("calls"),
-        (F.col("chain") - 1).alias("slot_pos"), chained.alias("is_link"),
-        (chained & (F.coalesce("head", F.lit("")) != "DAPIInvoke")).alias("is_bad"),
-    )
-    in_program = W.partitionBy("pid").orderBy("at", "sub")
-    before = in_program.rowsBetween(W.unboundedPreceding, 0)
-    program = in_program.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    numbered = folded.withColumn("node_id", F.sum((~F.col("is_link")).cast("int")).over(before).cast("int") - 1)
-    owner = F.collect_list(F.when(F.col("raw_id").isNotNull(), F.struct("raw_id", "node_id"))).over(program)
-    numbered = numbered.withColumn("_owners", owner).withColumn("bad", F.bool_or("is_bad").over(program))
-    parent = F.get(F.filter("_owners", lambda o: o["raw_id"] == F.col("home")), F.lit(0))["node_id"]
-    rejected = numbered.where("bad").select("pid").distinct()
-    out = numbered.where("not bad and not is_link").select(
-        "pid", "node_id", F.coalesce(parent, F.lit(-1)).alias("parent_id"), F.col("home_slot").alias("slot"), F.col("slot_pos").cast("int").alias("slot_pos"),
+    made = heads.where("tag = 'DClsInit'").groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col("var_id").alias("_var")).agg(F.max("place").alias("_made"))
+    plain = heads.where("tag = 'DVarDecl'").join(made, same & (F.col("var_id") == F.col("_var")), "left")
+    plain = plain.withColumn("tag", F.when(F.col("_made") > F.col("place"), "DVarDeclCls").otherwise("DVarDecl")).select(*heads.columns)
+    folded = heads.where("tag <> 'DVarDecl'").unionByName(plain).join(followers, same & (F.col("place") == F.col("_place")), "left")
+    none = F.slice(F.array(own_call), 1, 0)
+    calls = F.when(F.col("call").isNotNull(), F.concat(F.array(own_call), F.coalesce("_more", none))).otherwise(none)
+    kept = folded.select(*heads.columns, calls.alias("calls")).join(bad.select(F.col("pid").alias("_bad")), F.col("pid") == F.col("_bad"), "left_anti")
+    kept = persist_table(kept, "folded")
+    numbered = persist_table(positions(kept, [F.col("place")], _bin(F.col("at")), ["pid"], out="node_id"), "numbered")
+    listed = positions(numbered, [F.col("place")], _bin(F.col("at")), keys, out="slot_pos")
+    owners = numbered.where("raw_id is not null").select(F.col("pid").alias("_pid"), F.col("raw_id").alias("_raw"), F.col("node_id").alias("parent_id"))
+    out = listed.join(owners, F.col("pid").eqNullSafe(F.col("_pid")) & (F.col("home") == F.col("_raw")), "left").select(
+        "pid", F.col("node_id").cast("int").alias("node_id"), F.coalesce("parent_id", F.lit(-1)).cast("int").alias("parent_id"), F.col("home_slot").alias("slot"), F.col("slot_pos").cast("int").alias("slot_pos"),
         "tag", "calls", "var_id", "expr_id", "ret_id", "returns", "op", "iattrib", "method",
     )
-    return out, rejected
+    return out, bad

@@ -13,7 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from codeloom.functions.javatypes import expr_type, formal_types
-from codeloom.operators.ranking import positions, running_sum
+from codeloom.operators.ranking import positions
+from codeloom.session import persist_table
 
 BIN = 4096  # nodes of a program that are scanned together
 BUILTIN = ("system_package", "LITERAL", "no_return_var")
@@ -61,27 +62,30 @@ def enclosing(scope: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
 
 
+def _in_bins(rows: DataFrame, at: str, bin_size: int) -> tuple[DataFrame, bool]:
+    """The rows with ``_bin``, written, and whether any row stands beyond the first bin of its program."""
+    stored = persist_table(rows.withColumn("_bin", F.floor(F.greatest(F.col(at), F.lit(0)) / bin_size)), "bins")
+    return stored, bool(stored.where("_bin > 0").limit(1).count())
+
+
 def latest_before(asked: DataFrame, known: DataFrame, keys: Sequence[str], at: str, value: str, bin_size: int = BIN) -> DataFrame:
     """``asked`` with ``value``: that of the last row of ``known`` with the same keys and a smaller ``at``, else null.
 
     Keys and ``at`` are not null. Rows are scanned in bins of ``at``; a value that comes from an earlier bin is the last
-    of the bins before, from a table with one row for each key and bin.
+    of the bins before, from a table with one row for each key and bin. Where there is one bin, nothing is carried.
     """
     rest = [c for c in asked.columns if c not in (*keys, at)]
     a = asked.select(*keys, at, F.struct(*rest).alias("_rest"), F.lit(None).cast(known.schema[value].dataType).alias("_v"), F.lit(False).alias("_known"))
     b = known.select(*keys, at, F.lit(None).cast(a.schema["_rest"].dataType).alias("_rest"), F.col(value).alias("_v"), F.lit(True).alias("_known"))
-    rows = a.unionByName(b).withColumn("_bin", F.floor(F.col(at) / bin_size))
+    rows, carries = _in_bins(a.unionByName(b), at, bin_size)
     inside = W.partitionBy(*keys, "_bin").orderBy(at, "_known").rowsBetween(W.unboundedPreceding, 0)
-    scanned = rows.withColumn("_seen", F.last("_v", ignorenulls=True).over(inside)).where("not _known")
-    late = a.withColumn("_bin", F.floor(F.col(at) / bin_size)).where("_bin > 0").select(*keys, "_bin", F.lit(None).cast(known.schema[value].dataType).alias("_last")).distinct()
-    some = late.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
-    same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    last = known.join(some, same, "left_semi").groupBy(*keys, F.floor(F.col(at) / bin_size).alias("_bin")).agg(F.max_by(value, at).alias("_last"))
-    bins = last.unionByName(late).groupBy(*keys, "_bin").agg(F.first("_last", ignorenulls=True).alias("_last"))
-    before = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
-    carried = bins.withColumn("_carry", F.last("_last", ignorenulls=True).over(before)).where("_carry is not null and _bin > 0").select(*keys, "_bin", "_carry")
-    found = scanned.join(carried, [*keys, "_bin"], "left")
-    return found.select(*keys, at, F.coalesce("_seen", "_carry").alias(value), *[F.col(f"_rest.{c}").alias(c) for c in rest])
+    found = rows.withColumn(value, F.last("_v", ignorenulls=True).over(inside)).where("not _known")
+    if carries:
+        bins = rows.groupBy(*keys, "_bin").agg(F.max(F.when(F.col("_known"), F.struct(F.col(at).alias("at"), "_v"))).alias("_last"))
+        before = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+        carried = bins.withColumn("_carry", F.last("_last", ignorenulls=True).over(before)["_v"]).where("_carry is not null").select(*keys, "_bin", "_carry")
+        found = found.join(carried, [*keys, "_bin"], "left").withColumn(value, F.coalesce(value, "_carry"))
+    return found.select(*keys, at, value, *[F.col(f"_rest.{c}").alias(c) for c in rest])
 
 
 def resolve_uses(nodes: DataFrame, given: Mapping[str, str] | None = None) -> DataFrame:
@@ -117,14 +121,24 @@ def visible_counts(nodes: DataFrame, scopes: Column | None = None, **events: Col
     ``scopes``: the scopes that a node looks into, if not those round it. Counts are running sums along
     (program, scope), in bins, added up over a node's scopes.
     """
+    names = list(events)
     flags = [e.cast("int").alias(name) for name, e in events.items()]
-    zero = [F.lit(0).alias(name) for name in events]
-    placed = nodes.select("pid", "node_id", F.col("scope").alias("_in"), *flags, F.lit(True).alias("_known")).where(" or ".join(f"{name} = 1" for name in events))
-    asked = nodes.select("pid", "node_id", F.explode(enclosing(F.col("scope")) if scopes is None else scopes).alias("_in"), *zero, F.lit(False).alias("_known"))
-    both = placed.unionByName(asked)
-    for name in events:  # asked rows count 0 and come before a node's own event
-        both = running_sum(both, F.col(name), [F.col("node_id"), F.col("_known")], F.floor(F.col("node_id") / BIN), ["pid", "_in"], out=f"_sum_{name}")
-    return both.where("not _known").groupBy("pid", "node_id").agg(*[F.sum(f"_sum_{name}").cast("int").alias(name) for name in events])
+    looks = enclosing(F.col("scope")) if scopes is None else scopes
+    row = lambda place, values, known: F.struct(place.alias("_in"), *values, F.lit(known).alias("_known"))
+    zeros = [F.lit(0).alias(name) for name in names]
+    asked = F.transform(looks, lambda s: row(s, zeros, False))
+    own = F.when(sum((F.col(n) for n in names), F.lit(0)) > 0, F.array(row(F.col("scope"), [F.col(n) for n in names], True)))
+    marked = nodes.select("pid", "node_id", "scope", *flags).select("pid", "node_id", F.explode(F.concat(asked, F.coalesce(own, F.slice(asked, 1, 0)))).alias("_r"))
+    rows, carries = _in_bins(marked.select("pid", "node_id", "_r.*"), "node_id", BIN)
+    inside = W.partitionBy("pid", "_in", "_bin").orderBy("node_id", "_known").rowsBetween(W.unboundedPreceding, 0)
+    summed = rows.select("*", *[F.sum(n).over(inside).alias(f"_sum_{n}") for n in names]).where("not _known")
+    if carries:
+        bins = rows.groupBy("pid", "_in", "_bin").agg(*[F.sum(n).alias(f"_own_{n}") for n in names])
+        before = W.partitionBy("pid", "_in").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+        offsets = bins.select(F.col("pid").alias("_pid"), F.col("_in").alias("_at_in"), F.col("_bin").alias("_at_bin"), *[F.coalesce(F.sum(f"_own_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in names])
+        summed = summed.join(offsets, F.col("pid").eqNullSafe(F.col("_pid")) & (F.col("_in") == F.col("_at_in")) & (F.col("_bin") == F.col("_at_bin")))
+        summed = summed.select("pid", "node_id", *[(F.col(f"_sum_{n}") + F.col(f"_before_{n}")).alias(f"_sum_{n}") for n in names])
+    return summed.groupBy("pid", "node_id").agg(*[F.sum(f"_sum_{n}").cast("int").alias(n) for n in names])
 
 
 def prune_unused(nodes: DataFrame, used: DataFrame) -> DataFrame:

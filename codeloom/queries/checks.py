@@ -49,7 +49,7 @@ GIVEN = dict.fromkeys(PARAMETERS, "int")
 
 
 def uses_of_programs(spark, sf_dir):
-    return sc.resolve_uses(pj.program_nodes(spark, sf_dir), GIVEN)
+    return sc.resolve_uses(stored_nodes(spark, sf_dir), GIVEN)
 
 
 @query("undeclared_use", f"with {SCOPE} select pid, node_id, role, var_id from resolved where not found and var_id not in ('system_package', 'LITERAL', 'no_return_var')")
