@@ -54,11 +54,15 @@ def _emit(nodes: DataFrame, emissions: list[tuple[Column, dict[str, Column]]]) -
 
 
 def with_simple_types(nodes: DataFrame) -> DataFrame:
-    """Types and API texts simplified; an absent type of a typed node becomes Object."""
+    """Types and API texts simplified, each distinct text once; an absent type of a typed node becomes Object. ``nodes`` are written."""
     untyped = F.col("tag").isin(*LISTS, "DReturnStmt", "DVarDeclExpr", "DAssign", "DInternalAPICall") | F.col("slot").isin(*ARGUMENT_SLOTS) & (F.col("tag") == "DVarCall")
-    returns = F.when(untyped, F.col("returns")).when((F.col("tag") == "DReturnVar") & (F.col("returns") == "null"), _text()).otherwise(simplify_type(F.col("returns")))
     call = F.get("calls", F.lit(0))["call"]
-    return nodes.withColumn("returns", returns).withColumn("call", F.when(call.isNotNull(), simplify_api(call))).drop("calls")
+    types = nodes.select(F.col("returns").alias("_type")).distinct().withColumn("_simple", simplify_type(F.col("_type")))
+    calls = nodes.select(call.alias("_call")).where("_call is not null").distinct().withColumn("_simple_call", simplify_api(F.col("_call")))
+    types, calls = persist_table(types, "types"), persist_table(calls, "calls")
+    joined = nodes.withColumn("_c", call).join(types, F.col("returns").eqNullSafe(F.col("_type")), "left").join(calls, F.col("_c") == F.col("_call"), "left")
+    returns = F.when(untyped, F.col("returns")).when((F.col("tag") == "DReturnVar") & (F.col("returns") == "null"), _text()).otherwise(F.col("_simple"))
+    return joined.select(*[c for c in nodes.columns if c not in ("calls", "returns")], returns.alias("returns"), F.col("_simple_call").alias("call"))
 
 
 def _bin(at: Column) -> Column:
@@ -130,8 +134,8 @@ def with_seen_types(nodes: DataFrame) -> DataFrame:
 def lower(nodes: DataFrame, apis: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(lowered node rows, rejected programs). ``apis``: ``api, id`` of known constructors."""
     tag = F.col("tag")
-    simple = persist_table(with_simple_types(nodes.where(tag != "DAssign")), "simple")
-    operands = persist_table(with_operands(persist_table(with_temporaries(simple), "temporaries")), "with-operands")
+    kept = persist_table(nodes.where(tag != "DAssign"), "extracted")
+    operands = persist_table(with_operands(persist_table(with_temporaries(with_simple_types(kept)), "temporaries")), "with-operands")
     typed = _with_followers(with_seen_types(operands))
     if apis is None:
         typed = typed.withColumn("fix", _text())
