@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from codeloom.functions.javatypes import formal_types, is_primitive, simplify_api, simplify_type
 from codeloom.operators.checks import constructors_for
 from codeloom.operators.ranking import positions
-from codeloom.operators.scope import BIN, enclosing, latest_before
+from codeloom.operators import scope as sc
+from codeloom.operators.scope import enclosing, latest_before
 from codeloom.operators.trees import LISTS
 from codeloom.session import persist_table
 
@@ -66,7 +67,7 @@ def with_simple_types(nodes: DataFrame) -> DataFrame:
 
 
 def _bin(at: Column) -> Column:
-    return F.floor(at / BIN)
+    return F.floor(at / sc.BIN)
 
 
 def with_temporaries(nodes: DataFrame) -> DataFrame:
@@ -126,7 +127,7 @@ def with_seen_types(nodes: DataFrame) -> DataFrame:
     known = nodes.select("pid", name.alias("name"), scope.alias("_in"), at.alias("at"), F.struct(at.alias("at"), F.coalesce("wrapped_type", "returns").alias("type")).alias("seen"))
     asked = nodes.select("pid", target.alias("name"), F.explode(enclosing(scope)).alias("_in"), (F.col("seq_out") * 2).alias("at"), "node_id")
     usable = F.col("pid").isNotNull() & F.col("name").isNotNull()
-    each = latest_before(asked.where(usable), known.where(usable), ["pid", "name", "_in"], "at", "seen", 4 * BIN)
+    each = latest_before(asked.where(usable), known.where(usable), ["pid", "name", "_in"], "at", "seen", 4)
     seen = each.groupBy(F.col("pid").alias("_pid"), F.col("node_id").alias("_of")).agg(F.max("seen")["type"].alias("seen_type"))
     return nodes.join(seen, F.col("pid").eqNullSafe(F.col("_pid")) & (F.col("node_id") == F.col("_of")), "left").drop("_pid", "_of")
 
@@ -224,7 +225,7 @@ def _assemble(emitted: DataFrame) -> tuple[DataFrame, DataFrame]:
     own_call = F.struct("call", "args", "returns")
     heads, links = rows.where("not is_link"), rows.where("is_link and pid is not null")
     # a link hangs on the last row before it in its list, which must be a call
-    hung = latest_before(links.select(*keys, "place", own_call.alias("c")), heads.where("pid is not null").select(*keys, "place", F.struct(F.col("place").alias("head"), "tag").alias("on")), keys, "place", "on", 16 * BIN)
+    hung = latest_before(links.select(*keys, "place", own_call.alias("c")), heads.where("pid is not null").select(*keys, "place", F.struct(F.col("place").alias("head"), "tag").alias("on")), keys, "place", "on", 16)
     hung = persist_table(hung, "links")
     bad = hung.where("on is null or on.tag <> 'DAPIInvoke'").select("pid").distinct()
     followers = hung.where("on is not null").groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col("on.head").alias("_place")).agg(

@@ -68,13 +68,14 @@ def _in_bins(rows: DataFrame, at: str, bin_size: int) -> tuple[DataFrame, bool]:
     return stored, bool(stored.where("_bin > 0").limit(1).count())
 
 
-def latest_before(asked: DataFrame, known: DataFrame, keys: Sequence[str], at: str, value: str, bin_size: int = BIN) -> DataFrame:
+def latest_before(asked: DataFrame, known: DataFrame, keys: Sequence[str], at: str, value: str, bins_of: int = 1) -> DataFrame:
     """``asked`` with ``value``: that of the last row of ``known`` with the same keys and a smaller ``at``, else null.
 
     Keys and ``at`` are not null. Rows are scanned in bins of ``at``; a value that comes from an earlier bin is the last
     of the bins before, from a table with one row for each key and bin. Where there is one bin, nothing is carried.
     """
     rest = [c for c in asked.columns if c not in (*keys, at)]
+    bin_size = bins_of * BIN
     a = asked.select(*keys, at, F.struct(*rest).alias("_rest"), F.lit(None).cast(known.schema[value].dataType).alias("_v"), F.lit(False).alias("_known"))
     b = known.select(*keys, at, F.lit(None).cast(a.schema["_rest"].dataType).alias("_rest"), F.col(value).alias("_v"), F.lit(True).alias("_known"))
     rows, carries = _in_bins(a.unionByName(b), at, bin_size)

@@ -65,12 +65,12 @@ def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def in_parts(lines: DataFrame, most: int = PART_LINES) -> DataFrame:
+def in_parts(lines: DataFrame, most: int | None = None) -> DataFrame:
     """``part`` of each line: 0, but programs of more than ``most`` lines are dealt to parts along their order.
 
     Only the programs' sizes are counted (and combine before the shuffle); the few that are large are a small table.
     """
-    large = lines.groupBy("pid").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(F.col("pid").alias("_large"))
+    large = lines.groupBy("pid").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > (most or PART_LINES)).select(F.col("pid").alias("_large"))
     place = F.col("l_linenumber").cast("long") * (1 << 40) + F.floor(F.col("l_partkey") / PART_KEYS)
     marked = lines.join(large, F.col("pid").eqNullSafe(F.col("_large")), "left")
     return marked.withColumn("part", F.when(F.col("_large").isNotNull(), place).otherwise(F.lit(0)).cast("long")).drop("_large")
@@ -141,7 +141,7 @@ def line_nodes() -> Column:
     return out
 
 
-def program_nodes(spark: SparkSession, sf_dir: str, most: int = PART_LINES) -> DataFrame:
+def program_nodes(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
     """The node table of all programs, whatever their size."""
     return trees.flatten_parts(_part_texts(_sized_lines(spark, sf_dir, most), line_nodes()))
 
@@ -198,7 +198,7 @@ def raw_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole(calls(spark, sf_dir), raw_line_nodes())
 
 
-def raw_program_nodes(spark: SparkSession, sf_dir: str, most: int = PART_LINES) -> DataFrame:
+def raw_program_nodes(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
     """The node table of all extracted programs."""
     return trees.flatten_parts(_part_texts(_sized_lines(spark, sf_dir, most), raw_line_nodes()))
 
@@ -208,7 +208,7 @@ def raw_program_nodes(spark: SparkSession, sf_dir: str, most: int = PART_LINES)
 ITERATOR = tuple(f"java.util.Iterator<java.lang.String>.{name}()" for name in ("hasNext", "next", "remove"))
 
 
-def iterator_program_nodes(spark: SparkSession, sf_dir: str, most: int = PART_LINES) -> DataFrame:
+def iterator_program_nodes(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
     """As :func:`program_nodes`, where three of five suppliers stand for calls on an iterator."""
     lines = _sized_lines(spark, sf_dir, most)
     kind = F.col("l_suppkey") % 5

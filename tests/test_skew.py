@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from codeloom.operators import scope
+from codeloom.plans import projection
 from tests.compare import compare, duck
 
 SOURCE = "/root/testdata/sf0.001"
@@ -36,6 +38,18 @@ def skewed(tmp_path_factory):
     return folder
 
 
+PARTS = ("tree_flatten", "iterator_attributes", "declared_types", "visible_declarations", "static_outcome", "lower_programs")
+
+
+@pytest.mark.parametrize("name", PARTS)
+def test_a_hot_program_in_parts(spark, skewed, name, monkeypatch):
+    """One order holds a third of all lines; it is flattened in parts and scanned in bins, all far smaller than it."""
+    monkeypatch.setattr(projection, "PART_LINES", 100)
+    monkeypatch.setattr(scope, "BIN", 64)
+    rows, problem = compare(spark, duck(skewed), entry.queries()[name], entry.oracle_sql()[name], skewed)
+    assert problem is None and rows > 0
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_hot_keys(spark, skewed, name):
     rows, problem = compare(spark, duck(skewed), entry.queries()[name], entry.oracle_sql()[name], skewed)
