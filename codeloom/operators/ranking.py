@@ -2,7 +2,8 @@
 
 A plain ``row_number()`` over a whole table, or over one hot group, sorts everything in one
 task. Here rows are first put in an order-preserving bucket (an md5 prefix, an id range, an
-hour); bucket counts give each bucket its offset, and only rows within a bucket are sorted.
+hour); bucket counts give each bucket its offset, and only rows within a bucket are sorted. The counts
+themselves are added up in two levels, so no task reads a number of rows that grows with the table.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
+from codeloom.session import persist_table
+
 HASH_DIGITS = 3  # 16**3 buckets
 
 
@@ -37,6 +40,30 @@ def _group(keys: Sequence[str]) -> WindowSpec:
     return W.partitionBy(*[f"_bucket.k{i}" for i in range(len(keys))])
 
 
+def _before(cells: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``cells`` (``_bucket`` and ``value``) with ``_offset``, the sum of the buckets before, and ``_all``, that of the group.
+
+    Without keys the buckets are one group that may be large. They are dealt to ranges, cut at sampled
+    quantiles; each range is summed up by itself, and what stands before a range comes from one row per range, whose
+    number is that of the shuffle partitions, however many buckets there are.
+    """
+    if keys:
+        group = _group(keys)
+        before = group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+        return cells.withColumn("_offset", F.coalesce(F.sum(value).over(before), F.lit(0))).withColumn("_all", F.sum(value).over(group))
+    ranges = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = persist_table(persist_table(cells, "cells").repartitionByRange(ranges, "_bucket").withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    one = W.orderBy("_range")  # one row for each range
+    sums = sums.select(
+        F.col("_range").alias("_at"), F.coalesce(F.sum("_sum").over(one.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
+        F.sum("_sum").over(one.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_all"))
+    inside = W.partitionBy("_range").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    own = dealt.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    joined = own.join(F.broadcast(sums), F.col("_range") == F.col("_at"))
+    return joined.select("_bucket", value, (F.col("_base") + F.col("_inside")).alias("_offset"), "_all")
+
+
 def positions(
     df: DataFrame,
     order: Sequence[Column],
@@ -52,11 +79,8 @@ def positions(
     """
     rows = df.withColumn("_bucket", _cell(keys, bucket))
     counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    group = _group(keys)
-    before = group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    if total:
-        offsets = offsets.withColumn(total, F.sum("_n").over(group))
+    offsets = _before(counts, keys, "_n")
+    offsets = offsets.withColumnRenamed("_all", total) if total else offsets.drop("_all")
     inside = W.partitionBy("_bucket").orderBy(*order)
     return (
         rows.join(offsets.drop("_n"), "_bucket")
@@ -76,8 +100,7 @@ def running_sum(
     """Inclusive running sum in order, bucketed the same way as :func:`positions`."""
     rows = df.withColumn("_bucket", _cell(keys, bucket)).withColumn("_v", value)
     sums = rows.groupBy("_bucket").agg(F.sum("_v").alias("_s"))
-    before = _group(keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.withColumn("_offset", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+    offsets = _before(sums, keys, "_s").drop("_all")
     inside = W.partitionBy("_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return (
         rows.join(offsets.drop("_s"), "_bucket")
