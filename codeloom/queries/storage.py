@@ -42,6 +42,22 @@ def corrupt_lines(spark, sf_dir):
     return good.select(F.lit(True).alias("good")).unionByName(bad.select(F.lit(False).alias("good"))).groupBy("good").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("envelope_scan", """select doc_id, md5(text) as body_md5, 0 as rejects from documents where doc_id % 10 <> 3
+union all select null, null, count(*)::int from documents where doc_id % 10 = 3""")
+def envelope_scan(spark, sf_dir):
+    """Envelope files read in splits; every tenth record is cut in the middle, and counted."""
+    path = new_folder(spark, "envelopes")
+    record = F.to_json(F.struct(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file"), F.lit("{\"file\":").alias("method"), F.col("text").alias("body"), F.array(F.struct(F.lit("n").alias("node"))).alias("formalParam")))
+    cut = F.when(F.col("doc_id") % 10 == 3, record.substr(F.lit(1), F.length(record) - 8)).otherwise(record)
+    chunks = table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 128).alias("chunk")).agg(F.collect_list(cut).alias("records"))
+    text = F.concat(F.lit('{"size":'), F.size("records"), F.lit(',"programs":['), F.array_join("records", ",\n"), F.lit("]}"))
+    chunks.select("chunk", text.alias("value")).repartition("chunk").write.partitionBy("chunk").text(path)
+    good, bad = src.scan_large_envelopes(spark, path)
+    rows = good.select(F.expr("substring(file, 2)").cast("bigint").alias("doc_id"), F.md5("body").alias("body_md5"), F.lit(0).alias("rejects"))
+    none = F.lit(None)
+    return rows.unionByName(bad.agg(F.count(F.lit(1)).cast("int").alias("rejects")).select(none.cast("bigint").alias("doc_id"), none.cast("string").alias("body_md5"), "rejects"))
+
+
 @query("program_filters", """select count(*) as n_ast, count(*) filter (len > 30) as n_body, count(*) filter (marked) as n_marked from
  (select length(text) as len, contains(text, 'the') as marked from documents where doc_id % 7 <> 0)""")
 def program_filters(spark, sf_dir):

@@ -29,6 +29,29 @@ def scan_envelopes(spark: SparkSession, paths: str | Sequence[str], schema: str
     return reader.json(paths).select(F.explode("programs").alias("p")).select("p.*")
 
 
+def scan_large_envelopes(spark: SparkSession, paths: str | Sequence[str], schema: str = PROGRAM, border: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Envelope files of any size: (records, with the ``file`` they are from as ``_path``; rejects: ``_path, _block, _corrupt``).
+
+    Files are split into byte ranges at the ``border``, the text that a record begins with: a brace and its first key,
+    ``{"file":`` as the schema says. Inside a JSON string quotes are escaped, so it cannot stand there; a file needs
+    no memory beyond its longest record, and many tasks read one file. A record that was cut or does not parse is
+    a reject, with its file and the byte at which its split begins, and the records after it are read. What stands
+    before the first border must be the envelope's head (or all of an empty one), else it is a reject. Missing and unreadable files are passed over.
+    """
+    full = T.StructType.fromDDL(schema).add(CORRUPT, T.StringType())
+    border = border or f'{{"{full.fieldNames()[0]}":'
+    head = r'^\s*(\{\s*("size"\s*:\s*\d+\s*,\s*)?"programs"\s*:\s*\[\s*(\]\s*(,\s*"size"\s*:\s*\d+\s*)?\}\s*)?)?$'
+    tail = r'\s*(,|\]\s*(,\s*"size"\s*:\s*\d+\s*)?\})?\s*$'
+    reader = spark.read.option("lineSep", border).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    parts = reader.text(paths).select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    text = F.concat(F.lit(border), F.regexp_replace("value", tail, ""))
+    whole = text.endswith("}")  # the parser does not look beyond a record, so its end is checked here
+    parsed = parts.where(~F.col("value").rlike(head)).select("_path", "_block", "value", F.when(whole, F.from_json(text, full, options)).alias("r"))
+    good = F.col("r").isNotNull() & F.col(f"r.{CORRUPT}").isNull()
+    return parsed.where(good).select("r.*", "_path").drop(CORRUPT), parsed.where(~good).select("_path", "_block", F.col("value").alias(CORRUPT))
+
+
 def scan_lines(spark: SparkSession, paths: str | Sequence[str], schema: str = PROGRAM) -> tuple[DataFrame, DataFrame]:
     """One record per line: (good records, bad lines). A blank line is a bad one."""
     full = T.StructType.fromDDL(schema).add(CORRUPT, T.StringType())

@@ -1,6 +1,7 @@
 """Results hold when one key has most of the rows; positions, batches, stores, streams."""
 
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,3 +175,27 @@ def test_shared_folder_comes_from_the_session():
                 return "hdfs://shared/work/" if key == "spark.checkpoint.dir" else default
 
     assert new_folder(Named, "x").startswith("hdfs://shared/work/x-")
+
+
+def test_large_envelopes_in_splits(spark, tmp_path):
+    """Records over many splits, borders inside strings, records that are cut, a file that is no envelope."""
+    records = [{"file": f"f{i}", "method": '{"file":', "body": 'x{"file":"y"},\\"{"file":' * (i % 50) + "]}", "formalParam": [{"node": "a"}]} for i in range(400)]
+    texts = [json.dumps(r, separators=(",", ":")) for r in records]
+    (tmp_path / "a.json").write_text('{"programs":[' + ",".join(texts) + "]}")
+    (tmp_path / "b.json").write_text('{"size":3, "programs": [' + ",\n".join([texts[1], texts[2][:-9], texts[3]]) + "]\n}\n")
+    (tmp_path / "c.json").write_text('{"programs":[' + texts[4] + "," + texts[5][:30])
+    (tmp_path / "d.json").write_text("no envelope")
+    (tmp_path / "e.json").write_text('{"programs":[]}')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        good, bad = src.scan_large_envelopes(spark, str(tmp_path))
+        got = Counter((r["file"], r["body"], r["_path"][-6:]) for r in good.collect())
+        rejects = sorted((r["_path"][-6:], r["_corrupt"][:5]) for r in bad.collect())
+        assert good.rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = Counter((r["file"], r["body"], "a.json") for r in records)
+    want += Counter((records[i]["file"], records[i]["body"], name) for i, name in ((1, "b.json"), (3, "b.json"), (4, "c.json")))
+    assert got == want
+    assert rejects == [("b.json", '"f2",'), ("c.json", '"f5",'), ("d.json", "no en")]
