@@ -3,8 +3,7 @@
 Words are runs without ASCII white space, A-Z lowered. ``score`` counts them exactly and trains the network of
 ``word_network``, whose vocabulary grows with the corpus: frequent words have an input and an output each, and the two words before and
 the two after decide both the class and the word within it. A text's score is the sum of the log chances of all its
-words, each given all others. The class network in this module (2^18 buckets, ``HEADS`` classes of one bucket and
-``TAILS`` by hash) is no longer used by ``score``; its tests hold it.
+words, each given all others.
 
 Counts are summed per slice of a task before they are shuffled. Training reads every document: each task runs
 minibatch gradient descent over the documents of its partition from one common start, and the tasks' weights
@@ -17,154 +16,12 @@ equal scores. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from codeloom.llm import word_network
-from codeloom.llm.common import slices, words
 from codeloom.session import persist_table
 
-BUCKETS, HEADS, TAILS, SIDE, HIDDEN = 1 << 18, 48, 16, 2, 16
-CLASSES = HEADS + TAILS
-EDGE = CLASSES
-EPOCHS, BATCH, STEP, SEED = 1, 8192, 0.5, 41
-PLACES = [k for k in range(-SIDE, SIDE + 1) if k]
-
-
-@dataclass(frozen=True)
-class Vocabulary:
-    class_of: np.ndarray  # of each bucket
-    log_share: np.ndarray  # of each bucket in its class
-
-
-@dataclass(frozen=True)
-class Network:
-    embed: np.ndarray  # places x (CLASSES + 1) x HIDDEN
-    bias: np.ndarray  # HIDDEN
-    out: np.ndarray  # HIDDEN x CLASSES
-    out_bias: np.ndarray  # CLASSES
-
-    def parts(self) -> list[np.ndarray]:
-        return [self.embed, self.bias, self.out, self.out_bias]
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts()])
-
-    @staticmethod
-    def start() -> Network:
-        rng = np.random.default_rng(SEED)
-        return Network((rng.normal(0, 0.3, (len(PLACES), CLASSES + 1, HIDDEN))).astype(np.float32), np.zeros(HIDDEN, np.float32),
-                       rng.normal(0, 0.3, (HIDDEN, CLASSES)).astype(np.float32), np.zeros(CLASSES, np.float32))
-
-    @staticmethod
-    def of(values: np.ndarray) -> Network:
-        out, at = [], 0
-        for part in Network.start().parts():
-            out.append(values[at : at + part.size].reshape(part.shape).astype(np.float32))
-            at += part.size
-        return Network(*out)
-
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden values and log chances of all classes."""
-        total = np.broadcast_to(self.bias, (len(context), HIDDEN)).copy()
-        for k in range(len(PLACES)):
-            total += self.embed[k][context[:, k]]
-        hidden = np.tanh(total)
-        scores = hidden @ self.out + self.out_bias
-        scores -= scores.max(axis=1, keepdims=True)
-        return hidden, scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
-
-    def learn(self, context: np.ndarray, target: np.ndarray, step: float) -> None:
-        """One step of gradient descent, in place."""
-        hidden, logs = self.forward(context)
-        wrong = np.exp(logs)
-        wrong[np.arange(len(target)), target] -= 1
-        wrong *= step / len(target)
-        back = (wrong @ self.out.T) * (1 - hidden * hidden)
-        self.out[...] -= hidden.T @ wrong
-        self.out_bias[...] -= wrong.sum(axis=0)
-        self.bias[...] -= back.sum(axis=0)
-        for k in range(len(PLACES)):
-            held = np.zeros((CLASSES + 1, len(target)), np.float32)
-            held[context[:, k], np.arange(len(target))] = 1
-            self.embed[k] -= held @ back
-
-
-def contexts(classes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Classes around each word; words of other rows count as the edge."""
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    out = np.full((len(classes), len(PLACES)), EDGE, np.int16)
-    for k, place in enumerate(PLACES):
-        size = max(0, len(classes) - abs(place))
-        here, there = (slice(abs(place), None), slice(0, size)) if place < 0 else (slice(0, size), slice(abs(place), None))
-        near = row[here] == row[there]
-        out[here, k] = np.where(near, classes[there], EDGE)
-    return out
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(BUCKETS, np.int64)
-    for batch in slices(batches, "_text"):
-        counts += np.bincount((words(batch.column("_text"))[0] % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-    held = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], ["bucket", "n"])
-
-
-def vocabulary(texts: DataFrame) -> Vocabulary:
-    sums = texts.mapInArrow(_counted, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
-    counts = np.zeros(BUCKETS)
-    counts[np.array(sums.column("bucket"), dtype=np.int64)] = np.array(sums.column("n"), dtype=np.float64)
-    counts += 0.5  # buckets that no text has met
-    order = np.lexsort((np.arange(BUCKETS), -counts))
-    class_of = (HEADS + np.arange(BUCKETS) % TAILS).astype(np.int16)
-    class_of[order[:HEADS]] = np.arange(HEADS)
-    return Vocabulary(class_of, np.log(counts / np.bincount(class_of, counts)[class_of]).astype(np.float32))
-
-
-def _learned(vocab: Vocabulary, start: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, seen = Network.of(start), 0
-        for batch in slices(batches, "_text"):
-            hashes, first = words(batch.column("_text"))
-            classes = vocab.class_of[(hashes % np.uint64(BUCKETS)).astype(np.int64)]
-            around = contexts(classes, first)
-            order = np.random.default_rng(SEED + seen).permutation(len(classes))
-            for at in range(0, len(classes), BATCH):
-                some = order[at : at + BATCH]
-                network.learn(around[some], classes[some], STEP)
-            seen += len(classes)
-        if seen:
-            values = network.flat().astype(np.float64) * seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values), pa.array(np.full(len(values), seen))], ["at", "value", "words"])
-
-    return run
-
-
-def train(texts: DataFrame, vocab: Vocabulary, epochs: int = EPOCHS) -> Network:
-    values = Network.start().flat()
-    for _ in range(epochs):
-        sums = texts.mapInArrow(_learned(vocab, values), "at bigint, value double, words bigint").groupBy("at")
-        rows = sums.agg(F.sum("value").alias("value"), F.sum("words").alias("words")).toArrow()  # one row per weight
-        if rows.num_rows:
-            values = np.empty(len(values))
-            values[np.array(rows.column("at"))] = np.array(rows.column("value")) / np.array(rows.column("words"))
-    return Network.of(values)
-
-
-def log_chances(network: Network, vocab: Vocabulary, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Of each word, given the words round it."""
-    bucket = (hashes % np.uint64(BUCKETS)).astype(np.int64)
-    classes = vocab.class_of[bucket]
-    around = contexts(classes, first)
-    out = np.empty(len(bucket))
-    for at in range(0, len(bucket), BATCH):
-        _, logs = network.forward(around[at : at + BATCH])
-        out[at : at + BATCH] = logs[np.arange(len(logs)), classes[at : at + BATCH]]
-    return out + vocab.log_share[bucket]
+EPOCHS = 1
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", epochs: int = EPOCHS) -> DataFrame:
