@@ -389,6 +389,35 @@ def signatures(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("pid").agg(F.md5(F.array_join(ordered, " ")).alias("signature"))
 
 
+def subtree_hashes(nodes: DataFrame, label: Column | None = None) -> DataFrame:
+    """``pid, node_id, hash, size``: a hash of each subtree, by its label and its children's slots, order and hashes.
+
+    Made from the innermost level outwards, one aggregate and join per level of nesting: equal subtrees, in whatever
+    program, have equal hashes. ``label`` defaults to the tag.
+    """
+    own = persist_table(nodes.select("pid", "node_id", "parent_id", "slot", "slot_pos", "depth", (F.col("tag") if label is None else label).alias("label")), "labels")
+    levels = [r["depth"] for r in own.select("depth").distinct().collect()]  # one row per level of nesting
+    done = None
+    below = own.limit(0).select("pid", F.col("node_id").alias("_of"), F.lit("").alias("_inside"), F.lit(0).cast("long").alias("_sizes"))
+    for depth in sorted(levels, reverse=True):
+        here = own.where(F.col("depth") == depth)
+        met = here.join(below.withColumnRenamed("pid", "_pid"), F.col("pid").eqNullSafe(F.col("_pid")) & (F.col("node_id") == F.col("_of")), "left")
+        hashed = persist_table(met.select(
+            "pid", "node_id", "parent_id", "slot", "slot_pos", F.md5(F.concat_ws("|", "label", F.coalesce("_inside", F.lit("")))).alias("hash"), (F.coalesce("_sizes", F.lit(0)) + 1).alias("size")), "hashes")
+        done = hashed if done is None else done.unionByName(hashed)
+        inside = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "slot_pos", "hash"))), lambda c: F.concat_ws(":", c["slot"], c["slot_pos"].cast("string"), c["hash"])), ",")
+        below = hashed.where("parent_id >= 0").groupBy("pid", F.col("parent_id").alias("_of")).agg(inside.alias("_inside"), F.sum("size").alias("_sizes"))
+    if done is None:
+        return own.select("pid", "node_id", F.lit("").alias("hash"), F.lit(0).cast("long").alias("size"))
+    return done.select("pid", "node_id", "hash", "size")
+
+
+def shared_subtrees(hashes: DataFrame) -> DataFrame:
+    """Subtrees as one table: ``hash, size, times, programs``, of those that more than one program has."""
+    per = hashes.groupBy("hash", "pid").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    return per.groupBy("hash").agg(F.max("size").alias("size"), F.sum("n").alias("times"), F.count(F.lit(1)).alias("programs")).where("programs > 1")
+
+
 def remove_invalid(nodes: DataFrame, invalid: DataFrame) -> DataFrame:
     """Drop every node that is invalid or stands under an invalid one (``pid, node_id``)."""
     bad = invalid.select("pid", F.col("node_id").alias("anc")).distinct()

@@ -180,3 +180,33 @@ def remove_invalid(spark, sf_dir):
     loops = rows.where(F.col("tag") == "DLoop").select("pid", "node_id")
     invalid = scoped.join(loops, ["pid", "node_id"], "left_semi")
     return tr.remove_invalid(rows, invalid).groupBy("pid").agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
+_MERKLE = f"""{TREE},
+own as (select pid, node_id, parent_id, slot, slot_pos, depth, concat_ws(' ', tag, call) as label from nodes),
+h2 as (select *, md5(label || '|') as hash, 1 as size from own where depth = 2),
+c1 as (select pid, parent_id as id, string_agg(concat_ws(':', slot, slot_pos, hash), ',' order by slot, slot_pos) as inside, sum(size) as sizes from h2 group by all),
+h1 as (select o.*, md5(label || '|' || coalesce(inside, '')) as hash, 1 + coalesce(sizes, 0) as size from own o left join c1 on c1.pid = o.pid and c1.id = o.node_id where depth = 1),
+c0 as (select pid, parent_id as id, string_agg(concat_ws(':', slot, slot_pos, hash), ',' order by slot, slot_pos) as inside, sum(size) as sizes from h1 group by all),
+h0 as (select o.*, md5(label || '|' || coalesce(inside, '')) as hash, 1 + coalesce(sizes, 0) as size from own o left join c0 on c0.pid = o.pid and c0.id = o.node_id where depth = 0),
+h as (select pid, hash, size from h2 union all select pid, hash, size from h1 union all select pid, hash, size from h0)"""
+
+
+def _hashes(spark, sf_dir):
+    return tr.subtree_hashes(nodes(spark, sf_dir), F.concat_ws(" ", "tag", F.get("calls", F.lit(0))["call"]))
+
+
+@query("shared_subtrees", f"""with {_MERKLE} select hash, max(size)::bigint as size, count(*) as times, count(distinct pid) as programs from h group by hash having count(distinct pid) > 1""")
+def shared_subtrees(spark, sf_dir):
+    """Subtrees that several programs have, by Merkle hash."""
+    return tr.shared_subtrees(_hashes(spark, sf_dir))
+
+
+@query("largest_shared_subtree", f"""with {_MERKLE}, s as (select hash from h group by hash having count(distinct pid) > 1)
+select pid, max(size)::bigint as size, arg_max(hash, (size, hash)) as hash from h where hash in (select hash from s) group by pid""")
+def largest_shared_subtree(spark, sf_dir):
+    """The largest subtree that a program has in common with another."""
+    hashes = _hashes(spark, sf_dir)
+    shared = tr.shared_subtrees(hashes).select("hash")
+    best = F.max(F.struct("size", "hash"))
+    return hashes.join(shared, "hash", "left_semi").groupBy("pid").agg(best["size"].alias("size"), best["hash"].alias("hash"))
