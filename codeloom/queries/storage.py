@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as tx
@@ -13,7 +15,7 @@ from codeloom.queries.registry import query
 from codeloom.queries.sqlparts import METHODS
 from codeloom.session import new_folder, table
 from codeloom.sources import programs as src, stores
-from codeloom.streaming import ingest
+from codeloom.streaming import ingest, late
 
 
 @query("json_chunks", f"with {METHODS} select (ntile(32) over (order by pid) - 1)::int as chunk, pid, file, method from methods")
@@ -185,3 +187,24 @@ def stream_sliding(spark, sf_dir):
     """Z3, sliding"""
     counts = ingest.windowed_counts(ingest.watch_table(spark, sf_dir, "events"), "ts", F.col("event_type"), "10 minutes", "1 hour", "30 minutes")
     return ingest.run_update(counts, "sliding", ["start", "reason"])
+
+
+ARRIVAL = """e as (select event_type as reason, epoch_ms(ts) as ms, time_bucket(interval 6 hours, ts) as start, value >= 50 as refused,
+  least(3, (day(ts) - 1) // 8 + case when event_id % 9 = 0 then 1 else 0 end) as batch from events),
+mark as (select batch, max(max(ms)) over (order by batch rows between unbounded preceding and 1 preceding) - 86400000 as wm, max(max(ms)) over () - 86400000 as last_wm from e group by batch),
+j as (select e.*, epoch_ms(start) + 21600000 as ending, coalesce(epoch_ms(start) + 21600000 <= wm, false) as is_late, last_wm from e join mark using (batch))"""
+
+
+@query("stream_late", f"""with {ARRIVAL} select case when is_late then 'late' when ending < last_wm then 'closed' else 'open' end as kind, reason, start, count(*) as n from j where not refused group by all
+union all select 'reject', 'outlier', null, count(*) from j where refused having count(*) > 0""")
+def stream_late(spark, sf_dir):
+    """Events arrive in four deliveries out of order, the stream is stopped between them; late and refused rows are counted."""
+    events = table(spark, sf_dir, "events")
+    delivery = F.floor((F.dayofmonth("ts") - 1) / 8) + F.when(F.col("event_id") % 9 == 0, 1).otherwise(0)
+    dealt = events.withColumn("_delivery", F.least(F.lit(3), delivery))
+    folder = new_folder(spark, "arrivals")
+    stream = late.LateCounts(spark, folder, events.schema, "ts", F.col("event_type"), "1 day", timedelta(hours=6), F.when(F.col("value") >= 50, "outlier"))
+    for number in range(4):
+        dealt.where(F.col("_delivery") == number).drop("_delivery").write.mode("append").parquet(folder)
+        stream.run()
+    return stream.result()
