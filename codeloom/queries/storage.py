@@ -10,11 +10,12 @@ from codeloom.functions import text as tx
 from codeloom.operators import checks, ranking, vocab
 from codeloom.plans import projection as pj
 from codeloom.queries.checks import SCOPE, uses_of_programs
-from codeloom.queries.corpus import ORACLE_ENCODED, VOCAB, distinct_tokens, encode_evidence
+from codeloom.queries.corpus import ORACLE_ENCODED, TOKENS, VOCAB, distinct_tokens, encode_evidence
 from codeloom.queries.registry import query
 from codeloom.queries.sqlparts import METHODS
-from codeloom.session import new_folder, table
+from codeloom.session import new_folder, persist_table, table
 from codeloom.sources import programs as src, stores
+from codeloom.sources.growing import GrowingStore
 from codeloom.streaming import ingest, late
 
 
@@ -164,6 +165,54 @@ def report_text(spark, sf_dir):
     return lines.agg(F.count_if(F.col("value") == "== truth ==").alias("programs"), F.count_if(F.col("value") == "== end of prediction ==").alias("predictions"))
 
 
+# --- stores that grow ------------------------------------------------------------------
+
+DELIVERIES = 3
+
+
+def _delivery(id_col):
+    return F.pmod(F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 4), 16, 10).cast("int"), F.lit(DELIVERIES))
+
+
+def _sql_delivery(id_col):
+    return f"('0x' || substr(md5({id_col}::varchar), 1, 4))::int % {DELIVERIES}"
+
+
+@query("vocab_growth", f"""with {TOKENS}, f as (select token, min(({_sql_delivery('doc_id')}, doc_id, pos)) as first from tokens group by token)
+select token, row_number() over (order by first, token) as id, (first[1] + 1)::bigint as version from f""")
+def vocab_growth(spark, sf_dir):
+    """A vocabulary that takes in the documents in three deliveries; ids that were given out stay."""
+    tokens = distinct_tokens(spark, sf_dir)
+    store = GrowingStore(spark, new_folder(spark, "growing"), "token string", numbered=True).create()
+    for number in range(DELIVERIES):
+        store.merge(tokens.where(_delivery("doc_id") == number), ["doc_id", "pos"], F.floor(F.col("doc_id") / vocab.DOC_BLOCK))
+    return store.read()
+
+
+@query("vocab_infer", f"""with {TOKENS}, f as (select token, min((doc_id, pos)) as first from tokens where {_sql_delivery('doc_id')} = 0 group by token),
+v as (select token, row_number() over (order by first, token) as id from f)
+select doc_id, count(*) as n_tokens, count(*) filter (id is null) as n_unknown, sum(coalesce(id, 0))::bigint as id_sum from tokens left join v using (token) group by doc_id""")
+def vocab_infer(spark, sf_dir):
+    """P20: all documents in inferring mode, with the first version of a store that has grown since."""
+    tokens = distinct_tokens(spark, sf_dir)
+    store = GrowingStore(spark, new_folder(spark, "growing"), "token string", numbered=True).create()
+    for number in range(2):
+        store.merge(tokens.where(_delivery("doc_id") == number), ["doc_id", "pos"], F.floor(F.col("doc_id") / vocab.DOC_BLOCK))
+    every = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.words(F.col("text"))).alias("token"))
+    coded = store.encode(every, version=1)
+    return coded.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("id") == 0).alias("n_unknown"), F.sum("id").alias("id_sum"))
+
+
+@query("compat_growth", f"""with {SCOPE} select role, declared, usage, (min({_sql_delivery('pid')}) + 1)::bigint as version from typed where found and not exempt group by role, declared, usage""")
+def compat_growth(spark, sf_dir):
+    """S11, A7 in update mode: the relation takes in the programs in three deliveries."""
+    uses = persist_table(uses_of_programs(spark, sf_dir), "uses")
+    store = GrowingStore(spark, new_folder(spark, "growing"), stores.COMPAT).create()
+    for number in range(DELIVERIES):
+        store.merge(checks.learn_compat(uses.where(_delivery("pid") == number)))
+    return store.read()
+
+
 # --- streams ---------------------------------------------------------------------------
 
 @query("stream_dedup", "select distinct user_id, event_type, ts::date as day from events")
