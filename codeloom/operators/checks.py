@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from codeloom.functions.scores import rates_with_blanks
 from codeloom.operators import scope as sc
+from codeloom.session import persist_table
 
 # Ids that never break the type rule of a role.
 EXEMPT = {"expr": ("system_package", "LITERAL"), "ret": ("no_return_var",), "arg": ("LITERAL",)}
@@ -77,14 +78,29 @@ def iterator_guard(calls: DataFrame) -> DataFrame:
 
 
 def constructors_for(types: DataFrame, apis: DataFrame) -> DataFrame:
-    """``type, api``: the first API (by ``id``) whose text starts with the type.
+    """``type, api``: the API with the least ``id`` (then text) among those whose text starts with the type; types without one have no row.
 
-    Every prefix of every vocabulary entry becomes a row, so the lookup is an equal join
-    instead of comparing all types with all APIs.
+    In the order of their texts the APIs that start with a type follow it in one run, and a type that stands between
+    them starts with it too. So one scan over both gives each API the last type before it, and only that type and
+    the types that it starts with can be the API's; these are few. The scan goes by ranges of texts, each of which takes over
+    the last type of the ranges before. Null texts take no part.
     """
-    prefixes = apis.select("api", "id", F.explode(F.sequence(F.lit(1), F.length("api"))).alias("_n"))
-    keyed = prefixes.select("api", "id", F.expr("substring(api, 1, _n)").alias("type"))
-    return types.select("type").distinct().join(keyed, "type").groupBy("type").agg(F.min_by("api", "id").alias("api"))
+    asked = types.where(F.col("type").isNotNull()).select("type").distinct()
+    known = apis.where(F.col("api").isNotNull()).groupBy("api").agg(F.min("id").alias("id"))
+    both = asked.select(F.col("type").alias("_text"), F.lit(0).alias("_kind"), F.lit(None).cast(known.schema["id"].dataType).alias("id")).unionByName(
+        known.select(F.col("api").alias("_text"), F.lit(1).alias("_kind"), "id"))
+    ranges = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = persist_table(both.repartitionByRange(ranges, "_text", "_kind").withColumn("_range", F.spark_partition_id()), "ranges")
+    own_type = F.when(F.col("_kind") == 0, F.col("_text"))
+    scan = W.partitionBy("_range").orderBy("_text", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    inside = dealt.withColumn("_near", F.last(own_type, ignorenulls=True).over(scan)).where("_kind = 1")
+    lasts = dealt.groupBy("_range").agg(F.max(own_type).alias("_last"))
+    carried = lasts.select(F.col("_range").alias("_at"), F.max("_last").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)).alias("_carry"))  # one row for each range
+    near = inside.join(carried, F.col("_range") == F.col("_at")).select(F.col("_text").alias("api"), "id", F.coalesce("_near", "_carry").alias("_near")).where("_near is not null")
+    starts = asked.select(F.col("type").alias("_near"), F.explode(F.expr("transform(sequence(0, length(type)), n -> substring(type, 1, n))")).alias("type"))
+    chains = starts.join(asked, "type", "left_semi").groupBy("_near").agg(F.collect_list("type").alias("_chain"))
+    fits = near.join(chains, "_near").select("api", "id", F.explode(F.filter("_chain", lambda t: F.col("api").startswith(t))).alias("type"))
+    return fits.groupBy("type").agg(F.min(F.struct("id", "api"))["api"].alias("api"))
 
 
 def allowed_calls(calls: DataFrame, allow: DataFrame) -> DataFrame:
