@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as tx
@@ -13,8 +15,9 @@ from codeloom.queries.checks import SCOPE, uses_of_programs
 from codeloom.queries.corpus import ORACLE_ENCODED, TOKENS, VOCAB, distinct_tokens, encode_evidence
 from codeloom.queries.registry import query
 from codeloom.queries.sqlparts import METHODS
+from codeloom.queries.textual import TOKENS_SQL
 from codeloom.session import new_folder, persist_table, table
-from codeloom.sources import programs as src, stores
+from codeloom.sources import aligned, epochs, programs as src, stores
 from codeloom.sources.growing import GrowingStore
 from codeloom.streaming import ingest, late
 
@@ -152,6 +155,38 @@ def parallel_corpus(spark, sf_dir):
     return count("body", "bodies").join(count("context", "contexts"), "chunk")
 
 
+@query("parallel_lines", f"""with r as (select row_number() over (order by doc_id) - 1 as p, {TOKENS_SQL.replace('{0}', 'text')} as t, concat_ws(' ', lang, source) as c from documents)
+select (p // 200)::int as chunk, (p % 200)::int as line, md5(coalesce(array_to_string(t, ' '), '')) as body_md5, md5(c) as context_md5 from r""")
+def parallel_lines(spark, sf_dir):
+    """Body and context files whose lines belong together, by text and after a check of the files against their index."""
+    path, names = new_folder(spark, "aligned"), ["body", "context"]
+    tokens = F.array_join(tx.code_tokens(F.col("text")), " ")
+    aligned.write_aligned(table(spark, sf_dir, "documents"), {"body": tokens, "context": F.concat_ws(" ", "lang", "source")}, "doc_id", path, 200)
+    lines = aligned.read_aligned(spark, path, names).join(aligned.misaligned(spark, path, names), "chunk", "left_anti")
+    return lines.select("chunk", "line", *[F.md5(n).alias(f"{n}_md5") for n in names])
+
+
+@query("batch_feed", """with r as (select e.epoch, doc_id, row_number() over (partition by e.epoch order by md5(12 + e.epoch || ':' || doc_id), doc_id) - 1 as pos, count(*) over (partition by e.epoch) as n
+  from documents, (select unnest([0, 1, 2]) as epoch) e)
+select epoch::int as epoch, pos // 16 as batch_id, count(*) as rows, md5(string_agg(doc_id, ',' order by pos)) as ids_md5 from r where pos < (n // 16) * 16 group by all""")
+def batch_feed(spark, sf_dir):
+    """Three epochs of batches; a reader stops in the second and another goes on from its place."""
+    path = new_folder(spark, "epochs")
+    epochs.write_epochs(table(spark, sf_dir, "documents").select("doc_id"), path, 3, 16, 12, "doc_id")
+
+    def digest(batch):
+        ids = hashlib.md5(",".join(map(str, batch["doc_id"])).encode()).hexdigest()
+        return pd.DataFrame({"epoch": [batch["epoch"][0]], "batch_id": [batch["batch_id"][0]], "rows": [len(batch)], "ids_md5": [ids]})
+
+    schema = "epoch int, batch_id bigint, rows bigint, ids_md5 string"
+    first = epochs.EpochFeed(spark, path)
+    some = first.batches + first.batches // 2
+    before = persist_table(first.each(digest, schema, batches=some), "digests")
+    first.keep_place("digest", first.after((0, 0), some))
+    again = epochs.EpochFeed(spark, path)
+    return before.unionByName(again.each(digest, schema, again.place("digest")))
+
+
 @query("report_text", """select (select count(distinct conv_id) from conversations where role = 'user') as programs,
  (select count(*) from conversations c where role = 'assistant' and conv_id in (select conv_id from conversations where role = 'user')) as predictions""")
 def report_text(spark, sf_dir):
