@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from codeloom.functions.javatypes import api_name
+from codeloom.operators.ranking import running_sum
 from codeloom.session import persist_table
 
 # Child lists of each tag, in evaluation order.
@@ -55,6 +56,7 @@ LISTS = ("DSubTree", "DBranch", "DLoop", "DExcept", "DInfix")  # tags that own s
 INHERITED = -1  # an iterator flag that is as it was where the part begins
 _ITERATOR = re.compile(r"java\.util\.Iterator<.*>\.(hasNext|next|remove)\(\)")
 BATCH_ROWS = 20_000
+EVENT_BIN = 8192  # steps of a walk whose control nodes are added up together
 
 
 def _flags_after(flags: tuple, calls: list) -> tuple:
@@ -263,20 +265,19 @@ def nesting(nodes: DataFrame, tags: tuple[str, ...] = CONTROL) -> DataFrame:
 
     ``path``: nesting as the corpus rules count it, where siblings in a row add up like nested
     nodes: a control node counts from where it stands to the end of its list. ``nested``: plain
-    nesting, where it counts while it is open. Both are the most that count at any one time.
-    The lists collected hold the control nodes of one program.
+    nesting, where it counts while it is open. Both are the most that count at any one time: the
+    peak of a running sum over where they begin and end, in bins, so no program is in one task.
     """
-    mark = F.when(F.col("tag").isin(*tags), F.struct("seq_in", "seq_out", "list_end", "tag"))
-    programs = nodes.groupBy("pid").agg(F.collect_list(mark).alias("marks"))
-
-    def most(tag: str, until: str) -> Column:
-        same = F.filter("marks", lambda m: m["tag"] == tag)
-        at_each = F.transform(same, lambda c: F.size(F.filter(same, lambda d: (d["seq_in"] <= c["seq_in"]) & (c["seq_in"] <= d[until]))))
-        return F.coalesce(F.array_max(at_each), F.lit(0))
-
-    return programs.select(
-        "pid", *[most(t, "list_end").alias(f"path_{t}") for t in tags], *[most(t, "seq_out").alias(f"nested_{t}") for t in tags]
-    )
+    span = lambda kind, until: [
+        F.struct(F.concat(F.lit(f"{kind}_"), "tag").alias("kind"), at.alias("at"), F.lit(n).alias("n")) for at, n in ((F.col("seq_in"), 1), (F.col(until) + 1, -1))]
+    ends = F.explode(F.array(*span("path", "list_end"), *span("nested", "seq_out"))).alias("e")
+    events = nodes.where(F.col("tag").isin(*tags)).select("pid", ends).select("pid", "e.*").where(F.col("at") <= FOREVER)
+    open_now = running_sum(events, F.col("n"), [F.col("at"), F.col("n")], F.floor(F.col("at") / EVENT_BIN), ["pid", "kind"], out="open_now")
+    kinds = [f"{kind}_{t}" for kind in ("path", "nested") for t in tags]
+    peaks = open_now.groupBy("pid").agg(*[F.max(F.when(F.col("kind") == k, F.col("open_now"))).alias(k) for k in kinds])
+    programs = nodes.select("pid").distinct().select(F.col("pid").alias("_pid"))
+    return programs.join(peaks, F.col("_pid").eqNullSafe(F.col("pid")), "left").select(
+        F.col("_pid").alias("pid"), *[F.coalesce(k, F.lit(0)).cast("int").alias(k) for k in kinds])
 
 
 def structure_counts(nodes: DataFrame) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import checks, ranking, scope as sc, siblings, trees as tr
+from codeloom.operators import checks, labels, ranking, scope as sc, siblings, trees as tr
 from codeloom.plans import projection as pj
 from codeloom.queries.corpus import SIBLINGS
 from codeloom.queries.registry import query
 from codeloom.queries.sqlparts import CALLS, LINE_ORDER, METHODS, PARTS, TREE
 from codeloom.session import persist_table, table
+from codeloom.sources.stores import Options
 
 # Each program has the parameters var_0, var_1 and var_3 of type int, and returns void if its id divides by 3.
 PARAMETERS = ("var_0", "var_1", "var_3")
@@ -184,6 +185,47 @@ def rename_variables(spark, sf_dir):
     return sc.rename_variables(sc.declarations(nodes))
 
 
+# Lower caps than the default, as orders are small.
+LABEL_LIMITS = Options(max_nodes=14, max_branches=2, max_loops=1, max_tries=1, max_variables=7)
+
+LABELS = SCOPE + """,
+pre as (select pid, sum((flag = 'R')::int) over w + (flag = 'A' and status = 'F')::int as b, sum((flag = 'A')::int) over w as l, sum((flag = 'N' and status = 'F')::int) over w as e
+  from lines window w as (partition by pid order by ln rows unbounded preceding)),
+deep as (select pid, max(b) as b, max(l) as l, max(e) as e from pre group by pid),
+sizes as (select pid, count(*) as n, count(*) filter (tag in ('DVarDecl', 'DVarDeclCls', 'DExceptionVar')) as decls, count(*) filter (tag = 'DAPIInvoke') as calls,
+  bool_or(tag = 'DReturnVar') as returned, bool_or(tag = 'DReturnVar' and (returns is null or returns <> case when pid % 3 = 0 then 'void' else 'int' end)) as off,
+  max(greatest(try_cast(regexp_extract(var_id, '^var_([0-9]+)', 1) as int), try_cast(regexp_extract(expr_id, '^var_([0-9]+)', 1) as int),
+    try_cast(regexp_extract(ret_id, '^var_([0-9]+)', 1) as int), try_cast(regexp_extract(arg, '^var_([0-9]+)', 1) as int))) as highest from nodes group by pid),
+unknown as (select distinct pid from resolved where not found and var_id not in ('system_package', 'LITERAL', 'no_return_var')),
+wrong as (select distinct pid from violations),
+faults as (select o_orderkey as pid, coalesce(n, 0) as statements, false as assignment, false as nested_api, u.pid is not null as unknown_variable,
+  coalesce(decls, 0) >= 7 or coalesce(highest, -1) >= 7 as too_many_variables, coalesce(n, 0) > 14 as too_large, coalesce(b, 0) > 2 as branch, coalesce(l, 0) > 1 as loop, coalesce(e, 0) > 1 as try,
+  coalesce(calls, 0) = 0 as void, x.pid is not null or coalesce(off, false) as type, o_orderkey % 3 <> 0 and not coalesce(returned, false) as no_return
+  from orders left join sizes s on s.pid = o_orderkey left join deep d on d.pid = o_orderkey left join unknown u on u.pid = o_orderkey left join wrong x on x.pid = o_orderkey),
+labels as (select *, case """ + " ".join(f"when \"{r}\" then '{r}'" for r in labels.REASONS) + " end as reason from faults)"
+
+
+def label_programs(spark, sf_dir):
+    nodes = stored_nodes(spark, sf_dir)
+    used = persist_table(sc.resolve_uses(nodes, GIVEN), "uses")
+    kind = F.when(F.col("pid") % 3 == 0, "void").otherwise("int")
+    programs = pj.methods(spark, sf_dir).select("pid", kind.alias("return_type"), F.lit(len(PARAMETERS)).alias("params"))
+    return labels.label(nodes, programs, used, checks.seen_nowhere_else(used), LABEL_LIMITS)
+
+
+@query("program_labels", f"with {LABELS} select pid, statements, {', '.join(chr(34) + r + chr(34) for r in labels.REASONS)}, reason from labels")
+def program_labels(spark, sf_dir):
+    """Every fault of every program, from its tree; none is filtered."""
+    return label_programs(spark, sf_dir)
+
+
+@query("label_counts", f"""with {LABELS} {" union all ".join(f"select '{r}' as reason, count(*) filter ({chr(34)}{r}{chr(34)}) as programs, count(*) filter (reason = '{r}') as first from labels" for r in labels.REASONS)}
+union all select 'passed', count(*) filter (reason is null), count(*) filter (reason is null) from labels""")
+def label_counts(spark, sf_dir):
+    """A3: all eleven reasons, with those that nothing fell to."""
+    return labels.label_counts(label_programs(spark, sf_dir))
+
+
 # --- over events and lines -----------------------------------------------------------------
 
 CTX = "'/' || (hour(ts) // 2) || case when hour(ts) % 2 = 0 then '.cond' else '.body' end"
