@@ -107,11 +107,12 @@ def resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SEARCH_SQL = """
-with v as (select vec_id as id, min(list_transform(embedding, lambda x: floor(1024 * x::double)::bigint)) as v from embeddings
-           where vec_id is not null and embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))) group by vec_id),
-e as (select id, unnest(range(len(v))) as k, unnest(v) as x from v),
-s as (select q.id as query_id, c.id as vec_id, sum(q.x * c.x)::bigint as score from e q join e c on q.k = c.k and q.id <> c.id where q.id % 100 = 0 group by q.id, c.id),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+with v as (select row_number() over () as r, vec_id as id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+           where vec_id is not null and embedding is not null and coalesce(list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))), true)),
+e as (select r, unnest(range(len(v))) as k, unnest(v) as x from v),
+m as (select q.r as qr, c.r as cr, sum(q.x * c.x)::bigint as score from e q join e c on q.k = c.k and q.r <> c.r join v on v.r = q.r where v.id % 100 = 0 group by q.r, c.r),
+s as (select q.r, q.id as query_id, c.id as vec_id, coalesce(score, 0) as score from v q join v c on q.r <> c.r left join m on qr = q.r and cr = c.r where q.id % 100 = 0),
+r as (select *, row_number() over (partition by r order by score desc, vec_id) as rank from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 10
 """
 

@@ -187,16 +187,17 @@ def test_search(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 8 if i % 7 else 6)]) for i in range(700)]
     rows += [(700 + i, rows[3][1]) for i in range(20)] + [(800, None), (900, [1.0, None]), (1000, [float("nan")]), (1100, [float("inf")]), (None, [1.0]), (5, rows[5][1])]
-    got = maxscore.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 100 == 0, shard=64).collect()
-    clean = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            clean[i] = [int(np.floor(1024 * x)) for x in v]
+    rows += [(300, [5.0, 5.0]), (1200, []), (7, [5.0] * 8), (7, [4.0] * 8)]  # ids that repeat with other vectors, an empty vector
+    got = maxscore.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("row", F.lit(1)).withColumn("id", F.lit("x")).withColumn("score", F.lit(0)), F.col("id") % 100 == 0, shard=64).collect()
+    clean = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q in (i for i in clean if i % 100 == 0):
-        best = sorted((-sum(a * b for a, b in zip(clean[q], v)), i) for i, v in clean.items() if i != q)[:10]
-        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    for at, (q, own) in enumerate(clean):
+        if q % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(own, v)), i) for n, (i, v) in enumerate(clean) if n != at)[:10]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     assert sorted(map(tuple, got)) == sorted(want)
+    double = [r.vec_id for r in got if r.query_id == 300]
+    assert len(double) == 20 and 300 in double
     huge = spark.createDataFrame([(0, [3e14, 1.0]), (1, [3e14, 2.0]), (2, [-3e14, 1.0])], "vec_id long, embedding array<double>")
     assert [r["score"] for r in maxscore.search(huge, F.col("id") % 100 == 0).orderBy("rank").collect()] == [2**63 - 1, -(2**63)]
     assert maxscore.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("id") % 100 == 0).count() == 0
