@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,6 +57,7 @@ LISTS = ("DSubTree", "DBranch", "DLoop", "DExcept", "DInfix")  # tags that own s
 INHERITED = -1  # an iterator flag that is as it was where the part begins
 _ITERATOR = re.compile(r"java\.util\.Iterator<.*>\.(hasNext|next|remove)\(\)")
 BATCH_ROWS = 20_000
+DEEPEST = 20_000  # calls that a walk may be inside of; Spark's JSON parser ends at 1000 levels, some four calls each
 EVENT_BIN = 8192  # steps of a walk whose control nodes are added up together
 
 
@@ -144,18 +146,52 @@ def _record_batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 
 
+def _tree_rows(pid: int, text: str) -> list | None:
+    """Node rows of one text, None if it is JSON of another shape: no list of statements, a node without its tag, a call without its name."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
+    rows: list = []
+    try:
+        ast = json.loads(text)
+        if not isinstance(ast.get("_nodes") if isinstance(ast, dict) else ast, list):
+            return None
+        _walk(pid, ast, rows)
+    except (ValueError, KeyError, TypeError, AttributeError, RecursionError):
+        return None
+    return rows
+
+
+def _converted(trees: list[list]) -> Iterator[pa.RecordBatch]:
+    """The rows of several trees; a tree with a value of a wrong type, such as a number for a name, is left out."""
+    try:
+        yield _record_batch([row for tree in trees for row in tree])
+    except (pa.ArrowInvalid, pa.ArrowTypeError):
+        if len(trees) > 1:
+            for tree in trees:
+                yield from _converted([tree])
+
+
 def _flatten_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out: list = []
+    out, size = [], 0
     for batch in batches:
         for pid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            rows: list = []
-            _walk(pid, json.loads(text), rows)
-            out.extend(rows)
-            if len(out) >= BATCH_ROWS:
-                yield _record_batch(out)
-                out = []
+            rows = _tree_rows(pid, text)
+            if rows:
+                out.append(rows)
+                size += len(rows)
+            if size >= BATCH_ROWS:
+                yield from _converted(out)
+                out, size = [], 0
     if out:
-        yield _record_batch(out)
+        yield from _converted(out)
+
+
+def _misshapen_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        flags = []
+        for pid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows = _tree_rows(pid, text)
+            flags.append(rows is None or (bool(rows) and not any(True for _ in _converted([rows]))))
+        yield batch.select([0]).filter(pa.array(flags, pa.bool_()))
 
 
 def well_formed(programs: DataFrame, ast: str = "ast") -> DataFrame:
@@ -167,8 +203,16 @@ def malformed(programs: DataFrame, ast: str = "ast") -> DataFrame:
     return programs.where(F.col(ast).isNotNull() & F.try_parse_json(ast).isNull())
 
 
+def rejected(programs: DataFrame, ast: str = "ast") -> DataFrame:
+    """``pid, reason`` of the programs that :func:`flatten` leaves out: ``no text``, ``not JSON`` or ``not a tree``."""
+    unread = programs.where(F.col(ast).isNull()).select(F.col("pid").cast("bigint"), F.lit("no text").alias("reason"))
+    broken = malformed(programs, ast).select(F.col("pid").cast("bigint"), F.lit("not JSON").alias("reason"))
+    other = well_formed(programs, ast).select(F.col("pid").cast("bigint"), ast).mapInArrow(_misshapen_batches, "pid bigint")
+    return unread.unionByName(broken).unionByName(other.withColumn("reason", F.lit("not a tree")))
+
+
 def flatten(programs: DataFrame, ast: str = "ast") -> DataFrame:
-    """``pid, ast`` (JSON) to the node table."""
+    """``pid, ast`` (JSON) to the node table. What is no tree is left out; :func:`rejected` lists it."""
     return well_formed(programs, ast).select(F.col("pid").cast("bigint"), ast).mapInArrow(_flatten_batches, NODE_SCHEMA)
 
 

@@ -169,6 +169,23 @@ def test_malformed_trees_are_kept_aside(spark):
     assert tr.flatten(rows).count() == 0
 
 
+def test_texts_that_are_no_trees(spark):
+    good = json.dumps({"node": "DSubTree", "_nodes": [{"node": "DVarDecl", "_id": "x", "_returns": "int"}]})
+    deep = invoke("java.x.A.f()")
+    for _ in range(450):
+        deep = loop([], [deep])
+    texts = [
+        good, None, "{", "3", '"text"', "{}", '{"_nodes": {}}', '{"_nodes": [{"_id": "x"}]}', '{"_nodes": [{"node": "DVarDecl", "_id": 7}]}',
+        '{"_nodes": [{"node": "DAPIInvoke", "_calls": [{"fp": []}]}]}', '{"_nodes": [{"node": "DAPIInvoke", "_calls": "f"}]}', '{"_nodes": [{"node": ["DLoop"]}]}',
+        '{"_nodes": []}', json.dumps({"_nodes": [deep]}), "", good,
+    ]
+    programs = spark.createDataFrame(list(enumerate(texts)), "pid long, ast string").coalesce(1)
+    sizes = {r.pid: r["count"] for r in tr.flatten(programs).groupBy("pid").count().collect()}
+    reasons = {r.pid: r.reason for r in tr.rejected(programs).collect()}
+    assert sizes == {0: 1, 13: 451, 15: 1}
+    assert reasons == {1: "no text", 2: "not JSON", 14: "not JSON", **dict.fromkeys(range(3, 12), "not a tree")}
+
+
 def test_round_trip_and_size_cap(spark):
     wide = [{"node": "DVarDecl", "_id": f"v{i}", "_returns": "int"} for i in range(64)]
     over = wide + [wide[0]]
