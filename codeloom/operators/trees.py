@@ -304,6 +304,19 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     return nodes.select("pid", "node_id", F.explode(chain).alias("anc"))
 
 
+def drop_empty_controls(nodes: DataFrame) -> DataFrame:
+    """Branches, loops and try blocks that hold nothing but such nodes go; all else keeps its row and its numbers.
+
+    A control node stays if a node of another tag names it among those round it: distinct (program, control node)
+    pairs, as many as control nodes, however many statements there are.
+    """
+    control = F.col("tag").isin(*CONTROL)
+    round_it = F.explode(F.transform(entered_controls(F.col("scope")), lambda c: c["control"])).alias("_id")
+    filled = nodes.where(~control).select(F.col("pid").alias("_pid"), "scope").distinct().select("_pid", round_it).distinct()
+    kept = nodes.where(control).join(filled, F.col("pid").eqNullSafe(F.col("_pid")) & (F.col("node_id") == F.col("_id")), "left_semi")
+    return nodes.where(~control).unionByName(kept)
+
+
 def nesting(nodes: DataFrame, tags: tuple[str, ...] = CONTROL) -> DataFrame:
     """``path_<tag>`` and ``nested_<tag>`` per program.
 

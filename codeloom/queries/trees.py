@@ -182,6 +182,13 @@ def remove_invalid(spark, sf_dir):
     return tr.remove_invalid(rows, invalid).groupBy("pid").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
+@query("nonempty_controls", f"""with {TREE} select pid, node_id, tag from nodes n join lines l using (pid, ln) where l.flag <> 'R' or l.status <> 'F'""")
+def nonempty_controls(spark, sf_dir):
+    """Without return statements some branches hold nothing, and go as well."""
+    rows = nodes(spark, sf_dir).where(F.col("tag") != "DReturnVar")
+    return tr.drop_empty_controls(rows).select("pid", "node_id", "tag")
+
+
 _MERKLE = f"""{TREE},
 own as (select pid, node_id, parent_id, slot, slot_pos, depth, concat_ws(' ', tag, call) as label from nodes),
 h2 as (select *, md5(label || '|') as hash, 1 as size from own where depth = 2),

@@ -91,3 +91,31 @@ def test_counts_hold_every_reason(spark):
     used = scope.resolve_uses(nodes)
     counts = {r.reason: (r.programs, r["first"]) for r in labels.label_counts(labels.label(nodes, programs, used, used.limit(0))).collect()}
     assert counts == {**{r: (0, 0) for r in labels.REASONS}, "void": (1, 1), "passed": (1, 1)}
+
+
+def filled(nodes, at, out):
+    """Numbers of the nodes that stay, by recursion; gives the next number and whether any stays."""
+    some = False
+    for node in nodes:
+        me, inside, kept = at, False, []
+        at += 1
+        for slot in CONTROL.get(node["node"], ()):
+            at, any_there = filled(node[slot], at, kept)
+            inside |= any_there
+        if inside or node["node"] not in CONTROL:
+            out += [me, *kept]
+            some = True
+    return at, some
+
+
+def test_empty_controls_go(spark):
+    rnd = random.Random(9)
+    bodies = [[tree(rnd, 4) for _ in range(rnd.randint(1, 4))] for _ in range(30)] + [[branch()], [loop([], [branch([attempt()])]), invoke("java.x.A.f()")]]
+    rows = tr.drop_empty_controls(tr.flatten(frame(spark, *bodies))).collect()
+    got = sorted((r.pid, r.node_id) for r in rows)
+    want = []
+    for pid, body in enumerate(bodies):
+        numbers = []
+        filled(body, 0, numbers)
+        want += [(pid, n) for n in numbers]
+    assert got == sorted(want) and not any(r.pid == 30 for r in rows)
