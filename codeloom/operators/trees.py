@@ -328,6 +328,7 @@ def nesting(nodes: DataFrame, tags: tuple[str, ...] = CONTROL) -> DataFrame:
     span = lambda kind, until: [
         F.struct(F.concat(F.lit(f"{kind}_"), "tag").alias("kind"), at.alias("at"), F.lit(n).alias("n")) for at, n in ((F.col("seq_in"), 1), (F.col(until) + 1, -1))]
     ends = F.explode(F.array(*span("path", "list_end"), *span("nested", "seq_out"))).alias("e")
+    nodes = persist_table(nodes.select("pid", "tag", "seq_in", "seq_out", "list_end"), "steps")  # read three times
     events = nodes.where(F.col("tag").isin(*tags)).select("pid", ends).select("pid", "e.*").where(F.col("at") <= FOREVER)
     open_now = running_sum(events, F.col("n"), [F.col("at"), F.col("n")], F.floor(F.col("at") / EVENT_BIN), ["pid", "kind"], out="open_now")
     kinds = [f"{kind}_{t}" for kind in ("path", "nested") for t in tags]
