@@ -115,7 +115,7 @@ def compat_store(spark, sf_dir):
 @query("encoded_store", ORACLE_ENCODED)
 def encoded_store(spark, sf_dir):
     """Even and odd programs written apart and appended."""
-    encoded = encode_evidence(spark, sf_dir)
+    encoded = persist_table(encode_evidence(spark, sf_dir), "encoded")  # written apart twice, made once
     parts = []
     for rest in (0, 1):
         path = new_folder(spark, "encoded")
