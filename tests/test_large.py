@@ -17,3 +17,20 @@ def test_evidence_of_parts_is_not_sent_through_the_driver(spark):
 def test_encoded_store_makes_its_rows_once(spark):
     plan = physical(entry.queries()["encoded_store"](spark, SOURCE))
     assert "Window" not in plan and plan.count("encoded") >= 2
+
+
+def test_trees_are_walked_once(spark):
+    for name in ("tree_productions", "remove_invalid", "tree_roundtrip"):
+        plan = physical(entry.queries()[name](spark, SOURCE))
+        assert plan.count("MapInArrow") == (1 if name == "tree_roundtrip" else 0), name  # a round trip reads its own texts again
+
+
+def test_walks_give_only_the_columns_asked_for(spark):
+    from codeloom.plans import projection
+
+    only = ("pid", "seq_in", "iattrib", "calls")
+    for most in (None, 3):  # programs in one part, and most of them in several
+        whole = projection.iterator_program_nodes(spark, SOURCE, most)
+        narrow = projection.iterator_program_nodes(spark, SOURCE, most, only)
+        assert tuple(narrow.columns) == only
+        assert whole.select(*only).exceptAll(narrow).isEmpty() and narrow.exceptAll(whole.select(*only)).isEmpty()
