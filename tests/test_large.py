@@ -34,3 +34,17 @@ def test_walks_give_only_the_columns_asked_for(spark):
         narrow = projection.iterator_program_nodes(spark, SOURCE, most, only)
         assert tuple(narrow.columns) == only
         assert whole.select(*only).exceptAll(narrow).isEmpty() and narrow.exceptAll(whole.select(*only)).isEmpty()
+
+
+def test_parts_are_dealt_before_their_text_is_made(spark):
+    assert "Exchange hashpartitioning(p_partkey" in entry.queries()["call_display"](spark, SOURCE)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_cut_outside_brackets_without_a_step_per_character(spark):
+    from pyspark.sql import functions as F
+
+    from codeloom.functions.javatypes import split_top_level
+
+    text = ",".join(["java.util.Map<a,b<c,d>>"] * 3000)  # 69,000 characters; sums per character were quadratic in them
+    got = spark.createDataFrame([(text,), ("a<b,c",), ("a>,b",), (",x,",)], "t string").select(F.size(split_top_level(F.col("t"))).alias("n"), split_top_level(F.col("t"))[0].alias("first")).collect()
+    assert [tuple(r) for r in got] == [(3000, "java.util.Map<a,b<c,d>>"), (1, "a<b,c"), (1, "a>,b"), (1, "x")]
