@@ -206,3 +206,20 @@ def test_scope_of_uses(spark):
     rows = scope.resolve_uses(tr.flatten(frame(spark, [branch([decl], [use], [use]), use, decl, loop([use], [use])])))
     found = [r.found for r in rows.where("role = 'expr'").orderBy("node_id").collect()]
     assert found == [False, False, False, True, True]
+
+
+def test_short_programs_are_resolved_in_one_shuffle(spark, monkeypatch):
+    """Short programs write no bins and shuffle their nodes once; long ones, and a mix of both, give the same rows."""
+    decl, use = {"node": "DVarDecl", "_id": "v", "_returns": "int"}, invoke("java.x.A.f(int)", expr="v", ret="x", args=["v"])
+    programs = [[branch([decl], [use], [use]), use, decl, loop([use], [use])], [use], [decl, use, decl, use] * 3]
+    nodes = tr.flatten(frame(spark, *programs)).cache()
+    written = []
+    monkeypatch.setattr(scope, "persist_table", lambda df, name: written.append(name) or df)
+    rows = scope.resolve_uses(nodes, {"x": "long"})
+    plan = rows._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "bins" not in written and plan.count("Exchange") == 1
+    want = sorted(map(str, rows.collect()))
+    for short in (0, 7):
+        monkeypatch.setattr(scope, "SHORT", short)
+        assert sorted(map(str, scope.resolve_uses(nodes, {"x": "long"}).collect())) == want
+    assert "bins" in written
