@@ -223,3 +223,21 @@ def test_short_programs_are_resolved_in_one_shuffle(spark, monkeypatch):
         monkeypatch.setattr(scope, "SHORT", short)
         assert sorted(map(str, scope.resolve_uses(nodes, {"x": "long"}).collect())) == want
     assert "bins" in written
+
+
+def test_short_programs_are_rendered_in_one_shuffle(spark, monkeypatch):
+    """Rendering short programs writes no bins and shuffles their nodes once; long ones, and a mix of both, give the same code."""
+    decl, use = {"node": "DVarDecl", "_id": "v", "_returns": "int"}, invoke("java.x.A.f(int)", expr="v", ret="x", args=["v"])
+    programs = [[branch([decl], [decl], [use, decl]), decl, loop([use], [decl])], [decl], [decl, attempt([decl, use], [decl]), decl] * 3]
+    nodes = tr.flatten(frame(spark, *programs)).cache()
+    written = []
+    monkeypatch.setattr(scope, "persist_table", lambda df, name: written.append(name) or df)
+    code = rendering.render(nodes)
+    plan = code._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "bins" not in written and plan.count("Exchange") == 1
+    want = {r.pid: r.code for r in code.collect()}
+    assert len(want) == 3
+    for short in (0, 7):
+        monkeypatch.setattr(scope, "SHORT", short)
+        assert {r.pid: r.code for r in rendering.render(nodes).collect()} == want
+    assert "bins" in written
