@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.operators import lowering, rendering, scope, trees as tr
+from codeloom.operators import checks, labels, lowering, rendering, scope, trees as tr
 
 
 def frame(spark, *bodies):
@@ -241,3 +241,14 @@ def test_short_programs_are_rendered_in_one_shuffle(spark, monkeypatch):
         monkeypatch.setattr(scope, "SHORT", short)
         assert {r.pid: r.code for r in rendering.render(nodes).collect()} == want
     assert "bins" in written
+
+
+def test_labels_collect_no_lists(spark):
+    """The types that a program returns come down to two texts, not to a list for each program."""
+    back = lambda kind: {"node": "DReturnVar", "_id": "v", "_returns": kind}
+    nodes = tr.flatten(frame(spark, [back("int")], [back("int"), back("void"), back("int")], [back(None)], [loop()])).cache()
+    programs = spark.range(4).select(F.col("id").alias("pid"), F.lit("int").alias("return_type"), F.lit(0).alias("params"))
+    used = scope.resolve_uses(nodes)
+    rows = labels.label(nodes, programs, used, checks.seen_nowhere_else(used))
+    assert "collect_set" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.pid: r.type for r in rows.collect()} == {0: False, 1: True, 2: True, 3: False}
