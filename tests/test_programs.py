@@ -252,3 +252,17 @@ def test_labels_collect_no_lists(spark):
     rows = labels.label(nodes, programs, used, checks.seen_nowhere_else(used))
     assert "collect_set" not in rows._jdf.queryExecution().optimizedPlan().toString()
     assert {r.pid: r.type for r in rows.collect()} == {0: False, 1: True, 2: True, 3: False}
+
+
+def test_short_programs_are_numbered_in_one_shuffle(spark, monkeypatch):
+    """Lowered rows of short programs are numbered without a table of their own; long ones, and a mix of both, give the same rows."""
+    body = [ref("a"), branch([call("java.x.A.f()", "a")], [call("java.x.A.g()", "a", "b"), call("java.x.A.h()", "last_DAPICall")]), loop([], [ref("c")])]
+    nodes = tr.flatten(frame(spark, body, body * 3, [ref("z")])).cache()
+    written, write = [], lowering.persist_table
+    monkeypatch.setattr(lowering, "persist_table", lambda df, name: written.append(name) or write(df, name))
+    want = sorted(map(str, lowering.lower(nodes)[0].collect()))
+    assert want and "numbered" not in written
+    for short in (0, 10):
+        monkeypatch.setattr(scope, "SHORT", short)
+        assert sorted(map(str, lowering.lower(nodes)[0].collect())) == want
+    assert "numbered" in written
