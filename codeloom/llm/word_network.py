@@ -1,7 +1,7 @@
 """The network of the masked pseudo-likelihood: every modelled word has its own input and its own output.
 
 Words are counted exactly, in a table keyed by their hash. The most frequent ones are modelled, ``GROWTH`` times
-the root of the corpus's number of words, or ``LEAST`` if that is more (equally frequent words together or not at all); they are dealt by rank to classes of as many words as there are classes. The chance of a word is that of
+the root of the corpus's number of words, or ``LEAST`` if that is more (equally frequent words together or not at all); they are dealt by rank to classes, of few words where words are frequent. The chance of a word is that of
 its class times that of the word within its class, two softmaxes that both see the words before and after. All
 other words share the class RARE, whose chance depends on the context; within it a word has its exact share of the counts.
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from codeloom.llm.common import slices, words
 
 LEAST, GROWTH, SIDE, HIDDEN, BATCH, STEP, SEED = 10_000, 1, 2, 16, 16384, 0.1, 41
+BLOCK, BITS = 1024, 18  # words whose scores are held at a time; of a hash, by which it is looked up
 PLACES = [k for k in range(-SIDE, SIDE + 1) if k]
 COLUMNS = 2 * HIDDEN + 1  # of a row: what the word is as input, what it is as output, its bias
 
@@ -36,20 +38,46 @@ class Words:
     def n(self) -> int:
         return len(self.hashes)
 
-    @property
-    def size(self) -> int:
-        return max(1, int(np.ceil(np.sqrt(self.n))))
+    @cached_property
+    def groups(self) -> np.ndarray:
+        """The class of each rank, and last that of rare words.
+
+        A word costs the classes and the words of its own one. That is least on average if there are as many classes as the
+        roots of all shares add up to, and each has its part of them: the square root of n for words equally frequent.
+        """
+        roots = np.sqrt(self.counts / max(self.total, 1))
+        before = np.cumsum(roots) - roots
+        deal = np.floor(before * (np.ceil(roots.sum()) / max(roots.sum(), 1e-9)))
+        group = np.cumsum(np.diff(deal, prepend=deal[:1]) > 0)
+        return np.append(group, group[-1:].sum() + (self.n > 0))
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        """First rank of each class of words, and n."""
+        return np.append(np.flatnonzero(np.diff(self.groups[:-1], prepend=-1)), self.n)
 
     @property
     def classes(self) -> int:
-        return -(-self.n // self.size) + 1
+        return len(self.starts)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ranks; n for rare words."""
         if not self.n:
             return np.zeros(len(hashes), np.int64)
-        place = np.minimum(np.searchsorted(self.hashes, hashes), self.n - 1)
-        return np.where(self.hashes[place] == hashes, self.rank[place], self.n)
+        first, most = self._table
+        place = first[hashes >> np.uint64(64 - BITS)]
+        out = np.full(len(hashes), self.n)
+        for k in range(most):
+            at = np.minimum(place + k, self.n - 1)
+            hit = np.flatnonzero(self.hashes[at] == hashes)
+            out[hit] = self.rank[at[hit]]
+        return out
+
+    @cached_property
+    def _table(self) -> tuple[np.ndarray, int]:
+        """Where the hashes that begin with the same bits begin, and the most that do."""
+        first = np.searchsorted(self.hashes, np.arange(1 << BITS, dtype=np.uint64) << np.uint64(64 - BITS))
+        return first.astype(np.int32), int(np.diff(first, append=self.n).max())
 
 
 class Net:
@@ -73,76 +101,132 @@ class Net:
         net.input[:] = rng.normal(0, 0.3, (n, HIDDEN))
         for m in net.matrices:
             m[:] = rng.normal(0, 0.4, (HIDDEN, HIDDEN))
-        group = np.arange(known.n) // known.size
+        group = known.groups[:-1]
         sums = np.append(np.bincount(group, known.counts, c - 1), max(known.total - known.counts.sum(), 0.5))
         net.class_bias[:] = np.log(sums / sums.sum())
         net.bias[: known.n] = np.log(known.counts / sums[group])
         return net
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        return np.tanh(sum(self.input[context[:, k]] @ m for k, m in enumerate(self.matrices)) + self.hidden_bias)
-
-    def parts(self, target: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """First and last rank of each class of words, and where the targets are in it."""
-        group = self.groups(target).astype(np.uint16)  # sorted by radix
-        order = np.argsort(group, kind="stable")
-        group = group[order]
-        cuts = np.searchsorted(group, np.arange(self.known.classes + 1))
-        for c in np.flatnonzero(np.diff(cuts[:-1])).tolist():
-            yield c * self.known.size, min((c + 1) * self.known.size, self.known.n), order[cuts[c] : cuts[c + 1]]
-
-    def groups(self, target: np.ndarray) -> np.ndarray:
-        return np.where(target == self.known.n, self.known.classes - 1, target // self.known.size)
+    def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hidden values and a 1, which meets the bias; the embeddings of all places side by side."""
+        inputs = np.take(np.ascontiguousarray(self.input), context, axis=0).reshape(len(context), -1)
+        sums = inputs @ np.concatenate(self.matrices)
+        sums += self.hidden_bias
+        out = np.ones((len(context), HIDDEN + 1), np.float32)
+        np.tanh(sums, out=out[:, :-1])
+        return out, inputs
+
+    def softmaxes(self, target: np.ndarray) -> Iterator[tuple[slice | None, slice, np.ndarray, bool]]:
+        """Each softmax: its ranks (None: the classes), where the targets, which are sorted, meet it, its rows and whether they are safe (:func:`_moved`)."""
+        classes = np.concatenate([self.class_output, self.class_bias[:, None]], axis=1)
+        rows, safe = _moved(classes, np.zeros(1, np.int64))
+        for at in range(0, len(target), BLOCK):
+            yield None, slice(at, at + BLOCK), rows, bool(safe[0])
+        starts = self.known.starts
+        cuts = np.searchsorted(target, starts)
+        rows, safe = _moved(self.rows[: self.known.n, HIDDEN:], starts[:-1])
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            own = slice(int(starts[c]), int(starts[c + 1]))
+            yield own, slice(int(cuts[c]), int(cuts[c + 1])), rows[own], bool(safe[c])
 
     def logs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log chance of each target; of a rare word, that of its class."""
-        hidden = self.hidden(context)
-        out = _log_softmax(hidden @ self.class_output.T + self.class_bias)[np.arange(len(target)), self.groups(target)].astype(np.float64)
-        for a, b, some in self.parts(target):
-            out[some] += _log_softmax(hidden[some] @ self.output[a:b].T + self.bias[a:b])[np.arange(len(some)), target[some] - a]
+        order = _sorted(target, self.known.n + 1)
+        context, target = context[order], target[order]
+        hidden, _ = self.hidden(context)
+        group, sums = self.known.groups[target], np.zeros(len(target), np.float32)
+        for own, some, moved, safe in self.softmaxes(target):
+            exps, top = _exponents(hidden[some], moved, safe)
+            answers = moved[group[some] if own is None else target[some] - own.start]
+            sums[some] += np.einsum("ij,ij->i", hidden[some], answers) - np.ravel(top) - np.log(exps @ np.ones(len(moved), np.float32))
+        out = np.empty(len(target))
+        out[order] = sums
         return out
 
     def learn(self, context: np.ndarray, target: np.ndarray, squares: np.ndarray) -> None:
         """One step of Adagrad, in place."""
         n, c = self.known.n + 2, self.known.classes
-        hidden = self.hidden(context)
-        wrong = _softmax(hidden @ self.class_output.T + self.class_bias)
-        wrong[np.arange(len(target)), self.groups(target)] -= 1
-        back = wrong @ self.class_output
-        more = np.concatenate([hidden, np.ones((len(hidden), 1), np.float32)], axis=1)
-        changes = [(slice(n, n + c), slice(0, HIDDEN), wrong.T @ hidden), (slice(n, n + c), slice(-1, None), wrong.sum(axis=0)[:, None])]
-        for a, b, some in self.parts(target):
-            own = more[some]
-            wrong = _softmax(own @ self.rows[a:b, HIDDEN:].T)
-            wrong[np.arange(len(some)), target[some] - a] -= 1
-            back[some] += wrong @ self.output[a:b]
-            changes.append((slice(a, b), slice(HIDDEN, None), wrong.T @ own))
-        back *= 1 - hidden * hidden
-        grads = []
-        for k, m in enumerate(self.matrices):
-            changes.append((slice(self.at[k], self.at[k] + HIDDEN), slice(0, HIDDEN), self.input[context[:, k]].T @ back))
-            grads.append(back @ m.T)
-        changes.append((slice(len(self.rows) - 1, None), slice(0, HIDDEN), back.sum(axis=0)[None]))
-        places = context.T.ravel()
-        rows, place = np.unique(places.astype(np.uint16) if n < 1 << 16 else places, return_inverse=True)
-        order = np.argsort(place.astype(np.uint16) if len(rows) < 1 << 16 else place, kind="stable")
-        first = np.searchsorted(place[order], np.arange(len(rows)))
-        changes.append((rows, slice(0, HIDDEN), np.add.reduceat(np.concatenate(grads)[order], first, axis=0)))
+        order = _sorted(target, n)
+        context, target = context[order], target[order]
+        hidden, inputs = self.hidden(context)
+        group, modelled = self.known.groups[target], slice(0, int(np.searchsorted(target, self.known.n)))
+        back = np.take(-self.class_output, group, axis=0)
+        back[modelled] -= np.take(np.ascontiguousarray(self.output), target[modelled], axis=0)
+        by_class, by_word = np.zeros((c, HIDDEN + 1), np.float32), np.zeros((self.known.n, HIDDEN + 1), np.float32)
+        for own, some, moved, safe in self.softmaxes(target):
+            exps, _ = _exponents(hidden[some], moved, safe)
+            moved = moved.copy()
+            moved[:, -1] = 1  # so that the last sum is that of the exponentials
+            sums = exps @ moved
+            shares = 1 / sums[:, -1:]
+            back[some] += sums[:, :-1] * shares
+            if own is None:
+                by_class += exps.T @ (hidden[some] * shares)
+            else:
+                by_word[own] = exps.T @ (hidden[some] * shares)
+        _less_own(by_class, group, hidden)
+        _less_own(by_word, target[modelled], hidden[modelled])
+        changes = [(slice(n, n + c), slice(0, HIDDEN), by_class[:, :HIDDEN]), (slice(n, n + c), slice(-1, None), by_class[:, HIDDEN:]), (slice(0, self.known.n), slice(HIDDEN, None), by_word)]
+        back *= 1 - hidden[:, :HIDDEN] * hidden[:, :HIDDEN]
+        changes.append((slice(self.at[0], self.at[-1]), slice(0, HIDDEN), inputs.T @ back))
+        changes.append((slice(self.at[-1], None), slice(0, HIDDEN), back.sum(axis=0)[None]))
+        places = context.ravel()
+        for x in (self.known.n, self.known.n + 1):  # the rare word and the edge, which stand in most places, by one product
+            there = (context == x).astype(np.float32).T @ back
+            changes.append((slice(x, x + 1), slice(0, HIDDEN), sum(t @ m.T for t, m in zip(there, self.matrices))[None]))
+        some = np.flatnonzero(places < self.known.n)
+        if len(some):
+            some = some[_sorted(places[some], n)]
+            rows, first = _starts(places[some])
+            grads = (back @ np.concatenate(self.matrices).T).reshape(-1, HIDDEN)
+            grads = np.take(grads, some, axis=0).view(np.complex64)  # sums of pairs take half the time
+            changes.append((rows, slice(0, HIDDEN), np.add.reduceat(grads, first, axis=0).view(np.float32)))
         for at, columns, change in changes:
             squares[at, columns] += change * change
             self.rows[at, columns] -= STEP * change / np.sqrt(squares[at, columns])
 
 
-def _softmax(scores: np.ndarray) -> np.ndarray:
-    scores -= scores.max(axis=1, keepdims=True)
-    np.exp(scores, out=scores)
-    scores /= scores.sum(axis=1, keepdims=True)
-    return scores
+def _sorted(values: np.ndarray, n: int) -> np.ndarray:
+    """The stable order of numbers below n, by radix if they are short."""
+    return np.argsort(values.astype(np.uint16) if n <= 1 << 16 else values, kind="stable")
+
+
+def _starts(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of a sorted list and where each begins."""
+    first = np.flatnonzero(np.diff(ordered, prepend=-1))
+    return ordered[first], first
+
+
+def _moved(rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows with their biases less one number for each softmax, and whether that keeps its exponentials in range.
+
+    Hidden values lie between -1 and 1, so a score is within its weights' sum of its bias. The highest that any may be is
+    taken off: then none overflows, and the largest of a text does not underflow if the bounds are close.
+    """
+    reach = np.abs(rows[:, :HIDDEN]).sum(axis=1)
+    if not len(rows):
+        return rows, np.zeros(0, bool)
+    most, least = np.maximum.reduceat(rows[:, -1] + reach, starts), np.maximum.reduceat(rows[:, -1] - reach, starts)
+    moved = rows.copy()
+    moved[:, -1] -= np.repeat(most, np.diff(starts, append=len(rows)))
+    return moved, most - least < 60
+
+
+def _exponents(hidden: np.ndarray, moved: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray | np.float32]:
+    """Exponentials of all scores, and what was taken from them first: each text's largest, unless the rows are safe."""
+    scores = hidden @ moved.T
+    if not safe:
+        top = scores.max(axis=1, keepdims=True)
+        scores -= top
+        return np.exp(scores, out=scores), top
+    return np.exp(scores, out=scores), np.float32(0)
 
 
-def _log_softmax(scores: np.ndarray) -> np.ndarray:
-    scores -= scores.max(axis=1, keepdims=True)
-    return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
+def _less_own(change: np.ndarray, answer: np.ndarray, hidden: np.ndarray) -> None:
+    """Take the hidden values of each text from the gradient of its (sorted) answer."""
+    if len(answer):
+        own, first = _starts(answer)
+        change[own] -= np.add.reduceat(hidden, first, axis=0)
 
 
 def contexts(ids: np.ndarray, first: np.ndarray, edge: int) -> np.ndarray:
@@ -250,7 +334,7 @@ def score(own: DataFrame, counts: DataFrame, net: Net) -> DataFrame:
     flat = scored.select("_row", "doc_id", "n_words", "_sum", F.posexplode_outer("_rare").alias("_k", "hash"))
     first = F.coalesce(F.col("_k"), F.lit(0)) == 0
     flat = flat.select("_row", "hash", *(F.when(first, F.col(c)).alias(c) for c in ("doc_id", "n_words", "_sum")))
-    joined = flat.join(counts, "hash", "left")
+    joined = flat.join(counts.where("n > 1"), "hash", "left")
     share = F.when(F.col("hash").isNotNull(), F.log(F.coalesce(F.col("n"), F.lit(1)) / F.lit(left)))
     sums = joined.groupBy("_row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.max("_sum").alias("_sum"), F.sum(share).alias("_share"))
     return sums.select("doc_id", "n_words", (F.col("_sum") + F.coalesce("_share", F.lit(0.0))).alias("log_likelihood"))

@@ -260,6 +260,54 @@ def test_words_from_context(spark):
     assert mean(held) > unigram + 1 and mean(held) > mean([shuffled(t) for t in held]) + 1
 
 
+def known_words(counts, rare):
+    hashes = np.sort(np.random.default_rng(5).integers(0, 1 << 63, len(counts)).astype(np.uint64) * np.uint64(2))
+    return word_network.Words(hashes, np.arange(len(counts)), np.array(counts, float), int(sum(counts)) + rare)
+
+
+def test_work_of_a_word():
+    counts = [100_000 // k for k in range(1, 10_001)]
+    known = known_words(counts, sum(counts))
+    sizes = np.diff(known.starts)
+    assert sizes.sum() == 10_000 and (np.diff(known.groups) >= 0).all() and known.groups[-1] == len(sizes) == known.classes - 1
+    work = known.classes + (np.array(counts) / known.total * sizes[known.groups[:-1]]).sum()
+    assert work < 0.75 * (101 + 100 / 2)  # classes of equal sizes: all of them, and the words of one for half of the targets
+    assert known_words([7] * 900, 0).classes == 31 and known_words([], 5).groups.tolist() == [0]
+    asked = np.append(known.hashes[::-1], known.hashes + np.uint64(1))
+    assert known.ids(asked).tolist() == [*range(9999, -1, -1), *[10_000] * 10_000]
+
+
+@pytest.mark.parametrize("scale", [1, 60])  # the second has scores whose exponentials overflow
+def test_a_step_of_learning(scale):
+    known = known_words([40, 9, 9, 5, 2, 1], 20)
+    net, rng = word_network.Net.start(known), np.random.default_rng(6)
+    net.rows[:] = rng.normal(0, 0.5, net.rows.shape)
+    net.output[:] *= scale
+    context, target = rng.integers(0, known.n + 2, (50, 4)).astype(np.int32), rng.integers(0, known.n + 1, 50)
+
+    def plain(rows):
+        own, h, total = word_network.Net(known, rows), known.n + 2, 0.0
+        for c, t in zip(context, target):
+            hidden = np.tanh(sum(own.input[x] @ m for x, m in zip(c, own.matrices)) + own.hidden_bias)
+            for scores, k in ((own.class_output @ hidden + own.class_bias, known.groups[t]), *([] if t == known.n else [
+                    ((own.output @ hidden + own.bias)[: known.n][known.groups[:-1] == known.groups[t]], t - known.starts[known.groups[t]])])):
+                total += scores[k] - scores.max() - np.log(np.exp(scores - scores.max()).sum())
+        return total
+
+    rows = net.rows.astype(np.float64)
+    assert net.logs(context, target).sum() == pytest.approx(plain(rows), rel=1e-4)
+    squares, after = np.ones_like(net.rows), net.rows.copy()
+    word_network.Net(known, after).learn(context, target, squares)
+    steps = (net.rows - after) * np.sqrt(squares) / word_network.STEP
+    n, c = known.n + 2, known.classes
+    read = [(r, k) for r in range(len(rows)) for k in range(rows.shape[1]) if r < n or k < word_network.HIDDEN or (r < n + c and k == rows.shape[1] - 1)]
+    for at in read[::7]:
+        up, down = rows.copy(), rows.copy()
+        up[at] += 1e-5
+        down[at] -= 1e-5
+        assert steps[at] == pytest.approx((plain(down) - plain(up)) / 2e-5, rel=1e-2, abs=2e-2 * scale), at
+
+
 def test_scores_of_words(spark, monkeypatch):
     monkeypatch.setattr(word_network, "LEAST", 3)
     monkeypatch.setattr(word_network, "GROWTH", 0)
