@@ -22,6 +22,7 @@ from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,26 +36,28 @@ from codeloom.llm.common import slices, small_batches, small_side
 from codeloom.session import new_folder, persist_table
 
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 2000, 32_768, 65_536, 3
-BLOCK_BYTES, BLOCK_DOCS, CACHED_WORDS, SLICE_BYTES = 1_000_000, 4096, 100_000, 500_000
+BLOCK_BYTES, BLOCK_DOCS, CACHED_WORDS, SLICE_BYTES = 1_000_000, 4096, 100_000, 2_000_000
 #: Frames are compressed already; Parquet looks at its page and row group sizes after every block, not every hundred.
 _BLOCK_FILES = {"compression": "none", "parquet.block.size": str(32 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 
-_IRREGULAR = re.compile(r"\s\s|[^\S \n]")
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
-#: What makes an ASCII text irregular: white space side by side, or other than a space and a line break.
+#: Where a text may be cut: at a single space or line break between two other characters.
+_SAFE = re.compile(r"(?<=\S)([ \n])(?=\S)")
+#: What makes a text irregular: white space side by side, or other than a space and a line break.
 _ASCII_IRREGULAR = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
+_OTHER_SPACES = tuple(chr(x) for x in range(128, 1 << 16) if chr(x).isspace())
 _OTHERS = iter(range(256, 512))
 #: Byte-level alphabet, by byte: printable ones are themselves, the others stand from 256 on.
 _BYTE_CHARS = {b: chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else chr(next(_OTHERS)) for b in range(256)}
 _SPACE = "\u0120"  # how a byte-level vocabulary writes a space
 _LEARNT_AT_ONCE = 1000  # words in one call of the tokenizer
+_FIRST, _BROKEN, _SPACED = range(3)  # what stands before a word: nothing, a line break, a space
 
 
 def _irregular(text: str) -> bool:
     """Not just words with a single space or line break between them."""
     if text[0].isspace() or text[-1].isspace():
         return True
-    return any(x in text for x in _ASCII_IRREGULAR) if text.isascii() else _IRREGULAR.search(text) is not None
+    return any(x in text for x in _ASCII_IRREGULAR) or not text.isascii() and any(x in text for x in _OTHER_SPACES)
 
 
 class Encoder:
@@ -82,29 +85,26 @@ class Encoder:
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def _learn(self, words: set[str], known: dict[str, bytes], before: str) -> None:
+    def _learn(self, words: list[str], before: str) -> dict[str, bytes]:
         """Runs of letters, with or without a mark after them, go to the tokenizer's model at once; other words many in a text,
         which comes apart where tokens begin with a space, or at line breaks; words with odd white space, and texts that
         come apart wrongly, word by word."""
-        tokenize, kind, head = self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I", _SPACE if before else ""
-
-        def letters(stem: str) -> bytes:
-            mapped = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_BYTE_CHARS)
-            return array(kind, [t.id for t in tokenize(head + mapped)]).tobytes()
-
-        plain, alone, get = [], [], known.get
+        tokenize, kind, head, marks = self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I", _SPACE if before else "", self.marks
+        found: dict[str, bytes] = {}
+        marked, plain, alone = [], [], []
         for word in words:
             if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
-                known[word] = letters(word)
-            elif word[-1:] in self.marks and word[:-1].isalpha() and (word.isascii() or max(word) < "\u0250"):
-                known[word] = (get(word[:-1]) or letters(word[:-1])) + self.marks[word[-1]]
-            elif len(word.split()) == 1:
+                mapped = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
+                found[word] = array(kind, [t.id for t in tokenize(head + mapped)]).tobytes()
+            elif word[-1:] in marks and word[:-1].isalpha() and (word.isascii() or max(word) < "\u0250"):
+                marked.append(word)
+            elif word.split() == [word]:
                 plain.append(word)
             else:
                 alone.append(word)
+        width = self.dtype.itemsize
         parts = [plain[at : at + _LEARNT_AT_ONCE] for at in range(0, len(plain), _LEARNT_AT_ONCE)]
         texts = [" " + " ".join(part) if before else "\n".join(part) for part in parts]
-        width = self.dtype.itemsize
         for part, got in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(got.ids, self.dtype)
             starts = np.flatnonzero(self.begins[ids]) if before else np.append(0, np.flatnonzero(ids == self.line_id) + 1)
@@ -113,41 +113,89 @@ class Encoder:
                 continue
             packed, skip = ids.tobytes(), 0 if before else width
             ends = [*(starts[1:] * width - skip).tolist(), len(packed)]
-            known.update(zip(part, [packed[a:b] for a, b in zip((starts * width).tolist(), ends)]))
+            found.update(zip(part, [packed[a:b] for a, b in zip((starts * width).tolist(), ends)]))
         for at in range(0, len(alone), _LEARNT_AT_ONCE):
             some = alone[at : at + _LEARNT_AT_ONCE]
             for word, got in zip(some, self.tokenizer.encode_batch_fast([before + w for w in some], add_special_tokens=False)):
-                known[word] = self._pack(got.ids)
+                found[word] = self._pack(got.ids)
+        known, get = self.spaced if before else self.bare, found.get
+        for word in marked:
+            stem = word[:-1]
+            ids = get(stem) or known.get(stem)
+            if not ids:
+                mapped = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_BYTE_CHARS)
+                ids = array(kind, [t.id for t in tokenize(head + mapped)]).tobytes()
+            found[word] = ids + marks[word[-1]]
+        return found
+
+    def _looked_up(self, words: list[str], known: dict[str, bytes], before: str) -> list[bytes]:
+        """The serialised ids of each word. The words met first are remembered: the frequent ones are among them."""
+        packed = list(map(known.get, words))
+        if new := [k for k, x in enumerate(packed) if x is None]:
+            found = self._learn(list(dict.fromkeys([words[k] for k in new])), before)
+            for k in new:
+                packed[k] = found[words[k]]
+            known.update(islice(found.items(), CACHED_WORDS - len(known)))
+        return packed
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The serialised ids of each text."""
-        cut: list[list[list[str]]] = []
-        first: set[str] = set()
-        later: set[str] = set()
-        for text in texts:
-            if not text:
-                cut.append([])
-            elif _irregular(text):
-                cut.append([_SAFE.split(text)])
-            else:
-                cut.append([line.split(" ") for line in text.split("\n")])
-            for line in cut[-1]:
-                first.add(line[0])
-                later.update(line[1:])
-        self._learn(first - self.bare.keys(), self.bare, "")
-        self._learn(later - self.spaced.keys(), self.spaced, " ")
-        bare, spaced = self.bare, self.spaced.__getitem__
-        out = [self.line.join([bare[line[0]] + b"".join(map(spaced, line[1:])) for line in lines]) for lines in cut]
-        for known in (self.spaced, self.bare):  # the words met first stay: the frequent ones are among them
-            while len(known) > CACHED_WORDS:
-                known.popitem()
-        return out
+        """The serialised ids of each text: those of its different words are looked up, and put together by place."""
+        words, kinds, sizes = _cut(texts)
+        if not len(words):
+            return [b""] * len(texts)
+        coded = words.dictionary_encode()
+        different = _strings(coded.dictionary)
+        key = kinds * len(different) + np.asarray(coded.indices)
+        met = np.zeros(3 * len(different), bool)
+        met[key] = True
+        first, broken, spaced = ([different[k] for k in np.flatnonzero(x).tolist()] for x in met.reshape(3, -1))
+        bare = self._looked_up(first + broken, self.bare, "")
+        packed = bare[: len(first)] + [self.line + x for x in bare[len(first) :]] + self._looked_up(spaced, self.spaced, " ")
+
+        ids = np.frombuffer(b"".join(packed), self.dtype)
+        length = np.fromiter(map(len, packed), np.int64, len(packed)) // self.dtype.itemsize
+        place = (np.cumsum(met) - 1)[key]
+        taken = length[place]
+        ends = np.cumsum(taken)
+        out = ids[np.repeat((np.cumsum(length) - length)[place] - (ends - taken), taken) + np.arange(ends[-1])]
+        limits = np.append(0, ends)[np.append(0, np.cumsum(sizes))].tolist()
+        return [out[a:b].tobytes() for a, b in zip(limits[:-1], limits[1:])]
 
     def forget(self) -> None:
         """Let go of the words learnt; the tokenizer stays."""
         self.spaced, self.bare = {}, {}
 
 
+def _strings(words: pa.Array) -> list[str]:
+    """``to_pylist`` by way of one long string."""
+    joined = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py().split("\n")
+    return joined if len(joined) == len(words) else words.to_pylist()  # a word of an irregular text may hold a line break
+
+
+def _cut(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words of all texts in order, what stands before each, and how many each text has."""
+    regular = [bool(t) and not _irregular(t) for t in texts]
+    lines = pa.compute.split_pattern(pa.array([t if ok else "" for t, ok in zip(texts, regular)], pa.string()), "\n")
+    words = pa.compute.split_pattern(lines.flatten(), " ")
+    at_line, at_word = np.asarray(lines.offsets), np.asarray(words.offsets)
+    kinds = np.full(at_word[-1], _SPACED)
+    kinds[at_word[:-1]] = _BROKEN
+    bounds = at_word[at_line].tolist()  # first words of the texts
+    kinds[bounds[:-1]] = _FIRST
+    flat, sizes = words.flatten(), np.diff(bounds)
+    if all(regular):
+        return flat, kinds, sizes
+    pieces, marks, at = [], [], 0
+    for k, (text, ok) in enumerate(zip(texts, regular)):  # a text that is not regular has one empty word so far
+        if ok:
+            continue
+        own = _SAFE.split(text) if text else []
+        pieces += [flat[at : bounds[k]], pa.array(own[::2], flat.type)]
+        marks += [kinds[at : bounds[k]], np.array([_FIRST, *[_SPACED if x == " " else _BROKEN for x in own[1::2]]][: len(own[::2])], kinds.dtype)]
+        sizes[k], at = len(own[::2]), bounds[k] + 1
+    return pa.concat_arrays([*pieces, flat[at:]]), np.concatenate([*marks, kinds[at:]]), sizes
+
+
 @cache
 def encoder(path: str) -> Encoder:
     """The Python worker's tokenizer; of the words it learns at most ``CACHED_WORDS`` of a kind stay (about 20 MB), till the task's end."""

@@ -183,6 +183,23 @@ def test_word_cache_is_exact():
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_learnt_together_come_apart_rightly():
+    rng = np.random.default_rng(3)
+    parts = [*"ab  \n\n\t.,'1é日ß\x1c\u3000\u2028 \x85<|", "don't", "we'll", "<|endoftext|>", "Hello", "naïve", "\r\n", "...", "Ċ", "Ġ"]
+    texts = ["".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(0, 30))) for _ in range(3000)]
+    plain, own = Tokenizer.from_file(TOKENS), token_files.Encoder(TOKENS)
+    got = [x for at in range(0, len(texts), 100) for x in own.encode(texts[at : at + 100])]
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_word_met_again_in_a_slice_is_looked_up_once(monkeypatch):
+    own, looked = token_files.Encoder(TOKENS), []
+    real = token_files.Encoder._looked_up
+    monkeypatch.setattr(token_files.Encoder, "_looked_up", lambda self, words, *rest: looked.append(len(words)) or real(self, words, *rest))
+    own.encode(["one two three\ntwo two"] * 500)
+    assert looked == [2, 2]  # "one" and "two" without a space before them, "two" and "three" with one
+
+
 def test_search(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 8 if i % 7 else 6)]) for i in range(700)]
