@@ -171,9 +171,8 @@ def _confirmed(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, comp`` with the smallest node reachable, by alternating large and small stars."""
+    """``node, comp`` with the smallest node reachable, by alternating large and small stars until nothing but stars is left."""
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -181,10 +180,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.greatest("b", "m").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = persist_table(small.where("a <> b").distinct(), "small-star")
-        state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if state == seen:
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.count(F.lit(1)).alias("n"))
+        if ends.where("ups > 1 or ups = 1 and n > 1").isEmpty():  # in a star a node points to one smaller node, or is pointed to
             return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-        seen = state
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -200,11 +199,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = persist_table(_signed(own.join(small_side(near), own["_id"] == near["node"], "left_semi"), True).withColumnRenamed("id", "node"), "sets")
 
     edges = None
-    labels = near.select("node", F.col("node").alias("comp"))
+    labels = joined = near.select("node", F.col("node").alias("comp"))
     for depth in DEPTHS:
         close = persist_table(_close(full.select("node", "sign").join(labels, "node"), depth, percent), "close")
         found = _by_pair(close.join(full.select("node", "key"), "node")).mapInArrow(_confirmed(percent), "a bigint, b bigint")
         found = persist_table(found, "links")
+        if found.isEmpty():
+            continue
         edges = found if edges is None else edges.unionByName(found)
         joined = components(edges)
         labels = near.join(joined, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))

@@ -264,9 +264,9 @@ def _framed(path: str, end_id: int, dictionary: Dictionary) -> Callable[[Iterato
     return run
 
 
-def _packed(index_type: pa.DataType, digest: str, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _packed(index_type: pa.DataType, digest: str, path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId()
+        shard, width = TaskContext.get().partitionId(), encoder(path).dtype.itemsize  # the driver loads no tokenizer
         index, frames, at, tokens, block = [], [], 0, 0, 0
 
         def close() -> pa.RecordBatch:
@@ -300,11 +300,10 @@ def write(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", t
     fields = f"doc_id {kind}, offset int, length int, n_tokens bigint, before bigint"
     arrow_id = pa.schema(own.select("_id").limit(0).toArrow().schema).field("_id").type
     index_type = pa.struct([("doc_id", arrow_id), ("offset", pa.int32()), ("length", pa.int32()), ("n_tokens", pa.int64()), ("before", pa.int64())])
-    width = Encoder(path).dtype.itemsize
     # rows that share an id, or have none, are dealt by frame and place, as they may be a third of the table
     spread = frames.withColumn("_hash", F.xxhash64("frame")).withColumn("_row", F.monotonically_increasing_id())
     ordered = spread.repartitionByRange("id", "_hash", "_row").sortWithinPartitions("id", "_hash", "_row").drop("_hash", "_row")
-    blocks = ordered.mapInArrow(_packed(index_type, dictionary.sha256, width),
+    blocks = ordered.mapInArrow(_packed(index_type, dictionary.sha256, path),
                                 f"shard int, block int, dictionary string, width int, index array<struct<{fields}>>, payload binary")
     blocks.write.options(**_BLOCK_FILES).parquet(f"{folder}/blocks")
     spark.createDataFrame([(dictionary.sha256, bytearray(dictionary.content))], "sha256 string, content binary").write.parquet(f"{folder}/dictionary")

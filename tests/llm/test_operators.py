@@ -90,6 +90,33 @@ def test_dense_group_is_cut_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == plain_components(rows, 85)
 
 
+def test_components_end_with_stars(spark):
+    rng = np.random.default_rng(9)
+    for links in ([(1, 0), (3, 2)], [(k + 1, k) for k in range(40)], rng.integers(0, 300, (250, 2)).tolist()):
+        top = {x: x for link in links for x in link}
+        for _ in top:
+            for x, y in links:
+                top[x] = top[y] = min(top[x], top[y])
+        got = near_dups.components(spark.createDataFrame(links, "a long, b long")).collect()
+        assert len(got) == len({r["node"] for r in got}) and {r["node"]: r["comp"] for r in got} == {x: y for x, y in top.items() if x != y}
+
+
+def test_rounds_without_links_join_nothing(spark, monkeypatch):
+    written, real = Counter(), near_dups.persist_table
+    monkeypatch.setattr(near_dups, "persist_table", lambda df, name: (written.update([name]), real(df, name))[1])
+    rows = [(k, " ".join(f"w{k // 2}_{i}" for i in range(99)) + " x" * (k % 2)) for k in range(20)]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {k: k - k % 2 for k in range(20)}
+    assert written["small-star"] <= 3  # pairs are stars after a round; depths that find no link have none
+
+
+def test_token_files_load_no_tokenizer_on_the_driver(docs, monkeypatch):
+    loaded = []
+    monkeypatch.setattr(token_files.Encoder, "__init__", lambda self, path: loaded.append(path))
+    token_files.write(docs.limit(20), TOKENS)
+    assert not loaded
+
+
 def test_near_duplicates_awkward(awkward, empty):
     got = near_dups.near_duplicates(awkward).collect()
     assert len(got) == 12
