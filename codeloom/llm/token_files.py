@@ -36,7 +36,7 @@ from codeloom.llm.common import slices, small_batches, small_side
 from codeloom.session import new_folder, persist_table
 
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 2000, 32_768, 65_536, 3
-BLOCK_BYTES, BLOCK_DOCS, CACHED_WORDS, SLICE_BYTES = 1_000_000, 4096, 100_000, 2_000_000
+BLOCK_BYTES, BLOCK_DOCS, CACHED_WORDS, SLICE_BYTES = 1_000_000, 4096, 100_000, 1_000_000
 #: Frames are compressed already; Parquet looks at its page and row group sizes after every block, not every hundred.
 _BLOCK_FILES = {"compression": "none", "parquet.block.size": str(32 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 
@@ -164,6 +164,7 @@ class Encoder:
     def forget(self) -> None:
         """Let go of the words learnt; the tokenizer stays."""
         self.spaced, self.bare = {}, {}
+        pa.default_memory_pool().release_unused()  # the worker stays for later tasks
 
 
 def _strings(words: pa.Array) -> list[str]:
@@ -232,9 +233,12 @@ def train_dictionary(texts: DataFrame, path: str) -> Dictionary:
 
     def serialised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for batch in slices(batches, "_text", SLICE_BYTES):
-            ids = own.encode([t or "" for t in batch.column("_text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array([x[:SAMPLE_BYTES] for x in ids], pa.binary())], ["ids"])
+        try:
+            for batch in slices(batches, "_text", SLICE_BYTES):
+                ids = own.encode([t or "" for t in batch.column("_text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([pa.array([x[:SAMPLE_BYTES] for x in ids], pa.binary())], ["ids"])
+        finally:
+            own.forget()
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         samples = sorted(x for b in batches for x in b.column("ids").to_pylist())
@@ -306,7 +310,9 @@ def write(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", t
     blocks = ordered.mapInArrow(_packed(index_type, dictionary.sha256, path),
                                 f"shard int, block int, dictionary string, width int, index array<struct<{fields}>>, payload binary")
     blocks.write.options(**_BLOCK_FILES).parquet(f"{folder}/blocks")
-    spark.createDataFrame([(dictionary.sha256, bytearray(dictionary.content))], "sha256 string, content binary").write.parquet(f"{folder}/dictionary")
+    # a frame of literals: one made from a local list starts a second set of Python workers, which stay
+    stored = spark.range(1, numPartitions=1).select(F.lit(dictionary.sha256).alias("sha256"), F.lit(bytearray(dictionary.content)).alias("content"))
+    stored.write.parquet(f"{folder}/dictionary")
     return folder, dictionary
 
 

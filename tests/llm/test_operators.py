@@ -110,6 +110,13 @@ def test_rounds_without_links_join_nothing(spark, monkeypatch):
     assert written["small-star"] <= 3  # pairs are stars after a round; depths that find no link have none
 
 
+def test_token_files_start_no_workers_for_the_dictionary(spark, docs, monkeypatch):
+    made = []
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, *args, **more: made.append(args))
+    folder, dictionary = token_files.write(docs.limit(20), TOKENS)
+    assert not made and token_files.read_dictionary(spark, folder) == dictionary
+
+
 def test_token_files_load_no_tokenizer_on_the_driver(docs, monkeypatch):
     loaded = []
     monkeypatch.setattr(token_files.Encoder, "__init__", lambda self, path: loaded.append(path))
