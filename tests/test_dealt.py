@@ -1,12 +1,16 @@
 """Programs that are dealt once: steps that look at programs one by one shuffle nothing more."""
 
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.operators import checks, rendering, scope as sc, trees as tr
+from codeloom.operators import encoding as en, rendering, scope as sc, trees as tr
 from codeloom.plans import projection as pj
 from codeloom.queries import checks as qc, lowered as ql
 from codeloom.session import persist_buckets
+from tests.test_lowered import statement
 
 SOURCE = "/root/testdata/sf0.001"
 
@@ -69,3 +73,32 @@ def test_bucketed_rows_come_back_whole(spark):
     back = persist_buckets(rows, "rows", "pid", 21)  # neither dealt nor few: each task has most buckets
     assert sorted_rows(back) == sorted_rows(rows) and exchanges(back.groupBy("pid").count()) == 0
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("codeloom")]
+
+
+def random_nodes(spark):
+    r = random.Random(3)
+    bodies = [[statement(r, 0) for _ in range(r.randrange(1, 6))] for _ in range(120)]
+    rows = tr.flatten(spark.createDataFrame([(i, json.dumps({"node": "DSubTree", "_nodes": body})) for i, body in enumerate(bodies)], "pid bigint, ast string"))
+    return rows.withColumn("tag", F.when(F.col("tag") == "DAPICall", "DAPIInvoke").otherwise(F.col("tag"))).cache()
+
+
+@pytest.mark.parametrize("steps", (tr.topdown_paths, tr.subtree_hashes, lambda nodes: tr.subtree_hashes(nodes, F.get("calls", F.lit(0))["call"])))
+def test_programs_one_by_one_as_by_joins(spark, monkeypatch, steps):
+    nodes = random_nodes(spark)
+    found = []
+    for short in (1 << 20, 12, 0):
+        monkeypatch.setattr(sc, "SHORT", short)
+        found.append(sorted_rows(steps(nodes)))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 300
+
+
+def test_paths_hashes_texts_and_codes_need_no_shuffle(spark):
+    nodes = pj.stored_program_nodes(spark, SOURCE)[0]
+    assert exchanges(tr.topdown_paths(nodes)) == exchanges(tr.subtree_hashes(nodes)) == exchanges(tr.unflatten(nodes)) == 0
+    assert exchanges(en.columns(en.linearise(nodes).withColumn("value", F.lit(1)).withColumn("type_id", F.lit(1)))) == 0
+
+
+def test_flatten_gives_some_columns(spark):
+    texts = spark.createDataFrame([(1, '{"_nodes":[{"node":"DLoop","_cond":[],"_body":[{"node":"DReturnVar","_id":"a"}]}]}'), (2, '{"_nodes":[{"node":5}]}'), (3, "x")], "pid bigint, ast string")
+    only = ("scope", "pid", "tag", "slot_ends", "calls")
+    assert sorted_rows(tr.flatten(texts, only=only)) == sorted_rows(tr.flatten(texts).select(*only))
