@@ -6,9 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.operators import encoding as en, rendering, scope as sc, trees as tr
+from codeloom.operators import encoding as en, evidence, rendering, scope as sc, trees as tr
 from codeloom.plans import projection as pj
-from codeloom.queries import checks as qc, lowered as ql
+from codeloom.queries import checks as qc, corpus, lowered as ql
 from codeloom.session import persist_buckets
 from tests.test_lowered import statement
 
@@ -102,3 +102,13 @@ def test_flatten_gives_some_columns(spark):
     texts = spark.createDataFrame([(1, '{"_nodes":[{"node":"DLoop","_cond":[],"_body":[{"node":"DReturnVar","_id":"a"}]}]}'), (2, '{"_nodes":[{"node":5}]}'), (3, "x")], "pid bigint, ast string")
     only = ("scope", "pid", "tag", "slot_ends", "calls")
     assert sorted_rows(tr.flatten(texts, only=only)) == sorted_rows(tr.flatten(texts).select(*only))
+
+
+def test_evidence_of_dealt_programs_is_that_of_blocks(spark, monkeypatch):
+    dealt = sorted_rows(corpus.encode_evidence(spark, SOURCE))
+    places, n = corpus.evidence_places(spark, SOURCE)
+    assert n and exchanges(evidence.encoded_sets(persist_buckets(places, "places", "pid", n), spark.createDataFrame([], "kind string, token string, id bigint"), dealt=True)) <= 3  # the vocabulary's join
+    assert str(places._jdf.queryExecution().executedPlan()).count("hashpartitioning(pid") == 1
+    monkeypatch.setattr(pj, "PART_LINES", 3)
+    assert corpus.evidence_places(spark, SOURCE)[1] == 0
+    assert sorted_rows(corpus.encode_evidence(spark, SOURCE)) == dealt
