@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.operators import encoding as en, evidence, rendering, scope as sc, trees as tr
+from codeloom.operators import encoding as en, evidence, rendering, scope as sc, sequences, trees as tr
 from codeloom.plans import projection as pj
 from codeloom.queries import checks as qc, corpus, lowered as ql
 from codeloom.session import persist_buckets
@@ -112,3 +112,17 @@ def test_evidence_of_dealt_programs_is_that_of_blocks(spark, monkeypatch):
     monkeypatch.setattr(pj, "PART_LINES", 3)
     assert corpus.evidence_places(spark, SOURCE)[1] == 0
     assert sorted_rows(corpus.encode_evidence(spark, SOURCE)) == dealt
+
+
+def test_ways_one_by_one_are_those_of_joins(spark, monkeypatch):
+    nodes = random_nodes(spark)
+    found = []
+    for short in (1 << 20, 10, 0):
+        monkeypatch.setattr(sc, "SHORT", short)
+        found.append(sorted_rows(sequences.call_sequences(nodes, 4, 9)))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100 and any("too" in r for r in found[0])
+
+
+def test_ways_of_dealt_programs_need_no_shuffle(spark):
+    nodes, n = pj.dealt_program_nodes(spark, SOURCE, ("pid", "node_id", "parent_id", "slot", "slot_pos", "depth", "scope", "tag", "calls"))
+    assert exchanges(sequences.call_sequences(nodes, buckets=n)) == 0
