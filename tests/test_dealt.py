@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.operators import encoding as en, evidence, rendering, scope as sc, sequences, trees as tr
+from codeloom.operators import encoding as en, evidence, rendering, scope as sc, sequences, siblings, trees as tr
 from codeloom.plans import projection as pj
 from codeloom.queries import checks as qc, corpus, lowered as ql
 from codeloom.session import persist_buckets
@@ -126,3 +126,18 @@ def test_ways_one_by_one_are_those_of_joins(spark, monkeypatch):
 def test_ways_of_dealt_programs_need_no_shuffle(spark):
     nodes, n = pj.dealt_program_nodes(spark, SOURCE, ("pid", "node_id", "parent_id", "slot", "slot_pos", "depth", "scope", "tag", "calls"))
     assert exchanges(sequences.call_sequences(nodes, buckets=n)) == 0
+
+
+def test_siblings_of_short_files_are_those_of_places(spark, monkeypatch):
+    """Files in one list, files by places, both, and repeated ids."""
+    methods = spark.range(400).select(F.col("id").alias("pid"), F.when(F.col("id") < 60, 0).when(F.col("id") < 399, F.col("id") % 90).alias("file"), F.concat(F.lit("m@"), (F.col("id") % 300).cast("string")).alias("method"))
+    want = sorted_rows(siblings._by_places(methods, 12, 10))
+    calls = methods.select("pid", F.explode(F.array(*[F.concat(F.lit("m@"), ((F.col("pid") + 90 * i) % 300).cast("string")) for i in range(1, 5)])).alias("callee"))
+    for most in (256, 20, 0):
+        monkeypatch.setattr(siblings, "SHORT_FILE", most)
+        assert sorted_rows(siblings.sample_siblings(methods)) == want
+        rows = siblings.resolve_internal(calls, siblings.sample_siblings(methods)).select("pid", "callee", "sibling_pid", "local_method")
+        lists = siblings.resolve_internal(calls, siblings.sample_siblings(methods, listed=True)).select("pid", "callee", "sibling_pid", "local_method")
+        assert sorted_rows(rows) == sorted_rows(lists) and rows.count() > 50
+    twice = methods.unionByName(methods.where("pid in (3, 70)").withColumn("method", F.lit("other")))
+    assert twice.count() == 402 and siblings.sample_siblings(twice).where("pid = 70").count() == siblings._by_places(twice, 12, 10).where("pid = 70").count()
